@@ -40,9 +40,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # what the write has shuffled goes when the driver's collector finds that nothing refers to it
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,13 +57,13 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``f`` over every Arrow batch; the columns it returns are those of ``schema``, in its order."""
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2048) -> DataFrame:
+    """``f`` over every ``rows`` rows at most; the columns it returns are those of ``schema``, in its order."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
+            for start in range(0, batch.num_rows, rows):
+                out = f(batch.slice(start, rows))
                 if out is not None and out.num_rows:
                     yield out
 

@@ -6,10 +6,10 @@ are dealt by hash into more than k blocks, so two linked rows agree in some bloc
 are below the bound and are discarded before anything is multiplied. For the pairs left, a block of rows is multiplied
 with the row that they share a block with, and overlap counts below the bound of the two sizes are dropped.
 
-Within those that agree in a block, every row is first multiplied with the first one alone. Only rows that turn out to
-lie in different components are multiplied with each other, and only if their distances from the first differ by no
-more than a link allows (the Jaccard distance is a metric). So groups of thousands of copies cost a product for each
-member and no link between different texts is lost.
+Within those that agree in a block, every row is first multiplied with the first one alone. Only rows that aren't linked
+with it are then multiplied with each other and with the rest, in cells of bounded size from which a forest of links comes
+out. So groups of thousands of linked copies cost a product for each member, groups of thousands of almost linked ones no
+more than a bounded number of rows for each block of members, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import arrow_map, mixed, shingles, signed, stored, utf8, words_of
 from .graph import components
 
 _U = np.uint64
-#: Rows multiplied with one row in one run of a task.
+#: Rows multiplied with one row in one run of a task, and rows of a block where blocks are multiplied.
 RUN = 256
+#: Sets that a task remembers, to send the signatures of equal ones once.
+SEEN = 200_000
 
 
 @lru_cache(maxsize=100_000)
@@ -70,26 +72,29 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
 def _marks(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(mark, doc_id, n, whole): of every document the hash of its whole set (whole), and its signatures."""
 
+    seen: set[int] = set()  # of this task; an equal set has the same signatures and is found by its whole mark
+
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks, ids, sizes, whole, seen = [], [], [], [], set()
-        for i, text in enumerate(utf8(batch.column(1))):
+        marks, sizes = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             grams = np.unique(shingles(words_of(text), k))
-            n, doc = len(grams), batch.column(0)[i].as_py()
-            if n:
-                own = mixed(np.add.reduce(mixed(grams), keepdims=True) + _U(n))
-                key = int(own[0])
+            if len(grams):
+                own = mixed(np.add.reduce(mixed(grams), keepdims=True) + _U(len(grams)))
                 if doc is None:
                     own = mixed(own + _U(1))  # apart from those of documents with an id
-                if doc is not None and key not in seen:  # an equal set in this batch has the same signatures
-                    seen.add(key)
+                elif int(own[0]) not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(int(own[0]))
                     own = np.concatenate((own, signatures(grams, percent)))
             else:
                 own = mixed(np.array([(doc or 0) & 0xFFFFFFFFFFFFFFFF], _U))
             marks.append(own)
-            ids += [doc] * len(own)
-            sizes.append(np.full(len(own), n))
-            whole += [True] + [False] * (len(own) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(marks))), pa.array(ids, pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(whole)], names=["mark", "doc_id", "n", "whole"])
+            sizes.append(len(grams))
+        lengths = np.fromiter(map(len, marks), np.int64, len(marks))
+        rows = np.repeat(np.arange(len(marks)), lengths)
+        whole = np.zeros(len(rows), bool)
+        whole[np.cumsum(lengths) - lengths] = True
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(marks))), batch.column(0).take(pa.array(rows)), pa.array(np.array(sizes, np.int32)[rows]), pa.array(whole)], names=["mark", "doc_id", "n", "whole"])
 
     return arrow_map(docs.select("doc_id", "text"), of, "mark long, doc_id long, n int, whole boolean")
 
@@ -155,7 +160,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     left = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("b"), F.lit(0).alias("later"))
     right = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), "b", F.lit(1).alias("later"))
-    rows = left.unionByName(right).join(texts, F.col("b") == F.col("doc_id")).drop("doc_id")
+    rows = left.unionByName(right).join(texts.hint("merge"), F.col("b") == F.col("doc_id")).drop("doc_id")
     dealt = rows.repartition("a", "run").sortWithinPartitions("a", "run", "later", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,46 +195,128 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     documents that share a block with another.
     """
     dealt = _marks(docs, k, percent).repartition("mark").sortWithinPartitions("mark", "doc_id")
-    found = stored(dealt.mapInArrow(_runs, "mark long, doc_id long, n int, whole boolean, rep long, rep_n int, rep_whole boolean"), "runs")
-    sizes = found.where("whole").select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-
-    shared = found.where("doc_id IS NOT NULL AND n > 0")
-    pairs = shared.where("rep != doc_id").where(_fits("n", "rep_n", percent)).groupBy(F.col("rep").alias("a"), F.col("doc_id").alias("b")).agg(F.max(F.col("whole") & F.col("rep_whole")).alias("equal"))
-    pairs = stored(pairs, "pairs")
-    tried = stored(overlaps(pairs.where("NOT equal"), docs, k), "overlaps")
-    link = 100 * F.col("common") >= percent * F.col("either")
-    links = pairs.where("equal").select("a", "b").unionByName(tried.where(link).select("a", "b"))
+    runs = dealt.mapInArrow(_runs, "mark long, doc_id long, n int, whole boolean, rep long, rep_n int, rep_whole boolean")
+    found = runs.groupBy("rep", "rep_n", "doc_id", "n").agg(F.max(F.col("whole") & F.col("rep_whole")).alias("equal"), F.sum(F.col("whole").cast("int")).alias("copies"))
+    found = stored(found, "found")
+    sizes = found.where("copies > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+
+    pairs = found.where("doc_id IS NOT NULL AND n > 0 AND rep != doc_id")
+    fits = pairs.where(_fits("n", "rep_n", percent)).groupBy(F.col("rep").alias("a"), F.col("doc_id").alias("b")).agg(F.max("equal").alias("equal"))
+    fits = stored(fits, "pairs")
+    # a document whose set equals its first one's is compared by that one; texts are read again for the others only
+    open_pairs = fits.where("NOT equal")
+    unequal = pairs.where("NOT equal").select("rep", "doc_id").distinct()
+    wanted = unequal.select("doc_id").unionByName(unequal.select(F.col("rep").alias("doc_id"))).distinct()
+    docs = stored(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
+    tried = overlaps(open_pairs, docs, k)
+    links = fits.where("equal").select("a", "b").unionByName(tried.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b"))
     links = stored(links, "links")
-    # marks whose first document isn't linked with all others: those of a size that it can't be linked with, or missed
-    missed = tried.where(~link).select(F.col("a").alias("rep"), F.col("b").alias("doc_id"))
-    others = shared.where("rep != doc_id")
-    open_marks = others.where(~_fits("n", "rep_n", percent)).select("mark").unionByName(others.join(missed, ["rep", "doc_id"], "left_semi").select("mark")).distinct()
-    members = stored(shared.join(open_marks, "mark", "left_semi").select("mark", "rep", "doc_id", "n").distinct(), "members")
+    # where a first document isn't linked with all that share its marks, those may be linked with each other
+    members = unequal
     if not members.isEmpty():
-        far = tried.select(F.col("a").alias("rep"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("either")).alias("d"))
-        far = far.unionByName(pairs.where("equal").select(F.col("a").alias("rep"), F.col("b").alias("doc_id"), F.lit(0.0).alias("d")))
         labels = components(links) if not links.isEmpty() else None
-        new = _across(members, far, labels, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        links = stored(links.unionByName(overlaps(new, docs, k).where(link).select("a", "b")), "links")
+        links = stored(links.unionByName(_across(members, labels, docs, k, percent)), "links")
     if links.isEmpty():
         return sizes.withColumn("component_id", F.col("doc_id"))
     return sizes.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _across(members: DataFrame, far: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs that agree in a block, aren't in one component yet and may be linked for all that is known.
+def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that join what the first documents of the marks left apart.
 
-    far: distances from the first document of a mark; where it is unknown (the sizes don't fit) nothing is ruled out.
+    Two documents that agree in a block share its mark and so the mark's first document (rep). Under each rep, the rows that
+    aren't linked with it (loose) are multiplied with each other and with those that are, in cells of at most RUN by RUN
+    rows; only the links that a cell needs to connect its rows come out. Reps without loose rows need nothing.
     """
-    slack = (100 - percent) / 100 + 1e-9
-    members = members.join(far, ["rep", "doc_id"], "left")
+    rows = members
     if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep", "left")
+        rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep", "left")
     else:
-        members = members.withColumns({"label": F.lit(None).cast("long"), "rep_label": F.lit(None).cast("long")})
-    members = stored(members.withColumns({"label": F.coalesce("label", "doc_id"), "rep_label": F.coalesce("rep_label", "rep")}), "members")
-    side = lambda df, x: df.select("mark", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "d", "label")])
-    apart, rest = side(members.where("label != rep_label"), "a"), side(members.where("rep != doc_id"), "b")
-    near = F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= slack, F.lit(True))
-    both = apart.join(rest, "mark").where((F.col("a_label") != F.col("b_label")) & _fits("a_n", "b_n", percent) & near)
-    return both.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+        rows = rows.withColumns({"label": F.lit(None).cast("long"), "rep_label": F.lit(None).cast("long")})
+    loose = F.coalesce("label", "doc_id") != F.coalesce("rep_label", "rep")
+    rows = stored(rows.select("rep", "doc_id", loose.alias("loose"), F.coalesce("label", "doc_id").alias("label")), "members")
+    sizes = rows.groupBy("rep").agg(F.count_if("loose").alias("l"), F.count_if(~F.col("loose")).alias("t"), F.count_distinct("label").alias("labels"))
+    blocks = lambda c: F.ceil(F.col(c) / RUN).cast("int")
+    sizes = sizes.where("l > 0 AND l + t > 1 AND labels > 1").select("rep", blocks("l").alias("lb"), blocks("t").alias("tb"))
+    rows = rows.join(sizes, "rep").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("loose"), F.col("lb")).otherwise(F.col("tb"))).cast("int"))
+    # a cell is (x, y): loose block x with loose block y >= x, or with linked block y - lb
+    ahead = F.transform(F.sequence(F.col("own"), F.col("lb") + F.col("tb") - 1), lambda y: F.struct(F.col("own").alias("x"), y.alias("y"), F.lit(0).alias("side")))
+    behind = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda x: F.struct(x.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side")))).otherwise(F.expr("array()"))
+    linked = F.transform(F.sequence(F.lit(0), F.col("lb") - 1), lambda x: F.struct(x.alias("x"), (F.col("lb") + F.col("own")).alias("y"), F.lit(1).alias("side")))
+    cells = rows.select("rep", "doc_id", "label", F.explode(F.when(F.col("loose"), F.concat(ahead, behind)).otherwise(linked)).alias("c")).select("rep", "c.x", "c.y", "c.side", "doc_id", "label")
+    met = cells.join(docs.select("doc_id", "text").hint("merge"), "doc_id").select("rep", "x", "y", "side", "doc_id", "label", "text")
+    dealt = met.repartition("rep", "x", "y").sortWithinPartitions("rep", "x", "y", "side", "doc_id")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            side, ids, own = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, text in enumerate(utf8(batch.column(6))):
+                if keys[i] != cell:
+                    yield from _links_of(cell, held, percent)
+                    cell, held = keys[i], []
+                held.append((side[i], ids[i], own[i], np.unique(shingles(words_of(text), k))))
+        yield from _links_of(cell, held, percent)
+
+    return dealt.mapInArrow(multiply, "a long, b long").distinct()
+
+
+#: N-gram columns of the incidence matrix that are multiplied at once.
+COLUMNS = 4096
+
+
+def _links_of(cell: tuple | None, held: list, percent: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the links between the rows of a cell that its product shows, labels that are known joined before."""
+    if len(held) < 2 or len({h[2] for h in held}) < 2:
+        return
+    same = cell[1] == cell[2]
+    left = held if same else [h for h in held if not h[0]]
+    right = held if same else [h for h in held if h[0]]
+    if not left or not right:
+        return
+    common = _product([h[3] for h in left], [h[3] for h in right])
+    nl, nr = np.array([len(h[3]) for h in left]), np.array([len(h[3]) for h in right])
+    found = np.argwhere((common > 0) & (100 * common >= percent * (nl[:, None] + nr - common)))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in found:
+        a, b = root(left[i][2]), root(right[j][2])
+        if a != b:
+            parent[a] = b
+            out.append((min(left[i][1], right[j][1]), max(left[i][1], right[j][1])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def _product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all rows of two blocks: the product of their incidence matrices, summed over blocks of columns.
+
+    Columns that only one of the blocks has add nothing and are left out."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    columns = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    if not len(columns):
+        return out
+    spots = []
+    for block in (left, right):
+        grams, rows = np.concatenate(block), np.repeat(np.arange(len(block)), [len(g) for g in block])
+        at = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
+        own = columns[at] == grams
+        order = np.argsort(at[own], kind="stable")
+        spots.append((at[own][order], rows[own][order]))
+    for start in range(0, len(columns), COLUMNS):
+        width = min(COLUMNS, len(columns) - start)
+        dense = []
+        for (at, rows), block in zip(spots, (left, right)):
+            lo, hi = np.searchsorted(at, (start, start + width))
+            x = np.zeros((len(block), width), np.float32)
+            x[rows[lo:hi], at[lo:hi] - start] = 1
+            dense.append(x)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    return out
