@@ -26,13 +26,21 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return [w for x in (text or b"").lower().split() if (w := x.strip(b".,;:!?\"'()[]{}<>|*#&-_~`"))]
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=_U)
+
+
 def _runs(h: np.ndarray, length: int) -> np.ndarray:
-    """The Karp-Rabin hash of each run of ``length`` word hashes, from running sums (arithmetic modulo 2**64)."""
-    base = 0x9E3779B97F4A7C15
+    """The Karp-Rabin hash of each run of ``length`` word hashes, from running sums (arithmetic modulo 2**64): a run's sum
+    times the power that takes out its place."""
     n = len(h)
-    powers = np.cumprod(np.concatenate(([1], np.full(n, base, _U))).astype(_U), dtype=_U)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * powers[:n], dtype=_U)))
-    return mixed((sums[length:] - sums[:-length]) * powers[n - np.arange(n - length + 1)])
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * _powers(_BASE, n), dtype=_U)))
+    return mixed((sums[length:] - sums[:-length]) * _powers(pow(_BASE, -1, 1 << 64), n)[: n - length + 1])
 
 
 def tiling(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
@@ -83,48 +91,46 @@ class _Block:
     """Some benchmark items, ready to meet documents."""
 
     def __init__(self, items: list[tuple[int, bytes]], shortest: int):
-        self.ids, self.words, grams, owners, places = [], [], [], [], []
+        self.ids, self.words, seeds = [], [], {}
         for item, text in items:
             words = plain_words(text)
             if not words:
                 continue
             g = shingles(words, shortest)
-            grams.append(g)
-            owners.append(np.full(len(g), len(self.ids)))
-            places.append(np.arange(len(g)))
+            seeds.setdefault(min(shortest, len(words)), []).append((g, np.full(len(g), len(self.ids)), np.arange(len(g))))
             self.ids.append(item)
             self.words.append(word_hashes(words))
-        self.grams, self.owners, self.places = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (grams, owners, places))
-        order = np.argsort(self.grams, kind="stable")
-        self.grams, self.owners, self.places = self.grams[order].astype(_U), self.owners[order], self.places[order]
-
-    def matches(self, text: bytes | None, shortest: int, least: float) -> list[tuple[int, float, list]]:
+        #: by the length of seeds (shorter ones for items that are shorter): sorted hashes, their items and places
+        self.seeds = {}
+        for width, found in seeds.items():
+            grams, owners, places = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(grams, kind="stable")
+            self.seeds[width] = (grams[order], owners[order], places[order])
+
+    def matches(self, text: bytes | None, least: float) -> list[tuple[int, float, list]]:
         """(item, coverage, tiles) of the items of which a document holds at least the share ``least``."""
-        words = plain_words(text)
-        if not words or not len(self.grams):
-            return []
-        own = shingles(words, shortest)
-        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        seeds = np.unique(own[self.grams[at] == own])
-        if not len(seeds):
-            return []
-        first, last = np.searchsorted(self.grams, seeds), np.searchsorted(self.grams, seeds, side="right")
-        spots = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
-        out, doc = [], None
-        for k in np.unique(self.owners[spots]):
-            item = self.words[k]
-            width = min(shortest, len(item))
-            under = np.zeros(len(item) + 1, np.int64)
-            places = self.places[spots[self.owners[spots] == k]]
-            np.add.at(under, places, 1)
-            np.add.at(under, places + width, -1)
-            if (np.cumsum(under)[:-1] > 0).sum() < least * len(item):  # more than the seeds cover can't be marked
+        words, out, doc = plain_words(text), [], None
+        for width, (grams, owners, all_places) in self.seeds.items():
+            if len(words) < width:
+                continue
+            own = shingles(words, width)
+            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            seeds = np.unique(own[grams[at] == own])
+            if not len(seeds):
                 continue
-            doc = word_hashes(words) if doc is None else doc
-            kept = _near(own, self.grams, width, doc)
-            tiles = tiling(kept, item, width)
-            if (cover := sum(t[2] for t in tiles) / len(item)) >= least:
-                out.append((self.ids[k], cover, tiles))
+            first, last = np.searchsorted(grams, seeds), np.searchsorted(grams, seeds, side="right")
+            spots = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
+            for k in np.unique(owners[spots]):
+                item, under = self.words[k], np.zeros(len(self.words[k]) + 1, np.int64)
+                places = all_places[spots[owners[spots] == k]]
+                np.add.at(under, places, 1)
+                np.add.at(under, places + width, -1)
+                if (np.cumsum(under)[:-1] > 0).sum() < least * len(item):  # more than the seeds cover can't be marked
+                    continue
+                doc = word_hashes(words) if doc is None else doc
+                tiles = tiling(_near(own, grams, width, doc), item, width)
+                if (cover := sum(t[2] for t in tiles) / len(item)) >= least:
+                    out.append((self.ids[k], cover, tiles))
         return out
 
 
@@ -207,7 +213,7 @@ def _pass(sent, width: int, whole: bool, shortest: int, coverage: float):
         block = _blocks[key][1]
         n, item, share = (batch.column(width + i).to_pylist() for i in range(3))
         for i, text in enumerate(utf8(batch.column(width - 1))):
-            for found, cover, _ in block.matches(text, shortest, coverage):
+            for found, cover, _ in block.matches(text, coverage):
                 n[i] += 1
                 if cover > share[i] or cover == share[i] and item[i] is not None and found < item[i]:
                     item[i], share[i] = found, cover
