@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, cove
     """The rows of ``docs`` that hold no benchmark item, with their columns; see ``contaminated``."""
     clashes = [c for c in docs.columns if c in ("n_items", "item_id", "coverage")]
     kept = docs.withColumnsRenamed({c: f"own_{c}" for c in clashes})
-    return _passes(kept, benchmark, shortest, coverage, block_bytes).where("n_items = 0").drop("n_items", "item_id", "coverage").withColumnsRenamed({f"own_{c}": c for c in clashes})
+    return _passes(kept, benchmark, shortest, coverage, block_bytes).where("n_items = 0").drop("n_items", "item_id", "coverage").withColumnsRenamed({f"own_{c}": c for c in clashes}).select(*docs.columns)
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: float, block_bytes: int, keep_text: bool = True) -> DataFrame:
