@@ -84,7 +84,7 @@ def test_line_dedup(spark, odd, none):
 def test_raking_and_calibration(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(1, 80)), rng.choice(["en", "de"]), rng.choice(["a", "b", "b", "b"])) for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2)
     got = mixing.survey(docs, fraction=0.3, temper=0.5).toPandas()
     weight = got["n_tokens"] * got["probability"]
     assert abs(weight.sum() / got["n_tokens"].sum() - 0.3) < 1e-6 and got["probability"].between(0, 1).all()

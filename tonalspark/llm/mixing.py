@@ -68,19 +68,27 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int
     return w
 
 
-def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30) -> DataFrame:
-    """The same for any number of cells: a sum and a join for each dimension and round; cut by a written table a round."""
-    out = cells.withColumn("raked", F.col("tokens").cast("double"))
+def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
+    """The same for any number of cells: a sum and a join for each dimension and round; a round is one job, cut by a
+    written table, and the largest deviation that it met decides whether another follows."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    spark, names = cells.sparkSession, cells.columns
-    aims = {k: spark.createDataFrame([*v.items()], f"{k} string, aim double") for k, v in targets.items()}
+    spark, names, aims = cells.sparkSession, cells.columns, {}
+    for k, wanted in targets.items():
+        aim = cells.groupBy(k).agg(F.sum("tokens").alias("now")).where("now > 0").join(spark.createDataFrame([*wanted.items()], f"{k} string, aim double"), k).select(k, "aim")
+        whole = aim.agg(F.sum("aim")).first()[0] or 1.0
+        aims[k] = stored(aim.withColumn("aim", F.col("aim") / whole * total), "aims")
+    out = cells.withColumn("raked", F.col("tokens").cast("double"))
     for _ in range(rounds):
+        out = out.withColumn("off", F.lit(0.0))
         for k, aim in aims.items():
             sums = out.groupBy(k).agg(F.sum("raked").alias("now")).where("now > 0").join(aim, k, "left")
-            whole = sums.agg(F.sum("aim")).first()[0] or 1.0
-            out = out.join(sums, k, "left").withColumn("raked", F.coalesce(F.col("raked") * F.col("aim") / whole * total / F.col("now"), F.lit(0.0))).select(*names, "raked")
+            step = out.join(sums, k, "left").withColumn("off", F.greatest("off", F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("aim", F.lit(0.0)))))
+            out = step.withColumn("raked", F.coalesce(F.col("raked") * F.col("aim") / F.col("now"), F.lit(0.0))).select(*names, "raked", "off")
         out = stored(out, "cells")
-    return out
+        if (out.agg(F.max("off")).first()[0] or 0.0) <= tolerance * max(total, 1):
+            break
+        out = out.drop("off")
+    return out.select(*names, "raked")
 
 
 def calibrate(tokens: np.ndarray, raked: np.ndarray, budget: float) -> np.ndarray:
@@ -141,10 +149,11 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
         total = raked.agg(F.sum("tokens")).first()[0] or 0
         low, high = 0.0, 1e9
         ratio = F.coalesce(F.col("raked") / F.col("tokens"), F.lit(0.0))
-        for _ in range(60):
-            c = (low + high) / 2
-            got = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), c * ratio))).first()[0] or 0
-            low, high = (c, high) if got < fraction * total else (low, c)
+        for _ in range(11):  # each job tries 63 values between the bounds
+            tried = [low + (high - low) * i / 64 for i in range(1, 64)]
+            got = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * ratio)) for c in tried]).first()
+            under = sum((x or 0) < fraction * total for x in got)
+            low, high = ([low, *tried][under], [*tried, high][under])
         known = raked.select(*DIMENSIONS, F.least(F.lit(1.0), high * ratio).alias("probability"))
     known = known.select(*[F.col(k).alias(f"cell_{k}") for k in DIMENSIONS], "probability")
     match = [_key(k) == F.col(f"cell_{k}") for k in DIMENSIONS]
