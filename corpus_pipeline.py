@@ -13,13 +13,13 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without text or letters, and those whose language can't be told. Rows and columns stay as they are.
+    """Rejects documents without text or letters; those flagged as ambiguous stay. Rows and columns stay as they are.
 
     The model learns from the documents that aren't held out; without any labelled document nothing is told, all go.
     """
     model = language_id.fit(docs.where(~language_id.is_held_out(F.col("doc_id"))))
     clashes = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score", "ambiguous")}
-    told = language_id.identify(docs.withColumnsRenamed(clashes), model).where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
+    told = language_id.identify(docs.withColumnsRenamed(clashes), model).where(F.col("lang_pred") != language_id.UNKNOWN)
     return told.drop("lang_pred", "score", "ambiguous").withColumnsRenamed({v: k for k, v in clashes.items()}).select(*docs.columns)
 
 
