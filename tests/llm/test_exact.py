@@ -293,6 +293,22 @@ def test_likeness_of_edits():
     assert near.min() > 0.6 and far.max() < 0.4
 
 
+def test_fingerprints_of_repetitive_texts():
+    rng = random.Random(11)
+    lines = [prose(rng, 8)[:66] + "\n" for _ in range(12)]
+    texts = [line * 1500 for line in lines] + [line * 40 for line in lines] + [prose(rng, 200) + line * 300 + prose(rng, 100) for line in lines] + ["a" * 5000, "ab" * 700, "\0" * 100_000]
+    other = prose(rng, 40_000)
+    for text in texts:
+        text = text.encode()
+        for changed in (text[: len(text) * 3 // 4] + other[: len(text) // 4].encode(), text[: len(text) // 2] + b"some words between" + text[len(text) // 2 :]):
+            a, b = fingerprints.fingerprint(text), fingerprints.fingerprint(changed)
+            assert 10 <= len(a.split(":")[1]) <= fingerprints.MOST and 10 <= len(b.split(":")[1]) <= fingerprints.MOST
+            assert fingerprints.likeness([a], [b])[0] > 0.5
+    # every part of a text counts, also behind as many pieces as a signature holds
+    long = lines[0] * 1500
+    assert fingerprints.fingerprint(long.encode()).split(":")[1][:20] == fingerprints.fingerprint((long[: len(long) - 200] + "x" * 200).encode()).split(":")[1][:20]
+
+
 # 8
 
 

@@ -1,14 +1,22 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over the last seven bytes ends a piece wherever its low bits are all ones; each piece gives one
-character of the signature. The block size, a power of two that follows the length of the text, sets how many of
-the bits are looked at. A fingerprint is ``block:signature:signature at twice the block``; two fingerprints are
-compared by the edit distance of those signatures that stand for one block size.
+character of the signature. The block size, a power of two, sets how many of the bits are looked at. It begins with
+the length of the text and is halved while too few pieces come out and doubled while there are too many.
+
+A repetitive text has few distinct windows, so at any block size all of them or none may end a piece. Hence a piece
+has half a block at the least, and two blocks at the most: where nothing triggers up to there, the window with the
+greatest hash ends it, the last of equal ones. Both depend on what the piece holds, so pieces fall into step again
+behind an edit, and each character stands for a bounded part of the text however it repeats itself.
+
+A fingerprint is ``block:signature:signature at twice the block``; two fingerprints are compared by the edit distance
+of those signatures that stand for one block size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, mixed
 
 WINDOW = 7
-#: A signature has about PIECES / 2 to PIECES characters, and MOST at the most: the last stands for all the rest.
+#: A signature has about PIECES / 2 to PIECES characters, and MOST at the most.
 PIECES, MOST = 48, 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
@@ -38,18 +46,53 @@ def _powers_to(n: int) -> np.ndarray:
 
 
 def block_size(n_bytes: int) -> int:
+    """Where the search for a block size begins."""
     block = 1
     while block * PIECES < n_bytes:
         block *= 2
     return block
 
 
-def _signature(values: np.ndarray, ends: np.ndarray) -> str:
-    """values: of each byte times the power of its place in the text; ends: where pieces end."""
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """The hash of each window of bytes; nothing, if the text is shorter."""
+    n = len(data)
+    if n < WINDOW:
+        return np.empty(0, np.uint32)
+    wide, rolling = data.astype(np.uint32), np.zeros(n - WINDOW + 1, np.uint32)
+    for k in range(WINDOW):
+        rolling *= np.uint32(0x01000193)
+        rolling += wide[k : n - WINDOW + 1 + k]
+    rolling ^= rolling >> np.uint32(15)
+    rolling *= np.uint32(0x85EBCA6B)
+    rolling >>= np.uint32(8)
+    return rolling
+
+
+def _starts(rolling: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Where the pieces of a text of ``n`` bytes start: one at least, and n / (2 block) to 2 n / block + 1 of them."""
+    mask = np.uint32(block - 1)
+    triggers = (np.flatnonzero((rolling & mask) == mask) + WINDOW).tolist()
+    triggers.append(n + 2 * block + WINDOW)
+    least, most = max(block // 2, 1), 2 * block
+    starts, start, i = [0], 0, 0
+    while True:
+        low, high = max(start + least, WINDOW), max(start + most, WINDOW)
+        i = bisect_left(triggers, low, i)
+        end = triggers[i]
+        if end > high:
+            if high >= n:
+                break
+            end = high - int(rolling[low - WINDOW : high - WINDOW + 1][::-1].argmax())
+        if end >= n:
+            break
+        starts.append(end)
+        start = end
+    return np.array(starts)
+
+
+def _signature(values: np.ndarray, starts: np.ndarray) -> str:
+    """values: of each byte times the power of its place in the text; starts: of the pieces."""
     n = len(values)
-    starts = np.concatenate(([0], ends[ends < n - 1] + 1))
-    if len(starts) > MOST:
-        starts = starts[:MOST]
     sums = np.add.reduceat(values, starts)
     # a piece's sum times the power that its start lacks doesn't depend on where the piece stands
     lacks = _powers_to(n)[n - 1 - starts]
@@ -67,21 +110,20 @@ def fingerprint(text: bytes) -> str:
     if not n:
         return "1::"
     data = np.frombuffer(text, np.uint8)
+    rolling, made = _rolling(data), {}
+
+    def starts(block: int) -> np.ndarray:
+        if block not in made:
+            made[block] = _starts(rolling, n, block)
+        return made[block]
+
     block = block_size(n)
-    if n >= WINDOW:
-        wide, rolling = data.astype(np.uint32), np.zeros(n - WINDOW + 1, np.uint32)
-        for k in range(WINDOW):
-            rolling *= np.uint32(0x01000193)
-            rolling += wide[k : n - WINDOW + 1 + k]
-        rolling ^= rolling >> np.uint32(15)
-        rolling *= np.uint32(0x85EBCA6B)
-        rolling >>= np.uint32(8)
-        ends = np.flatnonzero((rolling & np.uint32(block - 1)) == block - 1) + WINDOW - 1
-        twice = ends[(rolling[ends - WINDOW + 1] & np.uint32(2 * block - 1)) == 2 * block - 1]
-    else:
-        ends = twice = np.empty(0, np.intp)
+    while block > 1 and len(starts(block)) < PIECES // 2:
+        block //= 2
+    while len(starts(block)) > MOST:
+        block *= 2
     values = _BYTE[data] * _powers_to(n)
-    return f"{block}:{_signature(values, ends)}:{_signature(values, twice)}"
+    return f"{block}:{_signature(values, starts(block))}:{_signature(values, starts(2 * block))}"
 
 
 def _distances(a: list[str], b: list[str]) -> np.ndarray:
