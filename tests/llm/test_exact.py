@@ -53,6 +53,16 @@ def test_templates_are_merged_and_rejected(spark):
     assert len({r["template"] for r in got}) == 2
 
 
+def test_deep_paths_are_told_apart_at_any_level(spark):
+    for deep in ("a/b/c/d/e", "a/b/c/d/e/f/g/h/i/j/k"):
+        pages = [(i, f"http://h/{deep}/{i}/spam") for i in range(30)] + [(100 + i, f"http://h/{deep}/{i}/news") for i in range(30)] + [(200, f"http://h/{deep}/"), (201, "http://h"), (202, "http://h/a")]
+        labels = [(i, 1) for i in range(20)] + [(100 + i, 0) for i in range(20)]
+        got = collected(url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), []))
+        assert len(got) == len(pages)
+        assert {r["verdict"] for r in got if r["page_id"] < 100} == {"block"} and {r["verdict"] for r in got if 100 <= r["page_id"]} == {"allow"}
+        assert {r["template"] for r in got if r["page_id"] < 200} == {f"/{deep}/*/spam", f"/{deep}/*/news"}
+
+
 # 2
 
 

@@ -7,14 +7,15 @@ a path is its template; templates whose smoothed share of bad labels is high are
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments of a path that are levels of their own; the rest of a deeper path is one more.
-LEVELS = 6
 #: Rules that are put into the plan as they are, at most; more are joined.
 INLINE_RULES = 200
 
@@ -66,11 +67,8 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> Da
 
 
 def segments(path: Column) -> Column:
-    """The segments of a path, the last of LEVELS being all that is left; a closing slash is an empty segment."""
-    parts = F.split(F.regexp_replace(path, r"\A/", ""), "/")
-    head = F.slice(parts, 1, LEVELS - 1)
-    rest = F.array_join(F.slice(parts, LEVELS, F.greatest(F.size(parts), F.lit(1))), "/")
-    return F.when(path == "", F.array().cast("array<string>")).when(F.size(parts) < LEVELS, parts).otherwise(F.concat(head, F.array(rest)))
+    """All segments of a path; a closing slash is an empty segment."""
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(path, r"\A/", ""), "/"))
 
 
 def shape(segment: Column) -> Column:
@@ -85,11 +83,14 @@ def templates(urls: DataFrame, fan_out: int = 20, per_branch: float = 3.0, z: fl
     urls on average, and ``*shape`` if siblings of its shape, with like shapes behind them, exist and its share of bad
     labels is within ``z`` standard errors of theirs; else it stays. A level is a sum by branch, joined back by
     (host, prefix, segment); a host with a third of the urls is spread over its segments, and Spark splits hot ones.
+    There are as many levels as the deepest path has segments; each takes on only the urls that go on, and a few jobs.
     """
     rows = urls.withColumns({"segs": segments(F.col("path")), "prefix": F.lit("")})
-    for level in range(LEVELS):
+    ended = []
+    for level in count():
         rows = stored(rows, "url-tree")
-        seg, behind = F.get("segs", F.lit(level)), F.slice("segs", level + 2, LEVELS)
+        ended.append(rows.where(F.size("segs") <= level))
+        seg, behind = F.get("segs", F.lit(level)), F.slice("segs", F.lit(level + 2), F.size("segs"))
         here = rows.where(F.size("segs") > level).withColumns({"seg": seg, "behind": shape(F.array_join(behind, "/"))})
         branches = here.groupBy("host", "prefix", "seg").agg(F.count(F.lit(1)).alias("urls"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min("behind").alias("low"), F.max("behind").alias("high")).withColumn("shape", shape(F.col("seg")))
         branches = stored(branches, "url-branches")
@@ -105,8 +106,8 @@ def templates(urls: DataFrame, fan_out: int = 20, per_branch: float = 3.0, z: fl
             .otherwise(F.col("seg"))
         )
         chosen = branches.join(nodes, ["host", "prefix"]).join(alike, ["host", "prefix", "shape", "low", "high"]).select("host", "prefix", "seg", token.alias("token"))
-        rows = rows.withColumn("seg", seg).join(chosen, ["host", "prefix", "seg"], "left").withColumn("prefix", F.when(F.col("token").isNull(), F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "token"))).drop("seg", "token")
-    return rows.withColumnRenamed("prefix", "template").drop("segs")
+        rows = here.drop("behind").join(chosen, ["host", "prefix", "seg"], "left").withColumn("prefix", F.concat_ws("/", "prefix", "token")).drop("seg", "token")
+    return reduce(DataFrame.unionByName, ended).withColumnRenamed("prefix", "template").drop("segs")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | DataFrame, least_labels: int = 5, purity: float = 0.6, smoothing: float = 4.0) -> DataFrame:
