@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import random
+import warnings
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,27 @@ def test_raking_and_calibration(spark, odd, none):
     assert mixing.sample(odd).columns == odd.columns and mixing.sample(none).count() == 0
 
 
+def test_both_ways_of_raking_stop_alike(spark):
+    rng = random.Random(4)
+    cells = pd.DataFrame([(s, k, t, float(rng.randrange(1, 1000))) for s in "abc" for k in ("de", "en") for t in "012"], columns=[*mixing.DIMENSIONS, "tokens"])
+    targets = mixing.tempered(cells, 0.2)
+    table = spark.createDataFrame(cells).coalesce(1)
+
+    def by_spark(*more):
+        return mixing._rake_by_spark(table, targets, *more).toPandas().sort_values(list(mixing.DIMENSIONS))["raked"].to_numpy()
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        assert np.allclose(by_spark(), mixing.rake(cells, targets), rtol=1e-11, atol=0)
+    for raked in (lambda: mixing.rake(cells, targets, 2), lambda: by_spark(2)):
+        with pytest.warns(RuntimeWarning, match="2 rounds"):
+            raked()
+    # a source in one language only: targets that can't both be met are reported
+    apart = pd.DataFrame([("a", "en", "0", 3.0), ("b", "de", "0", 5.0)], columns=[*mixing.DIMENSIONS, "tokens"])
+    with pytest.warns(RuntimeWarning):
+        mixing.rake(apart, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.2, "de": 0.8}})
+
+
 # 4
 
 

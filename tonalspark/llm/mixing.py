@@ -6,6 +6,8 @@ share. Each document is then kept with its cell's calibrated probability, decide
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,9 @@ from .common import arrow_map, stored, utf8, word_hashes
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells that are raked on the driver at most (a row of numbers each); more are raked by Spark.
 DRIVER_CELLS = 100_000
+#: Raking ends when no sum of a value is off its target by this share of all tokens, or after so many rounds, with a
+#: warning. Both paths stop by these.
+ROUNDS, TOLERANCE = 100, 1e-9
 
 
 def profiled(docs: DataFrame, topics: int = 8, carry: list[str] | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ def _key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """The raked tokens of each cell. Cells without tokens stay without; targets of values that no cell with tokens has
     are left out, and each dimension's other targets are scaled to a sum of one."""
     w = cells["tokens"].to_numpy(float).copy()
@@ -63,12 +68,18 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int
             now = np.bincount(codes, w, len(aim))
             off = max(off, np.abs(now - aim).max(initial=0) / max(total, 1))
             w = w * np.divide(aim, now, out=np.zeros_like(aim), where=now > 0)[codes]
-        if off < tolerance:
+        if off <= tolerance:
             break
+    else:
+        _not_met(rounds, off, tolerance)
     return w
 
 
-def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
+def _not_met(rounds: int, off: float, tolerance: float) -> None:
+    warnings.warn(f"raking stopped after {rounds} rounds with a sum off its target by {off:.3g} of all tokens (tolerance {tolerance:.3g}): the targets can't all be met, or are met slowly", RuntimeWarning, stacklevel=3)
+
+
+def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The same for any number of cells: a sum and a join for each dimension and round; a round is one job, cut by a
     written table, and the largest deviation that it met decides whether another follows."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -85,9 +96,12 @@ def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], round
             step = out.join(sums, k, "left").withColumn("off", F.greatest("off", F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("aim", F.lit(0.0)))))
             out = step.withColumn("raked", F.coalesce(F.col("raked") * F.col("aim") / F.col("now"), F.lit(0.0))).select(*names, "raked", "off")
         out = stored(out, "cells")
-        if (out.agg(F.max("off")).first()[0] or 0.0) <= tolerance * max(total, 1):
-            break
+        off = (out.agg(F.max("off")).first()[0] or 0.0) / max(total, 1)
         out = out.drop("off")
+        if off <= tolerance:
+            break
+    else:
+        _not_met(rounds, off, tolerance)
     return out.select(*names, "raked")
 
 
@@ -125,9 +139,9 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
 
     profile: the same rows, as far as cells are counted from them (doc_id, source, lang, topic, n_tokens). The expected
     tokens of what is kept are ``fraction`` of all, and their marginals the targets, as far as no cell needs more tokens
-    than it has. A null source or language is the value ''. Documents without tokens are in no cell's sum and have the
-    probability of their cell. Rows of one doc_id share their fate. An empty table gives an empty result; columns
-    probability and kept of the input are replaced.
+    than it has; where raking ends before they are met, a RuntimeWarning says by how much. A null source or language is
+    the value ''. Documents without tokens are in no cell's sum and have the probability of their cell. Rows of one
+    doc_id share their fate. An empty table gives an empty result; columns probability and kept of the input are replaced.
     """
     cells = profile.groupBy(*[_key(k).alias(k) for k in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
     cells = stored(cells, "cells")
