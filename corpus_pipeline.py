@@ -15,7 +15,8 @@ ORACLE_SQL = None
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text or letters; those flagged as ambiguous stay. Rows and columns stay as they are.
 
-    The model learns from the documents that aren't held out; without any labelled document nothing is told, all go.
+    What the classifier predicts has no effect: any text with a letter passes, in whatever language. The model learns
+    from the documents that aren't held out; without any labelled document nothing is told, all go.
     """
     model = language_id.fit(docs.where(~language_id.is_held_out(F.col("doc_id"))))
     clashes = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score", "ambiguous")}
