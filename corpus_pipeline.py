@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 60 % or more of a benchmark item in runs of five words or more."""
+    """Drops documents that hold 60 % or more of a benchmark item in runs of five words or more, or 30 words in runs of ten."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

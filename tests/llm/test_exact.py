@@ -281,6 +281,20 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(odd, bench.where("false")).count() == odd.count()
 
 
+def test_passages_of_long_items(spark):
+    rng = random.Random(19)
+    a, b = prose(rng, 59).split(), prose(rng, 2000).split()
+    near = [w if i % 20 else "changed" for i, w in enumerate(b[:1000])]  # runs of 19 words
+    bits = [w for i in range(0, 600, 6) for w in (*b[i : i + 6], f"other{i}", f"words{i}")]  # many runs, all short
+    own = prose(rng, 60)
+    texts = [a[:35], a[20:55], b[300:1300], near, bits, a[:28], b[100:128], own.split()]
+    rows = [(i, f"{own} {' '.join(x)} {own}") for i, x in enumerate(texts)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in collected(decontamination.contaminated(docs, bench))}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 2, 4: None, 5: None, 6: None, 7: None}
+    assert {r["doc_id"] for r in collected(decontamination.decontaminate(docs, bench))} == {4, 5, 6, 7}
+
+
 # 7
 
 

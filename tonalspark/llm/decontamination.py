@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 from .common import arrow_map, mixed, shingles, utf8, word_hashes
 
+#: Words of a long item that count as holding it, whatever share of it they are.
+PASSAGE = 30
 _U = np.uint64
 
 
@@ -107,8 +109,9 @@ class _Block:
             order = np.argsort(grams, kind="stable")
             self.seeds[width] = (grams[order], owners[order], places[order])
 
-    def matches(self, text: bytes | None, least: float) -> list[tuple[int, float, list]]:
-        """(item, coverage, tiles) of the items of which a document holds at least the share ``least``."""
+    def matches(self, text: bytes | None, least: float, passage: int = PASSAGE) -> list[tuple[int, float, list]]:
+        """(item, coverage, tiles) of the items of which a document holds at least the share ``least``, or ``passage``
+        words in tiles of twice the seeds' words or more."""
         words, out, doc = plain_words(text), [], None
         for width, (grams, owners, all_places) in self.seeds.items():
             if len(words) < width:
@@ -125,11 +128,12 @@ class _Block:
                 places = all_places[spots[owners[spots] == k]]
                 np.add.at(under, places, 1)
                 np.add.at(under, places + width, -1)
-                if (np.cumsum(under)[:-1] > 0).sum() < least * len(item):  # more than the seeds cover can't be marked
+                if (np.cumsum(under)[:-1] > 0).sum() < min(least * len(item), passage):  # more than the seeds cover can't be marked
                     continue
                 doc = word_hashes(words) if doc is None else doc
                 tiles = tiling(_near(own, grams, width, doc), item, width)
-                if (cover := sum(t[2] for t in tiles) / len(item)) >= least:
+                cover = sum(t[2] for t in tiles) / len(item)
+                if cover >= least or sum(t[2] for t in tiles if t[2] >= 2 * width) >= passage:
                     out.append((self.ids[k], cover, tiles))
         return out
 
@@ -161,10 +165,13 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, n_items long, item_id, coverage double) of every row of ``docs``: how many items it holds at least the share
     ``coverage`` of, and which one it holds most of (ties: the smallest item_id); 0, null and 0.0 where it holds none.
 
+    However long an item is, ``passage`` words of it also count as held, in runs of twice ``shortest`` or more: chance and
+    stock phrases make short runs, not such ones. The coverage of such an item is what it is, also under ``coverage``.
+
     Words are compared without case (A-Z) and without punctuation at their ends. An item of fewer than ``shortest`` words
     has to be there as a whole. Null or empty texts hold nothing; items that are null or without words are left out; an
     empty benchmark contaminates nothing. Repeated rows each get a row. Other columns are dropped: see ``decontaminate``.
@@ -172,17 +179,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, cover
     The benchmark is the query set: it is met by all documents in blocks of bounded size, each sent with the tasks of one
     pass. One block makes one pass and no shuffle; several make one pass each, and their best is summed by row.
     """
-    return _passes(docs.select("doc_id", "text"), benchmark, shortest, coverage, block_bytes, keep_text=False)
+    return _passes(docs.select("doc_id", "text"), benchmark, shortest, coverage, block_bytes, passage, keep_text=False)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20, passage: int = PASSAGE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns; see ``contaminated``."""
     clashes = [c for c in docs.columns if c in ("n_items", "item_id", "coverage")]
     kept = docs.withColumnsRenamed({c: f"own_{c}" for c in clashes})
-    return _passes(kept, benchmark, shortest, coverage, block_bytes).where("n_items = 0").drop("n_items", "item_id", "coverage").withColumnsRenamed({f"own_{c}": c for c in clashes}).select(*docs.columns)
+    return _passes(kept, benchmark, shortest, coverage, block_bytes, passage).where("n_items = 0").drop("n_items", "item_id", "coverage").withColumnsRenamed({f"own_{c}": c for c in clashes}).select(*docs.columns)
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: float, block_bytes: int, keep_text: bool = True) -> DataFrame:
+def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: float, block_bytes: int, passage: int, keep_text: bool = True) -> DataFrame:
     docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
     start = {"n_items": F.lit(0).cast("long"), "item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0)}
     out = docs.withColumns(start)
@@ -195,7 +202,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: floa
         following = next(blocks, None)
         whole = keep_text or following is not None
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        out = arrow_map(out, _pass(sent, width, whole, shortest, coverage), StructType([f for f in schema if whole or f.name != "text"]))
+        out = arrow_map(out, _pass(sent, width, whole, shortest, coverage, passage), StructType([f for f in schema if whole or f.name != "text"]))
         items = following
     return out
 
@@ -203,7 +210,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: floa
 _blocks: dict = {}
 
 
-def _pass(sent, width: int, whole: bool, shortest: int, coverage: float):
+def _pass(sent, width: int, whole: bool, shortest: int, coverage: float, passage: int):
     def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
         key = (id(sent.value), shortest)
         if key not in _blocks:
@@ -213,7 +220,7 @@ def _pass(sent, width: int, whole: bool, shortest: int, coverage: float):
         block = _blocks[key][1]
         n, item, share = (batch.column(width + i).to_pylist() for i in range(3))
         for i, text in enumerate(utf8(batch.column(width - 1))):
-            for found, cover, _ in block.matches(text, coverage):
+            for found, cover, _ in block.matches(text, coverage, passage):
                 n[i] += 1
                 if cover > share[i] or cover == share[i] and item[i] is not None and found < item[i]:
                     item[i], share[i] = found, cover
