@@ -151,6 +151,15 @@ def test_language_id(spark, documents, odd, none):
     assert min((a != b).sum() for i, a in enumerate(codes) for b in codes[:i]) > 8
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    rng, head = random.Random(23), prose(random.Random(1), 700)
+    bags = {"xx": "borkon dulvar mistel fragno pelurk".split(), "yy": "swaithe quoyhum chewzy ithewa jaxowy".split()}
+    rows = [(i, f"{head} {' '.join(rng.choices(bags[k], k=600))}", k) for i in range(60) for k in (("xx", "yy")[i % 2],)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(bags[k], k=30)), k) for i in range(20) for k in (("xx", "yy")[i % 2],)], "doc_id long, text string, lang string")
+    assert len(head) > 3000 and all(r["lang_pred"] == r["lang"] for r in collected(language_id.identify(asked, model)))
+
+
 # 5 and near copies
 
 

@@ -93,19 +93,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 600, chars: int = 3000, ridge: float = 0.3) -> Model | None:
-    """Learns from a bounded sample: about ``per_lang`` rows of each label, chosen by a hash of their ids, and the first
-    ``chars`` code points of each (parameters of the fit alone; predictions read whole texts). Rows without label, text
-    or letters teach nothing; None if no row is left."""
+def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | None:
+    """Learns from a bounded sample: about ``per_lang`` rows of each label, chosen by a hash of their ids. Features are
+    those of whole texts, made in the tasks; the driver gets vectors alone. Rows without label, text or letters teach
+    nothing; None if no row is left."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 1.5 * per_lang / n)) for k, n in sorted(sizes.items())])
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    seen = rows.select("lang", F.left("text", F.lit(chars)).alias("text"), place.alias("place")).where(F.col("place") < share * (1 << 20)).toPandas()
-    seen = seen.sort_values(["place", "text"]).groupby("lang").head(per_lang)
-    pairs = [(k, x) for k, t in zip(seen.lang, seen.text) if (x := features(t)) is not None]
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [features(text.as_py()) for text in batch.column(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b"" if x is None else x.astype(np.float32).tobytes() for x in made], pa.binary())], names=["lang", "place", "x"])
+
+    chosen = rows.select("lang", place.alias("place"), "text").where(F.col("place") < share * (1 << 20))
+    seen = arrow_map(chosen, of, "lang string, place long, x binary").toPandas()
+    seen = seen.sort_values(["place", "x"]).groupby("lang").head(per_lang)
+    pairs = [(k, np.frombuffer(x, np.float32)) for k, x in zip(seen.lang, seen.x) if x]
     if not pairs:
         return None
     langs = sorted({k for k, _ in pairs})
