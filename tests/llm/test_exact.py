@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import tracemalloc
 import warnings
 
 import duckdb
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tonalspark.llm import decontamination, fingerprints, graph, jaccard_join, language_id, line_dedup, mixing, queries, sharding, token_counts, url_filter, warc
@@ -429,6 +431,20 @@ def test_token_counts(spark, documents, odd, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_memory_of_long_words():
+    words = token_counts.counter(queries.vocabulary("word_bpe_49k.json")).words
+    library = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(31)
+    for word in ("".join(rng.choices("etaoinshrdlu", k=60_000)), "ab" * 30_000):
+        words.count(word)  # what is remembered for all words is made
+        tracemalloc.start()
+        n = words.count(word)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(library.encode(word, add_special_tokens=False).ids)
+        assert peak < 1 << 20
+
+
 # the whole
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,7 +102,7 @@ class WordTransducer:
             return 0
         if self.states > MAX_STATES:
             self.clear()
-        state, depth = self.start, 0
+        state, depth, held = self.start, 0, deque()
         for symbol in word[:-1]:
             new = state.next.get(symbol) if state.next else None
             if new is None:
@@ -111,6 +112,10 @@ class WordTransducer:
                     state.next[symbol] = new
                     self.states += 1
             state, depth = new, depth + 1
+            if depth > self.KEPT_DEPTH:  # of a word's own states, those that the longest token can't reach back to go
+                held.append(state)
+                if len(held) > self.longest:
+                    held.popleft().back = None
         return self.step(state, word[-1] + self.end).count
 
 
