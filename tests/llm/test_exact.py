@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import os
 import random
+import threading
 import tracemalloc
 import warnings
 
@@ -387,6 +389,74 @@ def test_shards(spark, odd, none, tmp_path):
     assert sharding.sharded(none, f"file://{tmp_path}/n").count() == 0
 
 
+def test_tiers_are_merged_into_target_sized_files(spark, tmp_path):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, f"{rng.getrandbits(4000):x}") for i in range(4000)], "doc_id long, text string").repartition(8)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(docs, max_rows=25)
+    shards = collected(store.manifest())
+    target = 30 * max(s["bytes"] for s in shards)
+    assert len(shards) >= 160 and [(r["tier"], r["shards"]) for r in collected(store.tiers(target))] == [(2, len(shards))]
+    assert store.compact(target) == 2  # one merge: what is merged already isn't merged again
+    merged = collected(store.manifest())
+    assert {r["file"].split("/data/")[1].split("/")[0] for r in merged} == {r["run"] for r in merged}
+    assert sum(r["rows"] for r in merged) == 4000 and sum(r["bytes"] < target / 4 for r in merged) <= 1 and max(r["bytes"] for r in merged) <= 1.1 * target
+    assert len(merged) <= 2 * sum(s["bytes"] for s in shards) / target + 1
+    # a small arrival alone is left; with as many shards as the fan-out asks for it is merged
+    store.append(docs.limit(3).coalesce(1))
+    assert store.compact(target) == 3
+    for _ in range(3):
+        store.append(docs.limit(3).coalesce(1))
+    store.compact(target)
+    assert sum(r["rows"] for r in collected(store.manifest())) == 4012 == store.read().count()
+    # a run without a manifest, as another writer's, outlives a vacuum until it is old
+    docs.limit(1).write.parquet(f"{store.root}/data/stray")
+    store.vacuum()
+    assert "stray" in os.listdir(f"{tmp_path}/s/data") and set(store.runs()) | {"stray"} == set(os.listdir(f"{tmp_path}/s/data"))
+    store.vacuum(orphan_seconds=-1)
+    assert set(store.runs()) == set(os.listdir(f"{tmp_path}/s/data"))
+
+
+def test_one_of_racing_writers_commits(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(3).coalesce(1))
+    won, start = [], threading.Barrier(6)
+
+    def claim(i):
+        start.wait()
+        if store._claim(2, f"{i:032x}"):
+            won.append(i)
+
+    threads = [threading.Thread(target=claim, args=(i,)) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and spark.read.text(f"{store.root}/versions/v000000002").first()[0] == f"{won[0]:032x}"
+    # an append that finds a version taken goes behind it
+    other = sharding.ShardStore(spark, f"file://{tmp_path}/t")
+    first = [True]
+    version = other.version
+
+    def late():
+        seen = version()
+        if first.pop() if first else False:
+            sharding.ShardStore(spark, other.root).append(spark.range(5).coalesce(1))
+        return seen
+
+    other.version = late
+    assert other.append(spark.range(2).coalesce(1)) == 2 and other.read(2).count() == 7
+
+
+def test_names_that_clash_with_those_of_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "b", "c", "d", "e", "f", "g", "h")], "doc_id long, file string, bin string, _bin string, _file string, run string, bytes string, _metadata string, Shard string")
+    for columns in (docs.columns, [c.upper() for c in docs.columns]):
+        table = docs.toDF(*columns).repartition(2)
+        got = sharding.sharded(table.union(table).union(table).union(table).union(table).repartition(8), f"file://{tmp_path}/{columns[0]}", max_rows=1)
+        assert got.columns == [*columns[:-1], "shard"]
+        assert {tuple(r)[:-1] for r in got.collect()} == {(1, "a", "b", "c", "d", "e", "f", "g")} and got.count() == 5
+
+
 # 9
 
 

@@ -1,140 +1,209 @@
 """Shards of a growing corpus with size-tiered compaction and versioned manifests.
 
-Arrivals are appended as small immutable Parquet shards. Compaction takes the tiers of similarly sized shards that have
-enough members, merges those into files of the target size, and commits a new manifest. A manifest is a folder that is
-renamed into its place: a version is there whole or not at all, and of two writers one fails. Readers see the shards of
-one version. Everything is done by DataFrame operations; the driver moves folders and handles one row for each tier.
+Arrivals are appended as runs of small immutable Parquet shards. Runs whose shards are about equally large form a tier; a
+tier with enough shards is merged into one run of target-sized files. Spark's file scan packs whole shards into read
+partitions of the target size, and each such partition becomes one file: texts are never shuffled, and no task reads more
+than the target. A version is committed by creating its pointer file, which only one of two writers can; readers see the
+runs of one version. The driver handles one row for each run, never one for each shard.
 """
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class ShardStore:
-    """A store below ``root``: ``data/<run>/`` has shards, ``manifest/v<number>`` the manifests."""
+    """A store below ``root``: ``data/<run>/`` has shards, ``tables/<id>/`` manifests, ``versions/v<number>`` the id of the
+    manifest of that version. The file system has to create links (local) or rename without overwriting atomically."""
 
-    SCHEMA = "file string, bytes long, rows long"
+    SCHEMA = "run string, file string, bytes long, rows long"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list:
+        top = self.path(f"{self.root}/{folder}")
+        return list(self.fs.listStatus(top)) if self.fs.exists(top) else []
+
+    def versions(self) -> list[int]:
+        """The committed versions, ascending."""
+        return sorted(int(n[1:]) for x in self._names("versions") if (n := x.getPath().getName()).startswith("v"))
+
     def version(self) -> int:
         """The last committed version; 0 before the first commit."""
-        top = self.path(f"{self.root}/manifest")
-        if not self.fs.exists(top):
-            return 0
-        return max([0, *(int(x.getPath().getName()[1:]) for x in self.fs.listStatus(top) if x.getPath().getName().startswith("v"))])
+        return max(self.versions(), default=0)
+
+    def _table(self, version: int) -> str:
+        return f"{self.root}/tables/{self.spark.read.text(f'{self.root}/versions/v{version:09d}').first()['value']}"
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(file, bytes, rows) of the shards of a version."""
+        """(run, file, bytes, rows) of the shards of a version; an error if the version has been vacuumed."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/manifest/v{version:09d}")
+        return self.spark.read.schema(self.SCHEMA).parquet(self._table(version))
+
+    def runs(self, version: int | None = None) -> list[str]:
+        return sorted(r["run"] for r in self.manifest(version).select("run").distinct().collect())
 
     def commit(self, shards: DataFrame, after: int) -> int:
         """Makes ``shards`` the version that follows ``after``; an error if another writer was first."""
-        new = f"{self.root}/manifest/.new-{uuid.uuid4().hex}"
-        shards.select("file", "bytes", "rows").write.parquet(new)
-        place = self.path(f"{self.root}/manifest/v{after + 1:09d}")
-        if self.fs.exists(place) or not self.fs.rename(self.path(new), place):
-            self.fs.delete(self.path(new), True)
+        name = uuid.uuid4().hex
+        shards.select("run", "file", "bytes", "rows").write.parquet(f"{self.root}/tables/{name}")
+        if not self._claim(after + 1, name):
+            self._delete(f"tables/{name}")
             raise RuntimeError(f"version {after + 1} is there already")
         return after + 1
 
-    def _run(self) -> str:
-        return f"{self.root}/data/{uuid.uuid4().hex}"
+    def _claim(self, version: int, name: str) -> bool:
+        """Creates the pointer of a version with its content in one step, or finds that it is there."""
+        new, place = (self.path(f"{self.root}/versions/{x}") for x in (f".{name}", f"v{version:09d}"))
+        out = self.fs.create(new, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":  # renaming a local file would overwrite
+                os.link(new.toUri().getPath(), place.toUri().getPath())
+            else:
+                fs = self.spark._jvm.org.apache.hadoop.fs
+                once = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+                once[0] = fs.Options.Rename.NONE
+                fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, place, once)
+        except FileExistsError:
+            return False
+        except Py4JJavaError:
+            if self.fs.exists(place):
+                return False
+            raise
+        finally:
+            self.fs.delete(new, False)
+        return True
+
+    def _delete(self, folder: str) -> None:
+        self.fs.delete(self.path(f"{self.root}/{folder}"), True)
+
+    def _data(self, *runs: str) -> list[str]:
+        return [f"{self.root}/data/{run}" for run in runs]
 
     def _shards_of(self, run: str) -> DataFrame:
-        read = self.spark.read.option("recursiveFileLookup", "true").parquet(run)
-        return read.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        read = self.spark.read.parquet(*self._data(run))
+        meta = read.metadataColumn("_metadata")
+        shards = read.groupBy(meta["file_path"].alias("file")).agg(F.max(meta["file_size"]).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        return shards.select(F.lit(run).alias("run"), "file", "bytes", "rows")
 
-    def append(self, df: DataFrame, max_rows: int = 2000) -> int:
-        """Writes arrivals as shards of at most ``max_rows`` rows, each task its own, and commits them. No shuffle.
+    def append(self, df: DataFrame, max_rows: int = 2000, tries: int = 8) -> int:
+        """Writes arrivals as a run of shards of at most ``max_rows`` rows, each task its own, and commits it. No shuffle.
 
-        Rows are stored as they are: nulls, empty texts, repeats and any columns. An empty table commits no shards.
+        Rows are stored as they are: nulls, empty texts, repeats and any columns, whatever their names. An empty table
+        commits no shards. Where another writer commits first, the commit is tried again behind it.
         """
-        run, before = self._run(), self.version()
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(run)
-        return self.commit(self.manifest(before).unionByName(self._shards_of(run)), before)
+        run = uuid.uuid4().hex
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(*self._data(run))
+        for left in reversed(range(tries)):
+            before = self.version()
+            try:
+                return self.commit(self.manifest(before).unionByName(self._shards_of(run)), before)
+            except RuntimeError:
+                if not left:
+                    raise
+        raise ValueError("tries must be positive")
+
+    def tiers(self, target_bytes: int, fanout: int = 4) -> DataFrame:
+        """(tier, runs, shards, bytes) of the last version's runs, by the mean size of a run's shards: tier t holds those
+        of target / fanout**(t+1) to target / fanout**t bytes; larger ones are settled and have tier 0."""
+        sizes = self.manifest().groupBy("run").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("bytes"))
+        steps = F.floor(F.log(float(fanout), target_bytes * F.col("shards") / F.greatest("bytes", F.lit(1)))).cast("int")
+        return sizes.groupBy(F.greatest(F.lit(0), steps).alias("tier")).agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sum("shards").alias("shards"), F.sum("bytes").alias("bytes"))
 
-    def plan(self, target_bytes: int, fanout: int = 4) -> DataFrame:
-        """(file, tier, bin) of the shards that the next compaction merges.
+    def compact(self, target_bytes: int = 64 << 20, fanout: int = 4) -> int:
+        """Merges tiers of ``fanout`` shards or more, smallest shards first, until none is left; returns the last version.
 
-        Tier t holds shards of target / fanout**(t+1) to target / fanout**t bytes; those of the target size or more stay.
-        A tier with ``fanout`` shards or more is merged: its shards, in order of size, fill bins of the target size.
+        Each merge is a version of its own. Runs that neither the last version nor the one before it has are deleted
+        right after the commit, so what is merged exists twice at most. An error if another writer commits in between;
+        what was merged is then deleted, and nothing has changed.
         """
-        small = self.manifest().where(F.col("bytes") < target_bytes)
-        tiers = small.withColumn("tier", F.floor(F.log(float(fanout), target_bytes / F.greatest(F.col("bytes"), F.lit(1)))).cast("int"))
-        # bins by running sums within tier and first letters of the (random) file name: no window over a whole large tier
-        full = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("tier_bytes")).where(F.col("members") >= fanout)
-        placed = tiers.join(F.broadcast(full), "tier")
-        groups = F.greatest(F.lit(1), F.floor(F.col("tier_bytes") / F.lit(256.0 * target_bytes)))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("file"), groups))
-        running = F.sum("bytes").over(_window())
-        return placed.withColumn("bin", F.floor((running - F.col("bytes")) / target_bytes)).select("file", "bytes", "rows", "tier", F.concat_ws("-", "tier", "part", "bin").alias("bin"))
-
-    def compact(self, target_bytes: int = 64 << 20, fanout: int = 4) -> int:
-        """Merges until no tier is full; returns the last version. Merged shards of old versions stay until ``vacuum``."""
-        for _ in range(64):
-            before = self.version()
-            plan = self.plan(target_bytes, fanout)
-            todo = plan.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            plan = plan.join(todo.select("bin"), "bin")
-            n = todo.count()
-            if not n:
-                return before
-            plan = self._kept(plan)
-            run = self._run()
-            self._read([r["file"] for r in plan.select("file").collect()]).join(plan.select("file", "bin"), F.col("_file") == F.col("file")).drop("file", "_file").withColumnRenamed("bin", "_bin").repartition(n, "_bin").write.option("compression", "zstd").partitionBy("_bin").parquet(run)
-            rest = self.manifest(before).join(plan.select("file"), "file", "left_anti")
-            self.commit(rest.unionByName(self._shards_of(run)), before)
+        while full := self.tiers(target_bytes, fanout).where((F.col("tier") > 0) & (F.col("shards") >= fanout)).orderBy(F.desc("tier")).first():
+            before, run, rest = self.version(), uuid.uuid4().hex, uuid.uuid4().hex
+            packed = self._packed(full["runs"], target_bytes)
+            packed.write.option("compression", "zstd").parquet(*self._data(run))
+            shards = self._apart(run, rest, target_bytes // fanout)
+            try:
+                self.commit(self.manifest(before).where(~F.col("run").isin(full["runs"])).unionByName(shards), before)
+            except RuntimeError:
+                self._delete(f"data/{run}")
+                self._delete(f"data/{rest}")
+                raise
+            self.vacuum(keep=2)
         return self.version()
 
-    def _kept(self, plan: DataFrame) -> DataFrame:
-        """The plan as a written table: what is read and what the manifest drops have to be the same."""
-        path = f"{self.root}/plans/{uuid.uuid4().hex}"
-        plan.write.parquet(path)
-        return self.spark.read.parquet(path)
-
-    def _read(self, files: list[str]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(*files).withColumn("_file", F.col("_metadata.file_path"))
+    def _packed(self, runs: list[str], target_bytes: int) -> DataFrame:
+        """The rows of runs in partitions of whole shards, as many as the target holds (Spark's next-fit by falling size)."""
+        packing = self.spark.newSession()
+        for key, value in (("maxPartitionBytes", target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            packing.conf.set(f"spark.sql.files.{key}", str(value))
+        return packing.read.option("mergeSchema", str(len(runs) > 1).lower()).parquet(*self._data(*runs))
+
+    def _apart(self, run: str, rest: str, least: int) -> DataFrame:
+        """The shards of a merged run; those under ``least`` bytes (what was left when the others were full) become a run of
+        their own, so that a run's shards stay alike."""
+        shards = self._shards_of(run)
+        small = [r["file"] for r in shards.where(F.col("bytes") < least).select("file").collect()]
+        if not small or len(small) == len(self._names(f"data/{run}")) - 1:
+            return shards
+        self.fs.mkdirs(self.path(*self._data(rest)))
+        for file in small:
+            name = self.path(file).getName()
+            if not self.fs.rename(self.path(f"{self.root}/data/{run}/{name}"), self.path(f"{self.root}/data/{rest}/{name}")):
+                raise RuntimeError(f"{file} can't be moved")
+        return self._shards_of(run).unionByName(self._shards_of(rest))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with the file of each, as shard."""
-        files = [r["file"] for r in self.manifest(version).collect()]
-        return self._read(files).withColumnRenamed("_file", "shard")
-
-    def vacuum(self) -> None:
-        """Deletes the runs of which the last version has no shard."""
-        live = {r[0] for r in self.manifest().select(F.regexp_extract("file", "/data/([0-9a-f]{32})/", 1)).distinct().collect()}
-        top = self.path(f"{self.root}/data")
-        if self.fs.exists(top):
-            for x in self.fs.listStatus(top):
-                if x.getPath().getName() not in live:
-                    self.fs.delete(x.getPath(), True)
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("tier", "part").orderBy(F.col("bytes").desc(), "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        """The rows of a version with the file of each, as shard (which replaces a column of this name)."""
+        runs = self.runs(version)
+        if not runs:
+            raise ValueError("no shards")
+        rows = self.spark.read.option("mergeSchema", str(len(runs) > 1).lower()).parquet(*self._data(*runs))
+        return rows.withColumn("shard", rows.metadataColumn("_metadata")["file_path"])
+
+    def vacuum(self, keep: int = 1, orphan_seconds: float = 7 * 86400) -> None:
+        """Deletes the manifests of all but the last ``keep`` versions and the runs that only those have.
+
+        A run that no manifest has may be another writer's, who will commit it: such ones go ``orphan_seconds`` after their
+        last change. Pointers of versions stay, so that none is given out again.
+        """
+        tables = {x.getPath().getName() for x in self._names("tables")}
+        known = {v: t for v in self.versions() if (t := self._table(v)).rsplit("/", 1)[1] in tables}
+        old = sorted(known)[:-keep] if keep else sorted(known)
+        live = {run for v in known if v not in old for run in self.runs(v)}
+        dead = {run for v in old for run in self.runs(v)} - live
+        late = (time.time() - orphan_seconds) * 1000
+        for x in self._names("data"):
+            name = x.getPath().getName()
+            if name in dead or name not in live and x.getModificationTime() < late:
+                self.fs.delete(x.getPath(), True)
+        for v in old:
+            self.fs.delete(self.path(known[v]), True)
 
 
 def sharded(docs: DataFrame, root: str, max_rows: int = 2000, target_bytes: int = 64 << 20, fanout: int = 4) -> DataFrame:
-    """Appends ``docs`` to the store below ``root``, compacts and vacuums it, and returns its rows with their shard (the
-    column is replaced, if the input has one). An empty table comes back empty."""
+    """Appends ``docs`` to the store below ``root``, compacts and vacuums it, and returns its rows with their shard.
+
+    Rows and columns are those of ``docs``, nulls, empty texts and repeated rows included; a column shard is replaced,
+    no other name clashes. An empty table comes back empty. If the store has rows already, they come back as well.
+    """
     store = ShardStore(docs.sparkSession, root)
     docs = docs.drop("shard")
     store.append(docs, max_rows)
     store.compact(target_bytes, fanout)
     store.vacuum()
-    if store.manifest().isEmpty():
+    if not store.runs():
         return docs.where("false").withColumn("shard", F.lit(None).cast("string"))
     return store.read()
