@@ -379,13 +379,13 @@ def test_shards(spark, odd, none, tmp_path):
         store.append(odd.repartition(4), max_rows=2)
     many = store.manifest().count()
     with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), store.version() - 1)
+        store.commit(store.runs(), store.version() - 1)
     store.compact(target_bytes=1 << 20)
     assert store.manifest().count() < many and store.read(3).count() == store.read().count() == 3 * odd.count()
     store.vacuum()
     rest = [c for c in odd.columns if c != "shard"]
     assert sorted(map(repr, store.read().select(*rest).collect())) == sorted(map(repr, odd.select(*rest).unionByName(odd.select(*rest)).unionByName(odd.select(*rest)).collect()))
-    assert store.manifest().agg(F.sum("rows")).first()[0] == 3 * odd.count()
+    assert sum(r.rows for r in store.runs()) == 3 * odd.count() and sum(r.shards for r in store.runs()) == store.manifest().count()
     assert sharding.sharded(none, f"file://{tmp_path}/n").count() == 0
 
 
@@ -396,11 +396,11 @@ def test_tiers_are_merged_into_target_sized_files(spark, tmp_path):
     store.append(docs, max_rows=25)
     shards = collected(store.manifest())
     target = 30 * max(s["bytes"] for s in shards)
-    assert len(shards) >= 160 and [(r["tier"], r["shards"]) for r in collected(store.tiers(target))] == [(2, len(shards))]
+    assert len(shards) >= 160 and [(r.tier(target, 4), r.shards) for r in store.runs()] == [(2, len(shards))]
     assert store.compact(target) == 2  # one merge: what is merged already isn't merged again
     merged = collected(store.manifest())
     assert {r["file"].split("/data/")[1].split("/")[0] for r in merged} == {r["run"] for r in merged}
-    assert sum(r["rows"] for r in merged) == 4000 and sum(r["bytes"] < target / 4 for r in merged) <= 1 and max(r["bytes"] for r in merged) <= 1.1 * target
+    assert sum(r.rows for r in store.runs()) == 4000 and sum(r["bytes"] < target / 4 for r in merged) <= 1 and max(r["bytes"] for r in merged) <= 1.1 * target
     assert len(merged) <= 2 * sum(s["bytes"] for s in shards) / target + 1
     # a small arrival alone is left; with as many shards as the fan-out asks for it is merged
     store.append(docs.limit(3).coalesce(1))
@@ -408,13 +408,13 @@ def test_tiers_are_merged_into_target_sized_files(spark, tmp_path):
     for _ in range(3):
         store.append(docs.limit(3).coalesce(1))
     store.compact(target)
-    assert sum(r["rows"] for r in collected(store.manifest())) == 4012 == store.read().count()
+    assert sum(r.rows for r in store.runs()) == 4012 == store.read().count()
     # a run without a manifest, as another writer's, outlives a vacuum until it is old
     docs.limit(1).write.parquet(f"{store.root}/data/stray")
     store.vacuum()
-    assert "stray" in os.listdir(f"{tmp_path}/s/data") and set(store.runs()) | {"stray"} == set(os.listdir(f"{tmp_path}/s/data"))
+    assert "stray" in os.listdir(f"{tmp_path}/s/data") and {r.name for r in store.runs()} | {"stray"} == set(os.listdir(f"{tmp_path}/s/data"))
     store.vacuum(orphan_seconds=-1)
-    assert set(store.runs()) == set(os.listdir(f"{tmp_path}/s/data"))
+    assert {r.name for r in store.runs()} == set(os.listdir(f"{tmp_path}/s/data"))
 
 
 def test_one_of_racing_writers_commits(spark, tmp_path):
@@ -446,6 +446,11 @@ def test_one_of_racing_writers_commits(spark, tmp_path):
 
     other.version = late
     assert other.append(spark.range(2).coalesce(1)) == 2 and other.read(2).count() == 7
+    # a merge keeps what was appended meanwhile, and fails if its runs are gone
+    old = other.runs(1)
+    assert other._replace(old, old) == 3 and len(other.runs()) == 2
+    with pytest.raises(RuntimeError):
+        other._replace([sharding.Run("gone", 1, 1, 1)], [])
 
 
 def test_names_that_clash_with_those_of_shards(spark, tmp_path):

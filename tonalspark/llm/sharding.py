@@ -2,27 +2,43 @@
 
 Arrivals are appended as runs of small immutable Parquet shards. Runs whose shards are about equally large form a tier; a
 tier with enough shards is merged into one run of target-sized files. Spark's file scan packs whole shards into read
-partitions of the target size, and each such partition becomes one file: texts are never shuffled, and no task reads more
-than the target. A version is committed by creating its pointer file, which only one of two writers can; readers see the
-runs of one version. The driver handles one row for each run, never one for each shard.
+partitions of the target size, and each such partition becomes one file: nothing is shuffled, and no task reads more than
+the target. A version is a manifest file, one line for each run, which only one of two writers can create; readers see the
+runs of one version. The driver handles one line for each run, never one for each shard.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import time
 import uuid
+from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class ShardStore:
-    """A store below ``root``: ``data/<run>/`` has shards, ``tables/<id>/`` manifests, ``versions/v<number>`` the id of the
-    manifest of that version. The file system has to create links (local) or rename without overwriting atomically."""
+@dataclass(frozen=True)
+class Run:
+    """Shards that were written together: the folder's name, how many they are, their bytes and their rows."""
+
+    name: str
+    shards: int
+    bytes: int
+    rows: int
 
-    SCHEMA = "run string, file string, bytes long, rows long"
+    def tier(self, target_bytes: int, fanout: int) -> int:
+        """Tier t holds runs whose shards have target / fanout**(t+1) to target / fanout**t bytes on average; runs of larger
+        ones are settled and have tier 0."""
+        return max(0, math.floor(math.log(target_bytes * self.shards / max(self.bytes, 1), fanout)))
+
+
+class ShardStore:
+    """A store below ``root``: ``data/<run>/`` has shards, ``versions/v<number>`` the manifest of that version. The file
+    system has to create links (local) or rename without overwriting atomically."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -41,33 +57,37 @@ class ShardStore:
         """The last committed version; 0 before the first commit."""
         return max(self.versions(), default=0)
 
-    def _table(self, version: int) -> str:
-        return f"{self.root}/tables/{self.spark.read.text(f'{self.root}/versions/v{version:09d}').first()['value']}"
-
-    def manifest(self, version: int | None = None) -> DataFrame:
-        """(run, file, bytes, rows) of the shards of a version; an error if the version has been vacuumed."""
+    def runs(self, version: int | None = None) -> list[Run]:
+        """The runs of a version."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self._table(version))
+            return []
+        source = self.fs.open(self.path(f"{self.root}/versions/v{version:09d}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+        return [Run(**json.loads(line)) for line in text.splitlines()]
 
-    def runs(self, version: int | None = None) -> list[str]:
-        return sorted(r["run"] for r in self.manifest(version).select("run").distinct().collect())
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """(run, file, bytes) of the shards of a version."""
+        runs = self.runs(version)
+        if not runs:
+            return self.spark.createDataFrame([], "run string, file string, bytes long")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._data(*runs))
+        return files.select(F.element_at(F.split("path", "/"), -2).alias("run"), F.col("path").alias("file"), F.col("length").alias("bytes"))
 
-    def commit(self, shards: DataFrame, after: int) -> int:
-        """Makes ``shards`` the version that follows ``after``; an error if another writer was first."""
-        name = uuid.uuid4().hex
-        shards.select("run", "file", "bytes", "rows").write.parquet(f"{self.root}/tables/{name}")
-        if not self._claim(after + 1, name):
-            self._delete(f"tables/{name}")
+    def commit(self, runs: list[Run], after: int) -> int:
+        """Makes ``runs`` the version that follows ``after``; an error if another writer was first."""
+        if not self._claim(after + 1, "".join(json.dumps(asdict(r)) + "\n" for r in runs)):
             raise RuntimeError(f"version {after + 1} is there already")
         return after + 1
 
-    def _claim(self, version: int, name: str) -> bool:
-        """Creates the pointer of a version with its content in one step, or finds that it is there."""
-        new, place = (self.path(f"{self.root}/versions/{x}") for x in (f".{name}", f"v{version:09d}"))
+    def _claim(self, version: int, text: str) -> bool:
+        """Creates the manifest of a version with its content in one step, or finds that it is there."""
+        new, place = (self.path(f"{self.root}/versions/{x}") for x in (f".{uuid.uuid4().hex}", f"v{version:09d}"))
         out = self.fs.create(new, False)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         try:
             if self.fs.getUri().getScheme() == "file":  # renaming a local file would overwrite
@@ -87,83 +107,100 @@ class ShardStore:
             self.fs.delete(new, False)
         return True
 
-    def _delete(self, folder: str) -> None:
-        self.fs.delete(self.path(f"{self.root}/{folder}"), True)
+    def _delete(self, *names: str) -> None:
+        for folder in self._data(*names):
+            self.fs.delete(self.path(folder), True)
 
-    def _data(self, *runs: str) -> list[str]:
-        return [f"{self.root}/data/{run}" for run in runs]
+    def _data(self, *runs: Run | str) -> list[str]:
+        return [f"{self.root}/data/{r.name if isinstance(r, Run) else r}" for r in runs]
 
-    def _shards_of(self, run: str) -> DataFrame:
-        read = self.spark.read.parquet(*self._data(run))
-        meta = read.metadataColumn("_metadata")
-        shards = read.groupBy(meta["file_path"].alias("file")).agg(F.max(meta["file_size"]).alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        return shards.select(F.lit(run).alias("run"), "file", "bytes", "rows")
+    def _written(self, name: str) -> Run:
+        """What a written folder holds; rows are counted from the files' footers."""
+        size = self.fs.getContentSummary(self.path(*self._data(name)))
+        rows = self.spark.read.parquet(*self._data(name)).count()
+        return Run(name, size.getFileCount() - self.fs.exists(self.path(f"{self._data(name)[0]}/_SUCCESS")), size.getLength(), rows)
 
     def append(self, df: DataFrame, max_rows: int = 2000, tries: int = 8) -> int:
         """Writes arrivals as a run of shards of at most ``max_rows`` rows, each task its own, and commits it. No shuffle.
 
         Rows are stored as they are: nulls, empty texts, repeats and any columns, whatever their names. An empty table
-        commits no shards. Where another writer commits first, the commit is tried again behind it.
+        adds no run. Where another writer commits first, the commit is tried again behind it.
         """
-        run = uuid.uuid4().hex
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(*self._data(run))
+        name = uuid.uuid4().hex
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(*self._data(name))
+        new = [run] if (run := self._written(name)).rows else []
         for left in reversed(range(tries)):
             before = self.version()
             try:
-                return self.commit(self.manifest(before).unionByName(self._shards_of(run)), before)
+                return self.commit(self.runs(before) + new, before)
             except RuntimeError:
                 if not left:
                     raise
         raise ValueError("tries must be positive")
 
-    def tiers(self, target_bytes: int, fanout: int = 4) -> DataFrame:
-        """(tier, runs, shards, bytes) of the last version's runs, by the mean size of a run's shards: tier t holds those
-        of target / fanout**(t+1) to target / fanout**t bytes; larger ones are settled and have tier 0."""
-        sizes = self.manifest().groupBy("run").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("bytes"))
-        steps = F.floor(F.log(float(fanout), target_bytes * F.col("shards") / F.greatest("bytes", F.lit(1)))).cast("int")
-        return sizes.groupBy(F.greatest(F.lit(0), steps).alias("tier")).agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sum("shards").alias("shards"), F.sum("bytes").alias("bytes"))
-
     def compact(self, target_bytes: int = 64 << 20, fanout: int = 4) -> int:
         """Merges tiers of ``fanout`` shards or more, smallest shards first, until none is left; returns the last version.
 
         Each merge is a version of its own. Runs that neither the last version nor the one before it has are deleted
-        right after the commit, so what is merged exists twice at most. An error if another writer commits in between;
-        what was merged is then deleted, and nothing has changed.
+        right after the commit, so what is merged exists twice at most. What others append in between stays. An error if
+        others have merged the same runs, or if rows were lost; the merged copy is then deleted, and nothing has changed.
         """
-        while full := self.tiers(target_bytes, fanout).where((F.col("tier") > 0) & (F.col("shards") >= fanout)).orderBy(F.desc("tier")).first():
-            before, run, rest = self.version(), uuid.uuid4().hex, uuid.uuid4().hex
-            packed = self._packed(full["runs"], target_bytes)
-            packed.write.option("compression", "zstd").parquet(*self._data(run))
-            shards = self._apart(run, rest, target_bytes // fanout)
+        while True:
+            before = self.version()
+            runs = self.runs(before)
+            tiers: dict[int, list[Run]] = {}
+            for run in runs:
+                tiers.setdefault(run.tier(target_bytes, fanout), []).append(run)
+            full = [t for t, members in tiers.items() if t and sum(r.shards for r in members) >= fanout]
+            if not full:
+                return before
+            merged, name, rest = tiers[max(full)], uuid.uuid4().hex, uuid.uuid4().hex
             try:
-                self.commit(self.manifest(before).where(~F.col("run").isin(full["runs"])).unionByName(shards), before)
-            except RuntimeError:
-                self._delete(f"data/{run}")
-                self._delete(f"data/{rest}")
+                self._packed(merged, target_bytes).write.option("compression", "zstd").parquet(*self._data(name))
+                new = self._apart(name, rest, target_bytes // fanout)
+                if sum(r.rows for r in new) != sum(r.rows for r in merged):
+                    raise RuntimeError(f"{sum(r.rows for r in merged)} rows became {sum(r.rows for r in new)}")
+                self._replace(merged, new)
+            except Exception:
+                self._delete(name, rest)
                 raise
             self.vacuum(keep=2)
-        return self.version()
 
-    def _packed(self, runs: list[str], target_bytes: int) -> DataFrame:
+    def _replace(self, old: list[Run], new: list[Run], tries: int = 8) -> int:
+        """Commits ``new`` in place of ``old``, behind whatever others have committed meanwhile."""
+        for left in reversed(range(tries)):
+            before = self.version()
+            runs = self.runs(before)
+            if not set(old) <= set(runs):
+                raise RuntimeError("others have merged these runs")
+            try:
+                return self.commit([r for r in runs if r not in old] + new, before)
+            except RuntimeError:
+                if not left:
+                    raise
+        raise ValueError("tries must be positive")
+
+    def _packed(self, runs: list[Run], target_bytes: int) -> DataFrame:
         """The rows of runs in partitions of whole shards, as many as the target holds (Spark's next-fit by falling size)."""
         packing = self.spark.newSession()
         for key, value in (("maxPartitionBytes", target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
             packing.conf.set(f"spark.sql.files.{key}", str(value))
         return packing.read.option("mergeSchema", str(len(runs) > 1).lower()).parquet(*self._data(*runs))
 
-    def _apart(self, run: str, rest: str, least: int) -> DataFrame:
-        """The shards of a merged run; those under ``least`` bytes (what was left when the others were full) become a run of
+    def _apart(self, name: str, rest: str, least: int) -> list[Run]:
+        """The merged run; those of its shards under ``least`` bytes (what was left when the others were full) become a run of
         their own, so that a run's shards stay alike."""
-        shards = self._shards_of(run)
-        small = [r["file"] for r in shards.where(F.col("bytes") < least).select("file").collect()]
-        if not small or len(small) == len(self._names(f"data/{run}")) - 1:
-            return shards
+        run = self._written(name)
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._data(name))
+        small = [r["path"] for r in files.where(F.col("length") < least).select("path").collect()]
+        if not small or len(small) == run.shards:
+            return [run]
         self.fs.mkdirs(self.path(*self._data(rest)))
-        for file in small:
-            name = self.path(file).getName()
-            if not self.fs.rename(self.path(f"{self.root}/data/{run}/{name}"), self.path(f"{self.root}/data/{rest}/{name}")):
-                raise RuntimeError(f"{file} can't be moved")
-        return self._shards_of(run).unionByName(self._shards_of(rest))
+        for path in small:
+            file = self.path(path).getName()
+            if not self.fs.rename(self.path(f"{self._data(name)[0]}/{file}"), self.path(f"{self._data(rest)[0]}/{file}")):
+                raise RuntimeError(f"{path} can't be moved")
+        return [self._written(name), self._written(rest)]
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with the file of each, as shard (which replaces a column of this name)."""
@@ -174,23 +211,19 @@ class ShardStore:
         return rows.withColumn("shard", rows.metadataColumn("_metadata")["file_path"])
 
     def vacuum(self, keep: int = 1, orphan_seconds: float = 7 * 86400) -> None:
-        """Deletes the manifests of all but the last ``keep`` versions and the runs that only those have.
+        """Deletes the runs that only versions before the last ``keep`` have; those versions can't be read any more.
 
-        A run that no manifest has may be another writer's, who will commit it: such ones go ``orphan_seconds`` after their
-        last change. Pointers of versions stay, so that none is given out again.
+        A run that no version has may be another writer's, who will commit it: such ones go ``orphan_seconds`` after their
+        last change. Manifests stay, so that no version is given out again.
         """
-        tables = {x.getPath().getName() for x in self._names("tables")}
-        known = {v: t for v in self.versions() if (t := self._table(v)).rsplit("/", 1)[1] in tables}
-        old = sorted(known)[:-keep] if keep else sorted(known)
-        live = {run for v in known if v not in old for run in self.runs(v)}
-        dead = {run for v in old for run in self.runs(v)} - live
+        versions = self.versions()
+        live = {r.name for v in versions[-keep:] for r in self.runs(v)}
+        dead = {r.name for v in versions[:-keep] for r in self.runs(v)} - live
         late = (time.time() - orphan_seconds) * 1000
         for x in self._names("data"):
             name = x.getPath().getName()
             if name in dead or name not in live and x.getModificationTime() < late:
                 self.fs.delete(x.getPath(), True)
-        for v in old:
-            self.fs.delete(self.path(known[v]), True)
 
 
 def sharded(docs: DataFrame, root: str, max_rows: int = 2000, target_bytes: int = 64 << 20, fanout: int = 4) -> DataFrame:
