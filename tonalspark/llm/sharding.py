@@ -1,9 +1,9 @@
 """Shards of a growing corpus with size-tiered compaction and versioned manifests.
 
 Arrivals are appended as runs of small immutable Parquet shards. Runs whose shards are about equally large form a tier; a
-tier with enough shards is merged into one run of target-sized files. Spark's file scan packs whole shards into read
-partitions of the target size, and each such partition becomes one file: nothing is shuffled, and no task reads more than
-the target. A version is a manifest file, one line for each run, which only one of two writers can create; readers see the
+tier with enough shards is merged into one run of target-sized files. Spark's file scan packs shards into small read
+partitions, and as many of those as make up the target are coalesced into a file: nothing is shuffled, and no task reads
+much more than the target. A version is a manifest file, one line for each run, which only one of two writers can create; readers see the
 runs of one version. The driver handles one line for each run, never one for each shard.
 """
 
@@ -145,13 +145,14 @@ class ShardStore:
         right after the commit, so what is merged exists twice at most. What others append in between stays. An error if
         others have merged the same runs, or if rows were lost; the merged copy is then deleted, and nothing has changed.
         """
+        stuck: set[frozenset[Run]] = set()  # what a merge made no fewer of
         while True:
             before = self.version()
             runs = self.runs(before)
             tiers: dict[int, list[Run]] = {}
             for run in runs:
                 tiers.setdefault(run.tier(target_bytes, fanout), []).append(run)
-            full = [t for t, members in tiers.items() if t and sum(r.shards for r in members) >= fanout]
+            full = [t for t, members in tiers.items() if t and sum(r.shards for r in members) >= fanout and frozenset(members) not in stuck]
             if not full:
                 return before
             merged, name, rest = tiers[max(full)], uuid.uuid4().hex, uuid.uuid4().hex
@@ -160,6 +161,10 @@ class ShardStore:
                 new = self._apart(name, rest, target_bytes // fanout)
                 if sum(r.rows for r in new) != sum(r.rows for r in merged):
                     raise RuntimeError(f"{sum(r.rows for r in merged)} rows became {sum(r.rows for r in new)}")
+                if sum(r.shards for r in new) >= sum(r.shards for r in merged):
+                    stuck.add(frozenset(merged))
+                    self._delete(name, rest)
+                    continue
                 self._replace(merged, new)
             except Exception:
                 self._delete(name, rest)
@@ -181,11 +186,12 @@ class ShardStore:
         raise ValueError("tries must be positive")
 
     def _packed(self, runs: list[Run], target_bytes: int) -> DataFrame:
-        """The rows of runs in partitions of whole shards, as many as the target holds (Spark's next-fit by falling size)."""
-        packing = self.spark.newSession()
-        for key, value in (("maxPartitionBytes", target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
-            packing.conf.set(f"spark.sql.files.{key}", str(value))
-        return packing.read.option("mergeSchema", str(len(runs) > 1).lower()).parquet(*self._data(*runs))
+        """The rows of runs in as many partitions as targets fill: each is some eight reads of an eighth of the target (more
+        and smaller ones, where the cluster's settings say so), coalesced without a shuffle."""
+        reading = self.spark.newSession()
+        reading.conf.set("spark.sql.files.maxPartitionBytes", str(max(1, target_bytes // 8)))
+        rows = reading.read.option("mergeSchema", str(len(runs) > 1).lower()).parquet(*self._data(*runs))
+        return rows.coalesce(-(-sum(r.bytes for r in runs) // target_bytes))
 
     def _apart(self, name: str, rest: str, least: int) -> list[Run]:
         """The merged run; those of its shards under ``least`` bytes (what was left when the others were full) become a run of
