@@ -76,10 +76,44 @@ def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     h = line_dedup.PerfectHash.build(keys)
     assert sorted(h.numbers(keys)) == list(range(len(keys)))
-    shard = line_dedup.Shard.load(line_dedup.Shard.build(keys, keys[::-1].copy(), np.arange(len(keys)), np.arange(len(keys))).dump())
-    counts, keepers = shard.probe(keys, keys[::-1].copy())
-    assert (counts == np.arange(len(keys))).all() and (keepers == np.arange(len(keys))).all()
-    assert not shard.probe(keys + np.uint64(1), keys)[0].any()
+    h2, n = np.random.default_rng(2).integers(0, 1 << 63, len(keys)).astype(np.uint64) * np.uint64(2), np.arange(len(keys))
+    for least in (5, 300):
+        shard = line_dedup.Shard.load(line_dedup.Shard.build(keys, h2, n, -n, least).dump())
+        counts, keepers = shard.probe(keys, h2)
+        assert ((counts >= least) == (n >= least)).all() and (counts[n < 255] == n[n < 255]).all() and (keepers[n >= least] == -n[n >= least]).all()
+        assert (shard.probe(keys + np.uint64(1), h2)[0] > 0).mean() < 0.001  # a line that the shard doesn't have
+
+
+def key(line):
+    return line.strip(" \t\n\v\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def plain_dedup(rows, min_chars, min_docs):
+    """By dictionaries of keys, with no hash."""
+    holders = collections.defaultdict(set)
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(doc)
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < min_docs or max(holders[key(x)]) == doc]
+        out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return collections.Counter(out)
+
+
+def test_line_dedup_against_plain_dictionaries(spark):
+    rng = random.Random(8)
+    pool = [prose(rng, 9) for _ in range(60)] + ["ab" * 19 + "é" * k for k in range(4)]
+    rows = [(rng.randrange(60), "\n".join(rng.choice(pool) if rng.random() < 0.7 else rng.choice(pool).upper() + "\t" for _ in range(rng.randrange(12)))) for _ in range(120)]
+    rows += [(1, pool[0] + "\n" + pool[0]), (1, pool[0]), (1, pool[0]), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for least in (2, 5):
+        got = collected(line_dedup.dedup_lines(docs, 40, least))
+        assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == plain_dedup(rows, 40, least)
+    path, n = line_dedup.build_index(line_dedup.line_counts(docs, 40), 5, shard_lines=7)
+    assert n > 5 and sum(len(line_dedup._shard(path, i).prints) for i in range(n)) == len({key(x) for _, t in rows for x in (t or "").split("\n") if len(key(x)) >= 40})
 
 
 def test_line_dedup(spark, odd, none):

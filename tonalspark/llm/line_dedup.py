@@ -1,9 +1,10 @@
 """Removes lines that many documents share, without joining lines.
 
-The 128-bit hashes of distinct lines are counted with partial sums before the shuffle. Those that enough documents
-hold are split into shards by hash; each shard gets a minimal perfect hash (levels of collision-free bits) that
-numbers its lines, and arrays of fingerprints, counts and keepers in that order. Documents are read once more and
-probe the arrays: a line's number is computed, and its fingerprint tells whether it is the line that has the number.
+The documents that hold each distinct line are counted by 128-bit hashes. All distinct lines are split into shards by hash;
+each shard gets a minimal perfect hash (levels of collision-free bits) that numbers its lines, and compact arrays in that
+order: fingerprints of 16 bits and counts that stop at 255, with the keepers of those that enough documents hold; some 3.5
+bytes a line. Documents are read once more and probe the arrays: a line's number is computed, its fingerprint tells whether
+it is the line that has the number, and its count decides.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import io
 import math
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,8 @@ from pyspark.sql.types import StructType
 
 from .common import ASCII_SPACE, arrow_map, mixed, open_fs, scratch, signed, stored, utf8
 
-#: Lines of a shard, and bytes of shards that a worker keeps (at least one shard).
-SHARD_LINES, CACHE_BYTES = 250_000, 128 << 20
+#: Lines of a shard, bytes of shards that a worker keeps (at least one shard), and bytes of documents that probe together.
+SHARD_LINES, CACHE_BYTES, PROBE_BYTES = 1_000_000, 128 << 20, 32 << 20
 _NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -75,44 +77,51 @@ class PerfectHash:
 
 
 class Shard:
-    """The arrays of one shard's lines, in the order of its perfect hash."""
+    """The arrays of one shard's lines, in the order of its perfect hash; ``held`` are the numbers of lines with a keeper."""
 
-    def __init__(self, salt: int, hashing: PerfectHash, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray):
-        self.salt, self.hashing, self.prints, self.counts, self.keepers = salt, hashing, prints, counts, keepers
+    def __init__(self, salt: int, hashing: PerfectHash, prints: np.ndarray, counts: np.ndarray, held: np.ndarray, keepers: np.ndarray):
+        self.salt, self.hashing, self.prints, self.counts, self.held, self.keepers = salt, hashing, prints, counts, held, keepers
 
     @staticmethod
     def _keys(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
         return mixed(h1 ^ mixed(h2 + _U(salt)))
 
     @classmethod
-    def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> Shard:
+    def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray, min_docs: int) -> Shard:
         salt = 0
         while len(np.unique(keys := cls._keys(h1, h2, salt))) < len(keys):
             salt += 1
         hashing = PerfectHash.build(keys)
         order = np.argsort(hashing.numbers(keys))
-        return cls(salt, hashing, h2[order], np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)[order], keepers[order])
+        counts = counts[order]
+        held = np.flatnonzero(counts >= min_docs)
+        kind = np.uint8 if min_docs <= 255 else np.uint32
+        return cls(salt, hashing, (h2[order] >> _U(48)).astype(np.uint16), np.minimum(counts, np.iinfo(kind).max).astype(kind), held.astype(np.uint32), keepers[order][held])
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, keeper) of each line; count 0 where the shard doesn't have it."""
+        """(count, keeper) of each line; count 0 where the fingerprint says that the shard doesn't have it. A keeper means
+        something only where the count is that of a shared line."""
         if not len(self.prints):
             return np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
         at = self.hashing.numbers(self._keys(h1, h2, self.salt))
-        own = (at >= 0) & (self.prints[at] == h2)
-        return np.where(own, self.counts[at], 0).astype(np.int64), self.keepers[at]
+        own = (at >= 0) & (self.prints[at] == (h2 >> _U(48)).astype(np.uint16))
+        keeper = np.zeros(len(h1), np.int64)
+        if len(self.held):
+            keeper = self.keepers[np.minimum(np.searchsorted(self.held, at), len(self.held) - 1)]
+        return np.where(own, self.counts[at], 0).astype(np.int64), keeper
 
     def dump(self) -> bytes:
         out, extra = io.BytesIO(), {}
         for i, (m, words, ranks) in enumerate(self.hashing.levels):
             extra |= {f"m{i}": np.array([m]), f"w{i}": words, f"r{i}": ranks}
-        np.savez(out, salt=np.array([self.salt]), prints=self.prints, counts=self.counts, keepers=self.keepers, **extra)
+        np.savez(out, salt=np.array([self.salt]), prints=self.prints, counts=self.counts, held=self.held, keepers=self.keepers, **extra)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Shard:
         z = np.load(io.BytesIO(data))
         levels = [(int(z[f"m{i}"][0]), z[f"w{i}"], z[f"r{i}"]) for i in range(sum(k[0] == "m" for k in z.files))]
-        return cls(int(z["salt"][0]), PerfectHash(levels), z["prints"], z["counts"], z["keepers"])
+        return cls(int(z["salt"][0]), PerfectHash(levels), z["prints"], z["counts"], z["held"], z["keepers"])
 
 
 _shards: OrderedDict[tuple[str, int], tuple[Shard, int]] = OrderedDict()
@@ -133,21 +142,20 @@ def _shard(path: str, number: int) -> Shard:
     return _shards[key][0]
 
 
-def line_hashes(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int], list[int]]:
-    """The lines of a text, and the numbers and 128-bit hashes of those whose key is long enough.
+def line_hashes(text: bytes | None, min_chars: int) -> tuple[list[int], list[int]]:
+    """The numbers and 128-bit hashes of those lines of a text whose key is long enough.
 
     Lines are split at \\n; a null or empty text has one empty line. A key is the line without ASCII white space at
     its ends and with A-Z lower-cased.
     """
-    lines = (text or b"").split(b"\n")
     at, hashes = [], []
-    for i, line in enumerate(lines):
+    for i, line in enumerate((text or b"").split(b"\n")):
         if len(line) >= min_chars:
             key = line.strip(ASCII_SPACE).lower()
             if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= min_chars):
                 at.append(i)
                 hashes.append(xxhash.xxh3_128_intdigest(key))
-    return lines, at, hashes
+    return at, hashes
 
 
 def _halves(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,30 +163,27 @@ def _halves(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((h & low for h in hashes), _U, len(hashes)), np.fromiter((h >> 64 for h in hashes), _U, len(hashes))
 
 
-def shared_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n, keeper) of the lines that at least ``min_docs`` documents hold; keeper: the largest doc_id of them."""
+def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, n, keeper) of all distinct lines whose key is long enough: the documents (distinct doc_ids, null being one) that
+    hold it, and the largest of them. A line and document are one row however often they meet; a line that a third of the
+    documents hold is summed before it is shuffled."""
 
-    def partial(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, hashes, owners = batch.column(0), [], []
         for i, text in enumerate(utf8(batch.column(1))):
-            own = set(line_hashes(text, min_chars)[2])
+            own = set(line_hashes(text, min_chars)[1])
             hashes += own
             owners += [_NO_ID if (x := ids[i].as_py()) is None else x] * len(own)
         if not hashes:
             return None
         h1, h2 = _halves(hashes)
-        order = np.lexsort((h2, h1))
-        h1, h2, owners = h1[order], h2[order], np.array(owners, np.int64)[order]
-        starts = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-        sizes = np.diff(np.append(starts, len(h1)))
-        return pa.RecordBatch.from_arrays([pa.array(signed(h1[starts])), pa.array(signed(h2[starts])), pa.array(sizes), pa.array(np.maximum.reduceat(owners, starts))], names=["h1", "h2", "n", "keeper"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(owners, pa.int64())], names=["h1", "h2", "doc"])
 
-    counted = arrow_map(docs.select("doc_id", "text"), partial, "h1 long, h2 long, n long, keeper long")
-    return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= min_docs)
+    return arrow_map(docs.select("doc_id", "text"), held, "h1 long, h2 long, doc long").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
 
 
-def build_index(lines: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
-    """Writes the shards of ``shared_lines`` to the shared folder; returns the path and their number."""
+def build_index(lines: DataFrame, min_docs: int, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
+    """Writes the shards of ``line_counts`` to the shared folder; returns the path and their number."""
     kept = stored(lines, "lines")
     n = -(-kept.count() // shard_lines)
     path = scratch(lines.sparkSession, "line-index")
@@ -186,7 +191,7 @@ def build_index(lines: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str,
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
             h1, h2 = (group[c].to_numpy().view(_U) for c in ("h1", "h2"))
-            shard = Shard.build(h1, h2, group["n"].to_numpy(), group["keeper"].to_numpy())
+            shard = Shard.build(h1, h2, group["n"].to_numpy(), group["keeper"].to_numpy(), min_docs)
             return pd.DataFrame({"shard": group["shard"].iloc[:1], "data": [shard.dump()]})
 
         numbered = kept.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int"))  # even: h1 is a hash, each line is one row
@@ -199,40 +204,60 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     except in the document of the largest doc_id that holds it (there all of them stay).
 
     Returns the columns of ``docs`` (or those in ``carry``), text being the kept lines joined by \\n, and n_lines long
-    (before dropping) and n_dropped long. A null or empty text has one empty line and comes back empty. Each row is a
-    document of its own, also where a doc_id repeats; rows with a null doc_id count as the smallest id. An empty table
-    gives an empty result. Columns n_lines and n_dropped of the input are replaced.
+    (before dropping) and n_dropped long. A null or empty text has one empty line and comes back empty. Rows of one doc_id are
+    one document: they count once, and each gets its row; rows with a null doc_id are one document of the smallest id. An
+    empty table gives an empty result. Columns n_lines and n_dropped of the input are replaced.
 
-    Two scans of the texts and one shuffle of 32 bytes for each distinct line of a batch; no text is shuffled.
+    Two scans of the texts; shuffled are 24 bytes for each line of a document and 32 for each distinct line, no text. Each
+    PROBE_BYTES of documents read every shard once, so what is read grows with documents times lines: for corpora whose
+    index (3.5 bytes a line) is far larger than an executor's memory the probes would have to be dealt by shard.
     """
-    path, n = build_index(shared_lines(docs, min_chars, min_docs))
+    path, n = build_index(line_counts(docs, min_chars), min_docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped") and (carry is None or c in carry)]
     rows = docs.select("doc_id", "text", *rest)
 
-    def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts, hashes, where, owners, split = batch.column(0), [], [], [], [], []
-        for i, text in enumerate(utf8(batch.column(1))):
-            lines, at, own = line_hashes(text, min_chars)
-            split.append(lines)
-            hashes += own
-            where += [(i, j) for j in at]
-            owners += [_NO_ID if (x := ids[i].as_py()) is None else x] * len(own)
-        dropped: dict[int, set[int]] = {}
+    def probed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that probe together: the lines of all are met shard by shard, each of which is loaded once."""
+        hashes, where, owners = [], [], []
+        for k, batch in enumerate(batches):
+            ids = batch.column(0)
+            for i, text in enumerate(utf8(batch.column(1))):
+                at, own = line_hashes(text, min_chars)
+                hashes += own
+                where += [(k, i, j) for j in at]
+                owners += [_NO_ID if (x := ids[i].as_py()) is None else x] * len(own)
+        dropped: dict[tuple[int, int], set[int]] = {}
         if n and hashes:
             h1, h2 = _halves(hashes)
             owners, of = np.array(owners, np.int64), (signed(h1) % n)
-            for k in np.unique(of):
-                own = np.flatnonzero(of == k)
-                counts, keepers = _shard(path, int(k)).probe(h1[own], h2[own])
+            for shard in np.unique(of):
+                own = np.flatnonzero(of == shard)
+                counts, keepers = _shard(path, int(shard)).probe(h1[own], h2[own])
                 for x in own[(counts >= min_docs) & (keepers != owners[own])]:
-                    dropped.setdefault(where[x][0], set()).add(where[x][1])
-        for i, lines in enumerate(split):
-            gone = dropped.get(i, ())
-            texts.append(b"\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else b"\n".join(lines))
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2:], pa.array([len(x) for x in split], pa.int64()), pa.array([len(dropped.get(i, ())) for i in range(len(split))], pa.int64())],
-            names=["doc_id", "text", *rest, "n_lines", "n_dropped"],
-        )
+                    dropped.setdefault(where[x][:2], set()).add(where[x][2])
+        for k, batch in enumerate(batches):
+            texts, lines = [], []
+            for i, text in enumerate(utf8(batch.column(1))):
+                text, gone = text or b"", dropped.get((k, i))
+                lines.append(text.count(b"\n") + 1)
+                texts.append(b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone) if gone else text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2:], pa.array(lines, pa.int64()), pa.array([len(dropped.get((k, i), ())) for i in range(len(lines))], pa.int64())],
+                names=["doc_id", "text", *rest, "n_lines", "n_dropped"],
+            )
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                held.append(part)
+                size += part.nbytes
+                if size >= PROBE_BYTES:
+                    yield from probed(held)
+                    held, size = [], 0
+        if held:
+            yield from probed(held)
 
     schema = StructType(list(rows.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
-    return arrow_map(rows, probe, schema)
+    return rows.mapInArrow(probe, schema)
