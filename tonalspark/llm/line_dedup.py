@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from .common import ASCII_SPACE, arrow_map, mixed, open_fs, scratch, signed, stored, utf8
 
 #: Lines of a shard, bytes of shards that a worker keeps (at least one shard), and bytes of documents that probe together.
-SHARD_LINES, CACHE_BYTES, PROBE_BYTES = 1_000_000, 128 << 20, 32 << 20
+SHARD_LINES, CACHE_BYTES, PROBE_BYTES = 250_000, 128 << 20, 32 << 20
 _NO_ID = -(1 << 63)
 _U = np.uint64
 
