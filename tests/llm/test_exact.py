@@ -281,7 +281,7 @@ def test_components_of_a_path(spark):
 
 
 def plain_tiling(p, t, shortest):
-    mp, mt, total = [False] * len(p), [False] * len(t), 0
+    mp, mt, tiles = [False] * len(p), [False] * len(t), []
     while True:
         best, spots = shortest - 1, []
         for j in range(len(t)):
@@ -294,11 +294,11 @@ def plain_tiling(p, t, shortest):
                 elif n == best and n >= shortest:
                     spots.append((i, j))
         if best < shortest:
-            return total
+            return tiles
         for i, j in spots:
             if not any(mp[i : i + best]) and not any(mt[j : j + best]):
                 mp[i : i + best] = mt[j : j + best] = [True] * best
-                total += best
+                tiles.append((i, j, best))
 
 
 def test_tiling_agrees_with_plain_loops():
@@ -307,7 +307,7 @@ def test_tiling_agrees_with_plain_loops():
         p, t = ([rng.choice(b"abcd") for _ in range(rng.randrange(3, 40))] for _ in range(2))
         hp, ht = word_hashes([bytes([x]) for x in p]), word_hashes([bytes([x]) for x in t])
         tiles = decontamination.tiling(hp, ht, 3)
-        assert sum(x[2] for x in tiles) == plain_tiling(p, t, 3)
+        assert sum(x[2] for x in tiles) == sum(x[2] for x in plain_tiling(p, t, 3))
         assert all(p[i : i + n] == t[j : j + n] for i, j, n in tiles)
 
 
@@ -319,15 +319,62 @@ def test_decontamination(spark, odd, none):
     rows += [(100 + i, prose(rng, 50) + " " + " ".join(a), 1) for i, (a, _) in enumerate(halves)]  # half of an item
     rows += [(200, prose(rng, 100), 1), (201, None, 1), (202, "a Tiny, item.", 1), (203, f"{items[0][1]} {items[1][1]}", 1), (None, items[2][1].upper() + "!", 1)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, coverage int"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 300):  # one block, many blocks
-        got = {r["doc_id"]: r for r in collected(decontamination.contaminated(docs, bench, block_bytes=size))}
-        assert {k for k, r in got.items() if r["n_items"]} == {*range(12), 202, 203, None}
-        assert all(got[i]["item_id"] == i and got[i]["coverage"] == 1.0 for i in range(12)) and got[203]["n_items"] == 2 and got[203]["item_id"] == 0
-        assert {r["doc_id"] for r in collected(decontamination.decontaminate(docs, bench, block_bytes=size))} == {*range(100, 112), 200, 201}
+    got = {r["doc_id"]: r for r in collected(decontamination.contaminated(docs, bench))}
+    assert {k for k, r in got.items() if r["n_items"]} == {*range(12), 202, 203, None}
+    assert all(got[i]["item_id"] == i and got[i]["coverage"] == 1.0 for i in range(12)) and got[203]["n_items"] == 2 and got[203]["item_id"] == 0
+    assert {r["doc_id"] for r in collected(decontamination.decontaminate(docs, bench))} == {*range(100, 112), 200, 201}
     assert decontamination.contaminated(odd, bench).count() == odd.count() and decontamination.contaminated(none, bench).count() == 0
     assert decontamination.decontaminate(odd, bench.where("false")).count() == odd.count()
 
 
+def test_contaminated_against_plain_loops(spark, monkeypatch):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, text(rng.choice([1, 3, 5, 8, 20, 60, 200]))) for i in range(14)] + [(3, text(25)), (20, None)]
+    rows = []
+    for d in range(60):
+        body = text(rng.randrange(60))
+        for _ in range(rng.randrange(4)):  # pieces of items, in any order, some repeated
+            item = rng.choice(items)[1] or ["none"]
+            start = rng.randrange(len(item))
+            piece = item[start : start + rng.randrange(1, 60)]
+            at = rng.randrange(len(body) + 1)
+            body = body[:at] + piece + body[at:]
+        rows.append((d if d % 9 else None, None if d == 8 else " ".join(body)))
+    rows += [(100 + i, " ".join(x for _, t in items if t for x in t)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, t and " ".join(t)) for i, t in items], "item_id long, text string")
+    number = {w: i for i, w in enumerate(words)}
+    want = []
+    for doc, body in rows:
+        found = {}
+        for item, t in items:
+            if t and body:
+                width = min(5, len(t))
+                tiles = plain_tiling([number.get(w, -1) for w in body.split()], [number[w] for w in t], width)
+                cover = sum(x[2] for x in tiles) / len(t)
+                if cover >= 0.6 and (len(t) >= 5 or cover == 1.0) or sum(x[2] for x in tiles if x[2] >= 2 * width) >= 30 and len(t) >= 5:
+                    found[item] = max(found.get(item, 0), cover)
+        best = max(found.values(), default=0.0)
+        want.append((doc, len(found), min((i for i, c in found.items() if c == best), default=None), round(best, 9)))
+    for run in (256, 2):
+        monkeypatch.setattr(decontamination, "RUN", run)
+        got = [(r["doc_id"], r["n_items"], r["item_id"], round(r["coverage"], 9)) for r in collected(decontamination.contaminated(docs, bench))]
+        assert collections.Counter(got) == collections.Counter(want)
+    clean = collected(decontamination.decontaminate(docs, bench))
+    assert collections.Counter(r["doc_id"] for r in clean) == collections.Counter(d for d, n, *_ in want if not n)
+
+
+def test_bit_maps(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    bits = decontamination.BitMap(rows, "h", 5000)
+    own = rows.toPandas()["h"].to_numpy()
+    other = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000)
+    assert bits.has(own).all() and bits.has(other).mean() < 0.1 and rows.where(bits.might(F.col("h"))).count() == 5000
+    assert not decontamination.BitMap(rows.where("false"), "h", 0).has(own).any()
+
+
 def test_passages_of_long_items(spark):
     rng = random.Random(19)
     a, b = prose(rng, 59).split(), prose(rng, 2000).split()

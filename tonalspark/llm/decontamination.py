@@ -1,23 +1,27 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on hashes of shared runs of words (seeds). For each pair with enough of the
-item under seeds, the longest common runs that don't overlap are marked again and again, found by Karp-Rabin hashes
-of runs of shrinking length, until only runs shorter than the shortest allowed are left. The share of the item's words
-that is marked tells how much of it the document holds, in whatever order its passages come.
+Documents and benchmark items are joined on hashes of shared runs of words (seeds); a bit map of the benchmark's seeds, of
+bounded size, keeps all others out of the shuffle. For each pair with enough of the item under seeds, the longest common runs
+that don't overlap are marked again and again, found by Karp-Rabin hashes of runs of shrinking length, until only runs shorter
+than the shortest allowed are left. The share of the item's words that is marked tells how much of it the document holds, in
+whatever order its passages come.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import arrow_map, mixed, shingles, utf8, word_hashes
+from .common import arrow_map, mixed, shingles, signed, stored, utf8, word_hashes
 
+#: Bits of a map of seeds or keys at most (16 MB), and items that a document's words are held for in one run of a task.
+MOST_BITS, RUN = 1 << 27, 256
 #: Words of a long item that count as holding it, whatever share of it they are.
 PASSAGE = 30
 _U = np.uint64
@@ -89,53 +93,18 @@ def _next_length(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_i
     return low
 
 
-class _Block:
-    """Some benchmark items, ready to meet documents."""
-
-    def __init__(self, items: list[tuple[int, bytes]], shortest: int):
-        self.ids, self.words, seeds = [], [], {}
-        for item, text in items:
-            words = plain_words(text)
-            if not words:
-                continue
-            g = shingles(words, shortest)
-            seeds.setdefault(min(shortest, len(words)), []).append((g, np.full(len(g), len(self.ids)), np.arange(len(g))))
-            self.ids.append(item)
-            self.words.append(word_hashes(words))
-        #: by the length of seeds (shorter ones for items that are shorter): sorted hashes, their items and places
-        self.seeds = {}
-        for width, found in seeds.items():
-            grams, owners, places = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(grams, kind="stable")
-            self.seeds[width] = (grams[order], owners[order], places[order])
-
-    def matches(self, text: bytes | None, least: float, passage: int = PASSAGE) -> list[tuple[int, float, list]]:
-        """(item, coverage, tiles) of the items of which a document holds at least the share ``least``, or ``passage``
-        words in tiles of twice the seeds' words or more."""
-        words, out, doc = plain_words(text), [], None
-        for width, (grams, owners, all_places) in self.seeds.items():
-            if len(words) < width:
-                continue
-            own = shingles(words, width)
-            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            seeds = np.unique(own[grams[at] == own])
-            if not len(seeds):
-                continue
-            first, last = np.searchsorted(grams, seeds), np.searchsorted(grams, seeds, side="right")
-            spots = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
-            for k in np.unique(owners[spots]):
-                item, under = self.words[k], np.zeros(len(self.words[k]) + 1, np.int64)
-                places = all_places[spots[owners[spots] == k]]
-                np.add.at(under, places, 1)
-                np.add.at(under, places + width, -1)
-                if (np.cumsum(under)[:-1] > 0).sum() < min(least * len(item), passage):  # more than the seeds cover can't be marked
-                    continue
-                doc = word_hashes(words) if doc is None else doc
-                tiles = tiling(_near(own, grams, width, doc), item, width)
-                cover = sum(t[2] for t in tiles) / len(item)
-                if cover >= least or sum(t[2] for t in tiles if t[2] >= 2 * width) >= passage:
-                    out.append((self.ids[k], cover, tiles))
-        return out
+def held(doc: np.ndarray, item: np.ndarray, own: np.ndarray, grams: np.ndarray, width: int, least: float, passage: int) -> float | None:
+    """The share of the item that the document's tiles cover, or null if that is under ``least`` and no ``passage`` words are in
+    tiles of twice the seeds' words or more. own, grams: the seeds of the document and of the item."""
+    under = np.zeros(len(item) + 1, np.int64)
+    places = np.flatnonzero(np.isin(grams, own))
+    np.add.at(under, places, 1)
+    np.add.at(under, places + width, -1)
+    if (np.cumsum(under)[:-1] > 0).sum() < min(least * len(item), passage):  # more than the seeds cover can't be marked
+        return None
+    tiles = tiling(_near(own, np.sort(grams), width, doc), item, width)
+    cover = sum(t[2] for t in tiles) / len(item)
+    return cover if cover >= least or sum(t[2] for t in tiles if t[2] >= 2 * width) >= passage else None
 
 
 def _near(own: np.ndarray, grams: np.ndarray, width: int, doc: np.ndarray) -> np.ndarray:
@@ -151,21 +120,124 @@ def _near(own: np.ndarray, grams: np.ndarray, width: int, doc: np.ndarray) -> np
     return np.where(covered, doc, _U(0))[keep]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in blocks of at most ``block_bytes`` bytes of text (or one item), streamed to the driver."""
-    block, size = [], 0
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        text = row["text"].encode()
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], text))
-        size += len(text)
-    if block:
-        yield block
+class BitMap:
+    """Of 64-bit numbers, of bounded size: what it doesn't have is in none of them; the fuller it is, the more others it has.
+
+    Each slice of the bits is made in a task of its own; the driver puts them together and sends them with the tasks.
+    """
+
+    SLICE = 1 << 17
+
+    def __init__(self, df: DataFrame, column: str, n: int):
+        self.size = max(self.SLICE, min(MOST_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+        slices = -(-self.size // self.SLICE)
+
+        def build(group: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(BitMap.SLICE, np.uint8)
+            bits[group["bit"].to_numpy() % BitMap.SLICE] = 1
+            return pd.DataFrame({"slice": [int(group["bit"].iloc[0]) // BitMap.SLICE], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        size = self.size
+        found = df.select(F.pmod(F.col(column), F.lit(size)).alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / BitMap.SLICE).cast("int"))
+        whole = np.zeros((slices, self.SLICE // 8), np.uint8)
+        for row in found.groupBy("slice").applyInPandas(build, "slice int, bits binary").toLocalIterator():
+            whole[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        self.sent = df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        return _bits(self.sent.value, self.size, x)
+
+    def might(self, column: Column) -> Column:
+        """Might one of the numbers be that of the row? Only the column goes to Python."""
+        sent, size = self.sent, self.size
 
+        @F.pandas_udf("boolean")
+        def has(x: pd.Series) -> pd.Series:
+            return pd.Series(_bits(sent.value, size, x.to_numpy()))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20, passage: int = PASSAGE) -> DataFrame:
+        return has(column)
+
+
+def _bits(bits: np.ndarray, size: int, x: np.ndarray) -> np.ndarray:
+    at = x.view(np.int64) % size
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _key() -> Column:
+    """What a document holds depends on its text alone: equal texts are judged once, by this digest."""
+    return F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
+def _seeds(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(seed, item, width, words) of each place of each item: hashes of runs of ``shortest`` words, or of all of a shorter item."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            if words := plain_words(text):
+                g = shingles(words, shortest)
+                rows.append((signed(g), np.full(len(g), item), np.full(len(g), min(shortest, len(words))), np.full(len(g), len(words))))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["seed", "item", "width", "words"]) if rows else None
+
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return arrow_map(rows, of, "seed long, item long, width long, words long")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, passage: int = PASSAGE) -> DataFrame:
+    """(key, n_items long, item_id, coverage double) of the texts of ``docs`` that hold an item; see ``contaminated``."""
+    benchmark = benchmark.select("item_id", "text")
+    seeds = stored(_seeds(benchmark, shortest), "seeds")
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # at most ``shortest`` numbers
+    bits = BitMap(seeds, "seed", seeds.count())
+
+    def hits(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, found = [], []
+        for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            words = plain_words(text)
+            own = [shingles(words, w) for w in widths if len(words) >= w]
+            own = np.unique(np.concatenate(own)) if own else np.empty(0, _U)
+            own = own[bits.has(own)]
+            keys += [key] * len(own)
+            found.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(signed(np.concatenate(found)))], names=["key", "seed"]) if keys else None
+
+    texts = docs.select(_key().alias("key"), "text")
+    # a pair's places times the seeds' width bound what its tiles can cover
+    met = arrow_map(texts, hits, "key string, seed long").distinct().join(seeds, "seed").groupBy("key", "item", "width", "words").agg(F.count(F.lit(1)).alias("places"))
+    need = F.least(F.col("words") * coverage, F.lit(float(passage)))
+    pairs = stored(met.where(F.col("places") * F.col("width") >= need).select("key", "item", "width", "words"), "pairs")
+    short = pairs.where(F.col("width") < shortest).select("key", "item", F.lit(1.0).alias("cover"))  # the seed is the whole item
+    long = pairs.where(F.col("width") == shortest).select("key", "item").distinct()
+    runs = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    words = texts.join(runs.hint("merge"), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    left = words.select("key", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("item"), "text")
+    asked = long.join(runs, "key").select("key", F.pmod(F.xxhash64("item"), F.col("runs")).cast("int").alias("run"), "item")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("text IS NOT NULL")
+    right = asked.join(items, "item").select("key", "run", "item", "text")
+    dealt = left.unionByName(right).repartition("key", "run").sortWithinPartitions("key", "run", F.col("item").asc_nulls_first())
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, doc, own = None, None, None
+        for batch in batches:
+            out = []
+            for key, item, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3))):
+                words = plain_words(text)
+                if item is None:
+                    of, doc, own = key, word_hashes(words), shingles(words, shortest)
+                elif key == of and len(words) >= shortest:
+                    cover = held(doc, word_hashes(words), own, shingles(words, shortest), shortest, coverage, passage)
+                    if cover is not None:
+                        out.append((key, item, cover))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["key", "item", "cover"])
+
+    found = dealt.mapInArrow(tiled, "key string, item long, cover double").unionByName(short)
+    best = F.max(F.struct("cover", (-F.col("item")).alias("item")))
+    once = found.groupBy("key", "item").agg(F.max("cover").alias("cover"))  # an item_id may have several texts
+    return stored(once.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), best.alias("b")).select("key", "n_items", (-F.col("b.item")).alias("item_id"), F.col("b.cover").alias("coverage")), "matches")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, n_items long, item_id, coverage double) of every row of ``docs``: how many items it holds at least the share
     ``coverage`` of, and which one it holds most of (ties: the smallest item_id); 0, null and 0.0 where it holds none.
 
@@ -174,60 +246,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, cover
 
     Words are compared without case (A-Z) and without punctuation at their ends. An item of fewer than ``shortest`` words
     has to be there as a whole. Null or empty texts hold nothing; items that are null or without words are left out; an
-    empty benchmark contaminates nothing. Repeated rows each get a row. Other columns are dropped: see ``decontaminate``.
+    empty benchmark contaminates nothing; several texts of one item_id are one item. Repeated rows each get a row. Other
+    columns are dropped: see ``decontaminate``.
 
-    The benchmark is the query set: it is met by all documents in blocks of bounded size, each sent with the tasks of one
-    pass. One block makes one pass and no shuffle; several make one pass each, and their best is summed by row.
+    One scan finds the seeds; only those that the benchmark may have are shuffled, and the texts of documents that hold
+    enough of an item. Benchmark and documents may both be of any size.
     """
-    return _passes(docs.select("doc_id", "text"), benchmark, shortest, coverage, block_bytes, passage, keep_text=False)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20, passage: int = PASSAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns; see ``contaminated``."""
-    clashes = [c for c in docs.columns if c in ("n_items", "item_id", "coverage")]
-    kept = docs.withColumnsRenamed({c: f"own_{c}" for c in clashes})
-    return _passes(kept, benchmark, shortest, coverage, block_bytes, passage).where("n_items = 0").drop("n_items", "item_id", "coverage").withColumnsRenamed({f"own_{c}": c for c in clashes}).select(*docs.columns)
-
-
-def _passes(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: float, block_bytes: int, passage: int, keep_text: bool = True) -> DataFrame:
-    docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
-    start = {"n_items": F.lit(0).cast("long"), "item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0)}
-    out = docs.withColumns(start)
-    schema, width = list(out.schema.fields), len(docs.columns)
-    blocks = blocks_of(benchmark, block_bytes)
-    items = next(blocks, None)
-    if items is None:
-        return out if keep_text else out.drop("text")
-    while items is not None:
-        following = next(blocks, None)
-        whole = keep_text or following is not None
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-        out = arrow_map(out, _pass(sent, width, whole, shortest, coverage, passage), StructType([f for f in schema if whole or f.name != "text"]))
-        items = following
-    return out
-
-
-_blocks: dict = {}
-
-
-def _pass(sent, width: int, whole: bool, shortest: int, coverage: float, passage: int):
-    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = (id(sent.value), shortest)
-        if key not in _blocks:
-            if len(_blocks) >= 4:
-                _blocks.clear()
-            _blocks[key] = (sent.value, _Block(sent.value, shortest))
-        block = _blocks[key][1]
-        n, item, share = (batch.column(width + i).to_pylist() for i in range(3))
-        for i, text in enumerate(utf8(batch.column(width - 1))):
-            for found, cover, _ in block.matches(text, coverage, passage):
-                n[i] += 1
-                if cover > share[i] or cover == share[i] and item[i] is not None and found < item[i]:
-                    item[i], share[i] = found, cover
-        rest = width if whole else width - 1
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:rest], pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64())],
-            names=[*batch.schema.names[:rest], *batch.schema.names[width:]],
-        )
-
-    return meet
+    found = matches(docs, benchmark, shortest, coverage, passage)
+    return docs.select("doc_id", _key().alias("key")).join(found, "key", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, passage: int = PASSAGE) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns; see ``contaminated``. Rows whose digest isn't among
+    the bits of those found pass without a shuffle; only the others are joined with what was found."""
+    name = f"key_{uuid.uuid4().hex}"  # unlike any column of the documents
+    found = matches(docs, benchmark, shortest, coverage, passage).select(F.col("key").alias(name))
+    bits = BitMap(found.select(F.xxhash64(name).alias("h")), "h", found.count())
+    might = bits.might(F.xxhash64(_key()))
+    return docs.where(~might).unionByName(docs.where(might).join(found, _key() == F.col(name), "left_anti"))
