@@ -1,16 +1,28 @@
 """Titles, names, words and times."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they become, pair by pair (Latin, Vietnamese included).
-MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäëïöüñçåœ"
-PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaeiouncao"
+
+
+def _marked() -> tuple[str, str]:
+    """The lower-case Latin letters that Unicode takes apart into a letter and marks, and those letters; and đ."""
+    pairs = {"đ": "d"}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if c == c.lower() and bare != c and len(bare) == 1:
+            pairs[c] = bare
+    return "".join(pairs), "".join(pairs.values())
+
+
+MARKED, PLAIN = _marked()
 
 
 def no_marks(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without diacritics, whether they are part of a letter or stand behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[\u0300-\u036f]+", "")
 
 
 def match_text(text: Column) -> Column:

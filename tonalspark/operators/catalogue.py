@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import percentiles
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
@@ -49,10 +50,10 @@ def counts_by_reason(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFr
     return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def blocked_artists(df: DataFrame, artist: str, popularity: str, hot: str, least: float = 15) -> DataFrame:
-    """Drops the rows of artists whose best popularity is under ``least`` and who have no hot row."""
-    sums = df.groupBy(artist).agg(F.max(popularity).alias("_best"), F.bool_or(hot).alias("_hot"))
-    gone = sums.where((F.col("_best") < least) & ~F.coalesce("_hot", F.lit(False))).select(artist)
+def blocked_artists(df: DataFrame, artist: str, popularity: str, hot: str, least: float | Column = 15) -> DataFrame:
+    """Drops the rows of artists none of whose rows has a popularity of ``least`` (a number, or a column of the rows) or is hot."""
+    sums = df.groupBy(artist).agg(F.bool_or(F.col(popularity) >= least).alias("_best"), F.bool_or(hot).alias("_hot"))
+    gone = sums.where(~F.coalesce("_best", F.lit(False)) & ~F.coalesce("_hot", F.lit(False))).select(artist)
     return df.join(gone, artist, "left_anti")
 
 
@@ -115,7 +116,7 @@ def exploded_credits(df: DataFrame, item: str, names: str) -> DataFrame:
 
 
 def winsorised(df: DataFrame, column: str, low: float, high: float, out: str) -> DataFrame:
-    """Scales a column to 0..1 between two bounds and fills nulls with its median."""
-    scaled = F.least(F.greatest((F.col(column) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    middle = df.agg(F.percentile(scaled, F.lit(0.5)).alias("m")).first()["m"]
-    return df.withColumn(out, F.coalesce(scaled, F.lit(middle)))
+    """Scales a column to 0..1 between two bounds and fills nulls with its median (found by places, joined as one row)."""
+    scaled = df.withColumn(out, F.least(F.greatest((F.col(column) - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
+    middle = percentiles(scaled, out, {"_middle": 0.5})
+    return scaled.join(F.broadcast(middle)).withColumn(out, F.coalesce(out, "_middle")).drop("_middle")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .ranks import places, with_rank
+from .ranks import carried, places, suffix_min, with_rank
 
 
 def accuracy(recs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -91,11 +93,10 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def bh(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """Adds adjusted and rejected by Benjamini and Hochberg. The p-values are those of one family of tests, on one machine."""
-    n, at = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(Window.orderBy(p))
-    ranked = df.withColumns({"_raw": F.col(p) * n / at, "_at": at})
-    adjusted = F.least(F.lit(1.0), F.min("_raw").over(Window.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return ranked.withColumn("adjusted", adjusted).withColumn("rejected", F.col("adjusted") <= alpha).drop("_raw", "_at")
+    """Adds adjusted and rejected by Benjamini and Hochberg, for any number of tests: of equal p-values the last place counts."""
+    raw = places(df, p).select(F.col("value").alias("_p"), (F.col("value") * F.col("total") / (F.col("below") + F.col("ties"))).alias("_raw"))
+    least = suffix_min(raw, "_p", "_raw", "_least").select("_p", F.least(F.lit(1.0), F.col("_least")).alias("adjusted"))
+    return df.join(least, df[p] == least["_p"], "left").drop("_p").withColumn("rejected", F.col("adjusted") <= alpha)
 
 
 def ks_uniform(df: DataFrame, column: str) -> DataFrame:
@@ -114,22 +115,31 @@ def mahalanobis(df: DataFrame, x: str, y: str, at_x: Column, at_y: Column, ridge
     return met.agg(F.avg(F.sqrt((dx * dx * F.col("yy") - 2 * dx * dy * F.col("xy") + dy * dy * F.col("xx")) / det)).alias("error"))
 
 
-def bootstrap(df: DataFrame, group: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """(group, mean, low, high): percentile intervals at 95 % of the mean of a sample of one value for each query.
+def bootstrap(df: DataFrame, group: str, unit: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(group, mean, low, high): percentile intervals at 95 % of the mean value, drawing units with replacement.
 
-    A group is the per-query values of one system; draws are made by counts of the sample's values, a batch at a time.
+    The unit is a query for a plain interval and a cluster of them for a clustered one; the value is a difference for a
+    paired one. Each unit gets a Poisson weight in each draw, from a generator seeded by the unit itself: partial sums are
+    made where the rows are, the same whatever the partitions, and a draw's mean is the ratio of its sums.
     """
+    kind = dict(df.dtypes)[group]
+    units = df.where(F.col(value).isNotNull()).groupBy(group, unit).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    units = units.select(group, F.xxhash64(F.col(unit).cast("string")).alias("h"), "s", "n")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows[value].to_numpy(float))
-        rng, means = np.random.default_rng(seed), []
-        for start in range(0, draws, 500):
-            means.append(x[rng.integers(0, len(x), (min(500, draws - start), len(x)))].mean(1))
-        low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
-        return pd.DataFrame({group: [rows[group].iloc[0]], "mean": [x.mean()], "low": [low], "high": [high]})
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for rows in batches:
+            for g, h, s, n in rows.itertuples(index=False, name=None):
+                w = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, draws)
+                a = sums.setdefault(g, np.zeros((2, draws)))
+                a[0] += w * s
+                a[1] += w * n
+        for g, a in sums.items():
+            yield pd.DataFrame({group: g, "draw": np.arange(draws), "s": a[0], "n": a[1]})
 
-    kind = dict(df.dtypes)[group]
-    return df.where(F.col(value).isNotNull()).select(group, value).groupBy(group).applyInPandas(run, f"`{group}` {kind}, mean double, low double, high double")
+    drawn = units.mapInPandas(draw, f"`{group}` {kind}, draw int, s double, n double").groupBy(group, "draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    bounds = drawn.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))  # of as many values as draws
+    return units.groupBy(group).agg((F.sum("s") / F.sum("n")).alias("mean")).join(bounds, group).select(group, "mean", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -157,9 +167,9 @@ def blend(df: DataFrame, signals: dict[str, float], mean: float = 0.5, sd: float
     value = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in signals.items()), F.lit(0.0))
     raw = df.withColumn("_raw", F.round(F.when(total > 0, value / total).otherwise(0.5), 12))
     ranked = with_rank(raw, "_raw", "_rank")
-    s = ranked.agg(F.avg("_rank").alias("m"), F.stddev_pop("_rank").alias("s")).first()
-    scaled = mean + (F.col("_rank") - (s["m"] or 0.0)) * (sd / s["s"] if s["s"] else 0.0)
-    return ranked.withColumn("blended", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_raw", "_rank")
+    s = ranked.agg(F.avg("_rank").alias("_m"), F.stddev_pop("_rank").alias("_s"))
+    scaled = mean + F.coalesce((F.col("_rank") - F.col("_m")) * sd / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0))
+    return ranked.join(F.broadcast(s)).withColumn("blended", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_raw", "_rank", "_m", "_s")
 
 
 def agreement_weights(df: DataFrame, signals: list[str], rounds: int = 10, tolerance: float = 1e-4) -> dict[str, float]:
@@ -179,3 +189,71 @@ def agreement_weights(df: DataFrame, signals: list[str], rounds: int = 10, toler
         if done:
             break
     return weights
+
+
+def agreement(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(icc, ccc, n) of two raters' values: the two-way random, single-rater intraclass correlation and the concordance."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    m = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c"))
+    n, mx, my, vx, vy, c = (F.col(k) for k in ("n", "mx", "my", "vx", "vy", "c"))
+    between = n * (vx + vy + 2 * c) / 2 / (n - 1)  # of subjects: twice the sum of squares of their means
+    raters = n * F.pow(mx - my, F.lit(2)) / 2
+    error = n * (vx + vy - 2 * c) / 2 / (n - 1)
+    icc = (between - error) / (between + raters / n + error + 1e-12)
+    ccc = 2 * c / (vx + vy + F.pow(mx - my, F.lit(2)) + 1e-9)
+    return m.select(F.when(n >= 3, icc).alias("icc"), ccc.alias("ccc"), "n")
+
+
+def wasserstein(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(distance) between the distributions of two columns without nulls, as many values each: the mean gap of the values in
+    equal places. Runs of equal values are cut where the other column's runs end, so places are met as ranges, not as rows."""
+    runs = lambda c, p: places(df, c).select(F.col("value").cast("double").alias(f"{p}v"), F.col("below").alias(f"{p}from"), (F.col("below") + F.col("ties")).alias(f"{p}to"), "total")
+    a, b = runs(x, "a_"), runs(y, "b_").drop("total")
+    edges = a.select(F.explode(F.array("a_from", "a_to")).alias("at")).union(b.select(F.explode(F.array("b_from", "b_to")))).distinct()
+    held = lambda r, p: r.select(F.col(f"{p}from").alias("at"), F.col(f"{p}v"))
+    rows = edges.join(held(a, "a_"), "at", "left").join(held(b, "b_"), "at", "left")
+    filled = carried(rows, "at", ["a_v", "b_v"])
+    total = a.agg(F.max("total").alias("total"))
+    return filled.where("width IS NOT NULL").join(F.broadcast(total)).agg((F.sum(F.abs(F.col("a_v") - F.col("b_v")) * F.col("width")) / F.max("total")).alias("distance"))
+
+
+def most_frequent_share(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, share) of the value that most rows of a key have (ties: the smallest), and its share of them."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"), F.sum("n").alias("all"))
+    return best.select(key, F.col("b.v").alias(value), (-F.col("b.m") / F.col("all")).alias("share"))
+
+
+def discriminative(df: DataFrame, tag: str) -> DataFrame:
+    """(tags, top1, top2, entropy, accepted): do tags tell songs apart? Not where one or two have over .8 of all, or under five
+    are in use."""
+    counts = df.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("tags"), F.max("n").alias("first"), F.slice(F.reverse(F.array_sort(F.collect_list("n"))), 1, 2).alias("top"))
+    entropy = counts.join(F.broadcast(total.select("all"))).agg((-F.sum(F.col("n") / F.col("all") * F.log2(F.col("n") / F.col("all")))).alias("entropy"))
+    top2 = F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x) / F.col("all")
+    return total.join(entropy).select("tags", (F.col("first") / F.col("all")).alias("top1"), top2.alias("top2"), "entropy", ((F.col("first") / F.col("all") <= 0.8) & (top2 <= 0.8) & (F.col("tags") >= 5)).alias("accepted"))
+
+
+def norms(df: DataFrame, item: str, trait: str, rating: str) -> DataFrame:
+    """(item, trait, share): mean ratings, each over the trait's mean of all items, as shares of the item's sum."""
+    means = df.groupBy(item, trait).agg(F.avg(rating).alias("m"))
+    over = means.withColumn("v", F.col("m") / F.avg("m").over(Window.partitionBy(trait)))
+    return over.select(item, trait, (F.col("v") / F.sum("v").over(Window.partitionBy(item))).alias("share"))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(system, metric, before, after, change) of two reports (system, metric, value): systems in both, metrics in either."""
+    both = a.select("system").distinct().join(b.select("system").distinct(), "system")
+    left, right = (x.where("value IS NOT NULL").join(both, "system", "left_semi").select("system", "metric", F.col("value").alias(n)) for x, n in ((a, "before"), (b, "after")))
+    return left.join(right, ["system", "metric"], "full_outer").withColumn("change", F.col("after") - F.col("before"))
+
+
+def weight_grid(parts: DataFrame, signals: list[str], steps: int = 10, k: int = 10) -> DataFrame:
+    """(w, ndcg): the mean gain of lists (query_id, song_idx, good 0/1 and two signals) ordered by w of the first signal and 1 - w
+    of the second; the grid's weights are rows that a list meets."""
+    a, b = signals
+    grid = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_i")).withColumn("w", F.col("_i") / steps)
+    score = F.rint((F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)) * 1e9)
+    ranked = grid.withColumn("rank", F.row_number().over(Window.partitionBy("_i", "query_id").orderBy(score.desc(), "song_idx"))).where(F.col("rank") <= k)
+    gain = ranked.groupBy("w", "query_id").agg(F.sum(F.col("good") / F.log2(F.col("rank") + 1)).alias("n"))
+    return gain.groupBy("w").agg(F.avg("n").alias("ndcg"))

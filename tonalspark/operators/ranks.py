@@ -4,23 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def places(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def _parted(df: DataFrame, column: str, parts: int | None) -> DataFrame:
+    """Adds _part: ranges of the column in ascending order, cut at approximate quantiles (a broadcast row of bounds)."""
+    n = parts or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(column).cast("double"), [i / n for i in range(1, n)]))).alias("_cuts"))
+    return df.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(column) > c))).drop("_cuts")
+
+
+def places(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """(value, ties, below, total) of each distinct non-null value: rows that have it, rows that are smaller, all rows.
 
-    Values are counted first. Quantiles cut them into parts; windows run within parts, and a table of one row for each part
-    adds what lies below a part. So no task gets more than its part of the distinct values.
+    Values are counted first. Quantiles cut them into parts, as many as the session has shuffle partitions; windows run
+    within parts, and a table of one row for each part adds what lies below a part. So no task gets more than its part of
+    the distinct values. Nothing is run before the plan is.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    cuts = sorted({*(counts.agg(F.percentile_approx(F.col("value").cast("double"), [i / parts for i in range(1, parts)])).first()[0] or [])})
-    counts = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("value") > c)) if cuts else F.lit(0))
-    sums = counts.groupBy("part").agg(F.sum("ties").alias("rows"))
-    tiny = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("part", F.coalesce(F.sum("rows").over(tiny), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _parted(counts, "value", parts)
+    sums = counts.groupBy("_part").agg(F.sum("ties").alias("rows"))
+    tiny = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", F.coalesce(F.sum("rows").over(tiny), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("in_part", F.coalesce(F.sum("ties").over(within), F.lit(0)))
-    return counts.join(F.broadcast(before), "part").select("value", "ties", (F.col("before") + F.col("in_part")).alias("below"), "total")
+    return counts.join(F.broadcast(before), "_part").select("value", "ties", (F.col("before") + F.col("in_part")).alias("below"), "total")
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the percentiles named in ``shares`` (name -> 0..1), interpolated linearly between the two nearest rows; null
+    for an empty table. Found from the places of distinct values, not by collecting them."""
+    found = places(df, column)
+    at = {n: (F.col("total") - 1) * p for n, p in shares.items()}
+    holds = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("ties"))
+    picks = [F.max(F.when(holds(f(h)), F.col("value"))).alias(f"_{n}_{k}") for n, h in at.items() for k, f in (("low", F.floor), ("high", F.ceil))]
+    row = found.agg(F.max("total").alias("total"), *picks)
+    return row.select(*[(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * ((F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p))).alias(n) for n, p in shares.items()])
+
+
+def suffix_min(df: DataFrame, order: str, value: str, out: str, parts: int | None = None) -> DataFrame:
+    """Adds the least value of a row and all that come behind it in ascending order: within parts, and over the parts behind."""
+    rows = _parted(df, order, parts)
+    tiny = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    behind = rows.groupBy("_part").agg(F.min(value).alias("_least")).select("_part", F.min("_least").over(tiny).alias("_behind"))
+    here = F.min(value).over(Window.partitionBy("_part").orderBy(F.col(order).desc()))
+    return rows.withColumn("_here", here).join(F.broadcast(behind), "_part").withColumn(out, F.least("_here", "_behind")).drop("_part", "_here", "_behind")
+
+
+def carried(df: DataFrame, order: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """Nulls of the columns filled from the row before, in ascending order, and width, the step to the next row's place."""
+    rows = _parted(df, order, parts)
+    within, tiny = Window.partitionBy("_part").orderBy(order), Window.orderBy("_part")
+    past = tiny.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_part").agg(F.min(order).alias("_first"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}") for c in columns])
+    ends = ends.select("_part", F.lead("_first").over(tiny).alias("_next"), *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_l_{c}") for c in columns])
+    here = {c: F.last(c, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in columns}
+    met = rows.withColumns(here | {"_ahead": F.lead(order).over(within)}).join(F.broadcast(ends), "_part")
+    return met.withColumns({c: F.coalesce(c, f"_l_{c}") for c in columns} | {"width": F.coalesce("_ahead", "_next") - F.col(order)}).drop("_part", "_ahead", "_next", *[f"_l_{c}" for c in columns])
 
 
 def with_rank(df: DataFrame, column: str, out: str, scaled: bool = True) -> DataFrame:
@@ -31,13 +71,34 @@ def with_rank(df: DataFrame, column: str, out: str, scaled: bool = True) -> Data
     return df.join(found.select(F.col("value").alias("_value"), rank.alias(out)), df[column] == F.col("_value"), "left").drop("_value")
 
 
-def target_quantile(df: DataFrame, column: str, targets: DataFrame, target: str, out: str) -> DataFrame:
-    """Adds to ``targets`` (a few rows) the share of rows of ``df`` whose column is under the target."""
-    wanted = [r[0] for r in targets.select(target).distinct().collect()]
-    sums = [F.count_if(F.col(column) < F.lit(t)).alias(f"_{i}") for i, t in enumerate(wanted)]
-    row = df.agg(F.count(column).alias("n"), *sums).first()
-    known = F.create_map(*[x for i, t in enumerate(wanted) for x in (F.lit(t), F.lit(row[f"_{i}"] / max(row["n"], 1)))])
-    return targets.withColumn(out, F.element_at(known, F.col(target)))
+def target_quantiles(df: DataFrame, targets: DataFrame, query: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(query, and a share for each of ``columns``: out -> (column, target)): the share of rows of ``df`` whose column is under
+    the target. targets: a stated set of a few rows, sent with the tasks; one pass, nothing is run before."""
+    asked = targets.select(query, *[F.col(t).alias(f"_t_{o}") for o, (_, t) in columns.items()])
+    met = df.select(*{c: None for c, _ in columns.values()}).crossJoin(F.broadcast(asked))
+    return met.groupBy(query).agg(*[(F.count_if(F.col(c) < F.col(f"_t_{o}")) / F.count(c)).alias(o) for o, (c, _) in columns.items()])
+
+
+def tiles(df: DataFrame, order: str, n: int, out: str) -> DataFrame:
+    """Adds the tile, from 1, of n in ascending order of a column without repeated values: the first ones are a row larger."""
+    place = places_of(df, order)
+    size, larger = F.floor(F.col("_total") / n), F.col("_total") % n
+    edge = larger * (size + 1)
+    tile = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (size + 1))).otherwise(larger + F.floor((F.col("_at") - edge) / F.greatest(size, F.lit(1))))
+    return place.withColumn(out, (tile + 1).cast("int")).drop("_at", "_total")
+
+
+def places_of(df: DataFrame, order: str) -> DataFrame:
+    """Adds _at, from 0, and _total: a row's place in ascending order of a column (a number, or a struct that begins with one and
+    breaks its ties)."""
+    struct = isinstance(df.schema[order].dataType, StructType)
+    first = df.schema[order].dataType.fieldNames()[0] if struct else None
+    rows = _parted(df.withColumn("_key", F.col(f"{order}.{first}") if struct else F.col(order)), "_key", None)
+    sums = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    tiny = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", F.coalesce(F.sum("_rows").over(tiny), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("_total"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return rows.withColumn("_in", here).join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_in")).drop("_key", "_part", "_before", "_in")
 
 
 def top_per_query(df: DataFrame, score: Column, k: int, query: str = "query_id", item: str = "song_idx") -> DataFrame:

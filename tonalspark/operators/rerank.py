@@ -130,37 +130,3 @@ def coherent(k: int = 10, share: float = 0.55, penalty: float = 0.15, vector: st
         return [(i, score[i]) for i in picks]
 
     return choose
-
-
-def journey(k: int = 10, penalty: float = 0.15, sigma: tuple[float, float] = (0.20, 0.14), smooth: float = 0.30, tempo: float = 20.0) -> Callable:
-    """A path from (from_v, from_a) to (to_v, to_a): at each of k waypoints, slow at both ends, the best unused song.
-
-    A song's score is its nearness to the waypoint, less for repeated artists, plus ``smooth`` times how well it follows
-    the last one (half the cosine of the audio, half the nearness of the tempo). A waypoint without a song is skipped.
-    """
-
-    def choose(group: pd.DataFrame) -> list:
-        ease = 1 / (1 + np.exp(-np.linspace(-3.0, 3.0, k)))
-        ease = (ease - ease[0]) / (ease[-1] - ease[0]) if k > 1 else np.zeros(1)
-        start, end = (group[[f"{p}_v", f"{p}_a"]].iloc[0].to_numpy(float) for p in ("from", "to"))
-        at, v = group[["valence", "arousal"]].to_numpy(float), _vectors(group, "audio_vec")
-        bpm, artist = group["bpm"].to_numpy(float), group["artist"].to_numpy()
-        used, seen, out = np.zeros(len(at), bool), {}, []
-        for t in ease:
-            score = np.exp(-0.5 * (((at - (start + t * (end - start))) / sigma) ** 2).sum(1))
-            score *= np.array([max(0.0, 1 - penalty * min(seen.get(a, 0), 3)) for a in artist])
-            if out:
-                last = out[-1][0]
-                follows = 0.5 * np.clip(v @ v[last], -1, 1)
-                if not np.isnan(bpm[last]):
-                    follows = follows + 0.5 * np.nan_to_num(np.exp(-np.abs(bpm - bpm[last]) / tempo))
-                score = np.where(score > 0, score + smooth * follows, score)
-            score[used] = -1.0
-            i = int(np.argmax(score))
-            if score[i] > 0:
-                out.append((i, score[i]))
-                used[i] = True
-                seen[artist[i]] = seen.get(artist[i], 0) + 1
-        return out
-
-    return choose

@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import open_fs, stored, written
 from .ranks import top_per_query
 
 #: Weights of the eight parts of the song score in their order: timbre, rhythm, tonality, lyrics, mood, instruments, same label, audio.
 PRODUCTION = (0.0, 0.0, 0.0, 0.08, 0.16, 0.0, 0.0, 0.76)
 FLOOR, SIGMA_V, SIGMA_A = 0.3, 0.22, 0.14
-#: Queries that meet the catalogue in one pass.
-BLOCK = 2048
-
-
-def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[pd.DataFrame]:
-    """A stated query set in blocks of bounded size."""
-    rows = []
-    for row in queries.toLocalIterator():
-        rows.append(row.asDict())
-        if len(rows) == size:
-            yield pd.DataFrame(rows)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows)
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, float) for x in column]) if len(column) else np.empty((0, 0))
+#: Rows of the catalogue that a task scores at once, and queries that they meet at once: bounds of the memory, not of the result.
+ROWS, QUERIES = 16_384, 512
+
+
+def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
+    """Columns as numpy arrays: lists of numbers as a matrix, whose missing rows are zeros."""
+    out = {}
+    for name in table.column_names:
+        column = table.column(name).combine_chunks()
+        kind = column.type
+        if (pa.types.is_list(kind) or pa.types.is_large_list(kind)) and pa.types.is_floating(kind.value_type):
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+            there = ~column.is_null().to_numpy(zero_copy_only=False)
+            matrix = np.zeros((len(column), len(flat) // max(there.sum(), 1)))
+            matrix[there] = flat.reshape(there.sum(), matrix.shape[1])
+            out[name] = matrix
+        else:
+            out[name] = np.array(column.to_pylist(), object) if pa.types.is_string(kind) or pa.types.is_list(kind) else column.to_numpy(zero_copy_only=False)
+    return out
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,108 +44,230 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)[:, None]).T
 
 
-def song_scores(rows: pd.DataFrame, seeds: pd.DataFrame, w: tuple) -> np.ndarray:
-    """The fused score of each row for each seed; parts of weight zero aren't computed."""
-    out = np.zeros((len(rows), len(seeds)))
+def best_matches(songs: DataFrame, queries: DataFrame, score: Callable[[dict, dict], np.ndarray], n: int, floor: float, without: DataFrame | None = None) -> DataFrame:
+    """(query_id, song_idx, score) of the n songs of highest score, and more, for each row of ``queries``; see ``top_per_query``.
+
+    ``score`` gets arrays of the columns of some songs and of some queries and gives their matrix; scores are taken to six
+    places, ties go to the smaller song_idx. without: (query_id, song_idx) that aren't wanted, a list a query.
+
+    The queries, a stated set, are written to the shared folder once. Each task reads them in blocks for every ROWS songs and
+    passes on n songs a query and block at most: no row of the catalogue is shuffled, none is sent to the driver.
+    """
+    if without is not None:
+        gone = without.groupBy("query_id").agg(F.collect_set("song_idx").alias("without"))
+        queries = queries.join(gone, "query_id", "left").withColumn("without", F.coalesce("without", F.array().cast("array<long>")))
+    path = written(queries, "queries")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = open_fs(path)
+        for part in _gathered(batches, ROWS):
+            rows = _arrays(part)
+            own = rows["song_idx"].astype(np.int64)
+            for batch in pads.dataset(where, filesystem=fs, format="parquet").to_batches(batch_size=QUERIES):
+                if not batch.num_rows:
+                    continue
+                asked = _arrays(pa.Table.from_batches([batch]))
+                raw = score(rows, asked)
+                sure, out = np.rint(raw * 1e6), []
+                for j, q in enumerate(asked["query_id"]):
+                    fits = raw[:, j] >= floor
+                    if "without" in asked:
+                        fits &= ~np.isin(own, np.array(asked["without"][j], np.int64))
+                    at = np.flatnonzero(fits)
+                    if len(at) > n:
+                        least = np.partition(sure[at, j], len(at) - n)[len(at) - n]
+                        at = at[sure[at, j] >= least]
+                        at = at[np.lexsort((own[at], -sure[at, j]))[:n]]
+                    if len(at):
+                        out.append((np.full(len(at), int(q)), own[at], sure[at, j] / 1e6))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "song_idx", "score"])
+
+    return songs.mapInArrow(best, "query_id long, song_idx long, score double")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def song_scores(rows: dict, seeds: dict, w: tuple) -> np.ndarray:
+    """The fused score of each row for each seed, -1 for itself; parts of weight zero aren't computed."""
+    out = np.zeros((len(rows["song_idx"]), len(seeds["song_idx"])))
     if w[0]:
-        out += w[0] * _cosines(_matrix(rows["timbre"]), _matrix(seeds["timbre"]))
+        out += w[0] * _cosines(rows["timbre"], seeds["timbre"])
     if w[1]:
-        out += w[1] * (1 - np.abs(_matrix(rows["rhythm"])[:, None] - _matrix(seeds["rhythm"])[None]).mean(2))
+        out += w[1] * (1 - sum(np.abs(rows["rhythm"][:, i, None] - seeds["rhythm"][:, i]) for i in range(rows["rhythm"].shape[1])) / rows["rhythm"].shape[1])
     if w[2]:
-        out += w[2] * _cosines(_matrix(rows["tonality"]), _matrix(seeds["tonality"]))
+        out += w[2] * _cosines(rows["tonality"], seeds["tonality"])
     if w[3]:
-        out += w[3] * (_cosines(_matrix(rows["lyrics_vec"]), _matrix(seeds["lyrics_vec"])) + 1) / 2
+        out += w[3] * (_cosines(rows["lyrics_vec"], seeds["lyrics_vec"]) + 1) / 2
     if w[4]:
-        dv = (rows["valence"].to_numpy(float)[:, None] - seeds["valence"].to_numpy(float)) / SIGMA_V
-        da = (rows["arousal"].to_numpy(float)[:, None] - seeds["arousal"].to_numpy(float)) / SIGMA_A
+        dv = (rows["valence"].astype(float)[:, None] - seeds["valence"].astype(float)) / SIGMA_V
+        da = (rows["arousal"].astype(float)[:, None] - seeds["arousal"].astype(float)) / SIGMA_A
         out += w[4] * np.exp(-0.5 * (dv**2 + da**2))
     if w[5]:
-        out += w[5] * (_cosines(_matrix(rows["instruments"]), _matrix(seeds["instruments"])) + 1) / 2
+        out += w[5] * (_cosines(rows["instruments"], seeds["instruments"]) + 1) / 2
     if w[6]:
-        moods = seeds["mood"].fillna("").to_numpy()
-        out += w[6] * ((rows["mood"].fillna("").to_numpy()[:, None] == moods) & (moods != ""))
+        named = np.array([bool(x) for x in seeds["mood"]])
+        out += w[6] * ((rows["mood"][:, None] == seeds["mood"]) & named)
     if w[7]:
-        out += w[7] * (_matrix(rows["audio_vec"]) @ _matrix(seeds["audio_vec"]).T + 1) / 2
+        out += w[7] * (rows["audio_vec"] @ seeds["audio_vec"].T + 1) / 2
+    out[rows["song_idx"][:, None] == seeds["song_idx"]] = -1
     return out
 
 
 _PARTS = ("timbre", "rhythm", "tonality", "lyrics_vec", None, "instruments", "mood", "audio_vec")
 
 
-def similar_songs(songs: DataFrame, seeds: DataFrame, k: int = 10, weights: tuple = PRODUCTION, floor: float = FLOOR, excluded: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+def _needed(weights: tuple) -> list[str]:
+    return ["song_idx", *[c for c, w in zip(_PARTS, weights) if c and w], *(["valence", "arousal"] if weights[4] else [])]
+
+
+def similar_songs(songs: DataFrame, seeds: DataFrame, k: int = 10, weights: tuple = PRODUCTION, floor: float = FLOOR, excluded: DataFrame | None = None, candidates: DataFrame | None = None, played: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, song_idx, score): for each seed the k songs of highest fused score, itself excluded.
 
-    seeds: rows of ``songs``; query_id is their song_idx. excluded: (query_id, song_idx) that must not be returned;
-    candidates: (query_id, song_idx) that alone may be. Each batch of songs is multiplied with a block of seeds, and only
-    its best rows for each seed go on, so the shuffle is k rows for each seed and batch.
+    seeds: rows of ``songs``; query_id is their song_idx. excluded: (query_id, song_idx) that must not be returned, such as
+    covers of the seed; played: (song_idx) that no query may return; candidates: (query_id, song_idx) that alone may be,
+    and that alone are scored then.
     """
-    need = ["song_idx", *[c for c, w in zip(_PARTS, weights) if c and w], *(["valence", "arousal"] if weights[4] else [])]
-    keep = k
-    if excluded is not None:
-        keep += excluded.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    whole = candidates is not None  # then any row may be among the best of those allowed
-    table, out = songs.select(*need), None
-    for block in blocks(seeds.select(*need)):
-        ids = block["song_idx"].to_numpy()
-
-        def best(batches: Iterator[pd.DataFrame], block=block, ids=ids) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                if not len(rows):
-                    continue
-                score = song_scores(rows, block, weights)
-                own = rows["song_idx"].to_numpy()
-                score[own[:, None] == ids] = -1
-                sure = np.rint(score * 1e6) / 1e6
-                n = len(rows) if whole else min(keep, len(rows))
-                for j, q in enumerate(ids):
-                    top = np.lexsort((own, -sure[:, j]))[:n]
-                    top = top[score[top, j] >= floor]
-                    if len(top):
-                        yield pd.DataFrame({"query_id": q, "song_idx": own[top], "score": sure[top, j]})
-
-        found = table.mapInPandas(best, "query_id long, song_idx long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return songs.sparkSession.createDataFrame([], "query_id long, rank int, song_idx long, score double")
-    if excluded is not None:
-        out = out.join(excluded, ["query_id", "song_idx"], "left_anti")
+    songs = excluding(songs, played)
     if candidates is not None:
-        out = out.join(candidates.select("query_id", "song_idx"), ["query_id", "song_idx"], "left_semi")
+        if excluded is not None:
+            candidates = candidates.join(excluded.select("query_id", "song_idx"), ["query_id", "song_idx"], "left_anti")
+        out = scored_pairs(candidates, songs, seeds, weights).where(F.col("raw") >= floor)
+    else:
+        asked = seeds.select(F.col("song_idx").alias("query_id"), *_needed(weights))
+        out = best_matches(songs.select(*_needed(weights)), asked, partial(song_scores, w=weights), k, floor, excluded)
     return top_per_query(out, F.col("score"), k).select("query_id", "rank", "song_idx", "score")
 
 
+def excluding(songs: DataFrame, played: DataFrame | None) -> DataFrame:
+    return songs if played is None else songs.join(played.select("song_idx"), "song_idx", "left_anti")
+
+
+def scored_pairs(pairs: DataFrame, songs: DataFrame, seeds: DataFrame, weights: tuple = PRODUCTION) -> DataFrame:
+    """(query_id, song_idx, raw, score) of given pairs (query_id, song_idx) of different songs: both rows are joined to a pair."""
+    need = _needed(weights)
+    asked = seeds.select(F.col("song_idx").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in need if c != "song_idx"])
+    met = pairs.select("query_id", "song_idx").distinct().where("query_id != song_idx").join(songs.select(*need), "song_idx").join(asked, "query_id")
+    share = lambda c: V.half_up(F.coalesce(V.cosine(F.col(c), F.col(f"q_{c}")), F.lit(0.0)))
+    gap = lambda c, s: F.pow((F.col(c) - F.col(f"q_{c}")) / s, F.lit(2))
+    parts = {
+        0: lambda: F.coalesce(V.cosine(F.col("timbre"), F.col("q_timbre")), F.lit(0.0)),
+        1: lambda: 1 - F.aggregate(F.zip_with("rhythm", "q_rhythm", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("rhythm"),
+        2: lambda: F.coalesce(V.cosine(F.col("tonality"), F.col("q_tonality")), F.lit(0.0)),
+        3: lambda: share("lyrics_vec"),
+        4: lambda: F.exp(-0.5 * (gap("valence", SIGMA_V) + gap("arousal", SIGMA_A))),
+        5: lambda: share("instruments"),
+        6: lambda: F.coalesce((F.col("mood") == F.col("q_mood")) & (F.col("mood") != ""), F.lit(False)).cast("double"),
+        7: lambda: V.half_up(V.dot(F.col("audio_vec"), F.col("q_audio_vec"))),
+    }
+    raw = sum((w * parts[i]() for i, w in enumerate(weights) if w), F.lit(0.0))
+    return met.withColumn("raw", raw).select("query_id", "song_idx", "raw", V.stable(F.col("raw")).alias("score"))
+
+
+def _vector_scores(rows: dict, seeds: dict) -> np.ndarray:
+    out = _cosines(rows["v"], seeds["v"])
+    out[rows["song_idx"][:, None] == seeds["query_id"]] = -2
+    return out
+
+
 def nearest(songs: DataFrame, seeds: DataFrame, n: int, vector: str = "audio_vec") -> DataFrame:
     """(query_id, rank, song_idx, score): the n songs of highest cosine with each seed, itself excluded."""
-    weights = (0, 0, 0, 1.0, 0, 0, 0, 0)
-    pick = lambda df: df.select("song_idx", F.col(vector).alias("lyrics_vec"))
-    out = similar_songs(pick(songs), pick(seeds), n, weights, floor=-1.0)
-    return out.withColumn("score", V.stable(2 * F.col("score") - 1))
+    out = best_matches(songs.select("song_idx", F.col(vector).alias("v")), seeds.select(F.col("song_idx").alias("query_id"), F.col(vector).alias("v")), _vector_scores, n, -1.0 - 1e-9)
+    return top_per_query(out, F.col("score"), n).select("query_id", "rank", "song_idx", "score")
+
+
+def fast_rank(scored: DataFrame, k: int, floor: float = FLOOR, pool: int = 4) -> DataFrame:
+    """The pool of a query that a re-ranker gets: the first ``pool`` times k rows over the floor, by score."""
+    return top_per_query(scored.where(F.col("score") >= floor), F.col("score"), pool * k)
 
 
 def rbf(dv: Column, da: Column, sigma_v: float | Column = 0.20, sigma_a: float | Column = 0.14) -> Column:
     return F.exp(-0.5 * (F.pow(dv / sigma_v, F.lit(2)) + F.pow(da / sigma_a, F.lit(2))))
 
 
-def by_targets(songs: DataFrame, targets: DataFrame, k: int = 10, adaptive: bool = False) -> DataFrame:
-    """(query_id, rank, song_idx, score): for each target (query_id, t_valence, t_arousal) the k nearest songs in mood space.
+def _mood_scores(rows: dict, targets: dict) -> np.ndarray:
+    dv = (rows["valence"].astype(float)[:, None] - targets["t_valence"].astype(float)) / (0.20 * targets["wide"].astype(float))
+    da = (rows["arousal"].astype(float)[:, None] - targets["t_arousal"].astype(float)) / (0.14 * targets["wide"].astype(float))
+    return np.exp(-0.5 * (dv**2 + da**2))
+
+
+def scaled_mood_scores(rows: dict, targets: dict) -> np.ndarray:
+    """The kernel with the valence's width times f, a column of the targets."""
+    dv = (rows["valence"].astype(float)[:, None] - targets["t_valence"].astype(float)) / (0.20 * targets["f"].astype(float))
+    da = (rows["arousal"].astype(float)[:, None] - targets["t_arousal"].astype(float)) / 0.14
+    return np.exp(-0.5 * (dv**2 + da**2))
+
+
+def by_targets(songs: DataFrame, targets: DataFrame, k: int = 10, adaptive: bool = False, played: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, song_idx, score): for each target (query_id, t_valence, t_arousal) the k nearest songs in mood space,
+    without those in ``played`` (song_idx).
 
     adaptive: the kernel widens where few songs are within .05 of the target (1.8 times under 50, 1.3 times under 200).
-    The targets are a small stated set; they meet the songs as a broadcast table, in blocks of BLOCK.
     """
-    out = None
-    for block in blocks(targets.select("query_id", "t_valence", "t_arousal")):
-        small = F.broadcast(songs.sparkSession.createDataFrame(block))
-        met = songs.select("song_idx", "valence", "arousal").crossJoin(small)
-        dv, da = F.col("valence") - F.col("t_valence"), F.col("arousal") - F.col("t_arousal")
-        wide: float | Column = 1.0
-        if adaptive:
-            near = met.where((F.abs(dv) <= 0.05) & (F.abs(da) <= 0.05)).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
-            met = met.join(F.broadcast(near), "query_id", "left")
-            wide = F.when(F.coalesce("near", F.lit(0)) < 50, 1.8).when(F.col("near") < 200, 1.3).otherwise(1.0)
-        met = met.withColumn("score", V.stable(rbf(dv, da, 0.20 * wide, 0.14 * wide) if adaptive else rbf(dv, da)))
-        best = top_per_query(met, F.col("score"), k).select("query_id", "rank", "song_idx", "score")
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else songs.sparkSession.createDataFrame([], "query_id long, rank int, song_idx long, score double")
+    asked = targets.select("query_id", F.col("t_valence").cast("double").alias("t_valence"), F.col("t_arousal").cast("double").alias("t_arousal"), F.lit(1.0).alias("wide"))
+    songs = excluding(songs, played).select("song_idx", "valence", "arousal")
+    if adaptive:
+        asked = stored(asked, "targets")
+        close = (F.abs(F.col("valence") - F.col("t_valence")) <= 0.05) & (F.abs(F.col("arousal") - F.col("t_arousal")) <= 0.05)
+        near = around(songs, asked, 0.0500001).where(close).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
+        wide = F.when(F.coalesce("near", F.lit(0)) < 50, 1.8).when(F.col("near") < 200, 1.3).otherwise(1.0)
+        asked = asked.join(near, "query_id", "left").withColumn("wide", wide).drop("near")
+    return top_per_query(best_matches(songs, asked, _mood_scores, k, -1.0), F.col("score"), k).select("query_id", "rank", "song_idx", "score")
+
+
+def _journey_scores(rows: dict, steps: dict, penalty: float, sigma: tuple[float, float], smooth: float, tempo: float) -> np.ndarray:
+    v = rows["audio_vec"] / np.maximum(np.linalg.norm(rows["audio_vec"], axis=1, keepdims=True), 1e-12)
+    at, bpm = np.stack([rows["valence"].astype(float), rows["arousal"].astype(float)], 1), rows["bpm"].astype(float)
+    out = np.empty((len(at), len(steps["query_id"])))
+    for j in range(out.shape[1]):
+        score = np.exp(-0.5 * (((at - (steps["t_valence"][j], steps["t_arousal"][j])) / sigma) ** 2).sum(1))
+        chosen = list(steps["artists"][j])
+        repeats = {a: min(chosen.count(a), 3) for a in chosen}
+        if repeats:
+            score *= np.array([1 - penalty * repeats.get(a, 0) for a in rows["artist"]]).clip(0)
+        last = steps["last_vec"][j]
+        if np.any(last):
+            follows = 0.5 * np.clip(v @ (last / max(np.linalg.norm(last), 1e-12)), -1, 1)
+            if not np.isnan(steps["last_bpm"][j]):
+                follows = follows + 0.5 * np.nan_to_num(np.exp(-np.abs(bpm - steps["last_bpm"][j]) / tempo))
+            score = np.where(score > 0, score + smooth * follows, score)
+        score[np.isin(rows["song_idx"].astype(np.int64), np.array(steps["used"][j], np.int64))] = -1.0
+        out[:, j] = score
+    return out
+
+
+def journeys(songs: DataFrame, ends: DataFrame, k: int = 10, penalty: float = 0.15, sigma: tuple[float, float] = (0.20, 0.14), smooth: float = 0.30, tempo: float = 20.0, played: DataFrame | None = None) -> DataFrame:
+    """(query_id, place, song_idx, score): paths of songs from (from_v, from_a) to (to_v, to_a) in mood space, a row of ``ends``
+    each: at each of k waypoints, slow at both ends, the best unused song of the whole catalogue.
+
+    A song's score is its nearness to the waypoint, less for repeated artists, plus ``smooth`` times how well it follows the
+    last one (half the cosine of the audio, half the nearness of the tempo). A waypoint without a song of positive score is
+    skipped; ties go to the smaller song_idx. One pass over the songs for each waypoint; what a path has chosen so far is a
+    written row.
+    """
+    ease = 1 / (1 + np.exp(-np.linspace(-3.0, 3.0, k)))
+    ease = (ease - ease[0]) / (ease[-1] - ease[0]) if k > 1 else np.zeros(1)
+    songs = excluding(songs, played).select("song_idx", "valence", "arousal", "bpm", "artist", "audio_vec")
+    start = {"last_vec": F.lit(None).cast("array<double>"), "last_bpm": F.lit(None).cast("double"), "used": F.array().cast("array<long>"), "artists": F.array().cast("array<string>"), "scores": F.array().cast("array<double>")}
+    state = stored(ends.select("query_id", "from_v", "from_a", "to_v", "to_a").withColumns(start), "journeys")
+    score = partial(_journey_scores, penalty=penalty, sigma=sigma, smooth=smooth, tempo=tempo)
+    for t in map(float, ease):
+        at = state.select("query_id", (F.col("from_v") + t * (F.col("to_v") - F.col("from_v"))).alias("t_valence"), (F.col("from_a") + t * (F.col("to_a") - F.col("from_a"))).alias("t_arousal"), "last_vec", "last_bpm", "used", "artists")
+        best = top_per_query(best_matches(songs, at, score, 1, 1e-12), F.col("score"), 1).select("query_id", "song_idx", "score")
+        best = best.join(songs.select("song_idx", "bpm", "artist", "audio_vec"), "song_idx")
+        new = state.join(best, "query_id", "left")
+        found = lambda more, other: F.when(F.col("song_idx").isNotNull(), more).otherwise(F.col(other)).alias(other)
+        state = stored(new.select("query_id", "from_v", "from_a", "to_v", "to_a", found(F.col("audio_vec"), "last_vec"), found(F.col("bpm"), "last_bpm"), found(F.array_append("used", F.col("song_idx")), "used"), found(F.array_append("artists", F.col("artist")), "artists"), found(F.array_append("scores", F.col("score")), "scores")), "journeys")
+    return state.select("query_id", F.posexplode(F.arrays_zip("used", "scores")).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("place"), F.col("x.used").alias("song_idx"), F.col("x.scores").alias("score"))
 
 
 def fuse(lists: DataFrame, n: int, k: int = 60) -> DataFrame:
@@ -159,34 +285,86 @@ def cap_per_artist(ranked: DataFrame, cap: int, k: int) -> DataFrame:
     return over.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "place", "song_idx", "artist")
 
 
-def near_pairs(rows: DataFrame, least: float, item: str = "song_idx", vector: str = "audio_vec", bands: int = 4) -> DataFrame:
+def near_pairs(rows: DataFrame, least: float, item: str = "song_idx", vector: str = "audio_vec", pivots: int = 64, seed: int = 5) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of unit vectors with a cosine over ``least``.
 
-    Unit vectors of that cosine are no further apart than d = sqrt(2 - 2 least), nor are their projections on any unit
-    vector. Projections on ``bands`` fixed directions are cut into cells of width d: a row is joined with rows of the
-    same or an adjacent cell in each, never with all.
+    Rows are dealt to the nearest of some pivots (rows of the table itself, chosen by a hash), which makes blocks. Vectors of
+    that cosine are no further apart than d = sqrt(2 - 2 least), so by the triangle inequality a row can have partners in a
+    block only if it is no further than the block's radius plus d from its pivot: it is sent there, and to no other block.
+    Blocks are multiplied BLOCK by BLOCK rows at a time; only pairs that reach the bound come out. Tightly grouped vectors meet
+    few others; where a table has no groups at all, the bound spares little and blocks meet blocks, but never in one task.
     """
-    width = float(np.sqrt(max(2 - 2 * least, 1e-9)))
-    dims = rows.select(F.size(vector)).limit(1).collect()
-    if not dims:
+    width = float(np.sqrt(max(2 - 2 * least, 1e-9))) + 1e-9
+    flat = stored(rows.select(F.col(item).alias("id"), V.unit(F.col(vector)).alias("v")), "vectors")
+    chosen = flat.orderBy(F.xxhash64("id", F.lit(seed))).limit(pivots).select("v").collect()
+    if not chosen:
         return rows.sparkSession.createDataFrame([], "a long, b long, cosine double")
-    q, _ = np.linalg.qr(np.random.default_rng(5).normal(size=(dims[0][0], bands)))
-    cells = F.array(*[F.floor(V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in q[:, i]])) / width).cast("int") for i in range(bands)])
-    flat = rows.select(F.col(item).alias("id"), V.unit(F.col(vector)).alias("v")).withColumn("cell", cells)
-    steps = [()]
-    for _ in range(bands):
-        steps = [(*s, d) for s in steps for d in (-1, 0, 1)]
-    around = F.array(*[F.array(*[F.col("cell")[i] + d for i, d in enumerate(s)]) for s in steps])
-    right = flat.select(F.col("id").alias("b"), F.col("v").alias("w"), F.explode(around).alias("cell"))
-    met = flat.select(F.col("id").alias("a"), "v", "cell").join(right, "cell").where("a < b")
-    return met.withColumn("cosine", V.stable(V.dot(F.col("v"), F.col("w")))).where(F.col("cosine") > least).select("a", "b", "cosine")
+    at = np.array([r["v"] for r in chosen], float)
+
+    def distances(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        made = _arrays(pa.Table.from_batches([batch]))
+        return made["id"].astype(np.int64), np.sqrt(np.maximum(((made["v"][:, None] - at[None]) ** 2).sum(2), 0))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, far = distances(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(far.argmin(1).astype(np.int32)), pa.array(far.min(1))], names=["block", "far"])
+
+    sizes = {r["block"]: (r["radius"], r["n"]) for r in flat.mapInArrow(dealt, "block int, far double").groupBy("block").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    radius = np.array([sizes.get(i, (-np.inf, 0))[0] for i in range(len(at))])
+    parts = np.array([-(-sizes.get(i, (0, 0))[1] // BLOCK) or 1 for i in range(len(at))])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, far = distances(batch)
+            home, out = far.argmin(1), []
+            for i, (own, row) in enumerate(zip(home, far)):
+                mine = int(ids[i] % parts[own])
+                # a row waits in its own part of its block, and visits every part of the blocks that may hold a partner
+                out.append((i, own, mine, 0))
+                out += [(i, j, p, 1) for j in np.flatnonzero(row <= radius + width) for p in range(parts[j])]
+            at_, block, part, guest = (np.array(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(guest.astype(np.int32)), *[c.take(pa.array(at_)) for c in batch.columns]], names=["block", "part", "guest", "id", "v"])
+
+    met = flat.mapInArrow(sent, "block int, part int, guest int, id long, v array<double>")
+    cells = met.repartition("block", "part").sortWithinPartitions("block", "part", "guest", "id")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, held = None, np.empty(0, np.int64), np.empty((0, at.shape[1]))
+        for batch in batches:
+            made = _arrays(pa.Table.from_batches([batch]))
+            keys = made["block"].astype(np.int64) << 32 | made["part"].astype(np.int64)
+            for key in np.unique(keys):
+                here = keys == key
+                if key != cell:
+                    cell, ids, held = key, np.empty(0, np.int64), np.empty((0, at.shape[1]))
+                home, visit = here & (made["guest"] == 0), here & (made["guest"] == 1)
+                ids, held = np.concatenate([ids, made["id"][home]]), np.concatenate([held, made["v"][home]])
+                left = made["id"][visit]
+                cos = np.rint((made["v"][visit] @ held.T) * 1e6) / 1e6
+                i, j = np.nonzero((cos > least) & (left[:, None] < ids))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(left[i].astype(np.int64)), pa.array(ids[j].astype(np.int64)), pa.array(cos[i, j])], names=["a", "b", "cosine"])
+
+    return cells.mapInArrow(multiplied, "a long, b long, cosine double")
+
+
+#: Rows of a block that are held at once where blocks are multiplied.
+BLOCK = 4096
+
+
+def around(songs: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """Songs and targets (query_id, t_valence, t_arousal) whose cells of mood space are the same or adjacent."""
+    cell = lambda v, a: F.array(F.floor(v / radius), F.floor(a / radius))
+    wide = F.flatten(F.array(*[F.array(*[F.array(F.floor(F.col("t_valence") / radius) + i, F.floor(F.col("t_arousal") / radius) + j) for j in (-1, 0, 1)]) for i in (-1, 0, 1)]))
+    left = targets.select("query_id", "t_valence", "t_arousal", F.explode(wide).alias("cell"))
+    return songs.select("song_idx", "valence", "arousal", cell(F.col("valence"), F.col("arousal")).alias("cell")).join(left, "cell").drop("cell")
 
 
 def within_radius(songs: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """(query_id, song_idx, distance) of songs within ``radius`` of a target in mood space, by cells of that width."""
-    cell = lambda v, a: F.array(F.floor(v / radius), F.floor(a / radius))
-    wide = F.flatten(F.array(*[F.array(*[F.array(F.floor(F.col("t_valence") / radius) + i, F.floor(F.col("t_arousal") / radius) + j) for j in (-1, 0, 1)]) for i in (-1, 0, 1)]))
-    left = targets.select("query_id", "t_valence", "t_arousal", F.explode(wide).alias("cell"))
-    met = songs.select("song_idx", "valence", "arousal", cell(F.col("valence"), F.col("arousal")).alias("cell")).join(left, "cell")
     d = F.sqrt(F.pow(F.col("valence") - F.col("t_valence"), F.lit(2)) + F.pow(F.col("arousal") - F.col("t_arousal"), F.lit(2)))
-    return met.withColumn("distance", d).where(F.col("distance") <= radius).select("query_id", "song_idx", "distance")
+    return around(songs, targets, radius).withColumn("distance", d).where(F.col("distance") <= radius).select("query_id", "song_idx", "distance")

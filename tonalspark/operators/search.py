@@ -32,6 +32,14 @@ def blocks(items: DataFrame, query: str, limit: int, order: tuple[str, ...] | No
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys))).select("item", "block", "place")
 
 
+def of_artist(songs: DataFrame, name: str) -> DataFrame:
+    """The songs of an artist of that name in whatever case; if there are none, of artists whose name contains it."""
+    low = F.lower(F.trim(F.lit(name)))
+    near = songs.where(F.lower("artist").contains(low)).withColumn("_equal", F.lower(F.trim("artist")) == low)
+    any_ = near.agg(F.coalesce(F.bool_or("_equal"), F.lit(False)).alias("_any"))
+    return near.join(F.broadcast(any_)).where(F.col("_equal") | ~F.col("_any")).drop("_equal", "_any")
+
+
 def by_trigrams(items: DataFrame, query: str, limit: int, least: float = 0.3) -> DataFrame:
     """(item, similarity) of items (item, title, artist, popularity) that hold the query or share trigrams with it."""
     q = T.trigrams(F.lit(query))

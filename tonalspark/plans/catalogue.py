@@ -9,7 +9,7 @@ from ..functions import emotion as E
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import catalogue as K
-from ..operators import entities, search
+from ..operators import entities, ranks, search
 from .registry import query, songs, table
 
 
@@ -38,8 +38,8 @@ def profile_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("percentile_bounds", "SELECT round(quantile_cont(p_retailprice, 0.05), 6) AS low, round(quantile_cont(p_retailprice, 0.95), 6) AS high FROM part")
 def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("p_retailprice", F.array(F.lit(0.05), F.lit(0.95)))
-    return table(spark, d, "part").agg(p.alias("p")).select(F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    out = ranks.percentiles(table(spark, d, "part"), "p_retailprice", {"low": 0.05, "high": 0.95})
+    return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("featured_pool", "WITH {songs} SELECT song_idx, round(0.5 * arousal + 0.3 * (bpm - 60) / 140 + 0.2 * valence, 6) AS score FROM songs ORDER BY round(0.5 * arousal + 0.3 * (bpm - 60) / 140 + 0.2 * valence, 6) DESC, song_idx LIMIT 30")
@@ -168,11 +168,43 @@ def merge_credits(spark: SparkSession, d: str) -> DataFrame:
     return entities.merged_credits(table(spark, d, "documents").select("doc_id", F.col("lang").alias("entity"), "source"), "entity", "source", "doc_id")
 
 
+def _recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks with credits, lyrics, lengths and lyrics ids that make some of them one recording, in chains too."""
+    k, c = F.col("p_partkey"), F.col
+    rows = table(spark, d, "part").join(table(spark, d, "documents").select(F.col("doc_id").alias("p_partkey"), "text"), "p_partkey", "left")
+    name = F.concat("p_name", F.when(k % 5 == 0, F.concat(F.lit(" (feat. "), "p_brand", F.lit(")"))).when(k % 5 == 1, " ft. someone").otherwise(""))
+    return rows.select(
+        k.alias("id"), name.alias("track_name"), F.concat("p_brand", F.when(k % 3 == 0, ", Brand#3").otherwise("")).alias("artists"), F.when(k % 4 == 0, F.concat(F.lit("i"), (k % 9).cast("string"))).alias("artist_ids"),
+        c("p_brand").alias("primary_artist"), F.lit(None).cast("string").alias("primary_artist_id"), (150_000 + c("p_size") * 1000).cast("long").alias("track_duration_ms"),
+        F.when(k % 2 == 0, F.left(c("text"), F.lit(300))).alias("plain_lyrics"), F.when(k % 2 == 1, F.left(c("text"), F.lit(300))).alias("synced_lyrics"), F.when(k % 6 == 0, (k % 60).cast("string")).otherwise("nan").alias("lyrics_id"),
+    )
+
+
 @query("duplicate_entities")
 def duplicate_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of parts of one name and nearly one size that are one song, by the decision of ``duplicate_pairs``."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_size").cast("double").alias("seconds"), F.split("p_type", " ").alias("words"))
-    return entities.duplicate_pairs(p)
+    """Pairs of tracks that are one recording, by titles, credits, lengths, lyrics and audio."""
+    from ..operators import retrieval
+
+    near = retrieval.near_pairs(songs(spark, d).select("song_idx", "audio_vec"), 0.985)
+    return entities.duplicate_pairs(_recordings(spark, d), near)
+
+
+@query(
+    "lyrics_id_entities",
+    r"""WITH r AS (SELECT p_partkey AS id, trim(regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', ' ', 'g')) AS title, CAST(p_partkey % 60 AS VARCHAR) AS t FROM part WHERE p_partkey % 6 = 0 AND p_name <> ''),
+    p AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.title = b.title AND a.t = b.t AND a.id < b.id) SELECT b AS node, min(a) AS label FROM p GROUP BY b UNION SELECT a, a FROM p WHERE a NOT IN (SELECT b FROM p)""",
+)
+def lyrics_id_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that one title and one lyrics id make, by the same decision and its components."""
+    rows = _recordings(spark, d).where("lyrics_id != 'nan'").withColumns({c: F.lit(None).cast("string") for c in ("plain_lyrics", "synced_lyrics")})
+    return entities.components(entities.duplicate_pairs(rows))
+
+
+@query("path_components", "WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + CASE WHEN doc_id % 50 = 48 THEN 100 ELSE 2 END AS b FROM documents WHERE doc_id % 7 <> 3), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON r.reach = n.a) SELECT node, min(reach) AS label FROM r GROUP BY node")
+def path_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of long paths, whose labels have to travel."""
+    i = F.col("doc_id")
+    return entities.components(table(spark, d, "documents").where("doc_id % 7 != 3").select(i.alias("a"), (i + F.when(i % 50 == 48, 100).otherwise(2)).alias("b")))
 
 
 @query("fuzzy_token_match", "WITH t AS (SELECT p_partkey AS id, p_brand AS artist, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_partkey // 10), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part), l AS (SELECT id, artist, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_partkey // 10), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM (SELECT p_partkey AS id, p_brand AS artist, * FROM part WHERE p_partkey % 100 = 0)), m AS (SELECT l.id AS left_id, t.id AS right_id, round(0.7 * len(list_intersect(l.w, t.w)) / len(list_distinct(list_concat(l.w, t.w))) + CASE WHEN l.artist = t.artist THEN 0.3 ELSE 0 END, 9)::DOUBLE AS score FROM l, t WHERE len(list_intersect(l.w, t.w)) > 0) SELECT left_id, right_id, score FROM m WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1")
@@ -214,5 +246,5 @@ def variants_limited(spark: SparkSession, d: str) -> DataFrame:
 @query("blocked_artists", "SELECT p_partkey FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY p_brand HAVING max(p_retailprice) < (SELECT avg(p_retailprice) FROM part) * 1.5 AND NOT bool_or(p_size = 50))")
 def blocked_artists(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", (F.col("p_size") == 50).alias("hot"))
-    mean = p.agg(F.avg("p_retailprice")).first()[0]
-    return K.blocked_artists(p, "p_brand", "p_retailprice", "hot", mean * 1.5).select("p_partkey")
+    mean = p.agg((F.avg("p_retailprice") * 1.5).alias("least"))
+    return K.blocked_artists(p.join(F.broadcast(mean)), "p_brand", "p_retailprice", "hot", F.col("least")).select("p_partkey")

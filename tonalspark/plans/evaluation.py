@@ -22,7 +22,7 @@ def _recs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _truth(s: DataFrame) -> DataFrame:
     """Songs of the seed's label are relevant."""
     q = seeds_of(s).select(F.col("song_idx").alias("query_id"), "label")
-    return s.select("song_idx", "label").join(F.broadcast(q), "label").where("song_idx != query_id").select("query_id", "song_idx")
+    return s.select("song_idx", "label").join(q, "label").where("song_idx != query_id").select("query_id", "song_idx")
 
 
 @query(
@@ -48,9 +48,8 @@ def ndcg_map_mrr(spark: SparkSession, d: str) -> DataFrame:
 )
 def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    q = seeds_of(s).select(F.col("song_idx").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in ("label", "mood", "artist")])
-    same = [(F.col(c) == F.col(f"q_{c}")).cast("int") for c in ("label", "mood", "artist")]
-    grades = s.select("song_idx", "label", "mood", "artist").join(F.broadcast(q), F.col("song_idx") != F.col("query_id")).select("query_id", "song_idx", (same[0] + same[1] + same[2]).alias("grade")).where("grade > 0")
+    same = [s.select("song_idx", c).join(seeds_of(s).select(F.col("song_idx").alias("query_id"), c), c).where("song_idx != query_id").select("query_id", "song_idx") for c in ("label", "mood", "artist")]
+    grades = same[0].unionByName(same[1]).unionByName(same[2]).groupBy("query_id", "song_idx").agg(F.count(F.lit(1)).alias("grade"))
     return M.graded_ndcg(recs, grades, 10).withColumn("ndcg", F.round("ndcg", 6))
 
 
@@ -130,8 +129,8 @@ def ewe_weights(spark: SparkSession, d: str) -> DataFrame:
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    per_query = M.accuracy(recs, _truth(s), 10).select(F.lit("fused").alias("system"), "ndcg")
-    return M.bootstrap(per_query, "system", "ndcg")
+    per_query = M.accuracy(recs, _truth(s), 10).select(F.lit("fused").alias("system"), "query_id", "ndcg")
+    return M.bootstrap(per_query, "system", "query_id", "ndcg")
 
 
 @query("wilcoxon")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalogue import songs, table
+from ..sources.tracks import TRACKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql.replace("{songs}", SONGS)
+            ORACLES[name] = sql.replace("{songs}", SONGS).replace("{tracks}", "tracks AS (" + TRACKS.format(part="part", documents="documents") + ")")
         return f
 
     return add

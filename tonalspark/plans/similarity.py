@@ -56,7 +56,7 @@ def similar_items_all_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "similar_restrict_candidates",
-    f"""WITH {{songs}}, {_FUSED}, near AS (SELECT q.song_idx AS query_id, s.song_idx, round_even((list_cosine_similarity(s.audio_vec, q.audio_vec) + 1) / 2 * 1e6, 0) AS c FROM songs s, seeds q WHERE s.song_idx <> q.song_idx),
+    f"""WITH {{songs}}, {_FUSED}, near AS (SELECT q.song_idx AS query_id, s.song_idx, round_even(list_cosine_similarity(s.audio_vec, q.audio_vec) * 1e6, 0) AS c FROM songs s, seeds q WHERE s.song_idx <> q.song_idx),
     cands AS (SELECT query_id, song_idx FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, song_idx) <= 50)
     SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, song_idx, score FROM sure JOIN cands USING (query_id, song_idx) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, song_idx) QUALIFY row_number() OVER w <= 10""",
 )
@@ -71,12 +71,21 @@ def similar_restrict_candidates(spark: SparkSession, d: str) -> DataFrame:
 )
 def exclude_played(spark: SparkSession, d: str) -> DataFrame:
     s = songs(spark, d)
-    played = s.where("song_idx % 7 = 3 AND song_idx < 100").select("song_idx")
-    pairs = seeds_of(s).select(F.col("song_idx").alias("query_id")).join(F.broadcast(played))
-    return retrieval.similar_songs(s, seeds_of(s), 10, excluded=pairs)
+    return retrieval.similar_songs(s, seeds_of(s), 10, played=s.where("song_idx % 7 = 3 AND song_idx < 100"))
 
 
-@query("knn_pairs", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, round_even(round_even((list_cosine_similarity(a.x, b.x) + 1) / 2 * 1e6, 0) / 1e6 * 2e6 - 1e6, 0) / 1e6 AS score, round_even((list_cosine_similarity(a.x, b.x) + 1) / 2 * 1e6, 0) AS s FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, song_idx, score FROM n WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, song_idx) QUALIFY row_number() OVER w <= 7")
+@query(
+    "exclude_covers",
+    f"WITH {{songs}}, {_FUSED} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, song_idx, score FROM sure s WHERE NOT EXISTS (SELECT 1 FROM songs a JOIN songs b ON a.artist = b.artist WHERE a.song_idx = s.query_id AND b.song_idx = s.song_idx) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, song_idx) QUALIFY row_number() OVER w <= 10",
+)
+def exclude_covers(spark: SparkSession, d: str) -> DataFrame:
+    """For each seed its own list of songs that aren't wanted: here those of its artist."""
+    s = songs(spark, d)
+    covers = seeds_of(s).select(F.col("song_idx").alias("query_id"), "artist").join(s.select("song_idx", "artist"), "artist").select("query_id", "song_idx")
+    return retrieval.similar_songs(s, seeds_of(s), 10, excluded=covers)
+
+
+@query("knn_pairs", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, round_even(list_cosine_similarity(a.x, b.x) * 1e6, 0) / 1e6 AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, song_idx, score FROM n WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, song_idx) QUALIFY row_number() OVER w <= 7")
 def knn_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("song_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("audio_vec"))
     return retrieval.nearest(v, seeds_of(v), 7)
@@ -84,8 +93,8 @@ def knn_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "knn_fallback_vector",
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, b.x, round_even((list_cosine_similarity(a.x, b.x) + 1) / 2 * 1e6, 0) / 1e6 AS s FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-    t AS (SELECT *, round_even(s * 2e6 - 1e6, 0) / 1e6 AS w FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, song_idx) <= 10),
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, b.x, round_even(list_cosine_similarity(a.x, b.x) * 1e6, 0) / 1e6 AS w FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, song_idx) <= 10),
     e AS (SELECT query_id, w, unnest(x) AS x, generate_subscripts(x, 1) AS dim FROM t)
     SELECT query_id, CAST(dim AS INTEGER) AS dim, round(sum(w * x) / sum(w), 6) AS value FROM e GROUP BY query_id, dim""",
 )
@@ -108,9 +117,8 @@ def colors(spark: SparkSession) -> DataFrame:
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """The twelve colours in mood space: the share of songs below each colour's valence and arousal."""
-    s = songs(spark, d)
     c = colors(spark).select("query_id", C.valence_arousal(F.col("hex")).alias("m")).select("query_id", F.round("m.valence", 6).alias("v"), F.round("m.arousal", 6).alias("a"))
-    return ranks.target_quantile(s, "arousal", ranks.target_quantile(s, "valence", c, "v", "t_valence"), "a", "t_arousal").select("query_id", "t_valence", "t_arousal")
+    return ranks.target_quantiles(songs(spark, d), c, "query_id", {"t_valence": ("valence", "v"), "t_arousal": ("arousal", "a")})
 
 
 _COLORS = "colors(query_id, name, hex) AS (VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(C.COLORS.items())) + ")"
@@ -164,6 +172,12 @@ def color_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.by_targets(songs(spark, d), _targets(spark, d))
 
 
+@query("color_exclude_played", f"WITH {{songs}}, {_TARGETS}, sure AS (SELECT query_id, song_idx, round_even(exp(-0.5 * (power((valence - t_valence) / 0.20, 2) + power((arousal - t_arousal) / 0.14, 2))) * 1e6, 0) / 1e6 AS score FROM songs, targets WHERE song_idx % 5 <> 2 OR song_idx >= 300) {_RANKED}")
+def color_exclude_played(spark: SparkSession, d: str) -> DataFrame:
+    s = songs(spark, d)
+    return retrieval.by_targets(s, _targets(spark, d), played=s.where("song_idx % 5 = 2 AND song_idx < 300"))
+
+
 @query(
     "color_adaptive_sigma",
     f"""WITH {{songs}}, {_TARGETS}, met AS (SELECT query_id, song_idx, valence - t_valence AS dv, arousal - t_arousal AS da FROM songs, targets),
@@ -179,8 +193,8 @@ def radius_truth(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.within_radius(songs(spark, d), _targets(spark, d), 0.25).withColumn("distance", F.round("distance", 9))
 
 
-_LISTS = """audio AS (SELECT q.song_idx AS query_id, s.song_idx, row_number() OVER (PARTITION BY q.song_idx ORDER BY round_even((list_cosine_similarity(s.audio_vec, q.audio_vec) + 1) / 2 * 1e6, 0) DESC, s.song_idx) AS rank FROM songs s, songs q WHERE q.song_idx % 100 = 0 AND s.song_idx <> q.song_idx),
-words AS (SELECT q.song_idx AS query_id, s.song_idx, row_number() OVER (PARTITION BY q.song_idx ORDER BY round_even((list_cosine_similarity(s.lyrics_vec, q.lyrics_vec) + 1) / 2 * 1e6, 0) DESC, s.song_idx) AS rank FROM songs s, songs q WHERE q.song_idx % 100 = 0 AND s.song_idx <> q.song_idx),
+_LISTS = """audio AS (SELECT q.song_idx AS query_id, s.song_idx, row_number() OVER (PARTITION BY q.song_idx ORDER BY round_even(list_cosine_similarity(s.audio_vec, q.audio_vec) * 1e6, 0) DESC, s.song_idx) AS rank FROM songs s, songs q WHERE q.song_idx % 100 = 0 AND s.song_idx <> q.song_idx),
+words AS (SELECT q.song_idx AS query_id, s.song_idx, row_number() OVER (PARTITION BY q.song_idx ORDER BY round_even(list_cosine_similarity(s.lyrics_vec, q.lyrics_vec) * 1e6, 0) DESC, s.song_idx) AS rank FROM songs s, songs q WHERE q.song_idx % 100 = 0 AND s.song_idx <> q.song_idx),
 sums AS (SELECT query_id, song_idx, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM audio WHERE rank <= 40 UNION ALL SELECT *, 0.5::DOUBLE FROM words WHERE rank <= 40) GROUP BY query_id, song_idx)"""
 
 
@@ -213,31 +227,52 @@ for _name, _choose, _k in (("mmr_rerank", rerank.mmr, 40), ("dpp_rerank", rerank
     query(_name)(lambda spark, d, choose=_choose, k=_k: rerank.by_query(_pool(spark, d, k), choose()))
 
 
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    t = _targets(spark, d)
+    return t.alias("a").join(t.alias("b"), F.expr("b.query_id = pmod(a.query_id + 1, 12)")).select("a.query_id", *[F.col(f"{x}.t_{k}").alias(f"{n}_{k[0]}") for x, n in (("a", "from"), ("b", "to")) for k in ("valence", "arousal")])
+
+
 @query("mood_journey")
 def mood_journey(spark: SparkSession, d: str) -> DataFrame:
-    """From each colour to the next: the pool of a path are the 50 best songs at each of its ten waypoints."""
-    t = _targets(spark, d)
-    ends = t.alias("a").join(t.alias("b"), F.expr("b.query_id = pmod(a.query_id + 1, 12)")).select("a.query_id", *[F.col(f"{x}.t_{k}").alias(f"{n}_{k[0]}") for x, n in (("a", "from"), ("b", "to")) for k in ("valence", "arousal")])
-    ease = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (1 / (1 + F.exp(-(i * 6 / 9 - 3))) - 1 / (1 + F.exp(F.lit(3.0)))) / (1 / (1 + F.exp(F.lit(-3.0))) - 1 / (1 + F.exp(F.lit(3.0)))))
-    steps = ends.select("*", F.posexplode(ease).alias("step", "t"))
-    points = steps.select((F.col("query_id") * 10 + F.col("step")).alias("query_id"), *[(F.col(f"from_{k}") + F.col("t") * (F.col(f"to_{k}") - F.col(f"from_{k}"))).alias(n) for k, n in (("v", "t_valence"), ("a", "t_arousal"))])
+    """From each colour to the next, without the songs that were played."""
+    s = songs(spark, d)
+    return retrieval.journeys(s, _ends(spark, d), played=s.where("song_idx % 50 = 7"))
+
+
+@query("mood_journey_starts", f"WITH {{songs}}, {_TARGETS}, sure AS (SELECT query_id, song_idx, round_even(exp(-0.5 * (power((valence - t_valence) / 0.20, 2) + power((arousal - t_arousal) / 0.14, 2))) * 1e6, 0) / 1e6 AS score FROM songs, targets WHERE song_idx % 50 <> 7) SELECT CAST(query_id AS BIGINT) AS query_id, 1 AS place, song_idx, score FROM sure QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_idx) = 1")
+def mood_journey_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The first songs of the journeys, which follow nothing."""
     s = songs(spark, d)
-    pool = retrieval.by_targets(s, points, 50).select(F.expr("query_id div 10").alias("query_id"), "song_idx").distinct()
-    rows = pool.join(F.broadcast(ends), "query_id").join(s, "song_idx").withColumn("score", F.lit(0.0))
-    return rerank.by_query(rows, rerank.journey())
+    return retrieval.journeys(s, _ends(spark, d), k=1, played=s.where("song_idx % 50 = 7"))
+
+
+_COPIED = """versions AS (SELECT song_idx, artist, title, audio_vec FROM songs UNION ALL SELECT song_idx + 1000000, artist, title, list_concat([audio_vec[1] + 0.3 * (1 + song_idx % 3)], audio_vec[2:]) FROM songs WHERE song_idx % 5 = 0)"""
 
 
-@query("near_duplicate_pairs", "WITH {songs} SELECT a.song_idx AS a, b.song_idx AS b, round_even(list_cosine_similarity(a.audio_vec, b.audio_vec) * 1e6, 0) / 1e6 AS cosine FROM songs a JOIN songs b ON a.song_idx < b.song_idx WHERE round_even(list_cosine_similarity(a.audio_vec, b.audio_vec) * 1e6, 0) / 1e6 > 0.9")
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """The songs, and copies of every fifth whose audio is a little different, some more than others."""
+    s = songs(spark, d).select("song_idx", "artist", "title", "audio_vec")
+    first = F.get("audio_vec", F.lit(0)) + 0.3 * (1 + F.col("song_idx") % 3)
+    copies = s.where("song_idx % 5 = 0").select((F.col("song_idx") + 1_000_000).alias("song_idx"), "artist", "title", F.concat(F.array(first), F.slice("audio_vec", 2, 63)).alias("audio_vec"))
+    return s.unionByName(copies)
+
+
+_NEAR = "SELECT a.song_idx AS a, b.song_idx AS b, round_even(list_cosine_similarity(a.audio_vec, b.audio_vec) * 1e6, 0) / 1e6 AS cosine FROM versions a JOIN versions b ON a.song_idx < b.song_idx WHERE round_even(list_cosine_similarity(a.audio_vec, b.audio_vec) * 1e6, 0) / 1e6 > 0.85"
+
+
+@query("near_duplicate_pairs", f"WITH {{songs}}, {_COPIED} {_NEAR}")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.near_pairs(songs(spark, d), 0.9)
+    return retrieval.near_pairs(_versions(spark, d), 0.85)
 
 
-@query("cover_index", "WITH {songs}, p AS (SELECT a.song_idx AS a, b.song_idx AS b FROM songs a JOIN songs b ON a.song_idx < b.song_idx WHERE round_even(list_cosine_similarity(a.audio_vec, b.audio_vec) * 1e6, 0) / 1e6 > 0.9 UNION SELECT a.song_idx, b.song_idx FROM songs a JOIN songs b ON a.artist = b.artist AND left(a.title, 20) = left(b.title, 20) AND a.song_idx < b.song_idx), e AS (SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p) SELECT src, count(*) AS n, min(dst) AS first, max(dst) AS last FROM e GROUP BY src")
+@query("cover_index", f"WITH {{songs}}, {_COPIED}, k AS (SELECT song_idx, artist, left(title, 20) AS start, min(song_idx) OVER (PARTITION BY artist, left(title, 20)) AS first FROM versions), p AS (SELECT a, b FROM ({_NEAR}) UNION SELECT first, song_idx FROM k WHERE first < song_idx), e AS (SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p) SELECT src, count(*) AS n, min(dst) AS first, max(dst) AS last FROM e GROUP BY src")
 def cover_index(spark: SparkSession, d: str) -> DataFrame:
-    s = songs(spark, d)
-    key = s.select(F.col("song_idx").alias("id"), "artist", F.left("title", F.lit(20)).alias("start"))
-    named = key.join(key.withColumnRenamed("id", "b"), ["artist", "start"]).where("id < b").select(F.col("id").alias("a"), "b")
-    pairs = retrieval.near_pairs(s, 0.9).select("a", "b").unionByName(named)
+    """Each version with those that sound like it, and with the first of its artist and title: a group of any size is a star."""
+    s = _versions(spark, d)
+    key = s.select("song_idx", "artist", F.left("title", F.lit(20)).alias("start"))
+    first = key.groupBy("artist", "start").agg(F.min("song_idx").alias("a"))
+    named = key.join(first, ["artist", "start"]).where("a < song_idx").select("a", F.col("song_idx").alias("b"))
+    pairs = retrieval.near_pairs(s, 0.85).select("a", "b").unionByName(named)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first"), F.max("dst").alias("last"))
 
@@ -291,7 +326,7 @@ def trigram_search(spark: SparkSession, d: str) -> DataFrame:
 @query("fuzzy_typo_recovery")
 def fuzzy_typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("popularity"))
-    return search.typo_matches(items, "prat 12").withColumn("ratio", F.round("ratio", 4))
+    return search.typo_matches(items, "smalll rnig", least=80.0).withColumn("ratio", F.round("ratio", 4))
 
 
 @query("lyric_snippet")

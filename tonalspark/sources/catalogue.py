@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators.ranks import with_rank
+from .shared import exists, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_prepared: dict[tuple[str, str], str] = {}
+
+
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared catalogue of a folder: made once for an application, written to the shared folder and read from there, as
+    a service prepares its features before it answers queries. It is made again if the written table is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _prepared.get(key)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        path = _prepared[key] = written(catalogue(spark, sf_dir), "songs")
+    return spark.read.schema(SONGS_SCHEMA).parquet(path)
+
+
+SONGS_SCHEMA = "song_idx long, track_id string, title string, artist string, mood string, bpm double, popularity double, size int, label int, audio_vec array<double>, lyrics_vec array<double>, valence double, arousal double"
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue made of ``embeddings`` and ``part``: audio vectors with names, tempo, popularity, and a place in mood
     space by the ranks of price and size. The lyrics vector is the first half of the audio vector, of unit length."""
     e, p = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "part")
@@ -31,7 +48,8 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: x.cast("double")).alias("audio_vec"),
         V.unit(F.slice("embedding", 1, 32)).alias("lyrics_vec"),
     )
-    return with_rank(with_rank(base, "popularity", "valence"), "size", "arousal")
+    ranked = with_rank(with_rank(base, "popularity", "valence"), "size", "arousal")
+    return ranked.select(*[c.split()[0] for c in SONGS_SCHEMA.split(", ")])
 
 
 def csv(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
