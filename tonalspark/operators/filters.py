@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.cleaning import text_of
+from ..sources.shared import stored
 
 #: Kinds of names that match without marks; the others match as they are written, but for case, spaces and hyphens.
 UNMARKED = ("current", "old", "channel", "blocked")
@@ -115,15 +116,11 @@ def pending(df: DataFrame, done: list[DataFrame], key: str) -> DataFrame:
 
 def frontier(edges: DataFrame, start: DataFrame, most_rounds: int = 20) -> DataFrame:
     """(node, depth) reached from ``start`` (node) along edges (src, dst), breadth first; each round meets only what the last
-    one found, and what was found is written where the session's checkpoints go."""
-    from .entities import checkpoints
-
-    checkpoints(edges.sparkSession)
-    found = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    new = found
+    one found, and what was found is written to the shared folder."""
+    found = new = stored(start.select("node").distinct().withColumn("depth", F.lit(0)), "found")
     for depth in range(1, most_rounds + 1):
         ahead = edges.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        new = ahead.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = stored(ahead.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)), "found")
         if new.isEmpty():
             break
         found = found.unionByName(new)
