@@ -35,17 +35,28 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 60 % or more of a benchmark item in runs of five words or more, or 30 words in runs of ten."""
+    """Drops documents that hold 60 % or more of a benchmark item in runs of five words or more, or 30 words in runs of ten.
+
+    Null and empty texts hold nothing and stay; repeated rows share their fate; columns of any name stay as they are.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples half of the tokens so that sources, languages and topics weigh as the square roots of their tokens do."""
+    """Samples half of the tokens so that sources, languages and topics weigh as the square roots of their tokens do.
+
+    A null source or language is a value of its own; documents without words follow their cell; rows of one doc_id share
+    their fate, those without one are told apart by source, language, topic and length. Columns stay as they are.
+    """
     return mixing.sample(docs, fraction=0.5, temper=0.5)
 
 
 def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Appends the documents to a new store in the shared folder and compacts it; adds each row's shard."""
+    """Appends the documents to a new store in the shared folder and compacts it; adds each row's shard.
+
+    Rows stay as they are, with nulls, empty texts and repeats; a column shard is replaced, other names don't clash. An empty
+    table comes back empty. Each call has a store of its own, so a stage that is run again doesn't add to the first one's.
+    """
     return sharding.sharded(docs, scratch(spark, "corpus"))
 
 

@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import math
 import os
 import random
+import re
 import threading
 import tracemalloc
 import warnings
@@ -13,11 +15,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tonalspark.llm import decontamination, fingerprints, graph, jaccard_join, language_id, line_dedup, mixing, queries, sharding, token_counts, url_filter, warc
+from tonalspark.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, queries, sharding, token_counts, url_filter, warc
 from tonalspark.llm.common import shingles, word_hashes
 
 from .conftest import prose
@@ -59,6 +62,72 @@ def test_templates_are_merged_and_rejected(spark):
     assert len({r["template"] for r in got}) == 2
 
 
+def plain_shape(segment):
+    segment = re.sub(r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|[0-9]+", "9", segment)
+    return regex.sub(r"\p{L}+", "a", segment)
+
+
+def plain_templates(urls, fan_out=20, per_branch=3.0, z=1.96):
+    """The path tree by dictionaries: urls is (host, path) -> (labelled, bad)."""
+    rows = [[host, path, [] if path == "" else (path[1:] if path.startswith("/") else path).split("/"), "", n, bad] for (host, path), (n, bad) in urls.items()]
+    out, level = {}, 0
+    while rows:
+        for host, path, segs, prefix, *_ in rows:
+            if len(segs) <= level:
+                out[host, path] = prefix
+        rows = [r for r in rows if len(r[2]) > level]
+        branches, nodes, alike = {}, {}, {}
+        for host, _, segs, prefix, n, bad in rows:
+            b = branches.setdefault((host, prefix, segs[level]), [0, 0, 0, set()])
+            b[0], b[1], b[2] = b[0] + 1, b[1] + n, b[2] + bad
+            b[3].add(plain_shape("/".join(segs[level + 1 :])))
+        for (host, prefix, seg), (count, n, bad, behind) in branches.items():
+            node = nodes.setdefault((host, prefix), [0, 0])
+            node[0], node[1] = node[0] + 1, node[1] + count
+            a = alike.setdefault((host, prefix, plain_shape(seg), min(behind), max(behind)), [0, 0, 0])
+            a[0], a[1], a[2] = a[0] + 1, a[1] + n, a[2] + bad
+        for r in rows:
+            host, _, segs, prefix, *_ = r
+            seg = segs[level]
+            count, n, bad, behind = branches[host, prefix, seg]
+            fan, reached = nodes[host, prefix]
+            members, all_n, all_bad = alike[host, prefix, plain_shape(seg), min(behind), max(behind)]
+            pooled = (all_bad + 1) / (all_n + 2)
+            off = abs(bad - n * pooled) / math.sqrt(pooled * (1 - pooled) * max(n, 1))
+            token = "*" if fan >= fan_out and reached < per_branch * fan else f"*{plain_shape(seg)}" if members > 1 and off <= z else seg
+            r[3] = f"{prefix}/{token}"
+        level += 1
+    return out
+
+
+def test_verdicts_against_a_plain_tree(spark):
+    rng = random.Random(27)
+    paths = ["", "/", "no/slash", "//", "/a//b/"]
+    paths += [f"/{rng.choice(['news', 'spam', 'blog'])}/{rng.randrange(2000)}/{rng.choice(['x', 'y.html', 'page-12', 'deadbeef01'])}" for _ in range(150)]
+    paths += [f"/shop/{rng.choice('abc')}{rng.randrange(4)}/item/{rng.randrange(5)}/{'v/' * rng.randrange(4)}{rng.randrange(50)}" for _ in range(150)]
+    pages = [(i, f"http://{rng.choice(['h.com', 'h.com', 'Other.org'])}{'' if not p or p[0] == '/' else '/'}{p}?q") for i, p in enumerate(rng.choice(paths) for _ in range(500))]
+    labels = [(i, int("spam" in u or rng.random() < 0.2)) for i, u in pages if rng.random() < 0.6]
+    got = collected(url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), []))
+    bad, urls = dict(labels), {}
+    for r in got:
+        n = urls.setdefault((r["host"], r["path"]), [0, 0])
+        if r["page_id"] in bad:
+            n[0], n[1] = n[0] + 1, n[1] + bad[r["page_id"]]
+    template = plain_templates(urls)
+    sums, hosts, whole = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0]), [0, 0]
+    for (host, path), (n, b) in urls.items():
+        for s in (sums[host, template[host, path]], hosts[host], whole):
+            s[0], s[1] = s[0] + n, s[1] + b
+    for r in got:
+        host = r["host"]
+        n, b = sums[host, template[host, r["path"]]]
+        prior = (hosts[host][1] + 4 * (whole[1] + 1) / (whole[0] + 2)) / (hosts[host][0] + 4)
+        share = (b + 4 * prior) / (n + 4)
+        assert r["template"] == template[host, r["path"]] and abs(r["bad_share"] - share) < 1e-9
+        assert r["verdict"] == ("block" if n >= 5 and share >= 0.6 else "allow")
+    assert {r["verdict"] for r in got} == {"block", "allow"} and len({r["template"] for r in got}) < len(urls) / 3
+
+
 def test_deep_paths_are_told_apart_at_any_level(spark):
     for deep in ("a/b/c/d/e", "a/b/c/d/e/f/g/h/i/j/k"):
         pages = [(i, f"http://h/{deep}/{i}/spam") for i in range(30)] + [(100 + i, f"http://h/{deep}/{i}/news") for i in range(30)] + [(200, f"http://h/{deep}/"), (201, "http://h"), (202, "http://h/a")]
@@ -152,6 +221,65 @@ def test_raking_and_calibration(spark, odd, none):
     assert mixing.sample(odd).columns == odd.columns and mixing.sample(none).count() == 0
 
 
+def test_topics_are_found_across_languages(spark):
+    rng = random.Random(5)
+    subjects = [[f"{s}word{i}" for i in range(12)] for s in ("sports", "cooking", "planets")]
+    tongues = [[f"{s}common{i}" for i in range(30)] for s in ("english", "deutsch")]
+    rows = []
+    for i in range(240):
+        subject, lang = i % 3, i // 3 % 2
+        words = [rng.choice(subjects[subject]) for _ in range(25)] + [rng.choice(tongues[lang]) for _ in range(40)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), ["en", "de"][lang]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    got = {r["doc_id"]: r["topic"] for r in collected(mixing.profiled(docs, topics=3))}
+    assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in got)  # by subject, whatever the language
+    again = {r["doc_id"]: r["topic"] for r in collected(mixing.profiled(docs.repartition(3), topics=3))}
+    assert again == got  # the same in any order
+
+
+def test_kept_documents_against_plain_raking(spark):
+    """The whole query by loops over dictionaries: cells, rounds of raking, calibration by bisection, and the hash that decides."""
+    rng = random.Random(14)
+    rows = [(i if i % 40 else None, prose(rng, rng.randrange(0, 60)), rng.choice(["en", "de", "fr", None]), rng.choice("aabbbbc")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(3)
+    profile = collected(mixing.profiled(docs))
+    cells = collections.Counter()
+    for r in profile:
+        cells[r["source"], r["lang"] or "", str(r["topic"])] += r["n_tokens"]
+    cells = {k: float(n) for k, n in cells.items()}
+    total, w = 0.4 * sum(cells.values()), {k: 0.4 * n for k, n in cells.items()}
+    aims = []
+    for at in range(3):
+        sums = collections.Counter()
+        for k, n in cells.items():
+            sums[k[at]] += n
+        roots = {v: math.sqrt(n) for v, n in sums.items() if n}
+        aims.append({v: x / sum(roots.values()) * total for v, x in roots.items()})
+    for _ in range(100):
+        off = 0.0
+        for at, aim in enumerate(aims):
+            now = collections.Counter()
+            for k, x in w.items():
+                now[k[at]] += x
+            off = max(off, *(abs(now[v] - aim.get(v, 0)) / total for v in now))
+            w = {k: min(cells[k], x * aim.get(k[at], 0) / now[k[at]] if now[k[at]] else 0.0) for k, x in w.items()}
+        if off <= 1e-9:
+            break
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * min(1, c * w[k] / n) for k, n in cells.items() if n) < total else (low, c)
+    got = collected(mixing.survey(docs, fraction=0.4, temper=0.5))
+    assert len(got) == len(rows)
+    for r in got:
+        k = (r["source"], r["lang"] or "", str(r["topic"]))
+        p = min(1.0, high * w[k] / cells[k]) if cells[k] else 0.0
+        own = str(r["doc_id"]) if r["doc_id"] is not None else "/".join(str(x) for x in (r["source"], r["lang"], r["topic"], r["n_tokens"]) if x is not None)
+        u = int(hashlib.md5(f"1/{own}".encode()).hexdigest()[:8], 16) / 2**32
+        assert abs(r["probability"] - p) < 1e-7 and (r["kept"] == (u < p) or abs(u - p) < 1e-7)
+
+
 def test_both_ways_of_raking_stop_alike(spark):
     rng = random.Random(4)
     cells = pd.DataFrame([(s, k, t, float(rng.randrange(1, 1000))) for s in "abc" for k in ("de", "en") for t in "012"], columns=[*mixing.DIMENSIONS, "tokens"])
@@ -198,6 +326,38 @@ def test_language_is_learned_from_whole_texts(spark):
     assert len(head) > 3000 and all(r["lang_pred"] == r["lang"] for r in collected(language_id.identify(asked, model)))
 
 
+def test_decoding_against_plain_loops():
+    rng = np.random.default_rng(6)
+    for n in (2, 4, 9):
+        codes = language_id.codewords(n)
+        bits = codes.shape[1]
+        model = language_id.Model([str(i) for i in range(n)], codes, rng.normal(size=(language_id.BUCKETS, bits)).astype(np.float32), rng.random(bits) + 0.1)
+        x = rng.normal(size=(40, language_id.BUCKETS)).astype(np.float32) / 30
+        best, score, close = model.decode(x)
+        for i in range(40):
+            margins = [math.tanh(2 * float(x[i] @ model.weights[:, b])) for b in range(bits)]
+            losses = [sum(model.trust[b] * max(0.0, 1 - margins[b] * codes[k][b]) for b in range(bits)) / sum(model.trust) for k in range(n)]
+            order = sorted(range(n), key=lambda k: losses[k])
+            gap = losses[order[1]] - losses[order[0]]
+            assert best[i] == order[0] and (close[i] == (gap < 0.05) or abs(gap - 0.05) < 1e-6)
+            assert abs(score[i] - 1 / sum(math.exp(-6 * (x - losses[order[0]])) for x in losses)) < 1e-5
+
+
+def test_both_systems_of_a_ridge_have_one_solution():
+    rng = np.random.default_rng(2)
+    for n, d in ((30, 50), (80, 20)):
+        x, t = rng.normal(size=(n, d)), rng.normal(size=(n, 3))
+        plain = np.linalg.lstsq(np.vstack([x, np.sqrt(0.3) * np.eye(d)]), np.vstack([t, np.zeros((d, 3))]), rcond=None)[0]
+        assert np.allclose(language_id.ridge_weights(x, t, 0.3), plain)
+
+
+def test_rows_without_ids_teach(spark):
+    docs = spark.createDataFrame([(None, ("der die das und " if i % 2 else "the of and to ") * (1 + i), "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_lang=15)
+    assert model.langs == ["de", "en"]
+    assert all(r["lang_pred"] == r["lang"] for r in collected(language_id.identify(docs, model)))
+
+
 # 5 and near copies
 
 
@@ -274,7 +434,7 @@ def test_jaccard_of_odd_rows(spark, odd, none):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40)], "a long, b long")
-    assert {(r["node"], r["label"]) for r in collected(graph.components(edges))} == {(i, 0) for i in range(21)} | {(50, 40), (40, 40)}
+    assert {(r["node"], r["label"]) for r in collected(jaccard_join.components(edges))} == {(i, 0) for i in range(21)} | {(50, 40), (40, 40)}
 
 
 # 6
@@ -410,6 +570,65 @@ def test_edit_survey(spark, odd, none):
     assert fingerprints.fingerprints(odd).count() == odd.count()
 
 
+def plain_fingerprint(text):
+    """Byte by byte, with whole numbers."""
+    low32, low64, n = (1 << 32) - 1, (1 << 64) - 1, len(text)
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & low64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & low64
+        return x ^ (x >> 31)
+
+    def window(end):  # of the seven bytes before ``end``
+        h = 0
+        for b in text[end - 7 : end]:
+            h = (h * 0x01000193 + b) & low32
+        h ^= h >> 15
+        return (h * 0x85EBCA6B & low32) >> 8
+
+    hashes = {end: window(end) for end in range(7, n + 1)}
+
+    def pieces(block):
+        out, start = [], 0
+        while True:
+            low, high = max(start + max(block // 2, 1), 7), max(start + 2 * block, 7)
+            end = next((e for e in range(low, min(high, n) + 1) if hashes[e] % block == block - 1), None)
+            if end is None:
+                if high >= n:
+                    break
+                end = max(range(low, high + 1), key=lambda e: (hashes[e], e))
+            if end >= n:
+                break
+            out.append(text[start:end])
+            start = end
+        return [*out, text[start:]]
+
+    def signature(block):
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(letters[mix(sum(mix(b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(piece)) & low64) >> 58] for piece in pieces(block))
+
+    if not n:
+        return "1::"
+    block = 1
+    while block * 48 < n:
+        block *= 2
+    while block > 1 and len(pieces(block)) < 24:
+        block //= 2
+    while len(pieces(block)) > 64:
+        block *= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprints_against_plain_loops():
+    rng = random.Random(12)
+    texts = [b"", b"a", b"abcdefg", b"abcdefgh", b"x" * 500, b"ab" * 700, ("é中🎉 " * 90).encode()]
+    texts += [prose(rng, n).encode() for n in (3, 20, 150, 700)] + [bytes(rng.choice(b"ab\n") for _ in range(n)) for n in (40, 400, 3000)] + [b"one line that repeats\n" * 120 + prose(rng, 30).encode()]
+    for text in texts:
+        assert fingerprints.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_edit_distances():
     rng = random.Random(3)
     a, b = (["".join(rng.choice("ABC") for _ in range(rng.randrange(65))) for _ in range(200)] for _ in range(2))
@@ -609,6 +828,11 @@ def test_pipeline(spark, odd, none):
     rows = collected(out)
     source = {r["doc_id"]: r for r in collected(spark.read.parquet(f"{DIR}/documents.parquet"))}
     assert 0 < len(rows) < len(source) and all(source[r["doc_id"]]["text"] == r["text"] for r in rows)
+    for table in (odd, none):
+        got = corpus_pipeline.in_shards(spark, table, DIR)
+        rest = [c for c in table.columns if c != "shard"]
+        assert got.columns == [*rest, "shard"] and collections.Counter(map(repr, got.select(*rest).collect())) == collections.Counter(map(repr, table.select(*rest).collect()))
+        assert collections.Counter(map(repr, corpus_pipeline.in_shards(spark, table, DIR).select(*rest).collect())) == collections.Counter(map(repr, table.select(*rest).collect()))  # a rerun has a store of its own
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for table in (odd, none):
             got = stage(spark, table, DIR)

@@ -2,47 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import open_fs, scratch, written
+
+__all__ = ["ASCII_SPACE", "arrow_map", "mixed", "open_fs", "remove", "scratch", "shingles", "signed", "stored", "utf8", "word_hashes", "words_of"]
+
 #: The white space of every contract here: what ``bytes.split()`` and ``bytes.strip()`` use.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 _U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests in local mode) a temporary folder is made and kept in the session.
-    Checkpoints go there too.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, schema = df.sparkSession, df.schema
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = written(df, name)
     spark._jvm.System.gc()  # what the write has shuffled goes when the driver's collector finds that nothing refers to it
     return spark.read.schema(schema).parquet(path)
 
@@ -52,11 +32,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it, for reading and writing inside tasks."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
-
-
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2048) -> DataFrame:
     """``f`` over every ``rows`` rows at most; the columns it returns are those of ``schema``, in its order."""
 

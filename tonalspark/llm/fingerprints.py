@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,9 +193,15 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted({*(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])}) if n > 1 else []
-    part = F.expr("array_position(transform(array({0}), c -> doc_id >= c), false)".format(", ".join(f"{c}L" for c in cuts) or "0L")) if cuts else F.lit(0)
-    # the position of the first bound above the id; 0 where it is above none of them, or null
-    rows = rows.select(F.when(F.col("doc_id").isNull(), 0).when(part == 0, len(cuts)).otherwise(part - 1).cast("int").alias("part"), "doc_id", "text")
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        """The number of bounds that an id has reached; null ids are in the first range."""
+        none = ids.isna()
+        return pd.Series(np.where(none, 0, np.searchsorted(bounds, ids.where(~none, 0).astype(np.int64), side="right"))).astype("int32")
+
+    rows = rows.select((part("doc_id") if len(bounds) else F.lit(0)).alias("part"), "doc_id", "text")
     firsts = sorted((r.part, r.id) for r in rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").alias("id"))).alias("m")).select("part", "m.id").collect())
     before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
     tails = None
@@ -208,7 +215,8 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         )
     out = rows.select("part", F.lit(False).alias("tail"), "doc_id", "text")
     out = out.unionByName(tails) if tails is not None else out
-    return out.repartition(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    # by range, so that a partition has a range of ids, and not the several that one hash may fall to
+    return out.repartitionByRange(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

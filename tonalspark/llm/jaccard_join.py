@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.entities import components
 from .common import arrow_map, mixed, shingles, signed, stored, utf8, words_of
-from .graph import components
 
 _U = np.uint64
 #: Rows multiplied with one row in one run of a task, and rows of a block where blocks are multiplied.

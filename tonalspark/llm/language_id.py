@@ -94,7 +94,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | None:
-    """Learns from a bounded sample: about ``per_lang`` rows of each label, chosen by a hash of their ids. Features are
+    """Learns from a bounded sample: about ``per_lang`` rows of each label, chosen by a hash of their ids (of their texts where the
+    id is null). Features are
     those of whole texts, made in the tasks; the driver gets vectors alone. Rows without label, text or letters teach
     nothing; None if no row is left."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | Non
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 1.5 * per_lang / n)) for k, n in sorted(sizes.items())])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(11)), F.lit(1 << 20))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [features(text.as_py()) for text in batch.column(2)]
@@ -119,13 +120,20 @@ def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | Non
     x, y = np.stack([x for _, x in pairs]).astype(np.float64), np.array([langs.index(k) for k, _ in pairs])
     weigh = np.sqrt(len(y) / len(langs) / np.bincount(y, minlength=len(langs)))[y]  # classes count alike
     targets = codes[y]
-    scaled = x * weigh[:, None]
-    dual = np.linalg.solve(scaled @ scaled.T + ridge * np.eye(len(y)), targets * weigh[:, None])
-    weights = scaled.T @ dual
+    weights = ridge_weights(x * weigh[:, None], targets * weigh[:, None], ridge)
     trust = np.maximum(((x @ weights * targets) > 0).mean(0) - 0.5, 0.01)
     return Model(langs, codes, weights.astype(np.float32), trust)
 
 
+def ridge_weights(x: np.ndarray, targets: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge regressions of each column of the targets, by the smaller of the two systems that have the same solution: as many
+    equations as rows, or as columns, so never more than BUCKETS of them."""
+    n, d = x.shape
+    if n <= d:
+        return x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(n), targets)
+    return np.linalg.solve(x.T @ x + ridge * np.eye(d), x.T @ targets)
+
+
 def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
     """Adds (lang_pred string, score double, ambiguous boolean) to the columns of ``docs`` (or those in ``carry``), from
     whole texts alone.

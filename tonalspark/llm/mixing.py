@@ -1,12 +1,15 @@
 """Mixes sources to target weights by iterative proportional fitting.
 
-Tokens are summed by cell (source, language, topic); raking scales the cells until every marginal has its target
-share. Each document is then kept with its cell's calibrated probability, decided by a hash of its id.
+Topics are clusters of documents by their content words, apart from what their language has in common. Tokens are summed by
+cell (source, language, topic); raking scales the cells until every marginal has its target share. Each document is then kept
+with its cell's calibrated probability, decided by a hash of its id.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,39 +26,159 @@ DRIVER_CELLS = 100_000
 #: Raking ends when no sum of a value is off its target by this share of all tokens, or after so many rounds, with a
 #: warning. Both paths stop by these.
 ROUNDS, TOLERANCE = 100, 1e-9
+#: Numbers of a document's vector, classes of languages whose means are taken off, rounds of clustering, and documents from which
+#: the first centres are chosen (all documents then move them).
+WIDTH, LANGUAGES, CLUSTERING, FIRST = 256, 64, 6, 1000
 
 
-def profiled(docs: DataFrame, topics: int = 8, carry: list[str] | None = None) -> DataFrame:
-    """Adds topic int and n_tokens long to the columns of ``docs`` (or those in ``carry``), from whole texts.
+def words_and_vector(text: bytes | None) -> tuple[int, np.ndarray]:
+    """The words of a text between ASCII white space, and square roots of the counts of its words of six bytes or more by hash,
+    of length 1000, as whole numbers: sums of them are the same in any order. Zeros without such words."""
+    words = (text or b"").lower().split()
+    long = [w for w in words if len(w) >= 6]
+    counts = np.sqrt(np.bincount((word_hashes(long) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH))
+    return len(words), np.rint(counts * (1000 / max(np.linalg.norm(counts), 1e-9))).astype(np.int16)
 
-    Tokens are words between ASCII white space. The topic is the one of ``topics`` hash classes that most words of six
-    or more bytes belong to (the lowest, if several do): documents that share their content words share the topic. A
-    text without such words, also a null one, has topic 0. Columns of these names that the input has are replaced.
+
+def _language_class() -> Column:
+    return F.pmod(F.xxhash64("lang"), F.lit(LANGUAGES)).cast("int")
+
+
+@dataclass
+class Topics:
+    """Centres of clusters and the means of the classes of languages, sent with the tasks."""
+
+    centres: np.ndarray
+    means: np.ndarray
+
+    def of(self, vectors: np.ndarray, languages: np.ndarray) -> np.ndarray:
+        """The nearest centre of each vector less its language's mean; 0 for a vector of zeros."""
+        rest = vectors - self.means[languages]
+        near = (rest @ self.centres.T - (self.centres**2).sum(1) / 2).argmax(1)
+        return np.where(vectors.any(1), near, 0).astype(np.int32)
+
+
+def vectors(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns in ``carry`` with language int, n_tokens long and vector binary of every whole text."""
+    rows = docs.select(*carry, _language_class().alias("language"), "text")
+    width = len(rows.columns) - 1
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [words_and_vector(text) for text in utf8(batch.column(width))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([n for n, _ in made], pa.int64()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=[*batch.schema.names[:width], "n_tokens", "vector"])
+
+    return arrow_map(rows, of, StructType(rows.schema.fields[:width]).add("n_tokens", "long").add("vector", "binary"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, WIDTH).astype(np.float64)
+
+
+def _sums(made: DataFrame, group, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the vectors of each group and their counts: summed in the tasks, then by Spark; kinds x WIDTH numbers come
+    to the driver, however many documents there are."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((kinds, WIDTH + 1), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column(1))
+                of = group(v, batch.column(0).to_numpy())
+                rows = np.column_stack([v, np.ones(len(v))]).astype(np.int64)
+                for k in np.unique(of):
+                    sums[k] += rows[of == k].sum(0)
+        k, place = np.nonzero(sums)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sums[k, place])], names=["k", "place", "s"])
+
+    out = np.zeros((kinds, WIDTH + 1), np.int64)
+    for row in made.select("language", "vector").mapInArrow(partial, "k int, place int, s long").groupBy("k", "place").agg(F.sum("s").alias("s")).collect():
+        out[row["k"], row["place"]] = row["s"]
+    return out[:, :WIDTH], out[:, WIDTH]
+
+
+def fit_topics(made: DataFrame, topics: int = 8) -> Topics:
+    """Clusters of all rows of ``vectors``: the first centres are those of FIRST rows chosen by a hash, then come rounds of
+    assigning every row and taking means."""
+    made = made.select("language", "vector")
+    sums, n = _sums(made, lambda v, language: language, LANGUAGES)
+    means = sums / np.maximum(n, 1)[:, None]
+    some = made.orderBy(F.xxhash64("vector"), "vector", "language").limit(FIRST).collect()
+    rest = np.array([np.frombuffer(r["vector"], np.int16) - means[r["language"]] for r in some if any(r["vector"])])
+    if not len(rest):
+        return Topics(np.zeros((topics, WIDTH)), means)
+    model = Topics(first_centres(rest, topics), means)
+    for _ in range(CLUSTERING):
+        fixed = model
+        sums, n = _sums(made, lambda v, language, m=fixed: m.of(v, language) * LANGUAGES + language, topics * LANGUAGES)
+        by_topic = (sums - n[:, None] * np.tile(means, (topics, 1))).reshape(topics, LANGUAGES, WIDTH).sum(1)
+        count = n.reshape(topics, LANGUAGES).sum(1)
+        model = Topics(np.where(count[:, None] > 0, by_topic / np.maximum(count, 1)[:, None], fixed.centres), means)
+    return model
+
+
+def first_centres(rows: np.ndarray, topics: int, starts: int = 10, seed: int = 3) -> np.ndarray:
+    """The tightest of several clusterings of a few rows, each begun from rows that are likely to be far apart."""
+    best, least = rows[np.zeros(topics, int)], np.inf
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        centres = [rows[rng.integers(len(rows))]]
+        for _ in range(topics - 1):
+            gaps = np.min([((rows - c) ** 2).sum(1) for c in centres], axis=0)
+            centres.append(rows[rng.choice(len(rows), p=gaps / gaps.sum())] if gaps.sum() else rows[0])
+        now = np.array(centres)
+        for _ in range(10):
+            apart = (rows**2).sum(1)[:, None] - 2 * rows @ now.T + (now**2).sum(1)
+            of = apart.argmin(1)
+            now = np.array([rows[of == k].mean(0) if (of == k).any() else now[k] for k in range(topics)])
+        if (spread := apart.min(1).sum()) < least:
+            best, least = now, spread
+    return best
+
+
+def assigned(made: DataFrame, model: Topics) -> DataFrame:
+    """The rows of ``vectors`` with topic int instead of language and vector."""
+    rest = [c for c in made.columns if c not in ("language", "vector")]
+    rows = made.select(*rest, "language", "vector")
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        topic = model.of(_matrix(batch.column(len(rest) + 1)), batch.column(len(rest)).to_numpy())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(topic)], names=[*batch.schema.names[: len(rest)], "topic"])
+
+    return arrow_map(rows, of, StructType(rows.schema.fields[: len(rest)]).add("topic", "integer"))
+
+
+def profiled(docs: DataFrame, topics: int = 8, model: Topics | None = None) -> DataFrame:
+    """Adds topic int and n_tokens long to the columns of ``docs`` (doc_id, text, lang and others), from whole texts.
+
+    Tokens are words between ASCII white space. The topic is the nearest of ``topics`` clusters of all documents by their words
+    of six bytes or more, once what is common to a language is taken off, so a topic has documents of all languages. A text
+    without such words, also a null one, has topic 0. Columns of these names that the input has are replaced.
     """
     docs = docs.drop("topic", "n_tokens")
-    docs = docs.select(*[c for c in docs.columns if c != "text" and (carry is None or c in carry)], "text")
-    width = len(docs.columns) - (carry is not None and "text" not in carry)
+    if model is None:
+        model = fit_topics(stored(vectors(docs, []), "vectors"), topics)
+    rows = docs.withColumn("__language", _language_class())
+    width, at = len(docs.columns), docs.columns.index("text")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        topic, tokens = [], []
-        for text in utf8(batch.column(batch.num_columns - 1)):
-            words = (text or b"").lower().split()
-            tokens.append(len(words))
-            long = [w for w in words if len(w) >= 6]
-            topic.append(int(np.bincount((word_hashes(long) % np.uint64(topics)).astype(np.int64), minlength=topics).argmax()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(topic, pa.int32()), pa.array(tokens, pa.int64())], names=[*batch.schema.names[:width], "topic", "n_tokens"])
+        made = [words_and_vector(text) for text in utf8(batch.column(at))]
+        topic = model.of(np.array([v for _, v in made], float).reshape(-1, WIDTH), batch.column(width).to_numpy())
+        return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(topic), pa.array([n for n, _ in made], pa.int64())], names=[*batch.schema.names[:width], "topic", "n_tokens"])
 
-    return arrow_map(docs, of, StructType(docs.schema.fields[:width]).add("topic", "integer").add("n_tokens", "long"))
+    return arrow_map(rows, of, StructType(docs.schema.fields).add("topic", "integer").add("n_tokens", "long"))
 
 
 def _key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> np.ndarray:
     """The raked tokens of each cell. Cells without tokens stay without; targets of values that no cell with tokens has
-    are left out, and each dimension's other targets are scaled to a sum of one."""
-    w = cells["tokens"].to_numpy(float).copy()
+    are left out, and each dimension's other targets are scaled to a sum of one. With a ``fraction`` that share of all tokens is
+    dealt, and no cell gets more than it has: what a full cell can't take, the next rounds deal to the others."""
+    tokens = cells["tokens"].to_numpy(float)
+    w, most = tokens * (fraction or 1.0), tokens if fraction else np.inf
     total, steps = w.sum(), []
     for name, wanted in targets.items():
         codes, values = pd.factorize(cells[name])
@@ -67,7 +190,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int
         for codes, aim in steps:
             now = np.bincount(codes, w, len(aim))
             off = max(off, np.abs(now - aim).max(initial=0) / max(total, 1))
-            w = w * np.divide(aim, now, out=np.zeros_like(aim), where=now > 0)[codes]
+            w = np.minimum(w * np.divide(aim, now, out=np.zeros_like(aim), where=now > 0)[codes], most)
         if off <= tolerance:
             break
     else:
@@ -79,22 +202,23 @@ def _not_met(rounds: int, off: float, tolerance: float) -> None:
     warnings.warn(f"raking stopped after {rounds} rounds with a sum off its target by {off:.3g} of all tokens (tolerance {tolerance:.3g}): the targets can't all be met, or are met slowly", RuntimeWarning, stacklevel=3)
 
 
-def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> DataFrame:
     """The same for any number of cells: a sum and a join for each dimension and round; a round is one job, cut by a
     written table, and the largest deviation that it met decides whether another follows."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total = (cells.agg(F.sum("tokens")).first()[0] or 0) * (fraction or 1.0)
     spark, names, aims = cells.sparkSession, cells.columns, {}
     for k, wanted in targets.items():
         aim = cells.groupBy(k).agg(F.sum("tokens").alias("now")).where("now > 0").join(spark.createDataFrame([*wanted.items()], f"{k} string, aim double"), k).select(k, "aim")
         whole = aim.agg(F.sum("aim")).first()[0] or 1.0
         aims[k] = stored(aim.withColumn("aim", F.col("aim") / whole * total), "aims")
-    out = cells.withColumn("raked", F.col("tokens").cast("double"))
+    most = F.col("tokens").cast("double") if fraction else F.lit(float("inf"))
+    out = cells.withColumn("raked", F.col("tokens") * F.lit(fraction or 1.0))
     for _ in range(rounds):
         out = out.withColumn("off", F.lit(0.0))
         for k, aim in aims.items():
             sums = out.groupBy(k).agg(F.sum("raked").alias("now")).where("now > 0").join(aim, k, "left")
             step = out.join(sums, k, "left").withColumn("off", F.greatest("off", F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("aim", F.lit(0.0)))))
-            out = step.withColumn("raked", F.coalesce(F.col("raked") * F.col("aim") / F.col("now"), F.lit(0.0))).select(*names, "raked", "off")
+            out = step.withColumn("raked", F.least(F.coalesce(F.col("raked") * F.col("aim") / F.col("now"), F.lit(0.0)), most)).select(*names, "raked", "off")
         out = stored(out, "cells")
         off = (out.agg(F.max("off")).first()[0] or 0.0) / max(total, 1)
         out = out.drop("off")
@@ -138,8 +262,8 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
     """Adds probability double and kept boolean to ``docs``, which has the columns of ``profiled``.
 
     profile: the same rows, as far as cells are counted from them (doc_id, source, lang, topic, n_tokens). The expected
-    tokens of what is kept are ``fraction`` of all, and their marginals the targets, as far as no cell needs more tokens
-    than it has; where raking ends before they are met, a RuntimeWarning says by how much. A null source or language is
+    tokens of what is kept are ``fraction`` of all, and their marginals the targets, with no cell giving more tokens than
+    it has; where raking ends before they are met, a RuntimeWarning says by how much. A null source or language is
     the value ''. Documents without tokens are in no cell's sum and have the probability of their cell. Rows of one
     doc_id share their fate. An empty table gives an empty result; columns probability and kept of the input are replaced.
     """
@@ -149,7 +273,7 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
     if (n := cells.count()) <= DRIVER_CELLS:
         small = cells.toPandas().sort_values(list(DIMENSIONS)).reset_index(drop=True)
         small["tokens"] = small["tokens"].astype(float)
-        raked = rake(small, targets or tempered(small, temper))
+        raked = rake(small, targets or tempered(small, temper), fraction=fraction)
         small["probability"] = calibrate(small["tokens"].to_numpy(), raked, fraction * small["tokens"].sum())
         rows = list(small[[*DIMENSIONS, "probability"]].itertuples(index=False, name=None))
         known = F.broadcast(spark.createDataFrame(rows, "source string, lang string, topic string, probability double"))
@@ -159,7 +283,7 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
             for k in DIMENSIONS:
                 sums = {r[0]: float(r[1]) ** temper for r in cells.groupBy(k).agg(F.sum("tokens")).where("sum(tokens) > 0").collect()}
                 targets[k] = {v: x / sum(sums.values()) for v, x in sums.items()}
-        raked = stored(_rake_by_spark(cells, targets), "raked")
+        raked = stored(_rake_by_spark(cells, targets, fraction=fraction), "raked")
         total = raked.agg(F.sum("tokens")).first()[0] or 0
         low, high = 0.0, 1e9
         ratio = F.coalesce(F.col("raked") / F.col("tokens"), F.lit(0.0))
@@ -175,16 +299,24 @@ def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: fl
     return out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("kept", chance(seed) < F.col("probability"))
 
 
+def _profile(docs: DataFrame) -> tuple[DataFrame, Topics]:
+    """(doc_id, source, lang, n_tokens, topic) of every document, and the topics' model; one scan of the texts."""
+    made = stored(vectors(docs, ["doc_id", "source", "lang"]), "vectors")
+    model = fit_topics(made)
+    return stored(assigned(made, model), "profile"), model
+
+
 def survey(docs: DataFrame, fraction: float = 0.5, temper: float = 0.5, seed: int = 1) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, kept) of every document."""
-    profile = stored(profiled(docs, carry=["doc_id", "source", "lang"]), "profile")
+    """(doc_id, source, lang, n_tokens, topic, probability, kept) of every document."""
+    profile, _ = _profile(docs)
     return mixed(profile, profile, fraction, temper, seed=seed)
 
 
 def sample(docs: DataFrame, fraction: float = 0.5, temper: float = 0.5, seed: int = 1) -> DataFrame:
-    """The kept rows of ``docs``, with their columns. Texts are read twice and not shuffled."""
-    profile = stored(profiled(docs, carry=["doc_id", "source", "lang"]), "profile")
+    """The kept rows of ``docs``, with their columns. Texts are read twice; they are shuffled only if there are too many cells
+    to be sent with the tasks."""
+    profile, model = _profile(docs)
     clashes = {c: f"own_{c}" for c in docs.columns if c in ("topic", "n_tokens", "probability", "kept")}
-    rows = profiled(docs.withColumnsRenamed(clashes))
+    rows = profiled(docs.withColumnsRenamed(clashes), model=model)
     out = mixed(rows, profile, fraction, temper, seed=seed).where("kept").drop("topic", "n_tokens", "probability", "kept")
     return out.withColumnsRenamed({v: k for k, v in clashes.items()}).select(*docs.columns)

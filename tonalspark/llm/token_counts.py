@@ -119,6 +119,17 @@ class WordTransducer:
         return self.step(state, word[-1] + self.end).count
 
 
+def _steps(normalizer: dict | None) -> list[str]:
+    """The kinds of a normaliser's steps, in their order."""
+    if not normalizer:
+        return []
+    if normalizer["type"] == "Replace" and normalizer["pattern"].get("Regex") == r"\s+" and not normalizer["content"].strip():
+        return ["Space"]
+    if normalizer["type"] == "Sequence":
+        return [k for n in normalizer["normalizers"] for k in _steps(n)]
+    return [normalizer["type"]]
+
+
 class Counter(dict):
     """Tokens of a piece of text without ASCII white space, remembered for pieces met before."""
 
@@ -129,16 +140,19 @@ class Counter(dict):
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("only byte-pair vocabularies over words can be compiled")
+        steps = _steps(spec.get("normalizer"))
+        if not set(steps) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Space"}:
+            raise ValueError(f"a normaliser of {steps} may change ASCII words in ways that aren't compiled")
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre = library.normalizer, library.pre_tokenizer
         self.words = WordTransducer(model["merges"], model["vocab"], model.get("end_of_word_suffix") or "")
         marks = [t["content"] for t in spec["added_tokens"]]
-        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        self.lower = "Lowercase" in steps
         self.special = re.compile("|".join(map(re.escape, marks))) if marks else re.compile(r"(?!)")
 
     def __missing__(self, piece: bytes) -> int:
         if piece.isalpha():  # ASCII letters are one word as they stand
-            return self.kept(piece, self.words.count(piece.lower().decode()))
+            return self.kept(piece, self.words.count((piece.lower() if self.lower else piece).decode()))
         if piece[-1] in b".,;:!?" and piece[:-1].isalpha():
             return self.kept(piece, self[piece[:-1]] + self.words.count(chr(piece[-1])))
         text, n = piece.decode("utf-8", "replace"), 0

@@ -1,7 +1,7 @@
 """WARC archives with revisit records for payloads that are stored already.
 
-Headers are shuffled by payload digest to find the first response of each payload; other records of that payload
-become revisits that refer to it. Tasks write archive files of their own names; only files that a committed manifest
+Headers are shuffled by payload digest to find the first response of each payload; records are joined with it by digest, and
+those that aren't the first become revisits that refer to it. Tasks write archive files of their own names; only files that a committed manifest
 names count, so what a lost executor left half-written is never read.
 """
 
@@ -74,8 +74,9 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds digest (hex SHA-1 of the payload) and first (page_id, url) where a record revisits another page.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the smallest page_id is the response (all its rows,
-    if it repeats; a null page_id is the largest). Headers alone are shuffled, summed before the shuffle; only digests
-    that several records share are joined back, and Spark splits a digest that a third of the pages share.
+    if it repeats: records of one page_id and payload can't be told apart; a null page_id is the largest). The first of a
+    payload is found from headers alone, summed before the shuffle. Digests that several records share are then joined to
+    the pages, which carries payloads once; Spark splits a digest that a third of the pages share.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
