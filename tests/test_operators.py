@@ -92,7 +92,7 @@ def test_wilcoxon_and_bootstrap(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.random(40) + 0.2, rng.random(40))], "a double, b double")
     assert metrics.wilcoxon(rows, "a", "b").first()["p"] < 0.05
-    ci = metrics.bootstrap(rows.select(F.lit("s").alias("g"), "a"), "g", "a", draws=2000).first()
+    ci = metrics.bootstrap(rows.select(F.lit("s").alias("g"), "a"), "g", "a", "a", draws=2000).first()
     assert ci["low"] < ci["mean"] < ci["high"]
 
 

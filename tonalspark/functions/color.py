@@ -170,3 +170,18 @@ def ciede2000(p: Column, q: Column) -> Column:
     return F.sqrt(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh)
 
 
+def client_mood(hex_: Column) -> Column:
+    """struct(valence, arousal) of any colour by its lightness and chroma, as a client guesses it; the middle for broken ones."""
+    def mood(lab: Column) -> Column:
+        light, chroma = lab[0] / 100, F.sqrt(lab[1] * lab[1] + lab[2] * lab[2]) / 130
+        cut = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+        return F.struct(cut(0.69 * light + 0.22 * chroma).alias("valence"), cut(-0.31 * light + 0.6 * chroma).alias("arousal"))
+
+    middle = F.struct(F.lit(0.5).alias("valence"), F.lit(0.5).alias("arousal"))
+    return F.when(hex_.rlike("^#[0-9A-Fa-f]{6}$"), let(cielab(hex_), mood)).otherwise(middle)
+
+
+def mood_atmosphere(valence: Column, arousal: Column) -> Column:
+    """struct(hue, sat, light) from cool indigo to warm amber."""
+    hue = F.pmod((250 + (35 - 250) * valence) / 360, F.lit(1.0))
+    return F.struct(hue.alias("hue"), (0.3 + 0.55 * arousal).alias("sat"), (0.32 + 0.34 * valence).alias("light"))

@@ -36,6 +36,22 @@ def canonical_title(title: Column) -> Column:
     return match_text(F.regexp_replace(bare, r"\s(?:feat\.?|ft\.?|prod\.?|w/)\s.*$", " "))
 
 
+#: What begins the note of a version behind a title.
+VERSIONS = ["(feat", "(ft.", "(ft ", "feat.", " ft.", "(remix", "(acoustic", "(live", "(cover", "(piano", "(instrumental", "(karaoke", "(ost", "(ver.", "(version", "(prod.", "(prod ", "(theme"]
+
+
+def cover_title(title: Column) -> Column:
+    """Cut before the first note of a version that doesn't begin it, and normalised."""
+    low = F.lower(F.trim(title))
+    at = F.array_min(F.filter(F.array(*[F.locate(k, low, 2) for k in VERSIONS]), lambda i: i > 1))
+    return match_text(F.when(at.isNotNull(), F.substring(low, F.lit(1), at - 1)).otherwise(low))
+
+
+def artist_key(names: Column, letters: int = 15) -> Column:
+    """The first letters and digits of the first of a credit's names, without marks."""
+    return F.substring(F.regexp_replace(F.coalesce(no_marks(F.get(F.split(names, ","), F.lit(0))), F.lit("")), "[^a-z0-9]+", ""), 1, letters)
+
+
 def base_title(title: Column) -> Column:
     """Without anything in brackets and without a leading track number."""
     return match_text(F.regexp_replace(F.regexp_replace(title, r"[\(\[][^\)\]]*[\)\]]", " "), r"^\s*\d{1,3}\s*[\.\-]\s*", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 
 
 def one_per_key(df: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
@@ -125,3 +126,23 @@ def upsert_known(old: DataFrame, new: DataFrame, songs: DataFrame, key: str) ->
     """Rows of ``new`` replace those of ``old`` by key, where the catalogue has the key; others of ``old`` stay."""
     known = new.join(songs.select(key).distinct(), key, "left_semi")
     return old.join(known.select(key), key, "left_anti").unionByName(known)
+
+
+def checked_vectors(df: DataFrame, vectors: DataFrame, key: str, vector: str, out: str) -> DataFrame:
+    """Adds a unit vector by key if there are as many vectors as rows; else the signal is off: null in all rows."""
+    sizes = df.agg(F.count(F.lit(1)).alias("_rows")).join(vectors.agg(F.count(F.lit(1)).alias("_vectors")))
+    fits = sizes.select((F.col("_rows") == F.col("_vectors")).alias("_fits"))
+    met = df.join(vectors.select(key, F.col(vector).alias("_v")), key, "left").join(F.broadcast(fits))
+    return met.withColumn(out, F.when(F.col("_fits"), V.unit(F.col("_v")))).drop("_v", "_fits")
+
+
+def canonical_credits(df: DataFrame, key: str, names: str) -> DataFrame:
+    """(key, credits): credits in which each artist has one spelling: of those that are equal without marks the one with marks, then
+    the one that is used most; where all spellings have marks, they stay. Spellings are counted over the whole table."""
+    flat = df.select(key, F.posexplode(T.artists(F.col(names))).alias("at", "name")).withColumn("plain", T.match_text(F.col("name")))
+    marked = F.lower("name") != T.no_marks(F.col("name"))
+    counts = flat.groupBy("plain", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("plain").agg(F.min(F.struct((~marked).alias("unmarked"), (-F.col("n")).alias("n"), "name")).alias("b"), F.bool_and(marked).alias("all_marked"))
+    chosen = best.where("plain != '' AND NOT all_marked").select("plain", F.col("b.name").alias("to"))
+    new = flat.join(chosen, "plain", "left").withColumn("name", F.coalesce("to", "name"))
+    return new.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ", ").alias("credits"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import stored
 from .ranks import carried, places, suffix_min, with_rank
 
 
@@ -177,6 +178,7 @@ def agreement_weights(df: DataFrame, signals: list[str], rounds: int = 10, toler
     weights = {c: 1 / len(signals) for c in signals}
     for c in signals:
         df = with_rank(df, c, f"_r_{c}")
+    df = stored(df.select(*signals, *[f"_r_{c}" for c in signals]), "signals")
     for _ in range(rounds):
         consensus = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
         ranked = with_rank(df.withColumn("_c", F.round(consensus, 12)), "_c", "_rc")
@@ -257,3 +259,14 @@ def weight_grid(parts: DataFrame, signals: list[str], steps: int = 10, k: int =
     ranked = grid.withColumn("rank", F.row_number().over(Window.partitionBy("_i", "query_id").orderBy(score.desc(), "song_idx"))).where(F.col("rank") <= k)
     gain = ranked.groupBy("w", "query_id").agg(F.sum(F.col("good") / F.log2(F.col("rank") + 1)).alias("n"))
     return gain.groupBy("w").agg(F.avg("n").alias("ndcg"))
+
+
+def bundle(recs: DataFrame, truth: DataFrame, songs: DataFrame, k: int) -> DataFrame:
+    """All metrics of each query in one row: those against the truth, and those of the list itself."""
+    return accuracy(recs, truth, k).join(spread(recs, songs), "query_id", "left")
+
+
+def dashboard(df: DataFrame, artist: str, numbers: list[str], texts: list[str]) -> DataFrame:
+    """(name, value): rows, artists, means of numbers and shares of rows that have a text, of one pass."""
+    row = df.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct(artist).cast("double").alias("artists"), *[F.avg(c).alias(f"mean_{c}") for c in numbers], *[F.avg((F.trim(F.coalesce(F.col(c), F.lit(""))) != "").cast("double")).alias(f"with_{c}") for c in texts])
+    return row.unpivot([], row.columns, "name", "value")

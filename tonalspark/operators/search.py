@@ -50,14 +50,55 @@ def by_trigrams(items: DataFrame, query: str, limit: int, least: float = 0.3) ->
 
 def best_token_match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """(left_id, right_id, score): the best row of ``right`` for each of ``left`` (id, title, artist), by .7 of the Jaccard of
-    the titles' words and .3 if the artists are equal. Rows meet on shared words only; overlaps are summed, so no word's
-    rows are compared with each other by anything but that sum."""
-    words = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("artist").alias(f"{p}_artist"), F.size(T.tokens(F.col("title"))).alias(f"{p}_n"), F.explode(T.tokens(F.col("title"))).alias("word"))
-    met = words(left, "left").join(words(right, "right"), "word").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("common"), F.first("left_n").alias("ln"), F.first("right_n").alias("rn"), F.first(F.col("left_artist") == F.col("right_artist")).alias("same"))
-    score = 0.7 * F.col("common") / (F.col("ln") + F.col("rn") - F.col("common")) + F.when(F.col("same"), 0.3).otherwise(0.0)
+    the titles' words and .3 if the artists are equal.
+
+    A score of ``least`` takes a Jaccard of t = (least - .3) / .7, and two sets that alike have a word in common among the
+    n - ceil(t n) + 1 rarest of each. Rows meet on those alone, so the commonest words of a table are met by short titles only;
+    whole sets decide.
+    """
+    t = max((least - 0.3) / 0.7, 1e-9)
+    words = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("artist").alias(f"{p}_artist"), T.tokens(F.col("title")).alias(f"{p}_words")).where(F.size(f"{p}_words") > 0)
+    l, r = words(left, "left"), words(right, "right")
+    counts = l.select(F.explode("left_words").alias("word")).unionByName(r.select(F.explode("right_words").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(df: DataFrame, p: str) -> DataFrame:
+        flat = df.select(f"{p}_id", F.size(f"{p}_words").alias("size"), F.explode(f"{p}_words").alias("word")).join(counts, "word")
+        sorted_ = flat.groupBy(f"{p}_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        first = F.slice("w", F.lit(1), (F.col("size") - F.ceil(t * F.col("size") - 1e-9) + 1).cast("int"))
+        return sorted_.select(f"{p}_id", F.explode(first).alias("w")).select(f"{p}_id", F.col("w.word").alias("word"))
+
+    pairs = rare(l, "left").join(rare(r, "right"), "word").select("left_id", "right_id").distinct()
+    met = pairs.join(l, "left_id").join(r, "right_id")
+    score = 0.7 * T.jaccard(F.col("left_words"), F.col("right_words")) + F.when(F.col("left_artist") == F.col("right_artist"), 0.3).otherwise(0.0)
     best = met.withColumn("score", F.round(score, 9)).where(F.col("score") >= least)
-    pick = F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))
-    return best.withColumn("n", pick).where("n = 1").select("left_id", "right_id", "score")
+    return best.groupBy("left_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("b")).select("left_id", F.col("b.right_id").alias("right_id"), (-F.col("b.s")).alias("score"))
+
+
+def index(songs: DataFrame, item: str, artist: str, title: str, body: str, popularity: str) -> DataFrame:
+    """(item, artist, title, body, popularity) with normalised texts, made once and searched often."""
+    return songs.select(F.col(item).alias("item"), *[T.match_text(F.col(c)).alias(n) for c, n in ((artist, "artist"), (title, "title"), (body, "body"))], F.col(popularity).alias("popularity"))
+
+
+def smart(items: DataFrame, query: str, limit: int, semantic: DataFrame | None = None, least_similarity: float = 0.3, typos: float | None = 82.0) -> DataFrame:
+    """(item, block, place) of an index: what the query's words find (blocks 0 to 2, see ``blocks``), then what means the same
+    (3; semantic: item, similarity), then titles and artists that are spelt nearly so (4). An item is in its first block."""
+    text = blocks(items, query, limit).select("item", "block", F.col("place").cast("double").alias("order"))
+    parts = [text]
+    if semantic is not None:
+        parts.append(semantic.where(F.col("similarity") >= least_similarity).orderBy(F.col("similarity").desc(), "item").limit(limit).select("item", F.lit(3).alias("block"), (-F.col("similarity")).alias("order")))
+    if typos is not None:
+        names = items.select("artist").where("artist != ''").distinct().select(F.col("artist").alias("item"), F.col("artist").alias("title"), F.lit(0.0).alias("popularity"))
+        near = typo_matches(names, query, typos, 1).select(F.col("item").alias("artist"), "ratio")
+        of_artists = items.join(near, "artist").select("item", "ratio").orderBy("item").limit(limit)
+        titles = typo_matches(items.select("item", "title", "popularity"), query, typos, limit).select("item", "ratio")
+        parts += [x.select("item", F.lit(4).alias("block"), (-F.col("ratio")).alias("order")) for x in (of_artists, titles)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    first = found.groupBy("item").agg(F.min(F.struct("block", "order")).alias("b")).select("item", F.col("b.block").alias("block"), F.col("b.order").alias("order"))
+    keys = ["block", "order", "item"]
+    top = first.orderBy(*keys).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*keys))).select("item", "block", "place")
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -129,3 +129,20 @@ def credit_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Names and ids of credits in step, each name once."""
     p = table(spark, d, "part").select("p_partkey", F.concat(F.col("p_brand"), F.lit(", "), F.upper("p_brand"), F.when(F.col("p_partkey") % 3 != 0, ", guest").otherwise("")).alias("names"), F.when(F.col("p_partkey") % 3 == 0, "a,b").when(F.col("p_partkey") % 3 == 1, "a, b, c").otherwise("a,b").alias("ids"))
     return N.ordered_credits(p, "names", "ids", "p_partkey")
+
+
+@query("matrix_check", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, NULL::DOUBLE AS off FROM embeddings")
+def matrix_check(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix of as many rows as the catalogue is used, one of fewer isn't."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    on = N.checked_vectors(e.select("vec_id"), e, "vec_id", "embedding", "v")
+    off = N.checked_vectors(on, e.where("vec_id > 3"), "vec_id", "embedding", "w")
+    return off.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.get("w", F.lit(0)).alias("off"))
+
+
+@query("canonical_credits", "WITH f AS (SELECT p_partkey, 0 AS pos, CASE p_partkey % 5 WHEN 0 THEN 'Sơn' WHEN 1 THEN 'Son' WHEN 2 THEN 'SON' WHEN 3 THEN 'Hà' ELSE p_brand END AS name FROM part UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 2 = 0 THEN 'HÀ' ELSE 'beta' END FROM part) SELECT p_partkey, string_agg(CASE WHEN name IN ('Son', 'SON') THEN 'Sơn' ELSE name END, ', ' ORDER BY pos) AS credits FROM f GROUP BY p_partkey")
+def canonical_credits(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    first = F.when(k % 5 == 0, "Sơn").when(k % 5 == 1, "Son").when(k % 5 == 2, "SON").when(k % 5 == 3, "Hà").otherwise(F.col("p_brand"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(first, F.lit(", "), F.when(k % 2 == 0, "HÀ").otherwise("beta")).alias("names"))
+    return N.canonical_credits(rows, "p_partkey", "names")

@@ -145,7 +145,7 @@ def journey_deltas(spark: SparkSession, d: str) -> DataFrame:
     return sequences.deltas(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("delta", 6).alias("delta"))
 
 
-@query("beat_bpm")
+@query("beat_bpm", "WITH {songs} SELECT song_idx, round(bpm, 4) AS bpm FROM songs")
 def beat_bpm(spark: SparkSession, d: str) -> DataFrame:
     """A tempo for each song from made-up downbeats, a gap of 240 over its tempo apart."""
     beats = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i * 240.0 / F.col("bpm"))
@@ -158,7 +158,7 @@ def active_regions(spark: SparkSession, d: str) -> DataFrame:
     return sequences.active_regions(e, "user_id", "t", "value", 60, 60, ["event_id"])
 
 
-@query("session_counts")
+@query("session_counts", "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS n FROM g GROUP BY user_id, run")
 def session_counts(spark: SparkSession, d: str) -> DataFrame:
     return limits.sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
 

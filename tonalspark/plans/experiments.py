@@ -328,3 +328,25 @@ def tempo_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("calibrated_arousal", "WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part) SELECT p_partkey, round(least(greatest(0.45::DOUBLE + (p_size - m) * 0.15::DOUBLE / s, 0), 1), 6) AS arousal FROM part, s")
 def calibrated_arousal(spark: SparkSession, d: str) -> DataFrame:
     return probes.calibrated(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x")), "x", 0.45, 0.15, "arousal").select("p_partkey", F.round("arousal", 6).alias("arousal"))
+
+
+@query("collection_dashboard", "WITH {tracks}, r AS (SELECT count(*)::DOUBLE AS rows, count(DISTINCT primary_artist)::DOUBLE AS artists, avg(tempo) AS mean_tempo, avg(view_count) AS mean_view_count, avg(CASE WHEN trim(coalesce(plain_lyrics, '')) <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS with_plain_lyrics, avg(CASE WHEN trim(coalesce(album_name, '')) <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS with_album_name FROM tracks) SELECT name, round(value, 6) AS value FROM (UNPIVOT r ON rows, artists, mean_tempo, mean_view_count, with_plain_lyrics, with_album_name INTO NAME name VALUE value)")
+def collection_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tracks import tracks
+
+    return M.dashboard(tracks(spark, d), "primary_artist", ["tempo", "view_count"], ["plain_lyrics", "album_name"]).select("name", F.round("value", 6).alias("value"))
+
+
+@query("metric_bundle", f"WITH {_TOP}, g AS (SELECT query_id, count(*) FILTER (s.label = q.label) / 10.0::DOUBLE AS precision, greatest(0, 1 - stddev_pop(s.bpm) / avg(s.bpm)) AS tempo FROM recs JOIN songs s USING (song_idx) JOIN songs q ON q.song_idx = query_id GROUP BY query_id) SELECT query_id, round(precision, 6) AS precision, round(tempo, 6) AS tempo_coherence FROM g")
+def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
+    s, recs = _recs(spark, d)
+    return M.bundle(recs, _truth(s), s, 10).select("query_id", F.round("precision", 6).alias("precision"), F.round("tempo_coherence", 6).alias("tempo_coherence"))
+
+
+@query("blend_weights")
+def blend_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The non-negative blend of three signals nearest to a target, the tempo's weight at least .15 before scaling."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select((F.col("p_size") / 50).alias("audio"), (k * 7 % 100 / 100).alias("lyrics"), (k * 13 % 100 / 100).alias("tempo"), (0.6 * F.col("p_size") / 50 + 0.4 * (k * 7 % 100) / 100).alias("wanted"))
+    out = probes.blend_weights(p, ["audio", "lyrics", "tempo"], "wanted", {"tempo": 0.15})
+    return out.select("signal", F.round("weight", 6).alias("weight"))

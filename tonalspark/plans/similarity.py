@@ -239,6 +239,16 @@ def mood_journey(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.journeys(s, _ends(spark, d), played=s.where("song_idx % 50 = 7"))
 
 
+@query("fast_rank_capped")
+def fast_rank_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way of a query: a pool of four times what is asked for over the floor, re-ranked for variety, two songs of an
+    artist at most, filled up in order."""
+    s = songs(spark, d)
+    pool = retrieval.fast_rank(retrieval.similar_songs(s, seeds_of(s), 40).drop("rank"), 10).drop("rank").join(s, "song_idx")
+    ranked = rerank.by_query(pool, rerank.mmr(20)).withColumnRenamed("place", "rank")
+    return retrieval.cap_per_artist(ranked.join(s.select("song_idx", "artist"), "song_idx"), 2, 10)
+
+
 @query("mood_journey_starts", f"WITH {{songs}}, {_TARGETS}, sure AS (SELECT query_id, song_idx, round_even(exp(-0.5 * (power((valence - t_valence) / 0.20, 2) + power((arousal - t_arousal) / 0.14, 2))) * 1e6, 0) / 1e6 AS score FROM songs, targets WHERE song_idx % 50 <> 7) SELECT CAST(query_id AS BIGINT) AS query_id, 1 AS place, song_idx, score FROM sure QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_idx) = 1")
 def mood_journey_starts(spark: SparkSession, d: str) -> DataFrame:
     """The first songs of the journeys, which follow nothing."""
@@ -298,11 +308,28 @@ def va_label(spark: SparkSession, d: str) -> DataFrame:
     return songs(spark, d).select("song_idx", E.nearest_label(v, a).alias("mood_label"), C.quadrant(v, a).alias("quadrant"))
 
 
-@query("mood_to_color")
+@query("mood_to_color", "WITH {songs}, n(i, v, w, h, s, l) AS (VALUES " + ", ".join(f"({i}, {v}::DOUBLE, {a}::DOUBLE, {h}::DOUBLE, {s}::DOUBLE, {l}::DOUBLE)" for i, (v, a, h, s, l) in enumerate(C.MOOD_ANCHORS)) + "), d AS (SELECT song_idx, i, h, s, l, sqrt(power(valence - v, 2) + power(arousal - w, 2)) AS d FROM songs, n QUALIFY row_number() OVER (PARTITION BY song_idx ORDER BY d, i) <= 3) SELECT song_idx, round(fmod(fmod(sum(h / (d + 1e-6)) / sum(1 / (d + 1e-6)), 360) + 360, 360), 4) AS hue, round(sum(s / (d + 1e-6)) / sum(1 / (d + 1e-6)), 4) AS sat, round(sum(l / (d + 1e-6)) / sum(1 / (d + 1e-6)), 4) AS light FROM d GROUP BY song_idx")
 def mood_to_color(spark: SparkSession, d: str) -> DataFrame:
     return songs(spark, d).select("song_idx", C.mood_to_hsl(F.col("valence"), F.col("arousal")).alias("c")).select("song_idx", *[F.round(f"c.{k}", 4).alias(k) for k in ("hue", "sat", "light")])
 
 
+_LAB = """lin AS (SELECT *, CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END AS rl, CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END AS gl, CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END AS bl FROM rgb),
+cie AS (SELECT *, (0.4124564 * rl + 0.3575761 * gl + 0.1804375 * bl) / 0.95047 AS cx, 0.2126729 * rl + 0.7151522 * gl + 0.0721750 * bl AS cy, (0.0193339 * rl + 0.1191920 * gl + 0.9503041 * bl) / 1.08883 AS cz FROM lin),
+f AS (SELECT *, CASE WHEN cx > 216 / 24389.0 THEN pow(cx, 1 / 3.0) ELSE (24389 / 27.0 * cx + 16) / 116 END AS fx, CASE WHEN cy > 216 / 24389.0 THEN pow(cy, 1 / 3.0) ELSE (24389 / 27.0 * cy + 16) / 116 END AS fy, CASE WHEN cz > 216 / 24389.0 THEN pow(cz, 1 / 3.0) ELSE (24389 / 27.0 * cz + 16) / 116 END AS fz FROM cie),
+lab2 AS (SELECT name, (116 * fy - 16) / 100 AS cl, sqrt(power(500 * (fx - fy), 2) + power(200 * (fy - fz), 2)) / 130 AS cc FROM f)"""
+
+
+@query("client_moods", f"WITH {_COLORS}, {_CHANNELS.split(', range_')[0].split(',\nrange_')[0]}, {_LAB} SELECT name, round(least(greatest(0.69 * cl + 0.22 * cc, 0), 1), 5) AS valence, round(least(greatest(-0.31 * cl + 0.6 * cc, 0), 1), 5) AS arousal FROM lab2")
+def client_moods(spark: SparkSession, d: str) -> DataFrame:
+    """The guess that a client makes of a colour's mood."""
+    return colors(spark).select("name", C.client_mood(F.col("hex")).alias("m")).select("name", F.round("m.valence", 5).alias("valence"), F.round("m.arousal", 5).alias("arousal"))
+
+
+@query("atmosphere", "WITH {songs} SELECT song_idx, round((250 - 215 * valence) / 360, 6) AS hue, round(0.3 + 0.55 * arousal, 6) AS sat, round(0.32 + 0.34 * valence, 6) AS light FROM songs")
+def atmosphere(spark: SparkSession, d: str) -> DataFrame:
+    return songs(spark, d).select("song_idx", C.mood_atmosphere(F.col("valence"), F.col("arousal")).alias("c")).select("song_idx", *[F.round(f"c.{k}", 6).alias(k) for k in ("hue", "sat", "light")])
+
+
 @query("ciede2000")
 def ciede2000(spark: SparkSession, d: str) -> DataFrame:
     """The difference of each two of the twelve colours."""
@@ -317,7 +344,38 @@ def text_search_blocks(spark: SparkSession, d: str) -> DataFrame:
     return search.blocks(items, "Brand 1", 25)
 
 
-@query("trigram_search")
+_SEARCHED = "m AS (SELECT song_idx AS item, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, popularity AS pop FROM songs), h AS (SELECT item, CASE WHEN contains(t, 'blue gizmo') THEN 0 ELSE 1 END AS block, a = 'blue gizmo' OR t = 'blue gizmo' AS eq, pop FROM m WHERE contains(t, 'blue gizmo') OR contains(a, 'blue gizmo')), p AS (SELECT item, block, row_number() OVER (ORDER BY block, eq DESC, pop DESC, item)::DOUBLE AS o FROM h QUALIFY row_number() OVER (ORDER BY block, eq DESC, pop DESC, item) <= 12)"
+
+
+@query("smart_search", f"WITH {{songs}}, {_SEARCHED}, v AS (SELECT s.song_idx AS item, round_even(list_cosine_similarity(s.audio_vec, q.audio_vec) * 1e6, 0) / 1e6 AS c FROM songs s, songs q WHERE q.song_idx = 100 AND s.song_idx <> 100), e AS (SELECT item, 3 AS block, -c AS o FROM v WHERE c >= 0.1 QUALIFY row_number() OVER (ORDER BY c DESC, item) <= 12), u AS (SELECT item, block, o FROM p UNION ALL SELECT item, block, o FROM e), f AS (SELECT item, block, o FROM u QUALIFY row_number() OVER (PARTITION BY item ORDER BY block, o) = 1) SELECT item, block, CAST(row_number() OVER (ORDER BY block, o, item) AS INTEGER) AS place FROM f QUALIFY row_number() OVER (ORDER BY block, o, item) <= 12")
+def smart_search(spark: SparkSession, d: str) -> DataFrame:
+    """Words first, then what is nearest to the query's vector (here that of song 100)."""
+    s = songs(spark, d)
+    near = retrieval.nearest(s, s.where("song_idx = 100"), 24).select(F.col("song_idx").alias("item"), F.col("score").alias("similarity"))
+    return search.smart(search.index(s, "song_idx", "artist", "title", "mood", "popularity").withColumn("body", F.lit("")), "Blue Gizmo", 12, near, 0.1, typos=None)
+
+
+@query("smart_search_typos")
+def smart_search_typos(spark: SparkSession, d: str) -> DataFrame:
+    s = songs(spark, d)
+    return search.smart(search.index(s, "song_idx", "artist", "title", "mood", "popularity"), "smalll rnig", 12, typos=80.0)
+
+
+@query("cover_keys", r"""WITH {tracks}, n AS (SELECT track_id, lower(trim(track_name)) AS t, regexp_replace(strip_accents(replace(lower(split_part(artists, ',', 1)), 'đ', 'd')), '[^a-z0-9]+', '', 'g')[1:15] AS artist_key FROM tracks), c AS (SELECT *, list_min(list_filter([strpos(t, '(feat'), strpos(t, '(live'), strpos(t, 'feat.'), strpos(t, ' ft.')], lambda x: x > 1)) AS at1 FROM n) SELECT track_id, trim(regexp_replace(strip_accents(replace(CASE WHEN at1 IS NULL THEN t ELSE left(t, CAST(at1 - 1 AS BIGINT)) END, 'đ', 'd')), '[^a-z0-9]+', ' ', 'g')) AS title_key, artist_key FROM c""")
+def cover_keys(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tracks import tracks
+
+    return tracks(spark, d).select("track_id", T.cover_title(F.col("track_name")).alias("title_key"), T.artist_key(F.col("artists")).alias("artist_key"))
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _like(x: str) -> str:
+    return f"coalesce(len(list_intersect({_GRAMS.format(x)}, q)) / nullif(len(list_distinct(list_concat({_GRAMS.format(x)}, q))), 0)::DOUBLE, 0)"
+
+
+@query("trigram_search", f"WITH g AS (SELECT {_GRAMS.format(repr('brand 12'))} AS q), s AS (SELECT p_partkey AS item, greatest({_like('p_name')}, {_like('p_brand')}) AS similarity, p_retailprice AS pop, contains(lower(p_name), 'brand 12') OR contains(lower(p_brand), 'brand 12') AS held FROM part, g) SELECT item, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3 OR held ORDER BY s.similarity DESC, pop DESC NULLS LAST, item LIMIT 25")
 def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("popularity"))
     return search.by_trigrams(items, "brand 12", 25).withColumn("similarity", F.round("similarity", 6))
@@ -329,7 +387,7 @@ def fuzzy_typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     return search.typo_matches(items, "smalll rnig", least=80.0).withColumn("ratio", F.round("ratio", 4))
 
 
-@query("lyric_snippet")
+@query("lyric_snippet", "WITH p AS (SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'đ', 'd')), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), a AS (SELECT *, strpos(t, 'the and') AS pos FROM p WHERE contains(t, 'the and')), c AS (SELECT *, greatest(pos - 25, 1) AS start, substr(t, CAST(greatest(pos - 25, 1) AS BIGINT), CAST(115 - greatest(0, 26 - pos) AS BIGINT)) AS cut FROM a) SELECT doc_id, CASE WHEN start > 1 THEN '...' ELSE '' END || cut || CASE WHEN start + length(cut) - 1 < length(t) THEN '...' ELSE '' END AS snippet FROM c")
 def lyric_snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), "the and").alias("snippet")).where("snippet is not null")
 
