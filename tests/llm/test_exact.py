@@ -347,8 +347,9 @@ def test_both_systems_of_a_ridge_have_one_solution():
     rng = np.random.default_rng(2)
     for n, d in ((30, 50), (80, 20)):
         x, t = rng.normal(size=(n, d)), rng.normal(size=(n, 3))
-        plain = np.linalg.lstsq(np.vstack([x, np.sqrt(0.3) * np.eye(d)]), np.vstack([t, np.zeros((d, 3))]), rcond=None)[0]
-        assert np.allclose(language_id.ridge_weights(x, t, 0.3), plain)
+        w = rng.random(n) + 0.5
+        plain = np.linalg.lstsq(np.vstack([x * w[:, None], np.sqrt(0.3) * np.eye(d)]), np.vstack([t * w[:, None], np.zeros((d, 3))]), rcond=None)[0]
+        assert np.allclose(language_id.ridge_weights(x, t, w, 0.3), plain)
 
 
 def test_rows_without_ids_teach(spark):

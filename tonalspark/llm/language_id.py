@@ -102,7 +102,7 @@ def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | Non
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 1.5 * per_lang / n)) for k, n in sorted(sizes.items())])
+    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 1.3 * per_lang / n)) for k, n in sorted(sizes.items())])
     place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(11)), F.lit(1 << 20))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,28 +110,53 @@ def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | Non
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b"" if x is None else x.astype(np.float32).tobytes() for x in made], pa.binary())], names=["lang", "place", "x"])
 
     chosen = rows.select("lang", place.alias("place"), "text").where(F.col("place") < share * (1 << 20))
-    seen = arrow_map(chosen, of, "lang string, place long, x binary").toPandas()
-    seen = seen.sort_values(["place", "x"]).groupby("lang").head(per_lang)
-    pairs = [(k, np.frombuffer(x, np.float32)) for k, x in zip(seen.lang, seen.x) if x]
-    if not pairs:
+    seen = arrow_map(chosen, of, "lang string, place long, x binary").toArrow()  # vectors as they are, not an object for each row
+    names, places, vectors = seen.column("lang").to_pylist(), seen.column("place").to_pylist(), seen.column("x").combine_chunks()
+    first: dict[str, list[int]] = {}
+    for i in sorted(range(len(names)), key=lambda i: (places[i], vectors[i].as_py())):
+        if len(mine := first.setdefault(names[i], [])) < per_lang:
+            mine.append(i)
+    langs = sorted(k for k, at in first.items() if any(len(vectors[i].as_py()) for i in at))
+    if not langs:
         return None
-    langs = sorted({k for k, _ in pairs})
+    at = [(j, i) for j, k in enumerate(langs) for i in first[k] if len(vectors[i].as_py())]
+    y, x = np.array([j for j, _ in at]), np.empty((len(at), BUCKETS), np.float32)
+    for row, (_, i) in zip(x, at):
+        row[:] = np.frombuffer(vectors[i].as_py(), np.float32)
+    del seen, vectors
     codes = codewords(len(langs))
-    x, y = np.stack([x for _, x in pairs]).astype(np.float64), np.array([langs.index(k) for k, _ in pairs])
     weigh = np.sqrt(len(y) / len(langs) / np.bincount(y, minlength=len(langs)))[y]  # classes count alike
-    targets = codes[y]
-    weights = ridge_weights(x * weigh[:, None], targets * weigh[:, None], ridge)
-    trust = np.maximum(((x @ weights * targets) > 0).mean(0) - 0.5, 0.01)
+    weights = ridge_weights(x, codes[y], weigh, ridge)
+    trust = np.maximum(((_times(x, weights) * codes[y]) > 0).mean(0) - 0.5, 0.01)
     return Model(langs, codes, weights.astype(np.float32), trust)
 
 
-def ridge_weights(x: np.ndarray, targets: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge regressions of each column of the targets, by the smaller of the two systems that have the same solution: as many
-    equations as rows, or as columns, so never more than BUCKETS of them."""
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in doubles, some columns of x at a time."""
+    out = np.zeros((len(x), w.shape[1]))
+    for k in range(0, x.shape[1], 512):
+        out += x[:, k : k + 512].astype(np.float64) @ w[k : k + 512]
+    return out
+
+
+def ridge_weights(x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge regressions of each column of the targets on weighted rows, by the smaller of the two systems that have the same
+    solution: as many equations as rows, or as columns, so never more than BUCKETS of them. Sums are of doubles, made of a part
+    of x at a time, so no copy of x is held."""
     n, d = x.shape
     if n <= d:
-        return x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(n), targets)
-    return np.linalg.solve(x.T @ x + ridge * np.eye(d), x.T @ targets)
+        gram = ridge * np.eye(n)
+        for k in range(0, d, 512):
+            part = x[:, k : k + 512].astype(np.float64) * weigh[:, None]
+            gram += part @ part.T
+        dual = np.linalg.solve(gram, targets * weigh[:, None]) * weigh[:, None]
+        return np.concatenate([x[:, k : k + 512].astype(np.float64).T @ dual for k in range(0, d, 512)])
+    gram, right = ridge * np.eye(d), np.zeros((d, targets.shape[1]))
+    for k in range(0, n, 512):
+        part = x[k : k + 512].astype(np.float64) * weigh[k : k + 512, None]
+        gram += part.T @ part
+        right += part.T @ (targets[k : k + 512] * weigh[k : k + 512, None])
+    return np.linalg.solve(gram, right)
 
 
 def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:

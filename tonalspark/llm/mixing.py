@@ -92,8 +92,8 @@ def _sums(made: DataFrame, group, kinds: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sums[k, place])], names=["k", "place", "s"])
 
     out = np.zeros((kinds, WIDTH + 1), np.int64)
-    for row in made.select("language", "vector").mapInArrow(partial, "k int, place int, s long").groupBy("k", "place").agg(F.sum("s").alias("s")).collect():
-        out[row["k"], row["place"]] = row["s"]
+    found = made.select("language", "vector").mapInArrow(partial, "k int, place int, s long").groupBy("k", "place").agg(F.sum("s").alias("s")).toArrow()
+    out[found.column("k").to_numpy(), found.column("place").to_numpy()] = found.column("s").to_numpy()
     return out[:, :WIDTH], out[:, WIDTH]
 
 
