@@ -304,7 +304,7 @@ def fresh_results(spark: SparkSession, d: str) -> DataFrame:
     return sinks.fresh(cache, cache.select("key"), F.to_timestamp(F.lit("2099-01-01 00:00:00")))
 
 
-@query("chunk_means", "WITH c AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 400)) AS at, text FROM documents) SELECT doc_id, count(*) AS chunks, round(avg(length(regexp_replace(substr(text, CAST(at + 1 AS INTEGER), 400), '[^aeiou]', '', 'g')) / 400.0::DOUBLE), 6) AS mean FROM c GROUP BY doc_id")
+@query("chunk_means", "WITH c AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 400)) AS pos, text FROM documents) SELECT doc_id, count(*) AS chunks, round(avg(length(regexp_replace(substr(text, CAST(pos + 1 AS INTEGER), 400), '[^aeiou]', '', 'g')) / 400.0::DOUBLE), 6) AS mean FROM c GROUP BY doc_id")
 def chunk_means(spark: SparkSession, d: str) -> DataFrame:
     """Long texts in chunks, a prediction (here the share of vowels) for each, the mean for the text."""
     vowels = lambda c: F.length(F.regexp_replace(c, "[^aeiou]", "")) / 400
