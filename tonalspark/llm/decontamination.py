@@ -208,8 +208,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage:
     pairs = stored(met.where(F.col("places") * F.col("width") >= need).select("key", "item", "width", "words"), "pairs")
     short = pairs.where(F.col("width") < shortest).select("key", "item", F.lit(1.0).alias("cover"))  # the seed is the whole item
     long = pairs.where(F.col("width") == shortest).select("key", "item").distinct()
-    runs = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    words = texts.join(runs.hint("merge"), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    runs = stored(long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs")), "runs")
+    asked_for = BitMap(runs.select(F.xxhash64("key").alias("h")), "h", runs.count())
+    words = texts.where(asked_for.might(F.xxhash64("key"))).join(runs.hint("merge"), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
     left = words.select("key", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("item"), "text")
     asked = long.join(runs, "key").select("key", F.pmod(F.xxhash64("item"), F.col("runs")).cast("int").alias("run"), "item")
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("text IS NOT NULL")
