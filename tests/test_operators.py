@@ -80,6 +80,48 @@ def test_rerankers_agree_with_plain_loops():
     assert [i for i, _ in rerank.dpp(5)(g)] == chosen
 
 
+def test_other_rerankers_agree_with_plain_loops():
+    rng = np.random.default_rng(2)
+    n = 14
+    v = rng.normal(size=(n, 5))
+    g = pd.DataFrame({"query_id": 0, "song_idx": range(n), "score": sorted(rng.random(n))[::-1], "audio_vec": list(v), "valence": rng.random(n), "arousal": rng.random(n), "artist": [f"a{i % 4}" for i in range(n)], "mood": [f"m{i % 3}" for i in range(n)]})
+    u, rel, at = v / np.linalg.norm(v, axis=1, keepdims=True), g["score"].to_numpy(), g[["valence", "arousal"]].to_numpy()
+    picks: list[int] = []
+    while len(picks) < 6:
+        value = [-np.inf if i in picks else rel[i] if not picks else 0.5 * rel[i] + 0.5 * min(np.linalg.norm(at[i] - at[j]) for j in picks) for i in range(n)]
+        picks.append(int(np.argmax(value)))
+    assert [i for i, _ in rerank.va_mmr(6)(g)] == picks
+    scaled, close = (rel - rel.min()) / (rel.max() - rel.min() + 1e-9), []
+    while len(close) < 6:
+        best = None
+        for i in range(n):
+            if i in close:
+                continue
+            x = scaled[i]
+            if close:
+                centre = np.mean([u[j] for j in close], axis=0)
+                x = 0.55 * x + 0.45 * float(u[i] @ (centre / (np.linalg.norm(centre) + 1e-9)))
+            x = round(x * max(0.0, 1 - 0.15 * min(sum(g["artist"][j] == g["artist"][i] for j in close), 3)) * 1e6)
+            if best is None or x > best[0]:
+                best = (x, i)
+        close.append(best[1])
+    assert [i for i, _ in rerank.coherent(6)(g)] == close
+    out, artists, moods = [], {}, set()
+    for i in range(n):
+        score, a, m = rel[i], g["artist"][i], g["mood"][i]
+        if a in artists:
+            score *= (1 - 0.15) ** artists[a]
+            if score < 0.3:
+                continue
+        if m not in moods:
+            score *= 1.03
+        moods.add(m)
+        artists[a] = artists.get(a, 0) + 1
+        out.append((i, score))
+    got = rerank.artist_penalty(8)(g)
+    assert [i for i, _ in got] == [i for i, _ in out[:8]] and np.allclose([s for _, s in got], [s for _, s in out[:8]])
+
+
 def test_metrics_by_hand(spark):
     recs = spark.createDataFrame([(1, r, s) for r, s in ((1, 10), (2, 11), (3, 12))], "query_id long, rank int, song_idx long")
     truth = spark.createDataFrame([(1, 12), (2, 5)], "query_id long, song_idx long")

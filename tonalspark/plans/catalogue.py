@@ -105,7 +105,7 @@ def script_ratio_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", n.cast("long").alias("accented")).where("accented >= 3")
 
 
-@query("profanity_filter")
+@query("profanity_filter", r"WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM documents), n AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('thest', 'onst'))) AS hard, len(list_filter(w, lambda x: x IN ('es', 'thing'))) AS mild FROM w) SELECT doc_id, hard >= 3 OR mild >= 10 OR 4 * hard + mild >= 15 AS profane FROM n")
 def profanity_filter(spark: SparkSession, d: str) -> DataFrame:
     """Documents with many hits of a hard and a mild list (made-up words of the test prose)."""
     hit = P.profane(F.col("text"), P.words_pattern(["thest", "onst"]), P.words_pattern(["es", "thing"]))
