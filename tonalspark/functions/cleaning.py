@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .predicates import hits
+from .predicates import edged, hits
 from .text import match_text
 
 
@@ -82,8 +82,8 @@ class Audited:
     legacy_artists: tuple[str, ...] = ()
     composers: tuple[str, ...] = ()
     legacy_albums: tuple[tuple[str, str], ...] = ()
-    programme: str = r"(?i)\btalk ?show\b"
-    fragment: str = r"(?i)\b(?:snippet|excerpt|teaser)\b"
+    programme: str = edged(r"(?i)\btalk ?show\b")
+    fragment: str = edged(r"(?i)\b(?:snippet|excerpt|teaser)\b")
     most_seconds: float = 360.0
 
 

@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A character of a word, in any script, and the edge of a word: what ``\\b`` means depends on the JDK.
+LETTER = r"[\p{L}\p{N}_]"
+EDGE = rf"(?:(?<!{LETTER})(?={LETTER})|(?<={LETTER})(?!{LETTER}))"
+
+
+def edged(pattern: str) -> str:
+    r"""The pattern with each ``\b`` spelt out as the edge of a word in any script."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 

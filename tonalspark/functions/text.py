@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .predicates import EDGE
 
 
 def _marked() -> tuple[str, str]:
@@ -32,7 +33,7 @@ def match_text(text: Column) -> Column:
 
 def canonical_title(title: Column) -> Column:
     """Without featured artists and producers, in brackets or as a tail."""
-    bare = F.regexp_replace(F.lower(title), r"[\(\[][^\)\]]*\b(?:feat|ft|prod|with|w/)[^\)\]]*[\)\]]", " ")
+    bare = F.regexp_replace(F.lower(title), rf"[\(\[][^\)\]]*{EDGE}(?:feat|ft|prod|with|w/)[^\)\]]*[\)\]]", " ")
     return match_text(F.regexp_replace(bare, r"\s(?:feat\.?|ft\.?|prod\.?|w/)\s.*$", " "))
 
 

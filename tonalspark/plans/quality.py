@@ -20,13 +20,14 @@ MARKS = UNIQUE + "âêôàáảãạèéẻẽẹìíỉĩịòóỏõọùúủ
 SHARED = "âêôàáèéìíòóùúýãõ"
 LANG = C.Language(
     unique=f"[{UNIQUE}]", own=f"[{UNIQUE}âêô]", accents=f"[{MARKS}]", unshared=f"[{''.join(c for c in MARKS if c not in SHARED)}]", other="[äöüßøåæçñ]", scripts="[Ѐ-ӿ぀-ヿ㐀-鿿가-힯]",
-    words=r"\b(?:la|mot|cua|khong)\b", lookalike="đ", lookalike_words=r"\b(?:moja|ljubav)\b", garbage=r"^\d{4}-\d{2}-\d{2}$|^[\d.,]+$",
+    words=P.edged(r"\b(?:la|mot|cua|khong)\b"), lookalike="đ", lookalike_words=P.edged(r"\b(?:moja|ljubav)\b"), garbage=r"^\d{4}-\d{2}-\d{2}$|^[\d.,]+$",
 )
 WORDS, PLAIN = ["mưa", "đêm"], ["khong", "cua"]
-KIDS, CHANNEL, OLD, VARIANT, CONTEXT, TOUR, KEPT = r"(?i)\bnursery\b|\bfor kids\b", r"(?i)\bchannel$|\btv\b", r"\bbolero\b|\bold ballads\b", r"(?i)\((?:live|cover)\b", r"(?i)\bremix\b", r"(?i)\btour(?:\s+\d{4})?\b", r"(?i)\bworld tour\b"
-TRACKS_OF, SCORE, DJ = r"(?i)\bost\b|\bsoundtrack\b", r"(?i)\bscore\b", r"^(?:DJ|MC)\s+[A-Z]"
-SEASON = {"strong": r"\bchristmas\b", "album_strong": r"\bsongs for winter\b", "marker": r"\bthe\b", "context": r"\bwinter\b", "weak": r"\bspringtime\b", "hint": r"\bstandard\b|\bpromo\b", "lyrics_strong": r"\bnew year\b", "exception": r"\barena\b"}
-RUDE, HARD, MILD = r"(?i)\bdamn\b", r"(?i)\bthest\b", r"(?i)\bes\b"
+KIDS, CHANNEL, OLD, VARIANT, CONTEXT, TOUR, KEPT = map(P.edged, (r"(?i)\bnursery\b|\bfor kids\b", r"(?i)\bchannel$|\btv\b", r"\bbolero\b|\bold ballads\b", r"(?i)\((?:live|cover)\b", r"(?i)\bremix\b", r"(?i)\btour(?:\s+\d{4})?\b", r"(?i)\bworld tour\b"))
+TRACKS_OF, SCORE, DJ = map(P.edged, (r"(?i)\bost\b|\bsoundtrack\b", r"(?i)\bscore\b", r"^(?:DJ|MC)\s+[A-Z]"))
+SEASON = {k: P.edged(v) for k, v in {"strong": r"\bchristmas\b", "album_strong": r"\bsongs for winter\b", "marker": r"\bthe\b", "context": r"\bwinter\b", "weak": r"\bspringtime\b", "hint": r"\bstandard\b|\bpromo\b", "lyrics_strong": r"\bnew year\b", "exception": r"\barena\b"}.items()}
+SAMPLER, GUESTS = map(P.edged, (r"\b(?:sampler|promo|economy)\b", r"(?i)\b(?:feat|guest)\b"))
+RUDE, HARD, MILD = map(P.edged, (r"(?i)\bdamn\b", r"(?i)\bthest\b", r"(?i)\bes\b"))
 
 _ARTISTS = "list_filter(list_transform(string_split(artists, ','), lambda x: trim(x)), lambda x: x <> '')"
 
@@ -35,12 +36,19 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace(strip_accents(replace(lower(coalesce({x}, '')), 'đ', 'd')), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def _sql(pattern: str) -> str:
+    """DuckDB's patterns can't look around: the edge of a word is a character of no word, which they take, or an end."""
+    return pattern.replace(P.EDGE, r"(?:^|$|[^\p{L}\p{N}_])")
+
+
 def _rx(x: str, pattern: str) -> str:
-    return f"regexp_matches(coalesce({x}, ''), '{pattern}')"
+    return f"regexp_matches(coalesce({x}, ''), '{_sql(pattern)}')"
 
 
 def _n(x: str, pattern: str) -> str:
-    return f"len(regexp_extract_all(coalesce({x}, ''), '{pattern}'))"
+    """How often; as edges are taken, characters between words are doubled, one for each of two neighbours."""
+    text = rf"regexp_replace(coalesce({x}, ''), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')" if P.EDGE in pattern else f"coalesce({x}, '')"
+    return f"len(regexp_extract_all({text}, '{_sql(pattern)}'))"
 
 
 def _evidence(x: str) -> str:
@@ -119,7 +127,7 @@ def artist_kinds(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.size("kinds") > 0).select("track_id", F.array_join("kinds", ",").alias("kinds"), F.array_join("primary_kinds", ",").alias("primary_kinds"))
 
 
-AUDIT = C.Audited(wrong_ids=("77", "78"), legacy_artists=("aBrand#1",), composers=("aBrand#2",), legacy_albums=(("aBrand#4", "winter songs"),), fragment=r"(?i)\bnursery\b")
+AUDIT = C.Audited(wrong_ids=("77", "78"), legacy_artists=("aBrand#1",), composers=("aBrand#2",), legacy_albums=(("aBrand#4", "winter songs"),), fragment=P.edged(r"(?i)\bnursery\b"))
 _AUDIO = {"actual_s": "actual_s", "instrumental": "instrumental_probability", "voice": "voice_probability", "singing": "singing_mean", "speech": "speech_mean", "music": "music_mean", "speech_share": "speech_share", "low_music": "low_music"}
 _AUDIT = f"""CASE WHEN track_id IN ('77', '78') THEN 'verified_wrong_content' WHEN primary_artist_id = 'aBrand#1' THEN 'legacy_artist_identity' WHEN primary_artist_id = 'aBrand#2' THEN 'soundtrack_score_catalog'
   WHEN primary_artist_id = 'aBrand#4' AND {_norm('album_name')} = 'winter songs' THEN 'legacy_release'
@@ -176,7 +184,7 @@ def rules_of_rows(df: DataFrame) -> list[tuple[str, Column]]:
 
 _LYRICS = "coalesce(nullif(trim(plain_lyrics), ''), synced_lyrics)"
 _ANY = f"({_evidence('track_name')} OR {_evidence('primary_artist')} OR len(list_filter({_ARTISTS}, lambda x: {_evidence('x')})) > 0)"
-_OLD_TEXT = f"regexp_matches(concat_ws(' ', {_norm('track_name')}, {_norm('album_name')}, ''), '{OLD}')"
+_OLD_TEXT = _rx(f"concat_ws(' ', {_norm('track_name')}, {_norm('album_name')}, '')", OLD)
 _T, _A, _L = _norm("track_name"), _norm("album_name"), _norm(_LYRICS)
 _SEASONAL = f"(NOT {_rx(_T, SEASON['exception'])} AND ({_rx(_T, SEASON['strong'])} OR {_rx(_A, SEASON['album_strong'])} OR ({_n(_L, SEASON['marker'])} >= 2 AND {_rx(f'''concat_ws(' ', {_T}, {_A})''', SEASON['context'])}) OR ({_rx(_T, SEASON['weak'])} AND ({_rx(_A, SEASON['hint'])} OR {_rx(_L, SEASON['lyrics_strong'])}))))"
 _SCRIPT = "concat_ws(' ', track_name, primary_artist, album_name)"
@@ -340,9 +348,9 @@ def resume_fill(spark: SparkSession, d: str) -> DataFrame:
 
 _RANK = [
     ("variant", dict(_ROW_RULES)["variant"]), ("unseen", "view_count IS NULL"), ("views", "-coalesce(view_count, 0)"), ("no_single", f"NOT ({_norm('album_name')} <> '' AND {_norm('album_name')} = {_norm('track_name')})"),
-    ("compilation", rf"regexp_matches({_norm('album_name')}, '\b(?:best|collection|gala|playlist|vol\.?\s*\d+)\b')"), ("short", "coalesce(track_duration_ms < 120000, false)"), ("credits", f"-len({_ARTISTS})"),
+    ("compilation", _rx(_norm("album_name"), SAMPLER)), ("short", "coalesce(track_duration_ms < 120000, false)"), ("credits", f"-len({_ARTISTS})"),
     ("known", "-((nullif(trim(synced_lyrics), '') IS NOT NULL)::INT + (nullif(trim(plain_lyrics), '') IS NOT NULL)::INT + (nullif(trim(album_id), '') IS NOT NULL)::INT + (track_duration_ms IS NOT NULL)::INT)"),
-    ("annotated", r"regexp_matches(track_name, '(?i)\b(?:feat(?:uring)?|ft\.?|prod\.?|w/)')"), ("length", "-coalesce(track_duration_ms, 0)"), ("title", "length(track_name)"),
+    ("annotated", _rx("track_name", GUESTS)), ("length", "-coalesce(track_duration_ms, 0)"), ("title", "length(track_name)"),
 ]
 
 
@@ -353,7 +361,7 @@ def winner_rank(spark: SparkSession, d: str) -> DataFrame:
 
     rows = tracks(spark, d)
     variant = C.variant_release(F.col("track_name"), F.col("album_name"), VARIANT, CONTEXT, TOUR, KEPT)
-    keys = entities.quality_keys(rows, variant, ["synced_lyrics", "plain_lyrics", "album_id", "track_duration_ms"])
+    keys = entities.quality_keys(rows, variant, ["synced_lyrics", "plain_lyrics", "album_id", "track_duration_ms"], SAMPLER, GUESTS)
     order = Window.partitionBy("entity").orderBy(*keys, "ord")
     return rows.withColumn("entity", F.lower(F.trim("primary_artist"))).select("entity", "track_id", F.row_number().over(order).alias("place"))
 
