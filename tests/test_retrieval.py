@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonalspark.operators import entities, retrieval
+from tonalspark.operators import entities, inverted_file, retrieval, vector_join
 
 WEIGHTS = (0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.3)
 
@@ -86,21 +86,38 @@ def test_journeys_score_all_songs(spark, songs):
         assert [r.song_idx for r in got if r.query_id == e.query_id] == used
 
 
+def pairs_over(v, least):
+    c = np.rint(v @ v.T * 1e6) / 1e6
+    return {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] > least}
+
+
 def test_near_pairs_are_all_found_and_few_are_met(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(24, 32))
     v = np.concatenate([c + 0.12 * rng.normal(size=(25, 32)) for c in centres])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "song_idx long, audio_vec array<double>").repartition(5)
-    c = np.rint(v @ v.T * 1e6) / 1e6
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(9000, None), (9001, [0.0] * 32)], "song_idx long, audio_vec array<double>").repartition(5)
     for block in (4096, 10):
-        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(vector_join, "BLOCK", block)
         for least in (0.97, 0.99):
-            got = {(r.a, r.b) for r in retrieval.near_pairs(rows, least).collect()}
-            assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] > least} and got
-    cells = retrieval.visits(rows, 0.99).groupBy("block", "part").agg(F.count_if(F.col("guest") == 0).alias("home"), F.count_if(F.col("guest") == 1).alias("guest")).collect()
-    assert sum(r.home * r.guest for r in cells) < 0.25 * len(v) ** 2
-    assert retrieval.near_pairs(rows.where("false"), 0.9).count() == 0
+            got = [(r.a, r.b) for r in vector_join.near_pairs(rows, least).collect()]
+            assert len(got) == len(set(got)) and set(got) == pairs_over(v, least) and got
+    done = vector_join.met(rows, 0.99).agg(F.sum("scored"), F.sum("visited")).first()
+    assert done[0] < 0.1 * len(v) ** 2 / 2 and done[1] < 0.25 * len(v) ** 2 / 2
+    assert vector_join.near_pairs(rows.where("false"), 0.9).count() == 0
+    assert vector_join.near_pairs(rows.where("song_idx < 1"), 0.9).count() == 0
+
+
+def test_prefixes_spare_vectors_without_groups(spark):
+    """On the given vectors, which have hardly any structure, few pairs are multiplied to the end."""
+    d = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id")
+    v = np.array([r.embedding for r in e.collect()], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    done = vector_join.met(e, 0.85, "vec_id", "embedding")
+    got, n = {(r.a, r.b) for r in done.where("a IS NOT NULL").collect()}, len(v) * (len(v) - 1) // 2
+    assert got == pairs_over(v, 0.85)
+    assert done.agg(F.sum("scored")).first()[0] < 0.05 * n
 
 
 # one recording or not: (durations, lyrics, audio, artists) of two rows, and whether they are merged
@@ -135,3 +152,30 @@ def test_duplicate_decision(spark):
     alone = [(i, f"{title} {chr(97 + i // 2) * 5}", *rest) for i, title, *rest in rows if CASES[i // 2][4] is None]  # titles of their own
     kept = {(r.a, r.b) for r in entities.duplicate_pairs(spark.createDataFrame(alone, schema)).collect()}
     assert kept == {(2 * i, 2 * i + 1) for i, c in enumerate(CASES) if c[4] is None and c[-1]}
+
+
+def test_inverted_file(spark, monkeypatch):
+    """Exact without a bound of probes; with a few probes nearly all neighbours of vectors that form groups, many fewer rows read."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24))
+    v = np.concatenate([centres[rng.integers(40, size=1500)] + 0.4 * rng.normal(size=(1500, 24)), np.zeros((1, 24))])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(5000, None)], "song_idx long, audio_vec array<double>").repartition(6)
+    u = v[:1500] / np.linalg.norm(v[:1500], axis=1, keepdims=True)
+    c = np.rint(u @ u.T * 1e6) / 1e6
+    asked = rows.where("song_idx % 50 = 0").withColumnRenamed("song_idx", "query_id")
+    want = {q: sorted((i for i in range(1500) if i != q), key=lambda i: (-c[q, i], i))[:10] for q in range(0, 1500, 50)}
+    monkeypatch.setattr(inverted_file, "SHARD", 40)
+    built = inverted_file.build(rows, lists=40)
+    index = inverted_file.opened(spark, built.path)
+    assert built.shards.max() > 1 and (index.centres == built.centres).all()
+    for probes, least in ((None, 1.0), (40, 1.0), (6, 0.95)):
+        got = {}
+        for r in inverted_file.search(index, asked, 10, probes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.song_idx)
+        if least == 1.0:
+            assert got == want
+        assert np.mean([len(set(got[q]) & set(w)) / 10 for q, w in want.items()]) >= least
+    few = inverted_file._visits(index, asked.select("query_id", F.col("audio_vec").alias("v"), F.lit(-2.0).alias("least")), lambda cos, least: (np.repeat(np.arange(len(cos)), 6), np.argsort(-cos, axis=1)[:, :6].ravel()))
+    assert few.count() < 0.5 * 30 * built.shards.sum()
+    none = inverted_file.build(rows.where("false"))
+    assert inverted_file.search(none, asked, 10).count() == 0 and inverted_file.search(index, asked.where("false"), 10).count() == 0

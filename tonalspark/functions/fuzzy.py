@@ -1,28 +1,133 @@
-"""How alike two texts are, by the longest blocks that they have in common. Python is asked only where bounds leave it open."""
+"""How alike two texts are, by the longest blocks that they have in common; many pairs at once."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters of pairs that are compared at once: a bound of the memory, but for one longer pair.
+TOGETHER = 1 << 18
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0; no two different ones do."""
+    out = np.unique(columns[0], return_inverse=True)[1]
+    for c in columns[1:]:
+        c = np.unique(c, return_inverse=True)[1]
+        out = np.unique(out.astype(np.int64) * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+    return out
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start on, as many as its count, and which start they belong to."""
+    of = np.repeat(np.arange(len(start)), count)
+    return start[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count), of
+
+
+class _Ranks:
+    """Numbers of all substrings whose length is a power of two, by doubling; from two of them, which overlap, those of any length."""
+
+    def __init__(self, codes: np.ndarray, longest: int):
+        self.rows = [_numbered(codes)]
+        while 2 << len(self.rows) - 1 <= longest:
+            r, half = self.rows[-1], 1 << len(self.rows) - 1
+            both = np.zeros(len(codes), np.int64)  # substrings that go beyond the end are never asked for
+            both[: len(r) - half] = _numbered(r[: len(r) - half], r[half:])
+            self.rows.append(both)
+        self.table = np.stack(self.rows)
+
+    def of(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power = np.frexp(length.astype(float))[1] - 1
+        return self.table[power, at], self.table[power, at + length - (1 << power)]
+
+
+def _keys(ranks: _Ranks, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The substrings of each segment's length that begin in its two windows: number, place and segment, of a and of b."""
+    (at, of), (bt, bof) = (_spread(w[:, 0], np.maximum(w[:, 1] - w[:, 0] - length + 1, 0)) for w in (a, b))
+    place, segment = np.concatenate((at, bt)), np.concatenate((of, bof))
+    key = _numbered(segment, *ranks.of(place, length[segment]))
+    return key[: len(at)], at, of, key[len(at) :], bt, bof
+
+
+def _longest(ranks: _Ranks, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows (start, end) of pairs: the length of the longest common substring, its first place in a, and there in b."""
+    low, high = np.zeros(len(a), int), np.minimum(a[:, 1] - a[:, 0], b[:, 1] - b[:, 0])
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_] + 1) // 2
+        key, _, of, other, _, _ = _keys(ranks, a[open_], b[open_], middle)
+        common = np.zeros(len(open_), bool)
+        common[of[np.isin(key, other)]] = True
+        low[open_], high[open_] = np.where(common, middle, low[open_]), np.where(common, high[open_], middle - 1)
+    i, j = np.full(len(a), np.iinfo(int).max), np.full(len(a), np.iinfo(int).max)
+    some = np.flatnonzero(low)
+    if some.size:
+        key, at, of, other, bt, bof = _keys(ranks, a[some], b[some], low[some])
+        shared = np.isin(key, other)
+        first = np.full(len(some), np.iinfo(int).max)
+        np.minimum.at(first, of[shared], at[shared])
+        chosen = np.zeros(len(some), int)
+        here = at == first[of]
+        chosen[of[here]] = key[here]
+        second, there = np.full(len(some), np.iinfo(int).max), other == chosen[bof]
+        np.minimum.at(second, bof[there], bt[there])
+        i[some], j[some] = first, second
+    return low, i, j
+
+
+def matched_shares(pairs: list[tuple[str, str]], least: float = 0.0) -> np.ndarray:
+    """Twice the characters in matching blocks over all characters, for each pair; 0 where it turns out that ``least`` can't be reached.
 
-def matched_share(a: str, b: str, least: float) -> float:
-    """Twice the characters in matching blocks over all characters (no junk); 0 where an upper bound is under ``least``."""
-    if a == b:
-        return 1.0
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+    The longest common substring (of equally long ones the first in a, then in b) is a block; what lies before it and behind it is
+    matched in the same way. All open windows of all pairs are searched together: by halving on the length of the block, with
+    substrings told apart by exact numbers.
+    """
+    texts = [(_codes(a), _codes(b)) for a, b in pairs]
+    sizes = np.array([(len(a), len(b)) for a, b in texts], int).reshape(-1, 2)
+    total, matched = sizes.sum(1), np.zeros(len(pairs), int)
+    codes = np.concatenate([np.empty(0, np.uint32), *[x for t in texts for x in t]])
+    ends = np.cumsum(sizes.ravel()).reshape(-1, 2)
+    windows = np.column_stack((ends - sizes, ends))[:, [0, 2, 1, 3]]  # of a, then of b
+    pair = np.flatnonzero(sizes.min(1) > 0) if len(pairs) else np.empty(0, int)
+    if len(pair):
+        ranks = _Ranks(codes, int(sizes.min(1).max()))
+    windows, gone = windows[pair], np.zeros(len(pairs), bool)
+    while len(pair):
+        may = matched.copy()
+        np.add.at(may, pair, np.minimum(windows[:, 1] - windows[:, 0], windows[:, 3] - windows[:, 2]))
+        gone |= 2 * may < least * total - 1e-9
+        windows, pair = windows[~gone[pair]], pair[~gone[pair]]
+        length, i, j = _longest(ranks, windows[:, :2], windows[:, 2:])
+        np.add.at(matched, pair, length)
+        hit = length > 0
+        w, m, i, j, p = windows[hit], length[hit], i[hit], j[hit], pair[hit]
+        windows = np.concatenate((np.column_stack((w[:, 0], i, w[:, 2], j)), np.column_stack((i + m, w[:, 1], j + m, w[:, 3]))))
+        pair = np.concatenate((p, p))
+        some = (windows[:, 0] < windows[:, 1]) & (windows[:, 2] < windows[:, 3])
+        windows, pair = windows[some], pair[some]
+    return np.where(gone, 0.0, np.where(total > 0, 2 * matched / np.maximum(total, 1), 1.0))
 
 
 def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """The share as a column, 0 where it can't reach ``least``; null counts as empty, two empty texts are equal."""
+    """The share as a column, 0 where it can't reach ``least``; null counts as empty, two empty texts are equal. Python is asked only
+    where the lengths leave it open."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([matched_share(p or "", q or "", least) for p, q in zip(x, y)], dtype=float)
+        pairs, out, held, size = [(p or "", q or "") for p, q in zip(x, y)], [], [], 0
+        for pair in pairs:
+            held.append(pair)
+            size += len(pair[0]) + len(pair[1])
+            if size >= TOGETHER:
+                out.append(matched_shares(held, least))
+                held, size = [], 0
+        out.append(matched_shares(held, least))
+        return pd.Series(np.concatenate(out), dtype=float)
 
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     n, m = F.length(x), F.length(y)

@@ -81,6 +81,64 @@ def ridge_by_folds(df: DataFrame, vector: str, target: str, fold: Column, streng
     return df.sparkSession.createDataFrame(rows, "alpha double, r2 double")
 
 
+Moments = tuple[np.ndarray, np.ndarray, float, float, int]
+
+
+def _together(parts: list[Moments]) -> Moments:
+    return tuple(sum(x) for x in zip(*parts))
+
+
+def _ridge(moments: Moments, alpha: float) -> np.ndarray:
+    shrink = alpha * np.eye(len(moments[1]))
+    shrink[-1, -1] = 0
+    return np.linalg.solve(moments[0] + shrink, moments[1])
+
+
+def _r2(w: np.ndarray, moments: Moments) -> float:
+    """Of predictions w'x on rows that the moments are of; nan where the target doesn't vary."""
+    xx, xy, yy, s, n = moments
+    total = yy - s * s / n
+    return 1 - (yy - 2 * w @ xy + w @ xx @ w) / total if total > 1e-12 else float("nan")
+
+
+def nested_ridge(df: DataFrame, vector: str, target: str, outer: Column, inner: Column, strengths: list[float]) -> DataFrame:
+    """(fold, alpha, r2, rows) of ridge regressions by nested folds: for each outer fold the strength is chosen by the mean r2 over the
+    inner folds of the other rows (ties: the first), the model is fitted to all of these and scored on the outer fold.
+
+    outer and inner are numbers from 0, the inner one under 1,000. One pass over the rows: the sums of products of each (outer, inner)
+    cell come to the driver, and all training sets, inner and outer, are sums of cells. Cells without rows and folds whose target
+    doesn't vary are left out.
+    """
+    cells = {(k // 1000, k % 1000): v for k, v in _moments(df, vector, target, (outer * 1000 + inner).cast("int")).items()}
+    rows = []
+    for o in sorted({o for o, _ in cells}):
+        train = {i: _together([v for (a, b), v in cells.items() if a != o and b == i]) for i in sorted({b for a, b in cells if a != o})}
+        if not train:
+            continue
+        best, best_score = strengths[0], -np.inf
+        for alpha in strengths:
+            scores = [_r2(_ridge(_together([v for j, v in train.items() if j != i]), alpha), train[i]) for i in train if len(train) > 1]
+            scores = [x for x in scores if x == x]
+            if scores and np.mean(scores) > best_score + 1e-12:
+                best, best_score = alpha, np.mean(scores)
+        test = _together([v for (a, _), v in cells.items() if a == o])
+        r2 = _r2(_ridge(_together(list(train.values())), best), test)
+        if r2 == r2:
+            rows.append((o, float(best), float(r2), int(test[4])))
+    return df.sparkSession.createDataFrame(rows, "fold int, alpha double, r2 double, rows long")
+
+
+def transferred(train: DataFrame, test: DataFrame, vector: str, target: str, alpha: float = 100.0, out: str = "predicted") -> tuple[DataFrame, float]:
+    """The rows of ``test`` with the prediction of a ridge regression fitted to ``train``, another corpus with vectors of the same width,
+    and its r2 there (nan without rows). The model is as many numbers as a vector has; rows without a vector get null."""
+    fitted, scored = (_moments(x, vector, target, F.lit(0)) for x in (train, test))
+    if not fitted:
+        return test.withColumn(out, F.lit(None).cast("double")), float("nan")
+    w = _ridge(fitted[0], alpha)
+    dot = F.aggregate(F.zip_with(vector, F.lit(w[:-1].tolist()), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return test.withColumn(out, dot + float(w[-1])), _r2(w, scored[0]) if scored else float("nan")
+
+
 def nonnegative(signals: np.ndarray, target: np.ndarray, floors: np.ndarray | None = None, rounds: int = 500) -> np.ndarray:
     """Weights of at least ``floors`` with the least squared error, by projected coordinate steps over sums of products:
     signals is the matrix of products of the signals, target that of the signals with the target."""

@@ -285,86 +285,6 @@ def cap_per_artist(ranked: DataFrame, cap: int, k: int) -> DataFrame:
     return over.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "place", "song_idx", "artist")
 
 
-def visits(rows: DataFrame, least: float, item: str = "song_idx", vector: str = "audio_vec", pivots: int = 64, seed: int = 5) -> DataFrame:
-    """(block, part, guest 0/1, id, v): where rows wait (guest 0, once) and which parts of blocks they visit (guest 1) to meet all
-    rows with which their cosine is over ``least``.
-
-    Rows are dealt to the nearest of some pivots (rows of the table itself, chosen by a hash), which makes blocks. Unit vectors
-    of that cosine are no further apart than d = sqrt(2 - 2 least), so by the triangle inequality a row can have partners in a
-    block only if it is no further than the block's radius plus d from its pivot: it is sent there, and to no other block.
-    """
-    width = float(np.sqrt(max(2 - 2 * least, 1e-9))) + 1e-9
-    flat = stored(rows.select(F.col(item).alias("id"), V.unit(F.col(vector)).alias("v")), "vectors")
-    chosen = flat.orderBy(F.xxhash64("id", F.lit(seed))).limit(pivots).select("v").collect()
-    at = np.array([r["v"] for r in chosen], float)
-    schema = "block int, part int, guest int, id long, v array<double>"
-    if not chosen:
-        return rows.sparkSession.createDataFrame([], schema)
-
-    def distances(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        made = _arrays(pa.Table.from_batches([batch]))
-        return made["id"].astype(np.int64), np.sqrt(np.maximum((made["v"] ** 2).sum(1)[:, None] - 2 * made["v"] @ at.T + (at**2).sum(1), 0))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, far = distances(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(far.argmin(1).astype(np.int32)), pa.array(far.min(1))], names=["block", "far"])
-
-    sizes = {r["block"]: (r["radius"], r["n"]) for r in flat.mapInArrow(dealt, "block int, far double").groupBy("block").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    radius = np.array([sizes.get(i, (-np.inf, 0))[0] for i in range(len(at))])
-    parts = np.array([max(1, -(-sizes.get(i, (0, 0))[1] // BLOCK)) for i in range(len(at))])
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, far = distances(batch)
-            home, out = far.argmin(1), []
-            for i, (own, row) in enumerate(zip(home, far)):
-                out.append((i, own, ids[i] % parts[own], 0))
-                out += [(i, j, p, 1) for j in np.flatnonzero(row <= radius + width + 1e-7) for p in range(parts[j])]
-            of, block, part, guest = (np.array(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(guest.astype(np.int32)), *[c.take(pa.array(of)) for c in batch.columns]], names=["block", "part", "guest", "id", "v"])
-
-    return flat.mapInArrow(sent, schema)
-
-
-def near_pairs(rows: DataFrame, least: float, item: str = "song_idx", vector: str = "audio_vec", pivots: int = 64, seed: int = 5) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b of unit vectors with a cosine over ``least``.
-
-    Blocks of vectors are multiplied with those that may have partners in them (see ``visits``), BLOCK rows of a block at a time;
-    only pairs that reach the bound come out. Tightly grouped vectors meet few others; where a table has no groups at all, the
-    bound spares little and blocks meet blocks, but never in one task.
-    """
-    cells = visits(rows, least, item, vector, pivots, seed).repartition("block", "part").sortWithinPartitions("block", "part", "guest", "id")
-
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, held = None, np.empty(0, np.int64), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = _arrays(pa.Table.from_batches([batch]))
-            keys = made["block"].astype(np.int64) << 32 | made["part"].astype(np.int64)
-            for key in np.unique(keys):
-                here = keys == key
-                if key != cell:
-                    cell, ids, held = key, np.empty(0, np.int64), made["v"][:0]
-                home, visit = here & (made["guest"] == 0), here & (made["guest"] == 1)
-                ids, held = np.concatenate([ids, made["id"][home]]), np.concatenate([held, made["v"][home]])
-                left = made["id"][visit]
-                cos = np.rint((made["v"][visit] @ held.T) * 1e6) / 1e6
-                i, j = np.nonzero((cos > least) & (left[:, None] < ids))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(left[i].astype(np.int64)), pa.array(ids[j].astype(np.int64)), pa.array(cos[i, j])], names=["a", "b", "cosine"])
-
-    return cells.mapInArrow(multiplied, "a long, b long, cosine double")
-
-
-#: Rows of a block that are held at once where blocks are multiplied.
-BLOCK = 4096
-
-
 def around(songs: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """Songs and targets (query_id, t_valence, t_arousal) whose cells of mood space are the same or adjacent."""
     cell = lambda v, a: F.array(F.floor(v / radius), F.floor(a / radius))

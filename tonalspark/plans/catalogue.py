@@ -9,7 +9,7 @@ from ..functions import emotion as E
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import catalogue as K
-from ..operators import entities, ranks, search
+from ..operators import entities, ranks, search, vector_join
 from .registry import query, songs, table
 
 
@@ -183,9 +183,7 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
 @query("duplicate_entities")
 def duplicate_entities(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of tracks that are one recording, by titles, credits, lengths, lyrics and audio."""
-    from ..operators import retrieval
-
-    near = retrieval.near_pairs(songs(spark, d).select("song_idx", "audio_vec"), 0.985)
+    near = vector_join.near_pairs(songs(spark, d).select("song_idx", "audio_vec"), 0.985)
     return entities.duplicate_pairs(_recordings(spark, d), near)
 
 

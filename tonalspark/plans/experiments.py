@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import metrics as M
-from ..operators import probes, ranks, retrieval
+from ..operators import probes, ranks, retrieval, weights
 from ..sources import sinks
 from .evaluation import _TOP, _recs, _truth
 from .registry import query, songs, table
@@ -311,6 +311,70 @@ def chunk_means(spark: SparkSession, d: str) -> DataFrame:
     return probes.by_chunks(table(spark, d, "documents"), "doc_id", "text", 400, vowels).select("doc_id", "chunks", F.round("mean", 6).alias("mean"))
 
 
+_OUTER, _INNER = 4, 3
+
+
+@query("nested_ridge")
+def nested_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """How well vectors predict valence by nested folds: the strength is chosen within the rows that a fold leaves."""
+    h = F.xxhash64(F.lit(1), "song_idx")
+    return probes.nested_ridge(songs(spark, d), "audio_vec", "valence", F.pmod(h, F.lit(_OUTER)), F.pmod(F.shiftright(h, 8), F.lit(_INNER)), [0.1, 1.0, 10.0, 100.0])
+
+
+@query("transferred_ridge")
+def transferred_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """A model fitted to the songs of even labels predicts those of odd ones, as if these were another corpus."""
+    s = songs(spark, d)
+    rows, r2 = probes.transferred(s.where("label % 2 = 0"), s.where("label % 2 = 1"), "audio_vec", "arousal", alpha=10.0)
+    return rows.select("song_idx", F.round("predicted", 6).alias("predicted"), F.lit(round(r2, 6)).alias("r2"))
+
+
+_GRID = weights.simplex(3, 8, 0.5)
+_SIGNALS = """a AS (SELECT q.song_idx AS query_id, s.song_idx, (list_cosine_similarity(q.audio_vec, s.audio_vec) + 1) / 2 AS s1, (list_cosine_similarity(q.lyrics_vec, s.lyrics_vec) + 1) / 2 AS s2, CASE WHEN q.label = s.label THEN 1.0::DOUBLE ELSE 0 END AS s3
+  FROM songs q JOIN songs s ON q.song_idx % 25 = 0 AND q.song_idx <> s.song_idx)"""
+
+
+def fused_signals(rows: dict, seeds: dict) -> list:
+    """Halved-up cosines of audio and lyrics, and whether the labels are the same."""
+    return [(retrieval._cosines(rows[c], seeds[c]) + 1) / 2 for c in ("audio_vec", "lyrics_vec")] + [(rows["label"][:, None] == seeds["label"]).astype(float)]
+
+
+def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Songs, every twenty-fifth of them as seeds, and orders as lists of songs, of which each fifth is held out."""
+    s = songs(spark, d).select("song_idx", "audio_vec", "lyrics_vec", "label")
+    lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("song_idx")).distinct().join(s.select("song_idx"), "song_idx")
+    seeds = s.where("song_idx % 25 = 0").withColumnRenamed("song_idx", "query_id")
+    return s, seeds, weights.relevant(lists.withColumn("held_out", F.col("list_id") % 5 == 0), seeds)
+
+
+@query(
+    "weight_search_grid",
+    f"""WITH {{songs}}, {_SIGNALS}, g(candidate, w1, w2, w3) AS (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(_GRID))}),
+    r AS (SELECT candidate, query_id, song_idx, row_number() OVER (PARTITION BY candidate, query_id ORDER BY round_even((w1 * s1 + w2 * s2 + w3 * s3) * 1e9, 0) DESC, song_idx) AS rank FROM a, g QUALIFY rank <= 10),
+    l AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey AS song_idx FROM lineitem JOIN songs ON l_partkey = song_idx),
+    t AS (SELECT DISTINCT x.song_idx AS query_id, y.song_idx, x.list_id % 5 = 0 AS held FROM l x JOIN l y USING (list_id) WHERE x.song_idx % 25 = 0 AND x.song_idx <> y.song_idx),
+    z AS (SELECT query_id, held, sum(1 / log2(i + 1)) AS ideal FROM (SELECT query_id, held, row_number() OVER (PARTITION BY query_id, held) AS i FROM t) WHERE i <= 10 GROUP BY query_id, held),
+    n AS (SELECT c.candidate, z.query_id, z.held, coalesce(sum(1 / log2(r.rank + 1)) FILTER (t.song_idx IS NOT NULL), 0) / any_value(ideal) AS ndcg FROM (SELECT candidate FROM g) c CROSS JOIN z LEFT JOIN r ON r.candidate = c.candidate AND r.query_id = z.query_id LEFT JOIN t ON t.query_id = z.query_id AND t.held = z.held AND t.song_idx = r.song_idx GROUP BY c.candidate, z.query_id, z.held),
+    i AS (SELECT x.candidate, x.query_id, avg(1 - list_cosine_similarity(p.lyrics_vec, q.lyrics_vec)) AS ild FROM r x JOIN r y ON x.candidate = y.candidate AND x.query_id = y.query_id AND x.rank < y.rank JOIN songs p ON p.song_idx = x.song_idx JOIN songs q ON q.song_idx = y.song_idx WHERE x.query_id IN (SELECT query_id FROM t WHERE NOT held) GROUP BY x.candidate, x.query_id),
+    e AS (SELECT candidate, avg(ndcg) FILTER (NOT held) AS ndcg, avg(ndcg) FILTER (held) AS held_out_ndcg, any_value(ild) AS ild FROM n JOIN (SELECT candidate, avg(ild) AS ild FROM i GROUP BY candidate) USING (candidate) GROUP BY candidate),
+    f AS (SELECT *, ild >= 0.95 * (SELECT ild FROM e WHERE candidate = 0) AS feasible FROM e)
+    SELECT candidate, round(ndcg, 6) AS ndcg, round(held_out_ndcg, 6) AS held_out_ndcg, round(ild, 6) AS ild, feasible, candidate = (SELECT candidate FROM f WHERE feasible ORDER BY round(ndcg, 9) DESC, round(ild, 9) DESC, candidate LIMIT 1) AS chosen FROM f""",
+)
+def weight_search_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All weights of three signals in eighths, none over a half: gains on lists to learn from and on those held out, diversity, and the
+    winner among those that keep 95 % of the first one's diversity."""
+    s, seeds, truth = _orders(spark, d)
+    found = weights.evaluated(s, seeds, truth, fused_signals, _GRID, 10, "lyrics_vec")
+    return weights.chosen(found, F.col("candidate") == 0).select("candidate", *[F.round(c, 6).alias(c) for c in ("ndcg", "held_out_ndcg", "ild")], "feasible", "chosen")
+
+
+@query("weight_search")
+def weight_search(spark: SparkSession, d: str) -> DataFrame:
+    """The winner of the pattern search over the same, from two starts; the base's figures beside it."""
+    w = weights.search(*_orders(spark, d), fused_signals, [(0.4, 0.2, 0.4), (0.2, 0.5, 0.3)])
+    return spark.createDataFrame([(list(w.weights), w.ndcg, w.held_out_ndcg, w.ild, w.base["ndcg"], w.base["ild"])], "weights array<double>, ndcg double, held_out_ndcg double, ild double, base_ndcg double, base_ild double")
+
+
 @query("ridge_probe")
 def ridge_probe(spark: SparkSession, d: str) -> DataFrame:
     """How well vectors predict valence, by ridge regressions of several strengths, each fold held out once."""

@@ -9,7 +9,7 @@ from ..functions import color as C
 from ..functions import emotion as E
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ranks, rerank, retrieval, search, sequences
+from ..operators import inverted_file, ranks, rerank, retrieval, search, sequences, trigram_index, vector_join
 from .registry import query, songs, table
 
 _FUSED = """seeds AS (SELECT * FROM songs WHERE song_idx % 100 = 0), scored AS (
@@ -91,6 +91,23 @@ def knn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(v, seeds_of(v), 7)
 
 
+@query("indexed_neighbours", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, round_even(list_cosine_similarity(a.x, b.x) * 1e6, 0) / 1e6 AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, song_idx, score FROM n WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, song_idx) QUALIFY row_number() OVER w <= 10")
+def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every twentieth vector from an inverted file over all: lists that can't hold one aren't visited."""
+    v = table(spark, d, "embeddings")
+    index = inverted_file.build(v, "vec_id", "embedding")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return inverted_file.search(inverted_file.opened(spark, index.path), asked, 10, vector="embedding")
+
+
+@query("probed_neighbours")
+def probed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a bound: each query visits three lists in four, and a few neighbours may be missed."""
+    v = table(spark, d, "embeddings")
+    index = inverted_file.build(v, "vec_id", "embedding", lists=32)
+    return inverted_file.search(index, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, probes=24, vector="embedding")
+
+
 @query(
     "knn_fallback_vector",
     """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT a.vec_id AS query_id, b.vec_id AS song_idx, b.x, round_even(list_cosine_similarity(a.x, b.x) * 1e6, 0) / 1e6 AS w FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
@@ -272,7 +289,7 @@ _NEAR = "SELECT a.song_idx AS a, b.song_idx AS b, round_even(list_cosine_similar
 
 @query("near_duplicate_pairs", f"WITH {{songs}}, {_COPIED} {_NEAR}")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.near_pairs(_versions(spark, d), 0.85)
+    return vector_join.near_pairs(_versions(spark, d), 0.85)
 
 
 @query("cover_index", f"WITH {{songs}}, {_COPIED}, k AS (SELECT song_idx, artist, left(title, 20) AS start, min(song_idx) OVER (PARTITION BY artist, left(title, 20)) AS first FROM versions), p AS (SELECT a, b FROM ({_NEAR}) UNION SELECT first, song_idx FROM k WHERE first < song_idx), e AS (SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p) SELECT src, count(*) AS n, min(dst) AS first, max(dst) AS last FROM e GROUP BY src")
@@ -282,7 +299,7 @@ def cover_index(spark: SparkSession, d: str) -> DataFrame:
     key = s.select("song_idx", "artist", F.left("title", F.lit(20)).alias("start"))
     first = key.groupBy("artist", "start").agg(F.min("song_idx").alias("a"))
     named = key.join(first, ["artist", "start"]).where("a < song_idx").select("a", F.col("song_idx").alias("b"))
-    pairs = retrieval.near_pairs(s, 0.85).select("a", "b").unionByName(named)
+    pairs = vector_join.near_pairs(s, 0.85).select("a", "b").unionByName(named)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first"), F.max("dst").alias("last"))
 
@@ -378,7 +395,7 @@ def _like(x: str) -> str:
 @query("trigram_search", f"WITH g AS (SELECT {_GRAMS.format(repr('brand 12'))} AS q), s AS (SELECT p_partkey AS item, greatest({_like('p_name')}, {_like('p_brand')}) AS similarity, p_retailprice AS pop, contains(lower(p_name), 'brand 12') OR contains(lower(p_brand), 'brand 12') AS held FROM part, g) SELECT item, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3 OR held ORDER BY s.similarity DESC, pop DESC NULLS LAST, item LIMIT 25")
 def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("popularity"))
-    return search.by_trigrams(items, "brand 12", 25).withColumn("similarity", F.round("similarity", 6))
+    return trigram_index.search(trigram_index.build(items), "brand 12", 25).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("fuzzy_typo_recovery")
