@@ -1,13 +1,13 @@
 """Mixes sources to target weights by iterative proportional fitting.
 
 Topics are clusters of documents by their content words, apart from what their language has in common. Tokens are summed by
-cell (source, language, topic); raking scales the cells until every marginal has its target share. Each document is then kept
-with its cell's calibrated probability, decided by a hash of its id.
+cell (source, language, topic). The wanted marginals are first brought within what the values hold and what all dimensions can
+meet together; raking, in which no cell gives more than it has, then finds the tokens of each cell that meet them. Each document is
+kept with its cell's probability, decided by a hash of its id.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +21,13 @@ from pyspark.sql.types import StructType
 from .common import arrow_map, stored, utf8, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells that are raked on the driver at most (a row of numbers each); more are raked by Spark.
-DRIVER_CELLS = 100_000
-#: Raking ends when no sum of a value is off its target by this share of all tokens, or after so many rounds, with a
-#: warning. Both paths stop by these.
-ROUNDS, TOLERANCE = 100, 1e-9
+#: Values of a dimension that have a target of their own, those of most tokens (ties by name); rarer ones are raked as one value, within which
+#: tokens keep their proportions. So the cells on the driver are bounded, whatever the corpus. Values with a given target always count.
+VALUES = {"source": 1000, "lang": 100, "topic": 64}
+REST = "\x00rest"
+#: Raking ends when no sum of a value is off its target by this share of all tokens; targets that aren't met after so many
+#: rounds count as out of reach. STEPS halvings find how far the way from the shares as they are to the wanted ones can be gone.
+ROUNDS, TOLERANCE, STEPS = 200, 1e-9, 7
 #: Numbers of a document's vector, classes of languages whose means are taken off, rounds of clustering, and documents from which
 #: the first centres are chosen (all documents then move them).
 WIDTH, LANGUAGES, CLUSTERING, FIRST = 256, 64, 6, 1000
@@ -173,83 +175,113 @@ def _key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> np.ndarray:
-    """The raked tokens of each cell. Cells without tokens stay without; targets of values that no cell with tokens has
-    are left out, and each dimension's other targets are scaled to a sum of one. With a ``fraction`` that share of all tokens is
-    dealt, and no cell gets more than it has: what a full cell can't take, the next rounds deal to the others."""
-    tokens = cells["tokens"].to_numpy(float)
-    w, most = tokens * (fraction or 1.0), tokens if fraction else np.inf
-    total, steps = w.sum(), []
-    for name, wanted in targets.items():
-        codes, values = pd.factorize(cells[name])
-        has = np.bincount(codes, w, len(values)) > 0
-        aim = np.where(has, [wanted.get(v, 0.0) for v in values], 0.0)
-        steps.append((codes, aim / max(aim.sum(), 1e-300) * total))
-    for _ in range(rounds):
-        off = 0.0
-        for codes, aim in steps:
-            now = np.bincount(codes, w, len(aim))
-            off = max(off, np.abs(now - aim).max(initial=0) / max(total, 1))
-            w = np.minimum(w * np.divide(aim, now, out=np.zeros_like(aim), where=now > 0)[codes], most)
-        if off <= tolerance:
+def _filled(tokens: np.ndarray, shares: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens in proportion to the shares, none above what a value has; what the full ones can't give, the others do. Where those that
+    have a share can't give the budget, the rest comes from the others in proportion."""
+    out, open_ = np.zeros(len(tokens)), shares > 0
+    while open_.any():
+        due = (budget - out.sum()) * np.where(open_, shares, 0) / shares[open_].sum()
+        full = open_ & (due >= tokens)
+        if not full.any():
+            return out + due
+        out, open_ = np.where(full, tokens, out), open_ & ~full
+    left, room = budget - out.sum(), np.where(shares > 0, 0.0, tokens)
+    return out + left * room / room.sum() if left > 1e-12 * budget and room.sum() else out
+
+
+def _scales(of: np.ndarray, base: np.ndarray, most: np.ndarray, aim: np.ndarray) -> np.ndarray:
+    """For each value the factor by which the base of its cells, none above ``most``, sums to its aim. Cells that the factor fills are
+    taken out and the factor for the others is raised, until no more fill up."""
+    sums = np.bincount(of, base, len(aim))
+    scale = np.divide(aim, sums, out=np.zeros(len(aim)), where=sums > 0)
+    for _ in range(len(of) + 1):
+        full = base * scale[of] >= most
+        held, free = np.bincount(of[full], most[full], len(aim)), np.bincount(of[~full], base[~full], len(aim))
+        new = np.maximum(scale, np.divide(aim - held, free, out=scale.copy(), where=(free > 0) & (aim > held)))
+        if (new <= scale * (1 + 1e-14)).all():
             break
-    else:
-        _not_met(rounds, off, tolerance)
-    return w
-
-
-def _not_met(rounds: int, off: float, tolerance: float) -> None:
-    warnings.warn(f"raking stopped after {rounds} rounds with a sum off its target by {off:.3g} of all tokens (tolerance {tolerance:.3g}): the targets can't all be met, or are met slowly", RuntimeWarning, stacklevel=3)
-
-
-def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> DataFrame:
-    """The same for any number of cells: a sum and a join for each dimension and round; a round is one job, cut by a
-    written table, and the largest deviation that it met decides whether another follows."""
-    total = (cells.agg(F.sum("tokens")).first()[0] or 0) * (fraction or 1.0)
-    spark, names, aims = cells.sparkSession, cells.columns, {}
-    for k, wanted in targets.items():
-        aim = cells.groupBy(k).agg(F.sum("tokens").alias("now")).where("now > 0").join(spark.createDataFrame([*wanted.items()], f"{k} string, aim double"), k).select(k, "aim")
-        whole = aim.agg(F.sum("aim")).first()[0] or 1.0
-        aims[k] = stored(aim.withColumn("aim", F.col("aim") / whole * total), "aims")
-    most = F.col("tokens").cast("double") if fraction else F.lit(float("inf"))
-    out = cells.withColumn("raked", F.col("tokens") * F.lit(fraction or 1.0))
+        scale = new
+    return scale
+
+
+def rake(codes: list[np.ndarray], tokens: np.ndarray, aims: list[np.ndarray], fraction: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """The raked tokens of each cell, and the largest deviation of a sum from its aim as a share of all tokens.
+
+    codes: the value of each cell in each dimension; aims: the tokens of each value. A cell has the fraction of its tokens times a
+    factor for each of its values, but no more than its tokens. The factors are set dimension by dimension until all sums hold; of all
+    tables with these sums and bounds it is the one nearest to the cells as they are (by relative entropy), in whatever order the
+    dimensions come.
+    """
+    total, base = max(tokens.sum(), 1e-300), fraction * tokens
+    scales, off, w = [np.ones(len(a)) for a in aims], np.inf, base
     for _ in range(rounds):
-        out = out.withColumn("off", F.lit(0.0))
-        for k, aim in aims.items():
-            sums = out.groupBy(k).agg(F.sum("raked").alias("now")).where("now > 0").join(aim, k, "left")
-            step = out.join(sums, k, "left").withColumn("off", F.greatest("off", F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("aim", F.lit(0.0)))))
-            out = step.withColumn("raked", F.least(F.coalesce(F.col("raked") * F.col("aim") / F.col("now"), F.lit(0.0)), most)).select(*names, "raked", "off")
-        out = stored(out, "cells")
-        off = (out.agg(F.max("off")).first()[0] or 0.0) / max(total, 1)
-        out = out.drop("off")
+        for d, aim in enumerate(aims):
+            others = base.copy()
+            for e, of in enumerate(codes):
+                if e != d:
+                    others = others * scales[e][of]
+            scales[d] = _scales(codes[d], others, tokens, aim)
+        w = base.copy()
+        for of, scale in zip(codes, scales):
+            w = w * scale[of]
+        w = np.minimum(w, tokens)
+        off = max(np.abs(np.bincount(of, w, len(aim)) - aim).max(initial=0) for of, aim in zip(codes, aims)) / total
         if off <= tolerance:
             break
-    else:
-        _not_met(rounds, off, tolerance)
-    return out.select(*names, "raked")
-
-
-def calibrate(tokens: np.ndarray, raked: np.ndarray, budget: float) -> np.ndarray:
-    """Probabilities min(1, c raked / tokens) with the c that makes the expected tokens ``budget`` (or all, if it is more)."""
-    ratio = np.divide(raked, tokens, out=np.zeros_like(raked), where=tokens > 0)
-    order = np.argsort(-ratio, kind="stable")
-    full, rest = np.concatenate(([0.0], np.cumsum(tokens[order]))), np.concatenate((np.cumsum(raked[order][::-1])[::-1], [0.0]))
-    # with the k cells of the highest ratio kept whole, c is (budget - their tokens) / raked of the rest
-    for k in range(len(order)):
-        c = (budget - full[k]) / rest[k] if rest[k] > 0 else np.inf
-        if c * ratio[order[k]] <= 1:
-            return np.minimum(1.0, np.maximum(c, 0) * ratio)
-    return np.where(ratio > 0, 1.0, 0.0)
-
-
-def tempered(cells: pd.DataFrame, temper: float) -> dict[str, dict[str, float]]:
-    """Target shares in proportion to each value's tokens to the power ``temper``: 1 as it is, 0 all alike."""
-    out = {}
-    for name in DIMENSIONS:
-        sums = cells.groupby(name)["tokens"].sum()
-        shares = sums[sums > 0] ** temper
-        out[name] = (shares / shares.sum()).to_dict()
-    return out
+    return w, off
+
+
+@dataclass
+class Plan:
+    """cells: source, lang, topic, tokens and probability; values: dimension, value, tokens and the wanted, target and reached shares;
+    way: how far the way to the wanted shares was gone, 1 if they can be met together."""
+
+    cells: pd.DataFrame
+    values: pd.DataFrame
+    way: float
+
+
+def planned(cells: pd.DataFrame, fraction: float = 0.5, temper: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> Plan:
+    """How the fraction of all tokens is dealt to the cells (source, lang, topic, tokens) so that the marginals meet their targets.
+
+    Wanted are the given shares, or shares in proportion to each value's tokens to the power ``temper``. A value that hasn't got its share
+    gives all it has, and the others of its dimension share the rest. Where the dimensions still can't be met together (a source in one
+    language only), the targets lie on the way from the shares as they are, which can always be met, to the wanted ones: as far as
+    halving the way STEPS times can tell that they can be met. So what is returned as the target is reached.
+    """
+    cells = cells.sort_values(list(DIMENSIONS)).reset_index(drop=True)
+    tokens = cells["tokens"].to_numpy(float)
+    budget, codes, wanted, held, names = fraction * tokens.sum(), [], [], [], []
+    for k in DIMENSIONS:
+        of, values = pd.factorize(cells[k])
+        sums = np.bincount(of, tokens, len(values))
+        given = (targets or {}).get(k)
+        shares = np.where(sums > 0, [given.get(v, 0.0) for v in values] if given else sums**temper, 0.0)
+        codes.append(of)
+        held.append(sums)
+        wanted.append(shares / max(shares.sum(), 1e-300) if shares.any() else sums / max(sums.sum(), 1e-300))
+        names.append(list(values))
+    goals = [_filled(n, s, budget) for n, s in zip(held, wanted)]
+
+    def reached(way: float) -> tuple[list[np.ndarray], np.ndarray, float]:
+        aims = [(1 - way) * fraction * n + way * g for n, g in zip(held, goals)]
+        return aims, *rake(codes, tokens, aims, fraction)
+
+    way, (aims, w, off) = 1.0, reached(1.0)
+    if off > TOLERANCE:
+        low, high, (aims, w, off) = 0.0, 1.0, reached(0.0)
+        for _ in range(STEPS):
+            middle = (low + high) / 2
+            found = reached(middle)
+            if found[2] <= TOLERANCE:
+                low, (aims, w, off) = middle, found
+            else:
+                high = middle
+        way = low
+    cells["probability"] = np.divide(w, tokens, out=np.zeros(len(tokens)), where=tokens > 0).clip(0, 1)
+    got = max(w.sum(), 1e-300)
+    rows = [(k, v, float(held[d][i]), float(wanted[d][i]), float(aims[d][i] / max(budget, 1e-300)), float(np.bincount(codes[d], w, len(aims[d]))[i] / got)) for d, k in enumerate(DIMENSIONS) for i, v in enumerate(names[d])]
+    return Plan(cells, pd.DataFrame(rows, columns=["dimension", "value", "tokens", "wanted", "target", "reached"]), way)
 
 
 def chance(seed: int) -> Column:
@@ -258,45 +290,43 @@ def chance(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), key)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 1) -> DataFrame:
-    """Adds probability double and kept boolean to ``docs``, which has the columns of ``profiled``.
+def _own(cells: DataFrame, targets: dict[str, dict[str, float]] | None, values: dict[str, int]) -> dict[str, list[str] | None]:
+    """For each dimension the values that count for themselves, None for all of them."""
+    out: dict[str, list[str] | None] = {}
+    for k in DIMENSIONS:
+        top = [r[0] for r in cells.groupBy(k).agg(F.sum("tokens").alias("n")).orderBy(F.col("n").desc(), k).limit(values[k] + 1).collect()]
+        out[k] = None if len(top) <= values[k] else sorted({*top[: values[k]], *((targets or {}).get(k) or {})})
+    return out
+
+
+def mixed(docs: DataFrame, profile: DataFrame, fraction: float = 0.5, temper: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 1, values: dict[str, int] = VALUES, shares: bool = False) -> DataFrame:
+    """Adds probability double and kept boolean to ``docs``, which has the columns of ``profiled``; with ``shares`` also
+    source_target, source_reached and so on for lang and topic: the share of the kept tokens that the row's value is to have, and has
+    in expectation.
+
+    profile: the same rows, as far as cells are counted from them (doc_id, source, lang, topic, n_tokens). The expected tokens of
+    what is kept are ``fraction`` of all; see ``planned`` for the marginals. A null source or language is the value ''. Documents
+    without tokens are in no cell's sum and have the probability of their cell. Rows of one doc_id share their fate. An empty table gives
+    an empty result; columns of the added names that the input has are replaced.
 
-    profile: the same rows, as far as cells are counted from them (doc_id, source, lang, topic, n_tokens). The expected
-    tokens of what is kept are ``fraction`` of all, and their marginals the targets, with no cell giving more tokens than
-    it has; where raking ends before they are met, a RuntimeWarning says by how much. A null source or language is
-    the value ''. Documents without tokens are in no cell's sum and have the probability of their cell. Rows of one
-    doc_id share their fate. An empty table gives an empty result; columns probability and kept of the input are replaced.
+    Cells are summed by Spark; those of the values that have targets of their own (see VALUES) come to the driver and go back with the
+    tasks, so what is sent is bounded by the parameter, not by the corpus.
     """
-    cells = profile.groupBy(*[_key(k).alias(k) for k in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = stored(cells, "cells")
-    spark = docs.sparkSession
-    if (n := cells.count()) <= DRIVER_CELLS:
-        small = cells.toPandas().sort_values(list(DIMENSIONS)).reset_index(drop=True)
-        small["tokens"] = small["tokens"].astype(float)
-        raked = rake(small, targets or tempered(small, temper), fraction=fraction)
-        small["probability"] = calibrate(small["tokens"].to_numpy(), raked, fraction * small["tokens"].sum())
-        rows = list(small[[*DIMENSIONS, "probability"]].itertuples(index=False, name=None))
-        known = F.broadcast(spark.createDataFrame(rows, "source string, lang string, topic string, probability double"))
-    else:
-        if targets is None:
-            targets = {}
-            for k in DIMENSIONS:
-                sums = {r[0]: float(r[1]) ** temper for r in cells.groupBy(k).agg(F.sum("tokens")).where("sum(tokens) > 0").collect()}
-                targets[k] = {v: x / sum(sums.values()) for v, x in sums.items()}
-        raked = stored(_rake_by_spark(cells, targets, fraction=fraction), "raked")
-        total = raked.agg(F.sum("tokens")).first()[0] or 0
-        low, high = 0.0, 1e9
-        ratio = F.coalesce(F.col("raked") / F.col("tokens"), F.lit(0.0))
-        for _ in range(11):  # each job tries 63 values between the bounds
-            tried = [low + (high - low) * i / 64 for i in range(1, 64)]
-            got = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * ratio)) for c in tried]).first()
-            under = sum((x or 0) < fraction * total for x in got)
-            low, high = ([low, *tried][under], [*tried, high][under])
-        known = raked.select(*DIMENSIONS, F.least(F.lit(1.0), high * ratio).alias("probability"))
-    known = known.select(*[F.col(k).alias(f"cell_{k}") for k in DIMENSIONS], "probability")
-    match = [_key(k) == F.col(f"cell_{k}") for k in DIMENSIONS]
-    out = docs.drop("probability", "kept").join(known, match, "left").drop(*[f"cell_{k}" for k in DIMENSIONS])
-    return out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("kept", chance(seed) < F.col("probability"))
+    cells = stored(profile.groupBy(*[_key(k).alias(k) for k in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    own, spark = _own(cells, targets, values), docs.sparkSession
+    coarse = lambda k, c: c if own[k] is None else F.when(c.isin(own[k]), c).otherwise(REST)
+    small = cells.groupBy(*[coarse(k, F.col(k)).alias(k) for k in DIMENSIONS]).agg(F.sum("tokens").cast("double").alias("tokens")).toPandas()
+    plan = planned(small, fraction, temper, targets)
+    added = ["probability", "kept", *[f"{k}_{s}" for k in DIMENSIONS for s in ("target", "reached") if shares]]
+    known = spark.createDataFrame(list(plan.cells[[*DIMENSIONS, "probability"]].itertuples(index=False, name=None)), "cell_source string, cell_lang string, cell_topic string, probability double")
+    out = docs.drop(*added).withColumns({f"cell_{k}": coarse(k, _key(k)) for k in DIMENSIONS}).join(F.broadcast(known), [f"cell_{k}" for k in DIMENSIONS], "left")
+    if shares:
+        for k in DIMENSIONS:
+            told = plan.values[plan.values["dimension"] == k][["value", "target", "reached"]]
+            told = spark.createDataFrame(list(told.itertuples(index=False, name=None)), f"cell_{k} string, {k}_target double, {k}_reached double")
+            out = out.join(F.broadcast(told), f"cell_{k}", "left")
+    out = out.drop(*[f"cell_{k}" for k in DIMENSIONS]).withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    return out.withColumn("kept", chance(seed) < F.col("probability")).select(*[c for c in docs.columns if c not in added], *added)
 
 
 def _profile(docs: DataFrame) -> tuple[DataFrame, Topics]:
@@ -307,14 +337,14 @@ def _profile(docs: DataFrame) -> tuple[DataFrame, Topics]:
 
 
 def survey(docs: DataFrame, fraction: float = 0.5, temper: float = 0.5, seed: int = 1) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, topic, probability, kept) of every document."""
+    """(doc_id, source, lang, n_tokens, topic, probability, kept, and the target and reached share of each of its values) of every
+    document."""
     profile, _ = _profile(docs)
-    return mixed(profile, profile, fraction, temper, seed=seed)
+    return mixed(profile, profile, fraction, temper, seed=seed, shares=True)
 
 
 def sample(docs: DataFrame, fraction: float = 0.5, temper: float = 0.5, seed: int = 1) -> DataFrame:
-    """The kept rows of ``docs``, with their columns. Texts are read twice; they are shuffled only if there are too many cells
-    to be sent with the tasks."""
+    """The kept rows of ``docs``, with their columns. Texts are read twice and never shuffled."""
     profile, model = _profile(docs)
     clashes = {c: f"own_{c}" for c in docs.columns if c in ("topic", "n_tokens", "probability", "kept")}
     rows = profiled(docs.withColumnsRenamed(clashes), model=model)
