@@ -264,3 +264,35 @@ def limit_of(path: Column, limits: dict[str, int], default: int) -> Column:
 def prompt_contrast(vector: Column, positive: Column, negative: Column) -> Column:
     """How much nearer a vector is to one prompt than to its opposite."""
     return dot(vector, positive) - dot(vector, negative)
+
+
+#: The names of the quadrants and the colour of a song that has none.
+QUADRANT_NAMES = ("Q1: Happy/Excited", "Q2: Angry/Tense", "Q3: Sad/Melancholic", "Q4: Calm/Peaceful")
+NO_COLOR = "#6366f1"
+
+
+def defaulted(df: DataFrame, media: DataFrame) -> DataFrame:
+    """Songs as they are loaded, with a default for what must not be missing: (track_id, album_id, primary_artist_id, popularity, explicit,
+    arousal, color_hex, mood_quadrant, instrumental, has_lyrics, image, has_art, has_audio, audio_file).
+
+    Arousal is the energy where it is missing, else .5. A quadrant that is missing or unknown follows from valence and arousal; a
+    valence of 0 counts as .5 there, and a missing one gives the fourth. An image is the medium one, else the thumbnail. media: the
+    track_ids that have a file.
+    """
+    c = lambda name, kind="string": F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    blank = lambda x: F.when(F.trim(x) != "", x)
+    arousal = F.coalesce(c("arousal", "double"), c("energy", "double"), F.lit(0.5))
+    valence = F.when(c("valence", "double") == 0, 0.5).otherwise(c("valence", "double"))
+    high, up = valence >= 0.5, arousal >= 0.5
+    derived = F.when(high & up, QUADRANT_NAMES[0]).when((valence < 0.5) & up, QUADRANT_NAMES[1]).when((valence < 0.5) & ~up, QUADRANT_NAMES[2]).otherwise(QUADRANT_NAMES[3])
+    image = F.coalesce(blank(c("image_url_medium")), blank(c("thumbnail_url")))
+    flag = lambda name: F.coalesce(c(name, "boolean"), F.lit(False))
+    files = media.select(F.col("track_id").cast("string").alias("__id")).distinct().withColumn("__file", F.lit(True))
+    met = df.join(files, df["track_id"].cast("string") == F.col("__id"), "left")
+    has = F.coalesce("__file", F.lit(False))
+    return met.select(
+        "track_id", blank(c("album_id")).alias("album_id"), blank(c("primary_artist_id")).alias("primary_artist_id"), F.coalesce(c("track_popularity", "int"), F.lit(0)).alias("popularity"), flag("track_explicit").alias("explicit"),
+        arousal.alias("arousal"), F.coalesce(blank(c("color_hex")), F.lit(NO_COLOR)).alias("color_hex"), F.when(c("mood_quadrant") != "Unknown", c("mood_quadrant")).otherwise(derived).alias("mood_quadrant"),
+        flag("instrumental").alias("instrumental"), flag("has_lyrics").alias("has_lyrics"), image.alias("image"), F.coalesce(image.startswith("http"), F.lit(False)).alias("has_art"),
+        has.alias("has_audio"), F.when(has, F.concat(F.col("track_id").cast("string"), F.lit(".mp3"))).alias("audio_file"),
+    )

@@ -1,7 +1,9 @@
 """Titles, names, words and times."""
 
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,34 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
+def hit_text(text: Column) -> Column:
+    """For comparing what a lyrics search returns: no marks, nothing in brackets, nothing from a featured artist on, a-z and 0-9."""
+    bare = F.regexp_replace(F.regexp_replace(no_marks(F.coalesce(text.cast("string"), F.lit(""))), r"[\(\[][^\)\]]*[\)\]]", " "), rf"{EDGE}(?:feat|ft|featuring){EDGE}.*$", " ")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
+def is_hit(title: Column, artist: Column, found_title: Column, found_artist: Column, ratio: Callable[[Column, Column], Column], least: float = 0.90) -> Column:
+    """Is a search result the song that was looked for? Its title is the same or has a ratio of ``least`` with it, and the artists have a
+    word in common, if both are known; without a title never."""
+    a, b, x, y = hit_text(title), hit_text(found_title), hit_text(artist), hit_text(found_artist)
+    words = lambda c: F.split(c, " ")
+    same = (a == b) | (ratio(F.when(a != b, a), F.when(a != b, b)) >= least)
+    return (a != "") & (b != "") & same & ((x == "") | (y == "") | F.arrays_overlap(words(x), words(y)))
+
+
+def compared_text(text: Column) -> Column:
+    """Compatibility forms and marks resolved (NFKD), lower case, letters, digits and underscores of any script as words. Only texts beyond
+    ASCII go to Python."""
+
+    @F.pandas_udf("string")
+    def resolved(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    ascii_ = text.rlike(r"\A[\x00-\x7F]*\z")
+    plain = F.when(ascii_, text).otherwise(resolved(F.when(~ascii_, text)))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " ")), F.lit(""))
+
+
 def snippet(text: Column, query: str, before: int = 25, after: int = 90) -> Column:
     """What stands around the first match of a normalised query, with ellipses where it was cut; null without a match."""
     plain = match_text(text)

@@ -106,3 +106,19 @@ def top_per_query(df: DataFrame, score: Column, k: int, query: str = "query_id",
     before the shuffle."""
     order = Window.partitionBy(query).orderBy(score.desc(), F.col(item).asc())
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows of df, from each stratum its share of them, rounded, one at least; what rounding takes too many goes, what it leaves
+    too few comes from the rest, all in the order of a digest of the key and the seed.
+
+    No stratum passes on more than n rows, of which each task keeps its first n; only those are ordered together.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))))
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
+    total = sizes.agg(F.sum("_size").alias("_total"))
+    quota = F.least(F.col("_size"), F.greatest(F.lit(1), F.rint(n * F.col("_size") / F.col("_total"))))
+    quotas = sizes.join(F.broadcast(total)).select(F.col(stratum).alias("_stratum"), quota.alias("_quota"))
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).where(F.col("_place") <= n)
+    told = first.join(quotas, first[stratum].eqNullSafe(quotas["_stratum"])).withColumn("_chosen", F.col("_place") <= F.col("_quota"))
+    return told.orderBy(F.col("_chosen").desc(), "_h", key).limit(n).select(*df.columns)

@@ -32,14 +32,6 @@ def active_regions(df: DataFrame, key: str, time: str, value: str, threshold: fl
     return out.where(F.col("end") - F.col("start") >= least).drop("_run")
 
 
-def camelot(key_a: Column, mode_a: Column, key_b: Column, mode_b: Column) -> Column:
-    """How well two keys (0..11, mode 1 major) go together: 1 the same, .8 relative or a fifth away, .7 two fifths, else .4."""
-    hour = lambda key, mode: F.pmod(F.when(mode == 1, key * 7 + 7).otherwise(key * 7 + 4), F.lit(12))
-    turn = F.pmod(hour(key_a, mode_a) - hour(key_b, mode_b), F.lit(12))
-    apart, same = F.least(turn, 12 - turn), mode_a == mode_b
-    return F.when(same & (apart == 0), 1.0).when((~same & (apart == 0)) | (same & (apart == 1)), 0.8).when(same & (apart == 2), 0.7).otherwise(0.4)
-
-
 def transitions(df: DataFrame, key: str, order: str) -> DataFrame:
     """(key, order, next, overlap, gain_db) of adjacent songs (bpm, arousal, valence, loudness): the closer in tempo and
     mood, the longer they overlap, from 3 to 12 seconds; the gain brings the next to this one's loudness, within 6 dB."""

@@ -9,7 +9,7 @@ from ..functions import color as C
 from ..functions import emotion as E
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import inverted_file, ranks, rerank, retrieval, search, sequences, trigram_index, vector_join
+from ..operators import crossfade, inverted_file, ranks, rerank, retrieval, search, sequences, trigram_index, vector_join
 from .registry import query, songs, table
 
 _FUSED = """seeds AS (SELECT * FROM songs WHERE song_idx % 100 = 0), scored AS (
@@ -312,11 +312,11 @@ def crossfade_plan(spark: SparkSession, d: str) -> DataFrame:
     return sequences.transitions(s, "artist", "at").drop("at").withColumn("gain_db", F.round("gain_db", 6))
 
 
-@query("camelot", "WITH {songs}, k AS (SELECT song_idx, size % 12 AS key, label % 2 AS mode, (CASE WHEN label % 2 = 1 THEN (size % 12) * 7 + 7 ELSE (size % 12) * 7 + 4 END) % 12 AS hour FROM songs), p AS (SELECT a.song_idx AS a, b.song_idx AS b, a.mode = b.mode AS same, (a.hour - b.hour + 12) % 12 AS t FROM k a JOIN k b ON b.song_idx = a.song_idx + 1) SELECT a, b, CASE WHEN same AND t = 0 THEN 1.0 WHEN (NOT same AND t = 0) OR (same AND t IN (1, 11)) THEN 0.8 WHEN same AND t IN (2, 10) THEN 0.7 ELSE 0.4 END::DOUBLE AS fit FROM p")
+@query("camelot", "WITH {songs}, k AS (SELECT song_idx, size % 12 AS key, label % 2 AS mode, (CASE WHEN label % 2 = 1 THEN (size % 12) * 7 + 7 ELSE (size % 12) * 7 + 4 END) % 12 AS hour FROM songs), p AS (SELECT a.song_idx AS a, b.song_idx AS b, a.mode = b.mode AS same, (a.hour - b.hour + 12) % 12 AS t FROM k a JOIN k b ON b.song_idx = a.song_idx + 1) SELECT a, b, CASE WHEN same AND t = 0 THEN 1.0 WHEN t = 0 THEN 0.8 WHEN same AND t IN (1, 11) THEN 0.7 ELSE 0.4 END::DOUBLE AS fit FROM p")
 def camelot(spark: SparkSession, d: str) -> DataFrame:
     k = songs(spark, d).select("song_idx", (F.col("size") % 12).alias("key"), (F.col("label") % 2).alias("mode"))
     b = k.select((F.col("song_idx") - 1).alias("song_idx"), F.col("song_idx").alias("b"), F.col("key").alias("bk"), F.col("mode").alias("bm"))
-    return k.join(b, "song_idx").select(F.col("song_idx").alias("a"), "b", sequences.camelot(F.col("key"), F.col("mode"), F.col("bk"), F.col("bm")).alias("fit"))
+    return k.join(b, "song_idx").select(F.col("song_idx").alias("a"), "b", crossfade.harmony(F.col("key"), F.col("mode"), F.col("bk"), F.col("bm")).alias("fit"))
 
 
 @query("va_label", "WITH {songs}, l(label8, v, a) AS (VALUES " + ", ".join(f"('{k}', {v}, {a})" for k, (v, a) in E.LABEL_PLACES.items()) + ") SELECT song_idx, label8 AS mood_label, CASE WHEN valence >= 0.5 AND arousal >= 0.5 THEN 'Q1' WHEN arousal >= 0.5 THEN 'Q2' WHEN valence < 0.5 THEN 'Q3' ELSE 'Q4' END AS quadrant FROM songs, l QUALIFY row_number() OVER (PARTITION BY song_idx ORDER BY power(valence - v::DOUBLE, 2) + power(arousal - a::DOUBLE, 2), label8) = 1")
