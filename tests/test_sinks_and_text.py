@@ -175,3 +175,14 @@ def test_shaping(spark):
     assert [r[0] for r in ends.collect()] == [0, 1, 0]
     known = enrichment.media_flags(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",)], "k string"), spark.createDataFrame([("x/a.mp3",)], "path string"), "k")
     assert {r.k: r.has_media for r in known.collect()} == {"a": False, "b": True}
+
+
+def test_the_catalogue_follows_its_tables(spark, tmp_path):
+    from tonalspark.sources import catalogue
+
+    source = "/root/testdata/sf0.001"
+    for n in (20, 30):
+        for t in ("embeddings", "part"):
+            spark.read.parquet(f"{source}/{t}.parquet").limit(1000).where(f"{'vec_id' if t == 'embeddings' else 'p_partkey'} BETWEEN 1 AND {n}").write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
+        assert catalogue.songs(spark, str(tmp_path)).count() == n
+        assert catalogue.songs(spark, str(tmp_path)).inputFiles() == catalogue.songs(spark, str(tmp_path)).inputFiles()

@@ -176,7 +176,7 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(
         k.alias("id"), name.alias("track_name"), F.concat("p_brand", F.when(k % 3 == 0, ", Brand#3").otherwise("")).alias("artists"), F.when(k % 4 == 0, F.concat(F.lit("i"), (k % 9).cast("string"))).alias("artist_ids"),
         c("p_brand").alias("primary_artist"), F.lit(None).cast("string").alias("primary_artist_id"), (150_000 + c("p_size") * 1000).cast("long").alias("track_duration_ms"),
-        F.when(k % 2 == 0, F.left(c("text"), F.lit(300))).alias("plain_lyrics"), F.when(k % 2 == 1, F.left(c("text"), F.lit(300))).alias("synced_lyrics"), F.when(k % 6 == 0, (k % 60).cast("string")).otherwise("nan").alias("lyrics_id"),
+        F.when(k % 2 == 0, c("text")).alias("plain_lyrics"), F.when(k % 2 == 1, c("text")).alias("synced_lyrics"), F.when(k % 6 == 0, (k % 60).cast("string")).otherwise("nan").alias("lyrics_id"),
     )
 
 

@@ -99,29 +99,29 @@ def annotation_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "media_matches",
-    """WITH h AS (SELECT l_orderkey % 500 AS track_id, l_shipdate, l_linenumber, l_partkey AS media_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber % 5 = 0 THEN 'live at home' ELSE 'song' END AS title, CASE WHEN l_suppkey % 4 > 0 THEN l_quantity END AS found_s FROM lineitem WHERE l_orderkey < 5000),
+    """WITH h AS (SELECT l_orderkey % 500 AS track_id, l_shipdate, l_linenumber, l_partkey AS media_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber % 5 = 0 THEN 'live at home' ELSE 'song' END AS title, CASE WHEN l_suppkey % 4 > 0 THEN l_quantity END AS found_s FROM lineitem),
     s AS (SELECT *, CASE WHEN found_s IS NULL THEN 500 WHEN abs(30 - found_s) <= 15 THEN 1000 - abs(30 - found_s) END::DOUBLE AS score FROM h WHERE NOT regexp_matches(title, 'live')) SELECT track_id, media_id, score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY score DESC, pos, media_id) = 1""",
 )
 def media_matches(spark: SparkSession, d: str) -> DataFrame:
     """The recording found for each track whose length fits best."""
-    l = table(spark, d, "lineitem").where("l_orderkey < 5000")
+    l = table(spark, d, "lineitem")
     hits = l.select((F.col("l_orderkey") % 500).alias("track_id"), F.col("l_partkey").alias("media_id"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.col("l_partkey").alias("m")).alias("at"), F.when(F.col("l_linenumber") % 5 == 0, "live at home").otherwise("song").alias("title"), F.lit(30.0).alias("wanted_s"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_quantity")).alias("found_s"))
     return N.media_matches(hits, "live")
 
 
-@query("media_flags", "WITH {tracks} SELECT track_id, ord < 500 AND ord % 2 = 0 AS has_media FROM tracks")
+@query("media_flags", "WITH {tracks} SELECT track_id, ord % 2 = 0 AS has_media FROM tracks")
 def media_flags(spark: SparkSession, d: str) -> DataFrame:
     """Which tracks have a file, by a listing, since the manifest is empty."""
     rows = tracks(spark, d).select("track_id", "ord")
-    listing = rows.where("ord < 500 AND ord % 2 = 0").select(F.concat(F.lit("file:/media/x.y/"), "track_id", F.lit(".mp3")).alias("path"))
+    listing = rows.where("ord % 2 = 0").select(F.concat(F.lit("file:/media/x.y/"), "track_id", F.lit(".mp3")).alias("path"))
     return N.media_flags(rows, rows.where("false").select("track_id"), listing, "track_id").select("track_id", "has_media")
 
 
-@query("known_vector_upsert", "WITH old AS (SELECT vec_id, label FROM embeddings), new AS (SELECT vec_id * 2 AS vec_id, label + 100 AS label FROM embeddings WHERE vec_id * 2 IN (SELECT p_partkey FROM part WHERE p_partkey < 600)) SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM old o FULL JOIN new n USING (vec_id)")
+@query("known_vector_upsert", "WITH old AS (SELECT vec_id, label FROM embeddings), new AS (SELECT vec_id * 2 AS vec_id, label + 100 AS label FROM embeddings WHERE vec_id * 2 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)) SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM old o FULL JOIN new n USING (vec_id)")
 def known_vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "embeddings").select("vec_id", "label")
     new = old.select((F.col("vec_id") * 2).alias("vec_id"), (F.col("label") + 100).alias("label"))
-    return N.upsert_known(old, new, table(spark, d, "part").where("p_partkey < 600").select(F.col("p_partkey").alias("vec_id")), "vec_id")
+    return N.upsert_known(old, new, table(spark, d, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("vec_id")), "vec_id")
 
 
 @query("credit_pairs", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_brand || ', guest' END AS artists, CASE WHEN p_partkey % 3 = 0 THEN 'a' WHEN p_partkey % 3 = 1 THEN 'a,c' ELSE 'a,' END AS artist_ids FROM part")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.emotion import LABEL_PLACES, nearest_label
 from ..operators import metrics as M
 from ..operators import probes, ranks, retrieval, weights
 from ..sources import sinks
@@ -227,15 +228,17 @@ def survey_norms(spark: SparkSession, d: str) -> DataFrame:
     return norms.groupBy("color").agg(F.max_by("emotion", "share").alias("top"), F.round(F.max("share"), 6).alias("share"), F.round(F.sum(F.col("share") * F.length("emotion")), 6).alias("centre"))
 
 
-@query("opposite_moods", "WITH l(k, v, a) AS (VALUES ('happy', 0.80, 0.60), ('excited', 0.75, 0.85), ('peaceful', 0.70, 0.20), ('calm', 0.60, 0.30), ('melancholic', 0.35, 0.35), ('sad', 0.20, 0.25), ('tense', 0.35, 0.75), ('angry', 0.20, 0.85)) SELECT x.k AS a, y.k AS b, round(sqrt(power((x.v - y.v)::DOUBLE, 2) + power((x.a - y.a)::DOUBLE, 2)), 6) AS distance FROM l x JOIN l y ON x.k < y.k WHERE (x.v - 0.5) * (y.v - 0.5) < 0 AND (x.a - 0.5) * (y.a - 0.5) < 0")
+@query("opposite_moods", "WITH {songs}, l(k, v, a) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE, {a}::DOUBLE)" for k, (v, a) in LABEL_PLACES.items()) + "), o AS (SELECT x.k, y.k AS other, round(sqrt(power(x.v - y.v, 2) + power(x.a - y.a, 2)), 6) AS distance FROM l x JOIN l y ON (x.v - 0.5) * (y.v - 0.5) < 0 AND (x.a - 0.5) * (y.a - 0.5) < 0), s AS (SELECT song_idx, k FROM songs, l QUALIFY row_number() OVER (PARTITION BY song_idx ORDER BY power(valence - v, 2) + power(arousal - a, 2), k) = 1) SELECT song_idx, k AS mood, CAST(row_number() OVER (PARTITION BY song_idx ORDER BY distance DESC, other) AS INTEGER) AS place, other, distance FROM s JOIN o USING (k)")
 def opposite_moods(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of labels in opposite quadrants, and how far they are apart."""
-    from ..functions.emotion import LABEL_PLACES
-
-    l = spark.createDataFrame([(k, v, a) for k, (v, a) in LABEL_PLACES.items()], "k string, v double, a double")
-    r = l.select(F.col("k").alias("b"), F.col("v").alias("w"), F.col("a").alias("c"))
-    met = l.join(F.broadcast(r), F.col("k") < F.col("b")).where("(v - 0.5) * (w - 0.5) < 0 AND (a - 0.5) * (c - 0.5) < 0")  # of eight rows
-    return met.select(F.col("k").alias("a"), "b", F.round(F.sqrt(F.pow(F.col("v") - F.col("w"), F.lit(2)) + F.pow(F.col("a") - F.col("c"), F.lit(2))), 6).alias("distance"))
+    """For each song's label those in the opposite quadrant, the farthest first."""
+    l = spark.createDataFrame([(k, v, a) for k, (v, a) in LABEL_PLACES.items()], "mood string, v double, a double")
+    r = l.select(F.col("mood").alias("other"), F.col("v").alias("w"), F.col("a").alias("c"))
+    met = l.join(F.broadcast(r), (F.col("v") - 0.5) * (F.col("w") - 0.5) < 0).where("(a - 0.5) * (c - 0.5) < 0")  # of eight rows
+    far = F.round(F.sqrt(F.pow(F.col("v") - F.col("w"), F.lit(2)) + F.pow(F.col("a") - F.col("c"), F.lit(2))), 6)
+    lists = met.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct((-far).alias("far"), "other"))).alias("found"))
+    s = songs(spark, d).select("song_idx", nearest_label(F.col("valence"), F.col("arousal")).alias("mood"))
+    flat = s.join(F.broadcast(lists), "mood").select("song_idx", "mood", F.posexplode("found").alias("at", "x"))
+    return flat.select("song_idx", "mood", (F.col("at") + 1).alias("place"), F.col("x.other").alias("other"), (-F.col("x.far")).alias("distance"))
 
 
 @query("report_changes", f"WITH {_TOP}, {_BASE}, one AS (SELECT system, avg(rank) AS mean_rank, count(*)::DOUBLE AS n FROM simple GROUP BY system), a AS (SELECT system, 'mean_rank' AS metric, mean_rank AS before FROM one UNION ALL SELECT system, 'n', n FROM one WHERE system <> 'mood'), b AS (SELECT system, 'n' AS metric, n * 2 AS after FROM one WHERE system <> 'audio' UNION ALL SELECT system, 'extra', 1.0 FROM one WHERE system <> 'audio') SELECT system, metric, before, after, after - before AS change FROM (SELECT coalesce(a.system, b.system) AS system, coalesce(a.metric, b.metric) AS metric, before, after FROM a FULL JOIN b ON a.system = b.system AND a.metric = b.metric) WHERE system <> 'audio'")
@@ -278,10 +281,9 @@ def quadrant_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(most)).select("quadrant", "songs", "bpm", F.round(F.col("songs") / F.col("most"), 6).alias("per_top_artist"))
 
 
-@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events WHERE event_type = 'click' GROUP BY event_type")
+@query("latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_type = 'click'")
-    return ranks.percentiles(rows, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).where("p50 IS NOT NULL").select(F.lit("click").alias("event_type"), *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+    return ranks.percentiles(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("artist_songs", "WITH {songs}, e AS (SELECT * FROM songs WHERE lower(artist) = 'brand#1'), c AS (SELECT * FROM songs WHERE contains(lower(artist), 'brand#1')) SELECT song_idx, title FROM e UNION ALL SELECT song_idx, title FROM c WHERE (SELECT count(*) FROM e) = 0")

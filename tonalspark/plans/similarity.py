@@ -151,9 +151,19 @@ moods AS (SELECT *, CASE WHEN s < 0.12 THEN least(greatest(0.20 + 0.41 * l, 0),
   least(greatest(0.373 * CASE WHEN s < 0.12 THEN 0.5 ELSE (1 + cos(radians(h))) / 2 END + 0.356 * s + 0.271 * l - 0.10, 0), 1) AS arousal FROM lab)"""
 
 
-@query("color_to_va", f"WITH {_COLORS}, {_CHANNELS}, {_MOOD} SELECT name, hex, round(valence, 6) AS valence, round(arousal, 6) AS arousal, CASE WHEN valence >= 0.5 AND arousal >= 0.5 THEN 'Q1' WHEN arousal >= 0.5 THEN 'Q2' WHEN valence < 0.5 THEN 'Q3' ELSE 'Q4' END AS quadrant FROM moods")
+#: A colour for each part, by a digest of its key, and the twelve named ones.
+_PAINTED = "colors(query_id, name, hex) AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR), '#' || left(md5(CAST(p_partkey AS VARCHAR)), 6) FROM part UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{k}', '{v}')" for i, (k, v) in enumerate(C.COLORS.items(), 1)) + ") AS n)"
+
+
+def painted(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), key.alias("name"), F.concat(F.lit("#"), F.left(F.md5(key), F.lit(6))).alias("hex"))
+    return own.unionByName(colors(spark).withColumn("query_id", -F.col("query_id") - 1))
+
+
+@query("color_to_va", f"WITH {_PAINTED}, {_CHANNELS}, {_MOOD} SELECT name, hex, round(valence, 6) AS valence, round(arousal, 6) AS arousal, CASE WHEN valence >= 0.5 AND arousal >= 0.5 THEN 'Q1' WHEN arousal >= 0.5 THEN 'Q2' WHEN valence < 0.5 THEN 'Q3' ELSE 'Q4' END AS quadrant FROM moods")
 def color_to_va(spark: SparkSession, d: str) -> DataFrame:
-    out = colors(spark).withColumn("m", C.valence_arousal(F.col("hex")))
+    out = painted(spark, d).withColumn("m", C.valence_arousal(F.col("hex")))
     return out.select("name", "hex", F.round("m.valence", 6).alias("valence"), F.round("m.arousal", 6).alias("arousal"), C.quadrant(F.col("m.valence"), F.col("m.arousal")).alias("quadrant"))
 
 
@@ -162,14 +172,14 @@ _ANCHORS = "anchors(hex, p) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in
 
 @query(
     "color_emotion_probs",
-    f"""WITH {_ANCHORS}, {_COLORS.replace('colors(', 'named(')}, colors AS (SELECT hex, name, NULL::DOUBLE[] AS p FROM named UNION ALL SELECT hex, NULL, p::DOUBLE[] FROM anchors), {_CHANNELS},
+    f"""WITH {_ANCHORS}, {_PAINTED.replace('colors(', 'named(')}, colors AS (SELECT hex, name, NULL::DOUBLE[] AS p FROM named UNION ALL SELECT hex, NULL, p::DOUBLE[] FROM anchors), {_CHANNELS},
     spots AS (SELECT *, cos(radians(h)) * s AS px, sin(radians(h)) * s AS py, l AS pz FROM hsl),
     w AS (SELECT c.name, unnest(a.p) AS p, unnest(range(8)) AS i, 1 / (power(c.px - a.px, 2) + power(c.py - a.py, 2) + power(c.pz - a.pz, 2) + 1e-6) AS w FROM spots c, spots a WHERE c.name IS NOT NULL AND a.name IS NULL),
     t AS (SELECT name, i, sum(w * p) AS x FROM w GROUP BY name, i)
     SELECT name, (['happy', 'excited', 'peaceful', 'calm', 'melancholic', 'sad', 'tense', 'angry'])[i + 1] AS emotion, round(x / sum(x) OVER (PARTITION BY name), 6) AS share FROM t""",
 )
 def color_emotion_probs(spark: SparkSession, d: str) -> DataFrame:
-    return colors(spark).select("name", F.explode(C.emotion_shares(F.col("hex"))).alias("emotion", "share")).select("name", "emotion", F.round("share", 6).alias("share"))
+    return painted(spark, d).select("name", F.explode(C.emotion_shares(F.col("hex"))).alias("emotion", "share")).select("name", "emotion", F.round("share", 6).alias("share"))
 
 
 _TARGETS = f"""{_COLORS}, {_CHANNELS}, {_MOOD}, targets AS (SELECT m.query_id, (SELECT count(*) FROM songs WHERE valence < round(m.valence, 6)) / (SELECT count(*) FROM songs)::DOUBLE AS t_valence,
@@ -336,10 +346,10 @@ f AS (SELECT *, CASE WHEN cx > 216 / 24389.0 THEN pow(cx, 1 / 3.0) ELSE (24389 /
 lab2 AS (SELECT name, (116 * fy - 16) / 100 AS cl, sqrt(power(500 * (fx - fy), 2) + power(200 * (fy - fz), 2)) / 130 AS cc FROM f)"""
 
 
-@query("client_moods", f"WITH {_COLORS}, {_CHANNELS.split(', range_')[0].split(',\nrange_')[0]}, {_LAB} SELECT name, round(least(greatest(0.69 * cl + 0.22 * cc, 0), 1), 5) AS valence, round(least(greatest(-0.31 * cl + 0.6 * cc, 0), 1), 5) AS arousal FROM lab2")
+@query("client_moods", f"WITH {_PAINTED}, {_CHANNELS.split(', range_')[0].split(',\nrange_')[0]}, {_LAB} SELECT name, round(least(greatest(0.69 * cl + 0.22 * cc, 0), 1), 5) AS valence, round(least(greatest(-0.31 * cl + 0.6 * cc, 0), 1), 5) AS arousal FROM lab2")
 def client_moods(spark: SparkSession, d: str) -> DataFrame:
     """The guess that a client makes of a colour's mood."""
-    return colors(spark).select("name", C.client_mood(F.col("hex")).alias("m")).select("name", F.round("m.valence", 5).alias("valence"), F.round("m.arousal", 5).alias("arousal"))
+    return painted(spark, d).select("name", C.client_mood(F.col("hex")).alias("m")).select("name", F.round("m.valence", 5).alias("valence"), F.round("m.arousal", 5).alias("arousal"))
 
 
 @query("atmosphere", "WITH {songs} SELECT song_idx, round((250 - 215 * valence) / 360, 6) AS hue, round(0.3 + 0.55 * arousal, 6) AS sat, round(0.32 + 0.34 * valence, 6) AS light FROM songs")
@@ -347,11 +357,27 @@ def atmosphere(spark: SparkSession, d: str) -> DataFrame:
     return songs(spark, d).select("song_idx", C.mood_atmosphere(F.col("valence"), F.col("arousal")).alias("c")).select("song_idx", *[F.round(f"c.{k}", 6).alias(k) for k in ("hue", "sat", "light")])
 
 
-@query("ciede2000")
+_ANGLE = "CASE WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE (degrees(atan2({b}, {a})) + 360) % 360 END"
+
+
+@query(
+    "ciede2000",
+    f"""WITH {_PAINTED}, {_CHANNELS.split(', range_')[0].split(',\nrange_')[0]}, {_LAB.split(',\nlab2 AS')[0]},
+    lab AS (SELECT query_id AS i, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM f WHERE query_id > 0),
+    p AS (SELECT x.i, y.i AS j, x.l AS l1, x.a AS ra1, x.b AS b1, y.l AS l2, y.a AS ra2, y.b AS b2, pow((sqrt(x.a * x.a + x.b * x.b) + sqrt(y.a * y.a + y.b * y.b)) / 2, 7) AS c7 FROM lab x JOIN lab y ON y.i = x.i + 1),
+    q AS (SELECT *, ra1 * (1.5::DOUBLE - 0.5::DOUBLE * sqrt(c7 / (c7 + 6103515625))) AS a1, ra2 * (1.5::DOUBLE - 0.5::DOUBLE * sqrt(c7 / (c7 + 6103515625))) AS a2 FROM p),
+    h AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, {_ANGLE.format(a="a1", b="b1")} AS h1, {_ANGLE.format(a="a2", b="b2")} AS h2 FROM q),
+    m AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh,
+      CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh, (l1 + l2) / 2 AS ml, (c1 + c2) / 2 AS mc FROM h),
+    s AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.20 * cos(radians(4 * mh - 63)) AS t FROM m),
+    w AS (SELECT i, j, (l2 - l1) / (1 + 0.015 * power(ml - 50, 2) / sqrt(20 + power(ml - 50, 2))) AS dl, (c2 - c1) / (1 + 0.045 * mc) AS dc, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * mc * t) AS dd,
+      -2 * sqrt(pow(mc, 7) / (pow(mc, 7) + 6103515625)) * sin(radians(60 * exp(-power((mh - 275) / 25, 2)))) AS rt FROM s)
+    SELECT i AS name, j AS other, round(sqrt(dl * dl + dc * dc + dd * dd + rt * dc * dd), 4) AS difference FROM w""",
+)
 def ciede2000(spark: SparkSession, d: str) -> DataFrame:
-    """The difference of each two of the twelve colours."""
-    c = colors(spark).select("name", C.cielab(F.col("hex")).alias("lab"))
-    met = c.join(c.select(F.col("name").alias("other"), F.col("lab").alias("other_lab")), F.col("name") < F.col("other"))
+    """The difference of each part's colour and the next one's."""
+    c = painted(spark, d).where("query_id > 0").select(F.col("query_id").alias("name"), C.cielab(F.col("hex")).alias("lab"))
+    met = c.join(c.select((F.col("name") - 1).alias("name"), F.col("name").alias("other"), F.col("lab").alias("other_lab")), "name")
     return met.select("name", "other", F.round(C.ciede2000(F.col("lab"), F.col("other_lab")), 4).alias("difference"))
 
 

@@ -15,13 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_prepared: dict[tuple[str, str], str] = {}
+_prepared: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, *paths: str) -> tuple:
+    """Names, lengths and times of the files of some tables: another state means that a table was written anew."""
+    out = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where))
+    return tuple(out)
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared catalogue of a folder: made once for an application, written to the shared folder and read from there, as
-    a service prepares its features before it answers queries. It is made again if the written table is gone."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    a service prepares its features before it answers queries. It is made again if the written table is gone, or if the files
+    of the tables that it is made of have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in ("embeddings", "part")]))
     path = _prepared.get(key)
     if path is None or not exists(spark, f"{path}/_SUCCESS"):
         path = _prepared[key] = written(catalogue(spark, sf_dir), "songs")
