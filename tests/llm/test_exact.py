@@ -8,6 +8,7 @@ import os
 import random
 import re
 import threading
+import time
 import tracemalloc
 import warnings
 
@@ -128,6 +129,19 @@ def test_verdicts_against_a_plain_tree(spark):
     assert {r["verdict"] for r in got} == {"block", "allow"} and len({r["template"] for r in got}) < len(urls) / 3
 
 
+def test_very_deep_paths_take_few_levels(spark):
+    """A lone url of 2,000 segments, a chain of urls that begin with each other, and two that fork at the end."""
+    long = "/".join(f"s{i}" for i in range(2000))
+    chain = ["/" + "/".join(["loop"] * n) for n in range(1, 300, 7)]
+    paths = [f"/{long}", f"/deep/{long}/x9", f"/deep/{long}/y", *chain, "/other/a", "/other/b/"]
+    pages = spark.createDataFrame([(i, f"http://h{'2' if p in chain else ''}{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    began = time.time()
+    got = {r["path"]: r["template"] for r in url_filter.templates(pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path")).withColumns({"n": F.lit(1), "labelled": F.lit(0), "bad": F.lit(0)})).collect()}
+    assert time.time() - began < 90
+    want = plain_templates({(f"h{'2' if p in chain else ''}", p): (0, 0) for p in paths})
+    assert len(got) == len(paths) and all(got[p] == want[f"h{'2' if p in chain else ''}", p] for p in paths)
+
+
 def test_deep_paths_are_told_apart_at_any_level(spark):
     for deep in ("a/b/c/d/e", "a/b/c/d/e/f/g/h/i/j/k"):
         pages = [(i, f"http://h/{deep}/{i}/spam") for i in range(30)] + [(100 + i, f"http://h/{deep}/{i}/news") for i in range(30)] + [(200, f"http://h/{deep}/"), (201, "http://h"), (202, "http://h/a")]

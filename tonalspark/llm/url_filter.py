@@ -7,12 +7,10 @@ a path is its template; templates whose smoothed share of bad labels is high are
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,15 +81,17 @@ def templates(urls: DataFrame, fan_out: int = 20, per_branch: float = 3.0, z: fl
     urls on average, and ``*shape`` if siblings of its shape, with like shapes behind them, exist and its share of bad
     labels is within ``z`` standard errors of theirs; else it stays. A level is a sum by branch, joined back by
     (host, prefix, segment); a host with a third of the urls is spread over its segments, and Spark splits hot ones.
-    There are as many levels as the deepest path has segments; each takes on only the urls that go on, and a few jobs.
+
+    Where a node has one branch its segment stays, so the node's urls go on at once to where two of them differ, however many
+    segments that is; a url alone ends there. So there are as many levels as a path has forks, not segments, and each takes
+    on only the urls that go on. Each level is a written table; those that ended are read from all of them at once.
     """
+    node, paths = ["host", "prefix"], []
     rows = urls.withColumns({"segs": segments(F.col("path")), "prefix": F.lit("")})
-    ended = []
-    for level in count():
-        rows = stored(rows, "url-tree")
-        ended.append(rows.where(F.size("segs") <= level))
-        seg, behind = F.get("segs", F.lit(level)), F.slice("segs", F.lit(level + 2), F.size("segs"))
-        here = rows.where(F.size("segs") > level).withColumns({"seg": seg, "behind": shape(F.array_join(behind, "/"))})
+    while True:
+        paths.append(written(rows, "url-tree"))
+        rows = urls.sparkSession.read.schema(rows.schema).parquet(paths[-1])
+        here = rows.where(F.size("segs") > 0).withColumns({"seg": F.get("segs", F.lit(0)), "behind": shape(F.array_join(F.slice("segs", F.lit(2), F.size("segs")), "/"))})
         branches = here.groupBy("host", "prefix", "seg").agg(F.count(F.lit(1)).alias("urls"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min("behind").alias("low"), F.max("behind").alias("high")).withColumn("shape", shape(F.col("seg")))
         branches = stored(branches, "url-branches")
         if branches.isEmpty():
@@ -105,9 +105,27 @@ def templates(urls: DataFrame, fan_out: int = 20, per_branch: float = 3.0, z: fl
             .when((F.col("members") > 1) & (off <= z), F.concat(F.lit("*"), F.col("shape")))
             .otherwise(F.col("seg"))
         )
-        chosen = branches.join(nodes, ["host", "prefix"]).join(alike, ["host", "prefix", "shape", "low", "high"]).select("host", "prefix", "seg", token.alias("token"))
-        rows = here.drop("behind").join(chosen, ["host", "prefix", "seg"], "left").withColumn("prefix", F.concat_ws("/", "prefix", "token")).drop("seg", "token")
-    return reduce(DataFrame.unionByName, ended).withColumnRenamed("prefix", "template").drop("segs")
+        chosen = branches.join(nodes, node).join(alike, ["host", "prefix", "shape", "low", "high"]).select("host", "prefix", "seg", token.alias("token"), "fan")
+        met = stored(here.drop("behind").join(chosen, ["host", "prefix", "seg"], "left"), "url-tokens")
+        forks = met.where("fan > 1").withColumns({"prefix": F.concat_ws("/", "prefix", "token"), "segs": F.slice("segs", F.lit(2), F.size("segs"))})
+        rows = forks.select(*rows.columns).unionByName(_to_the_fork(met.where("fan = 1").select(*rows.columns)))
+    return urls.sparkSession.read.schema(rows.schema).parquet(*paths).where(F.size("segs") == 0).withColumnRenamed("prefix", "template").drop("segs")
+
+
+def _to_the_fork(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with one branch, moved on over all segments that the node's urls have in common. A node's urls are compared with
+    its greatest; one that it begins with ends on the way, and none goes on where no two differ."""
+    node = ["host", "prefix"]
+    greatest = rows.groupBy(*node).agg(F.max("segs").alias("greatest"))
+    compared = rows.join(greatest, node)
+    at = F.array_position(F.zip_with("segs", "greatest", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    differs = F.when((at > 0) & (at <= F.size("segs")), at - 1)
+    compared = compared.withColumn("differs", differs).drop("greatest")
+    first = compared.groupBy(*node).agg(F.min("differs").alias("fork"))
+    taken = F.coalesce(F.least(F.col("fork"), F.size("segs")), F.size("segs")).cast("int")
+    moved = compared.join(first, node).withColumn("taken", taken)
+    prefix = F.concat_ws("/", "prefix", F.array_join(F.slice("segs", F.lit(1), F.col("taken")), "/"))
+    return moved.withColumns({"prefix": prefix, "segs": F.slice("segs", F.col("taken") + 1, F.size("segs"))}).select(*rows.columns)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | DataFrame, least_labels: int = 5, purity: float = 0.6, smoothing: float = 4.0) -> DataFrame:
