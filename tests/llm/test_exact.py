@@ -195,7 +195,7 @@ def test_line_dedup_against_plain_dictionaries(spark):
     for least in (2, 5):
         got = collected(line_dedup.dedup_lines(docs, 40, least))
         assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == plain_dedup(rows, 40, least)
-    path, n = line_dedup.build_index(line_dedup.line_counts(docs, 40), 5, shard_lines=7)
+    path, n, shared = line_dedup.build_index(line_dedup.line_counts(docs, 40), 5, shard_lines=7)
     assert n > 5 and sum(len(line_dedup._shard(path, i).prints) for i in range(n)) == len({key(x) for _, t in rows for x in (t or "").split("\n") if len(key(x)) >= 40})
 
 
@@ -379,7 +379,7 @@ def test_language_id(spark, documents, odd, none):
     held = got[got["held_out"]]
     assert len(held) > 30 and (held["lang_pred"] == held["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
     odd_rows = collected(language_id.identify(odd, language_id.fit(docs)))
-    assert len(odd_rows) == odd.count() and set(odd_rows[0]) == {*odd.columns, "lang_pred", "ambiguous"}
+    assert len(odd_rows) == odd.count() and set(odd_rows[0]) == {*odd.columns, "lang_pred", "ambiguous", "loss"}
     assert {r["lang_pred"] for r in odd_rows if not (r["text"] or "").strip()} == {"und"}
     assert language_id.fit(none) is None and {r["lang_pred"] for r in collected(language_id.identify(odd, None))} == {"und"}
     codes = language_id.codewords(12)
@@ -402,7 +402,7 @@ def test_decoding_against_plain_loops():
         bits = codes.shape[1]
         model = language_id.Model([str(i) for i in range(n)], codes, rng.normal(size=(language_id.BUCKETS, bits)).astype(np.float32), rng.random(bits) + 0.1)
         x = rng.normal(size=(40, language_id.BUCKETS)).astype(np.float32) / 30
-        best, score, close = model.decode(x)
+        best, score, close, far = model.decode(x)
         for i in range(40):
             margins = [math.tanh(2 * float(x[i] @ model.weights[:, b])) for b in range(bits)]
             losses = [sum(model.trust[b] * max(0.0, 1 - margins[b] * codes[k][b]) for b in range(bits)) / sum(model.trust) for k in range(n)]
@@ -412,6 +412,22 @@ def test_decoding_against_plain_loops():
             assert abs(score[i] - 1 / sum(math.exp(-6 * (x - losses[order[0]])) for x in losses)) < 1e-5
 
 
+def test_mixed_texts_are_ambiguous_and_other_scripts_far(spark, documents):
+    rows = documents.dropna().itertuples(index=False)
+    docs = spark.createDataFrame([(int(r.doc_id), r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    pure = {k: " ".join(documents[documents["lang"] == k]["text"])[:4000] for k in ("en", "fr")}
+    both = [(i, pure["en"][:n] + " " + pure["fr"][: 4000 - n], None) for i, n in enumerate(range(0, 4001, 50))]
+    other = [(900, "Привет мир как дела у вас всех сегодня вечером в городе на реке", None), (901, "", None), (902, None, None)]
+    got = {r["doc_id"]: r for r in collected(language_id.identify(spark.createDataFrame(both + other, docs.schema), model))}
+    n = len(both)
+    assert any(got[i]["ambiguous"] for i in range(n)) and not got[0]["ambiguous"] and not got[n - 1]["ambiguous"]
+    assert got[0]["lang_pred"] == "fr" and got[n - 1]["lang_pred"] == "en" and max(got[i]["loss"] for i in (0, n - 1)) < 0.3
+    assert got[900]["loss"] >= corpus_pipeline.FAR and got[901]["lang_pred"] == got[902]["lang_pred"] == "und"
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.unionByName(spark.createDataFrame(both + other, docs.schema)), DIR).collect()}
+    assert {r["doc_id"] for r in docs.collect()} <= kept and not {900, 901, 902} & kept
+
+
 def test_both_systems_of_a_ridge_have_one_solution():
     rng = np.random.default_rng(2)
     for n, d in ((30, 50), (80, 20)):
@@ -596,6 +612,24 @@ def test_contaminated_against_plain_loops(spark, monkeypatch):
     assert collections.Counter(r["doc_id"] for r in clean) == collections.Counter(d for d, n, *_ in want if not n)
 
 
+def test_shared_phrases_bring_no_texts_together(spark):
+    """A phrase that all texts and items share isn't what they meet on; what a text holds of an item besides is found."""
+    rng = random.Random(12)
+    stock = "one two three four five six seven"
+    items = [(i, f"{prose(rng, 12)} {stock} {prose(rng, 12)}") for i in range(12)]
+    docs = [(i, f"{prose(rng, 20)} {stock} {prose(rng, 20)}") for i in range(60)] + [(100 + i, f"{prose(rng, 9)} {items[i][1]} {prose(rng, 9)}") for i in range(12)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seeds = decontamination._seeds(b, 5)
+    rows = [(str(i), int(s)) for i, t in docs for s in set(shingles(decontamination.plain_words(t.encode()), 5).view(np.int64).tolist())]
+    held = {r["seed"] for r in seeds.collect()}
+    hits = spark.createDataFrame([r for r in rows if r[1] in held], "key string, seed long")
+    pairs, want = {(r["key"], r["item"]) for r in decontamination._candidates(hits, seeds, 0.6, 30).collect()}, {(str(100 + i), i) for i in range(12)}
+    assert want <= pairs and len(pairs) < 20  # all 72 texts hold the phrase of all 12 items
+    plan = decontamination._candidates(hits, seeds, 0.6, 30)
+    got = {r["doc_id"]: (r["n_items"], r["item_id"]) for r in collected(decontamination.contaminated(d, b))}
+    assert got == {i: (0, None) for i in range(60)} | {100 + i: (1, i) for i in range(12)} and plan.columns == ["key", "item", "width", "words"]
+
+
 def test_bit_maps(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bits = decontamination.BitMap(rows, "h", 5000)

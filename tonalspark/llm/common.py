@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shared import open_fs, scratch, written
 
-__all__ = ["ASCII_SPACE", "arrow_map", "mixed", "open_fs", "remove", "scratch", "shingles", "signed", "stored", "utf8", "word_hashes", "words_of"]
+__all__ = ["ASCII_SPACE", "BitMap", "arrow_map", "mixed", "open_fs", "remove", "scratch", "shingles", "signed", "stored", "utf8", "word_hashes", "words_of"]
 
 #: The white space of every contract here: what ``bytes.split()`` and ``bytes.strip()`` use.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -102,3 +104,50 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+#: Bits of a map at most (16 MB).
+MOST_BITS = 1 << 27
+
+
+class BitMap:
+    """Of 64-bit numbers, of bounded size: what it doesn't have is in none of them; the fuller it is, the more others it has.
+
+    Each slice of the bits is made in a task of its own; the driver puts them together and sends them with the tasks.
+    """
+
+    SLICE = 1 << 17
+
+    def __init__(self, df: DataFrame, column: str, n: int):
+        self.size = max(self.SLICE, min(MOST_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+        slices = -(-self.size // self.SLICE)
+
+        def build(group: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(BitMap.SLICE, np.uint8)
+            bits[group["bit"].to_numpy() % BitMap.SLICE] = 1
+            return pd.DataFrame({"slice": [int(group["bit"].iloc[0]) // BitMap.SLICE], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        size = self.size
+        found = df.select(F.pmod(F.col(column), F.lit(size)).alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / BitMap.SLICE).cast("int"))
+        whole = np.zeros((slices, self.SLICE // 8), np.uint8)
+        for row in found.groupBy("slice").applyInPandas(build, "slice int, bits binary").toLocalIterator():
+            whole[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        self.sent = df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        return _bits(self.sent.value, self.size, x)
+
+    def might(self, column: Column) -> Column:
+        """Might one of the numbers be that of the row? Only the column goes to Python."""
+        sent, size = self.sent, self.size
+
+        @F.pandas_udf("boolean")
+        def has(x: pd.Series) -> pd.Series:
+            return pd.Series(_bits(sent.value, size, x.to_numpy()))
+
+        return has(column)
+
+
+def _bits(bits: np.ndarray, size: int, x: np.ndarray) -> np.ndarray:
+    at = x.view(np.int64) % size
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

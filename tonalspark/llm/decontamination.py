@@ -13,15 +13,14 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mixed, shingles, signed, stored, utf8, word_hashes
+from .common import BitMap, arrow_map, mixed, shingles, signed, stored, utf8, word_hashes
 
-#: Bits of a map of seeds or keys at most (16 MB), and items that a document's words are held for in one run of a task.
-MOST_BITS, RUN = 1 << 27, 256
+#: Items that a document's words are held for in one run of a task.
+RUN = 256
 #: Words of a long item that count as holding it, whatever share of it they are.
 PASSAGE = 30
 _U = np.uint64
@@ -120,49 +119,6 @@ def _near(own: np.ndarray, grams: np.ndarray, width: int, doc: np.ndarray) -> np
     return np.where(covered, doc, _U(0))[keep]
 
 
-class BitMap:
-    """Of 64-bit numbers, of bounded size: what it doesn't have is in none of them; the fuller it is, the more others it has.
-
-    Each slice of the bits is made in a task of its own; the driver puts them together and sends them with the tasks.
-    """
-
-    SLICE = 1 << 17
-
-    def __init__(self, df: DataFrame, column: str, n: int):
-        self.size = max(self.SLICE, min(MOST_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
-        slices = -(-self.size // self.SLICE)
-
-        def build(group: pd.DataFrame) -> pd.DataFrame:
-            bits = np.zeros(BitMap.SLICE, np.uint8)
-            bits[group["bit"].to_numpy() % BitMap.SLICE] = 1
-            return pd.DataFrame({"slice": [int(group["bit"].iloc[0]) // BitMap.SLICE], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-        size = self.size
-        found = df.select(F.pmod(F.col(column), F.lit(size)).alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / BitMap.SLICE).cast("int"))
-        whole = np.zeros((slices, self.SLICE // 8), np.uint8)
-        for row in found.groupBy("slice").applyInPandas(build, "slice int, bits binary").toLocalIterator():
-            whole[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-        self.sent = df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        return _bits(self.sent.value, self.size, x)
-
-    def might(self, column: Column) -> Column:
-        """Might one of the numbers be that of the row? Only the column goes to Python."""
-        sent, size = self.sent, self.size
-
-        @F.pandas_udf("boolean")
-        def has(x: pd.Series) -> pd.Series:
-            return pd.Series(_bits(sent.value, size, x.to_numpy()))
-
-        return has(column)
-
-
-def _bits(bits: np.ndarray, size: int, x: np.ndarray) -> np.ndarray:
-    at = x.view(np.int64) % size
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _key() -> Column:
     """What a document holds depends on its text alone: equal texts are judged once, by this digest."""
     return F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
@@ -183,6 +139,25 @@ def _seeds(benchmark: DataFrame, shortest: int) -> DataFrame:
     return arrow_map(rows, of, "seed long, item long, width long, words long")
 
 
+def _candidates(hits: DataFrame, seeds: DataFrame, coverage: float, passage: int) -> DataFrame:
+    """(key, item, width, words) of the pairs of which enough places of the item are under seeds of the text.
+
+    The places times the seeds' width bound what tiles can cover, so a text has to hold at least m = ceil(need / width) places of the
+    item, and so one of any but m - 1 of them. Texts and items meet on the item's places without its m - 1 commonest (by the texts that
+    hold their seed): a phrase that very many texts and items share brings none of them together. Then all places are counted, of the
+    pairs that are left.
+    """
+    need = F.least(F.col("words") * coverage, F.lit(float(passage)))
+    known = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
+    text = ["item", "width", "words"]  # texts of one item_id that differ in length are told apart; others are one
+    ranked = Window.partitionBy(*text).orderBy(F.coalesce("texts", F.lit(0)), "seed")
+    places = seeds.join(known, "seed", "left").withColumns({"at": F.row_number().over(ranked), "all": F.count(F.lit(1)).over(Window.partitionBy(*text))})
+    rare = places.where(F.col("at") <= F.col("all") - F.ceil(need / F.col("width")) + 1).where("texts IS NOT NULL")
+    some = hits.join(rare.select("seed", *text).distinct(), "seed").select("key", *text).distinct()
+    counted = some.join(hits, "key").join(seeds, ["seed", *text]).groupBy("key", *text).agg(F.count(F.lit(1)).alias("places"))
+    return counted.where(F.col("places") * F.col("width") >= need).select("key", *text)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, passage: int = PASSAGE) -> DataFrame:
     """(key, n_items long, item_id, coverage double) of the texts of ``docs`` that hold an item; see ``contaminated``."""
     benchmark = benchmark.select("item_id", "text")
@@ -202,10 +177,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(signed(np.concatenate(found)))], names=["key", "seed"]) if keys else None
 
     texts = docs.select(_key().alias("key"), "text")
-    # a pair's places times the seeds' width bound what its tiles can cover
-    met = arrow_map(texts, hits, "key string, seed long").distinct().join(seeds, "seed").groupBy("key", "item", "width", "words").agg(F.count(F.lit(1)).alias("places"))
-    need = F.least(F.col("words") * coverage, F.lit(float(passage)))
-    pairs = stored(met.where(F.col("places") * F.col("width") >= need).select("key", "item", "width", "words"), "pairs")
+    met = stored(arrow_map(texts, hits, "key string, seed long").distinct(), "hits")
+    pairs = stored(_candidates(met, seeds, coverage, passage), "pairs")
     short = pairs.where(F.col("width") < shortest).select("key", "item", F.lit(1.0).alias("cover"))  # the seed is the whole item
     long = pairs.where(F.col("width") == shortest).select("key", "item").distinct()
     runs = stored(long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs")), "runs")
@@ -251,7 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, cover
     columns are dropped: see ``decontaminate``.
 
     One scan finds the seeds; only those that the benchmark may have are shuffled, and the texts of documents that hold
-    enough of an item. Benchmark and documents may both be of any size.
+    enough of an item. Documents and items don't meet on an item's commonest seeds (see ``_candidates``). Benchmark and documents may
+    both be of any size.
     """
     found = matches(docs, benchmark, shortest, coverage, passage)
     return docs.select("doc_id", _key().alias("key")).join(found, "key", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -6,7 +6,7 @@ are dealt by hash into more than k blocks, so two linked rows agree in some bloc
 are below the bound and are discarded before anything is multiplied. For the pairs left, a block of rows is multiplied
 with the row that they share a block with, and overlap counts below the bound of the two sizes are dropped.
 
-Within those that agree in a block, every row is first multiplied with the first one alone. Only rows that aren't linked
+Within those that agree in a block, every row is first multiplied with the first one alone, blocks of them at a time. Only rows that aren't linked
 with it are then multiplied with each other and with the rest, in cells of bounded size from which a forest of links comes
 out. So groups of thousands of linked copies cost a product for each member, groups of thousands of almost linked ones no
 more than a bounded number of rows for each block of members, and no link between different texts is lost.
@@ -30,6 +30,10 @@ _U = np.uint64
 RUN = 256
 #: Sets that a task remembers, to send the signatures of equal ones once.
 SEEN = 200_000
+#: Tasks that the documents of one set are dealt to.
+DEALT = 32
+#: Rows that are multiplied with one row at once.
+TOGETHER = 64
 
 
 @lru_cache(maxsize=100_000)
@@ -149,11 +153,20 @@ def _fits(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Multiplies rows of the incidence matrix: (a, b, common, either) for each pair (a, b) of documents.
+def row_product(row: np.ndarray, block: list[np.ndarray]) -> np.ndarray:
+    """A row of the incidence matrix (its sorted n-grams) times a block of rows: one look-up of all the block's entries among the row's
+    columns, and the overlap counts accumulated by row."""
+    grams, of = np.concatenate(block), np.repeat(np.arange(len(block)), [len(g) for g in block])
+    at = np.minimum(np.searchsorted(row, grams), len(row) - 1)
+    return np.bincount(of[row[at] == grams], minlength=len(block))
 
-    The texts of a run of b's come sorted behind that of their a; a popular a gets several runs, so no task holds more
-    than one row besides the batch that it reads.
+
+def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int = 0) -> DataFrame:
+    """Multiplies rows of the incidence matrix: (a, b, common, either) for each pair (a, b) of documents whose overlap reaches the bound
+    of the two sizes for ``percent``.
+
+    The texts of a run of b's come sorted behind that of their a and are multiplied with it TOGETHER at a time; a popular a gets
+    several runs, so no task holds more rows than these.
     """
     pairs = pairs.select("a", "b").distinct()
     runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
@@ -164,20 +177,33 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     dealt = rows.repartition("a", "run").sortWithinPartitions("a", "run", "later", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, row = None, None
+        of, row, block, ids = None, np.empty(0, _U), [], []
+
+        def counted() -> list[tuple]:
+            if not block or not len(row):
+                return []
+            sizes, common = np.array([len(g) for g in block]), row_product(row, block)
+            either = len(row) + sizes - common
+            at = np.flatnonzero((common > 0) & (100 * common >= percent * either) if percent else np.ones(len(block), bool))
+            return [(of, ids[i], common[i], either[i]) for i in at]
+
         for batch in batches:
             a, b, later = (batch.column(i).to_numpy() for i in (0, 2, 3))
             out: list = []
             for i, text in enumerate(utf8(batch.column(4))):
+                if not later[i] or len(block) == TOGETHER:
+                    out += counted()
+                    block, ids = [], []
                 grams = np.unique(shingles(words_of(text), k))
                 if not later[i]:
                     of, row = a[i], grams
-                elif a[i] == of and len(row):
-                    at = np.minimum(np.searchsorted(row, grams), len(row) - 1)
-                    common = int((row[at] == grams).sum())
-                    out.append((a[i], b[i], common, len(row) + len(grams) - common))
+                elif a[i] == of:
+                    block.append(grams)
+                    ids.append(b[i])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "common", "either"])
+        if out := counted():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "common", "either"])
 
     return dealt.select("a", "run", "b", "later", "text").mapInArrow(multiply, "a long, b long, common long, either long")
 
@@ -194,9 +220,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     One shuffle of about n (100 - p) / (100 + p) * 5 numbers for a document of n shingles; texts are read again only for
     documents that share a block with another.
     """
-    dealt = _marks(docs, k, percent).repartition("mark").sortWithinPartitions("mark", "doc_id")
+    share = F.when(F.col("whole"), F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))).otherwise(0)  # a set that very many documents have is dealt
+    dealt = _marks(docs, k, percent).repartition("mark", share).sortWithinPartitions("mark", "doc_id")
     runs = dealt.mapInArrow(_runs, "mark long, doc_id long, n int, whole boolean, rep long, rep_n int, rep_whole boolean")
-    found = runs.groupBy("rep", "rep_n", "doc_id", "n").agg(F.max(F.col("whole") & F.col("rep_whole")).alias("equal"), F.sum(F.col("whole").cast("int")).alias("copies"))
+    found = runs.groupBy("rep", "rep_n", "doc_id", "n").agg(F.max(F.col("whole") & F.col("rep_whole")).alias("equal"), F.sum(F.col("whole").cast("int")).alias("copies"), F.max(F.when(F.col("whole"), F.col("mark"))).alias("set"))
     found = stored(found, "found")
     sizes = found.where("copies > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
@@ -208,8 +235,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     unequal = pairs.where("NOT equal").select("rep", "doc_id").distinct()
     wanted = unequal.select("doc_id").unionByName(unequal.select(F.col("rep").alias("doc_id"))).distinct()
     docs = stored(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
-    tried = overlaps(open_pairs, docs, k)
-    links = fits.where("equal").select("a", "b").unionByName(tried.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b"))
+    tried = overlaps(open_pairs, docs, k, percent)
+    # the first documents of a set's shares, DEALT at most, are linked with the first of them
+    shares = found.where("copies > 0 AND doc_id IS NOT NULL AND n > 0").groupBy("set", "n").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    one_set = shares.select("a", F.explode("reps").alias("b")).where("a != b")
+    links = fits.where("equal").select("a", "b").unionByName(one_set).unionByName(tried.select("a", "b"))
     links = stored(links, "links")
     # where a first document isn't linked with all that share its marks, those may be linked with each other
     members = unequal

@@ -76,8 +76,8 @@ class Model:
     weights: np.ndarray  # buckets x bits
     trust: np.ndarray  # of each bit
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, score, ambiguous) of each row of features."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, score, ambiguous, loss) of each row of features; the loss is 0 at a codeword, 1 where the bits say nothing."""
         margins = np.tanh(2 * (x @ self.weights))
         losses = (np.maximum(0, 1 - margins[:, None, :] * self.codes[None]) * self.trust).sum(2) / self.trust.sum()
         likely = np.exp(-6 * (losses - losses.min(1, keepdims=True)))
@@ -85,7 +85,7 @@ class Model:
         best = losses.argmin(1)
         top = np.sort(losses, axis=1)
         close = top[:, 1] - top[:, 0] < 0.05 if losses.shape[1] > 1 else np.zeros(len(x), bool)
-        return best, share[np.arange(len(x)), best], close
+        return best, share[np.arange(len(x)), best], close, top[:, 0]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -160,21 +160,21 @@ def ridge_weights(x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, ridge:
 
 
 def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
-    """Adds (lang_pred string, score double, ambiguous boolean) to the columns of ``docs`` (or those in ``carry``), from
-    whole texts alone.
+    """Adds (lang_pred string, score double, ambiguous boolean, loss double) to the columns of ``docs`` (or those in ``carry``),
+    from whole texts alone. loss says how far the text is from the codeword: 0 at it, 1 where no bit says anything, more beyond.
 
-    A null text, an empty one and one without a letter get ``und``, score 0, not ambiguous; so does every text if there
+    A null text, an empty one and one without a letter get ``und``, score 0, not ambiguous, loss 1; so does every text if there
     is no model. Repeated rows each get their row. Columns of these names that the input has are replaced. The model is
     buckets x bits numbers, sent with the tasks: 4096 x 7 for four languages. No shuffle.
     """
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop("lang_pred", "score", "ambiguous", "loss")
     docs = docs.select(*[c for c in docs.columns if c != "text" and (carry is None or c in carry)], "text")
     with_text = carry is None or "text" in carry
     at = len(docs.columns) - 1
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        lang, score, close = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
+        lang, score, close, loss = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool), np.ones(n)
         texts = batch.column(at)
         for start in range(0, n, 512):
             rows, vectors = [], []
@@ -183,18 +183,18 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = Non
                     rows.append(i)
                     vectors.append(x)
             if rows:
-                best, share, near = model.decode(np.stack(vectors))
-                score[rows], close[rows] = share, near
+                best, share, near, far = model.decode(np.stack(vectors))
+                score[rows], close[rows], loss[rows] = share, near, far
                 for i, k in zip(rows, best):
                     lang[i] = model.langs[k]
-        return pa.RecordBatch.from_arrays([*batch.columns[: at + with_text], pa.array(lang, pa.string()), pa.array(score), pa.array(close)], names=[*batch.schema.names[: at + with_text], "lang_pred", "score", "ambiguous"])
+        return pa.RecordBatch.from_arrays([*batch.columns[: at + with_text], pa.array(lang, pa.string()), pa.array(score), pa.array(close), pa.array(loss)], names=[*batch.schema.names[: at + with_text], "lang_pred", "score", "ambiguous", "loss"])
 
-    schema = StructType(docs.schema.fields[: at + with_text]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = StructType(docs.schema.fields[: at + with_text]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("loss", "double")
     return arrow_map(docs, predict, schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous of every document; held-out documents teach nothing."""
+    """doc_id, held_out, lang_pred, score, ambiguous and loss of every document; held-out documents teach nothing."""
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
     kept = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     return identify(kept, model, carry=["doc_id", "held_out"])

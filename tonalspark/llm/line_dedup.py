@@ -3,15 +3,16 @@
 The documents that hold each distinct line are counted by 128-bit hashes. All distinct lines are split into shards by hash;
 each shard gets a minimal perfect hash (levels of collision-free bits) that numbers its lines, and compact arrays in that
 order: fingerprints of 16 bits and counts that stop at 255, with the keepers of those that enough documents hold; some 3.5
-bytes a line. Documents are read once more and probe the arrays: a line's number is computed, its fingerprint tells whether
-it is the line that has the number, and its count decides.
+bytes a line. Documents are read once more and send their lines to the shards, where they probe the arrays: a line's number is
+computed, its fingerprint tells whether it is the line that has the number, and its count decides. A bit map of bounded size keeps
+most lines that few documents hold from being sent. What is to be dropped goes back to the documents as hashes.
 """
 
 from __future__ import annotations
 
 import io
 import math
-from collections import OrderedDict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ASCII_SPACE, arrow_map, mixed, open_fs, scratch, signed, stored, utf8
+from .common import ASCII_SPACE, BitMap, arrow_map, mixed, open_fs, scratch, signed, stored, utf8
 
-#: Lines of a shard, bytes of shards that a worker keeps (at least one shard), and bytes of documents that probe together.
-SHARD_LINES, CACHE_BYTES, PROBE_BYTES = 250_000, 128 << 20, 32 << 20
+#: Lines of a shard.
+SHARD_LINES = 250_000
 _NO_ID = -(1 << 63)
+_LOW = (1 << 64) - 1
 _U = np.uint64
 
 
@@ -124,22 +126,9 @@ class Shard:
         return cls(int(z["salt"][0]), PerfectHash(levels), z["prints"], z["counts"], z["held"], z["keepers"])
 
 
-_shards: OrderedDict[tuple[str, int], tuple[Shard, int]] = OrderedDict()
-
-
 def _shard(path: str, number: int) -> Shard:
-    """From the worker's cache, or else from the shared folder."""
-    key = (path, number)
-    if key in _shards:
-        _shards.move_to_end(key)
-        return _shards[key][0]
     fs, where = open_fs(f"{path}/shard={number}")
-    table = pads.dataset(where, filesystem=fs, format="parquet").to_table(columns=["data"])
-    data = table.column("data")[0].as_py()
-    _shards[key] = (Shard.load(data), len(data))
-    while len(_shards) > 1 and sum(n for _, n in _shards.values()) > CACHE_BYTES:
-        _shards.popitem(last=False)
-    return _shards[key][0]
+    return Shard.load(pads.dataset(where, filesystem=fs, format="parquet").to_table(columns=["data"]).column("data")[0].as_py())
 
 
 def line_hashes(text: bytes | None, min_chars: int) -> tuple[list[int], list[int]]:
@@ -159,8 +148,7 @@ def line_hashes(text: bytes | None, min_chars: int) -> tuple[list[int], list[int
 
 
 def _halves(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    low = (1 << 64) - 1
-    return np.fromiter((h & low for h in hashes), _U, len(hashes)), np.fromiter((h >> 64 for h in hashes), _U, len(hashes))
+    return np.fromiter((h & _LOW for h in hashes), _U, len(hashes)), np.fromiter((h >> 64 for h in hashes), _U, len(hashes))
 
 
 def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -182,8 +170,9 @@ def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), held, "h1 long, h2 long, doc long").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
 
 
-def build_index(lines: DataFrame, min_docs: int, shard_lines: int = SHARD_LINES) -> tuple[str, int]:
-    """Writes the shards of ``line_counts`` to the shared folder; returns the path and their number."""
+def build_index(lines: DataFrame, min_docs: int, shard_lines: int = SHARD_LINES) -> tuple[str, int, BitMap]:
+    """Writes the shards of ``line_counts`` to the shared folder; returns the path, their number, and a bit map of the lines that
+    ``min_docs`` documents hold."""
     kept = stored(lines, "lines")
     n = -(-kept.count() // shard_lines)
     path = scratch(lines.sparkSession, "line-index")
@@ -196,7 +185,59 @@ def build_index(lines: DataFrame, min_docs: int, shard_lines: int = SHARD_LINES)
 
         numbered = kept.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int"))  # even: h1 is a hash, each line is one row
         numbered.groupBy("shard").applyInPandas(build, "shard int, data binary").write.partitionBy("shard").parquet(path)
-    return path, n
+    shared = kept.where(F.col("n") >= min_docs)
+    return path, n, BitMap(shared, "h2", shared.count())
+
+
+def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(doc, gone): for each document (by id, null being one) that loses lines the 128-bit hashes of their keys, 16 bytes each.
+
+    A document's lines that may be shared, by the bit map, go to the shards of the index (24 bytes each) and are dealt evenly in the
+    order of the shards, so a line that a third of all documents hold is spread over tasks, and a task loads each of its shards once.
+    """
+    path, n, shared = build_index(line_counts(docs, min_chars), min_docs)
+    spark = docs.sparkSession
+    if not n:
+        return spark.createDataFrame([], "doc long, gone binary")
+
+    def asking(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, out = batch.column(0), []
+        for i, text in enumerate(utf8(batch.column(1))):
+            own = set(line_hashes(text, min_chars)[1])
+            if own:
+                h1, h2 = _halves(list(own))
+                may = shared.has(h2)
+                if may.any():
+                    out.append((h1[may], h2[may], np.full(int(may.sum()), _NO_ID if (x := ids[i].as_py()) is None else x, np.int64)))
+        if not out:
+            return None
+        h1, h2, doc = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(signed(h1) % n), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc)], names=["shard", "h1", "h2", "doc"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            h1, h2 = (batch.column(i).to_numpy().view(_U) for i in (1, 2))
+            doc, gone = batch.column(3).to_numpy(), np.zeros(len(of), bool)
+            for k in np.unique(of):
+                if k != number:
+                    number, shard = k, _shard(path, int(k))
+                own = np.flatnonzero(of == k)
+                counts, keepers = shard.probe(h1[own], h2[own])
+                gone[own[(counts >= min_docs) & (keepers != doc[own])]] = True
+            if gone.any():
+                yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(gone)), batch.column(1).filter(pa.array(gone)), batch.column(2).filter(pa.array(gone))], names=["doc", "h1", "h2"])
+
+    asked = stored(arrow_map(docs.select("doc_id", "text"), asking, "shard long, h1 long, h2 long, doc long"), "probes")
+    dealt = asked.repartitionByRange("shard", "doc", "h1").sortWithinPartitions("shard")
+    found = dealt.mapInArrow(probe, "doc long, h1 long, h2 long").distinct()
+
+    def packed(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        return pd.Series([np.column_stack((np.asarray(a, np.int64), np.asarray(b, np.int64))).tobytes() for a, b in zip(h1, h2)])
+
+    pairs = found.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))  # as many as the document has lines
+    return stored(pairs.select("doc", F.pandas_udf(packed, "binary")(F.col("gone.h1"), F.col("gone.h2")).alias("gone")), "dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: list[str] | None = None) -> DataFrame:
@@ -208,56 +249,38 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     one document: they count once, and each gets its row; rows with a null doc_id are one document of the smallest id. An
     empty table gives an empty result. Columns n_lines and n_dropped of the input are replaced.
 
-    Two scans of the texts; shuffled are 24 bytes for each line of a document and 32 for each distinct line, no text. Each
-    PROBE_BYTES of documents read every shard once, so what is read grows with documents times lines: for corpora whose
-    index (3.5 bytes a line) is far larger than an executor's memory the probes would have to be dealt by shard.
+    Three scans of the texts. Shuffled are 24 bytes for each line of a document, 32 for each distinct line, 32 for each line that may be
+    shared, and the texts of documents that may lose lines, by a bit map of their ids; other documents pass as they are.
     """
-    path, n = build_index(line_counts(docs, min_chars), min_docs)
+    gone = dropped_lines(docs, min_chars, min_docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped") and (carry is None or c in carry)]
     rows = docs.select("doc_id", "text", *rest)
+    ids = gone.select(F.xxhash64("doc").alias("h"))
+    loses = BitMap(ids, "h", gone.count()).might(F.xxhash64(F.coalesce(rows["doc_id"].cast("long"), F.lit(_NO_ID))))
+    name = f"doc_{uuid.uuid4().hex}"  # unlike any column of the documents
+    hurt = rows.where(loses)
+    lost = gone.select(F.col("doc").alias(name), F.col("gone").alias(f"lost_{name}"))
+    met = hurt.join(lost, F.coalesce(hurt["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col(name), "left").select(*rows.columns, f"lost_{name}")
+    schema = StructType(list(rows.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
 
-    def probed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents that probe together: the lines of all are met shard by shard, each of which is loaded once."""
-        hashes, where, owners = [], [], []
-        for k, batch in enumerate(batches):
-            ids = batch.column(0)
-            for i, text in enumerate(utf8(batch.column(1))):
-                at, own = line_hashes(text, min_chars)
-                hashes += own
-                where += [(k, i, j) for j in at]
-                owners += [_NO_ID if (x := ids[i].as_py()) is None else x] * len(own)
-        dropped: dict[tuple[int, int], set[int]] = {}
-        if n and hashes:
-            h1, h2 = _halves(hashes)
-            owners, of = np.array(owners, np.int64), (signed(h1) % n)
-            for shard in np.unique(of):
-                own = np.flatnonzero(of == shard)
-                counts, keepers = _shard(path, int(shard)).probe(h1[own], h2[own])
-                for x in own[(counts >= min_docs) & (keepers != owners[own])]:
-                    dropped.setdefault(where[x][:2], set()).add(where[x][2])
-        for k, batch in enumerate(batches):
-            texts, lines = [], []
-            for i, text in enumerate(utf8(batch.column(1))):
-                text, gone = text or b"", dropped.get((k, i))
-                lines.append(text.count(b"\n") + 1)
-                texts.append(b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone) if gone else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2:], pa.array(lines, pa.int64()), pa.array([len(dropped.get((k, i), ())) for i in range(len(lines))], pa.int64())],
-                names=["doc_id", "text", *rest, "n_lines", "n_dropped"],
-            )
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                held.append(part)
-                size += part.nbytes
-                if size >= PROBE_BYTES:
-                    yield from probed(held)
-                    held, size = [], 0
-        if held:
-            yield from probed(held)
+    names, width = rows.columns, len(rows.columns)
 
-    schema = StructType(list(rows.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
-    return rows.mapInArrow(probe, schema)
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, lines, dropped = [], [], []
+        for text, hashes in zip(utf8(batch.column(1)), batch.column(width).to_pylist()):
+            text, n = text or b"", 0
+            parts = text.split(b"\n")
+            if hashes:
+                known = set(map(bytes, np.frombuffer(hashes, np.uint8).reshape(-1, 16)))
+                at, own = line_hashes(text, min_chars)
+                out = {j for j, h in zip(at, own) if (h & _LOW).to_bytes(8, "little") + (h >> 64).to_bytes(8, "little") in known}
+                text, n = b"\n".join(x for j, x in enumerate(parts) if j not in out), len(out)
+            texts.append(text)
+            lines.append(len(parts))
+            dropped.append(n)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2 : width], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+
+    whole = rows.where(~loses)
+    counted = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(1)).cast("long")
+    same = whole.withColumns({"text": F.coalesce("text", F.lit("")), "n_lines": counted, "n_dropped": F.lit(0).cast("long")})
+    return same.select(*[f.name for f in schema.fields]).unionByName(arrow_map(met, kept, schema, rows=512))

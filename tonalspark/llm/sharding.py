@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Versions before the last ones in which a vacuum looks for runs that went out of use.
+RECENT = 64
+
+
 @dataclass(frozen=True)
 class Run:
     """Shards that were written together: the folder's name, how many they are, their bytes and their rows."""
@@ -219,17 +223,21 @@ class ShardStore:
     def vacuum(self, keep: int = 1, orphan_seconds: float = 7 * 86400) -> None:
         """Deletes the runs that only versions before the last ``keep`` have; those versions can't be read any more.
 
-        A run that no version has may be another writer's, who will commit it: such ones go ``orphan_seconds`` after their
-        last change. Manifests stay, so that no version is given out again.
+        What just went out of use is in the versions right before those, so RECENT manifests are read, however old the store is. A
+        run that no version has may be another writer's, who will commit it: such ones go ``orphan_seconds`` after their last change,
+        as do runs that only older versions have, and manifests. Manifests stay that long so that no writer is given their number again.
         """
-        versions = self.versions()
+        versions, late = self.versions(), (time.time() - orphan_seconds) * 1000
         live = {r.name for v in versions[-keep:] for r in self.runs(v)}
-        dead = {r.name for v in versions[:-keep] for r in self.runs(v)} - live
-        late = (time.time() - orphan_seconds) * 1000
+        dead = {r.name for v in versions[-keep - RECENT : -keep] for r in self.runs(v)} - live
         for x in self._names("data"):
             name = x.getPath().getName()
             if name in dead or name not in live and x.getModificationTime() < late:
                 self.fs.delete(x.getPath(), True)
+        kept = {f"v{v:09d}" for v in versions[-keep - RECENT :]}
+        for x in self._names("versions"):
+            if x.getPath().getName() not in kept and x.getModificationTime() < late:
+                self.fs.delete(x.getPath(), False)
 
 
 def sharded(docs: DataFrame, root: str, max_rows: int = 2000, target_bytes: int = 64 << 20, fanout: int = 4) -> DataFrame:

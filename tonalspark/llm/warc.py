@@ -1,8 +1,8 @@
 """WARC archives with revisit records for payloads that are stored already.
 
-Headers are shuffled by payload digest to find the first response of each payload; records are joined with it by digest, and
-those that aren't the first become revisits that refer to it. Tasks write archive files of their own names; only files that a committed manifest
-names count, so what a lost executor left half-written is never read.
+Headers (ids, urls, digests and lengths) are shuffled by payload digest to find the first response of each payload and to join the
+others, which become revisits, to it. Payloads stay where they are: revisits have none, and responses are told by a bit map. Tasks
+write archive files of their own names; only files that a committed manifest names count, and others are deleted once it is there.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, stored, utf8
+from .common import BitMap, open_fs, scratch, stored, utf8
 
 #: Bytes of records (before compression) after which a task begins another file.
 ROLL = 32 << 20
@@ -35,9 +36,9 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int | None, str | None] | None) -> bytes:
-    """One record as a gzip member of its own: a response, or a revisit of the page and url in ``refers``."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page: int | None, url: str | None, payload: bytes | None, length: int, digest: str, refers: tuple[int | None, str | None] | None) -> bytes:
+    """One record as a gzip member of its own: a response, or, without its payload, a revisit of the page and url in ``refers``."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {_id(page, digest)}", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {x}"] if (x := _uri(url)) else []
@@ -71,24 +72,28 @@ def records(source: io.RawIOBase, step: int = 1 << 20) -> Iterator[tuple[dict[st
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds digest (hex SHA-1 of the payload) and first (page_id, url) where a record revisits another page.
+    """(page_id, url, html, digest, length, first) of every row: digest is the hex SHA-1 of the payload, length its bytes; first (page_id, url)
+    stands where a record revisits another page, and html is null there.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the smallest page_id is the response (all its rows,
-    if it repeats: records of one page_id and payload can't be told apart; a null page_id is the largest). The first of a
-    payload is found from headers alone, summed before the shuffle. Digests that several records share are then joined to
-    the pages, which carries payloads once; Spark splits a digest that a third of the pages share.
+    if it repeats: records of one page_id and payload can't be told apart; a null page_id is the largest). Only headers are
+    shuffled: the first of a payload is summed before, and joined to the others, where Spark splits a digest that a third
+    of the pages share. Rows whose page_id and digest aren't among the bits of the revisits pass as responses; the few others that
+    aren't revisits are found by a join of their own.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
+    headers = stored(rows.select("page_id", "url", "digest", F.octet_length("html").cast("long").alias("length")), "headers")
     key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    firsts = (
-        rows.where(F.octet_length("html") >= min_bytes)
-        .groupBy("digest")
-        .agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "first", F.lit(True).alias("shared"))
-    )
-    out = rows.join(firsts, "digest", "left")
-    return out.withColumn("first", F.when(F.col("shared") & ~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first")))
+    firsts = headers.where(F.col("length") >= min_bytes).groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = headers.join(firsts, "digest").where(~F.col("first.page_id").eqNullSafe(F.col("page_id")))
+    revisits = stored(again.select("page_id", "url", "digest", "length", F.struct("first.page_id", "first.url").alias("first")), "revisits")
+    mark = lambda df: F.xxhash64(df["page_id"], df["digest"])
+    might = BitMap(revisits.select(mark(revisits).alias("h")), "h", revisits.count()).might(mark(rows))
+    known = revisits.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).distinct()
+    doubtful = rows.where(might)
+    mistaken = doubtful.join(known, doubtful["page_id"].eqNullSafe(known["of_page"]) & (doubtful["digest"] == known["of_digest"]), "left_anti")
+    responses = rows.where(~might).unionByName(mistaken).withColumns({"length": F.octet_length("html").cast("long"), "first": F.lit(None).cast(revisits.schema["first"].dataType)})
+    return responses.select("page_id", "url", "html", "digest", "length", "first").unionByName(revisits.withColumn("html", F.lit(None).cast("string")).select("page_id", "url", "html", "digest", "length", "first"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int = ROLL) -> DataFrame:
@@ -106,15 +111,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
             return pa.RecordBatch.from_arrays([pa.array([f"archives/{name}"]), pa.array([n], pa.int64()), pa.array([packed], pa.int64())], names=["file", "records", "bytes"])
 
         for batch in batches:
-            ids, urls, digests, firsts = (batch.column(i) for i in (0, 1, 3, 4))
+            ids, urls, digests, lengths, firsts = (batch.column(i) for i in (0, 1, 3, 4, 5))
             for i, html in enumerate(utf8(batch.column(2))):
                 if out is None:
                     name, n, size, packed = f"{uuid.uuid4().hex}.warc.gz", 0, 0, 0
                     out = fs.open_output_stream(f"{root}/archives/{name}", compression=None)
                 first = firsts[i].as_py()
-                data = record(ids[i].as_py(), urls[i].as_py(), html, base64.b32encode(bytes.fromhex(digests[i].as_py())).decode(), (first["page_id"], first["url"]) if first else None)
+                data = record(ids[i].as_py(), urls[i].as_py(), html, lengths[i].as_py(), base64.b32encode(bytes.fromhex(digests[i].as_py())).decode(), (first["page_id"], first["url"]) if first else None)
                 out.write(data)
-                n, size, packed = n + 1, size + (0 if first else len(html)), packed + len(data)
+                n, size, packed = n + 1, size + len(html or b""), packed + len(data)
                 if size >= roll:
                     out.close()
                     out = None
@@ -123,9 +128,19 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
             out.close()
             yield row()
 
-    found = resolve(pages, min_bytes).select("page_id", "url", "html", "digest", "first")
-    found.mapInArrow(write, "file string, records long, bytes long").write.parquet(f"{path}/manifest")
-    return pages.sparkSession.read.parquet(f"{path}/manifest")
+    schema = "file string, records long, bytes long"
+    resolve(pages, min_bytes).mapInArrow(write, schema).write.parquet(f"{path}/manifest")
+    manifest = pages.sparkSession.read.schema(schema).parquet(f"{path}/manifest")
+    _sweep(path, {r["file"] for r in manifest.select("file").toLocalIterator()})  # a name for each ``roll`` bytes
+    return manifest
+
+
+def _sweep(path: str, named: set[str]) -> None:
+    """Deletes the archives that the committed manifest doesn't name: those of tasks that were lost or ran twice."""
+    fs, root = open_fs(path)
+    for x in fs.get_file_info(pafs.FileSelector(f"{root}/archives", allow_not_found=True)):
+        if f"archives/{x.base_name}" not in named:
+            fs.delete_file(x.path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
