@@ -186,3 +186,39 @@ def test_the_catalogue_follows_its_tables(spark, tmp_path):
             spark.read.parquet(f"{source}/{t}.parquet").limit(1000).where(f"{'vec_id' if t == 'embeddings' else 'p_partkey'} BETWEEN 1 AND {n}").write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
         assert catalogue.songs(spark, str(tmp_path)).count() == n
         assert catalogue.songs(spark, str(tmp_path)).inputFiles() == catalogue.songs(spark, str(tmp_path)).inputFiles()
+
+
+def test_nested_tracks_in_each_form(spark, tmp_path):
+    from tonalspark.sources import catalogue
+
+    a = '{"videoId":"a","title":"T","artists":[{"name":"X","id":"1"},{"name":"Y","id":"2"}],"duration":"1:05","year":"2019"}'
+    b = '{"videoId":"b","title":"U","artists":[],"album":{"name":"Z"},"duration_seconds":7,"thumbnails":[{"url":"s"},{"url":"l"}]}'
+    for name, text in (("object", f'{{"tracks":[{a},{b}]}}'), ("list", f"[{a},{b}]"), ("lines", f"{a}\n\n{b}\n"), ("none", '{"tracks":[]}')):
+        (tmp_path / f"{name}.json").write_text(text)
+        got = {r.track_id: r for r in catalogue.nested_tracks(spark, str(tmp_path / f"{name}.json")).collect()}
+        assert set(got) == (set() if name == "none" else {"a", "b"})
+        if got:
+            assert (got["a"].artists, got["a"].artist_ids, got["a"].track_duration_ms, got["a"].year) == ("X, Y", "1, 2", 65_000, 2019)
+            assert (got["b"].primary_artist, got["b"].album_name, got["b"].track_duration_ms, got["b"].art_url) == (None, "Z", 7_000, "l")
+
+
+def test_profiles_fall_back(spark, tmp_path):
+    from tonalspark.sources import catalogue
+
+    (tmp_path / "a.csv").write_text("﻿artist_id,name,thumbnail_url\n 1 ,A,http://t\n2,B,\n,C,http://u\n", encoding="utf-8")
+    for text, want in (('{"A":{"image_url":"http://i","genres":["x"],"followers":3}}', {"A": "http://i"}), ("{}", {"1": "http://t"}), (None, {"1": "http://t"})):
+        path = tmp_path / "p.json"
+        path.unlink(missing_ok=True)
+        if text is not None:
+            path.write_text(text)
+        assert {r.key: r.image_url for r in catalogue.artist_profiles(spark, str(path), str(tmp_path / "a.csv")).collect()} == want
+    assert catalogue.artist_profiles(spark, str(tmp_path / "no"), str(tmp_path / "none")).count() == 0
+
+
+def test_sources_are_asked_in_order(spark):
+    from tonalspark.sources import catalogue
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    one, two = spark.createDataFrame([("a", " "), ("b", "x"), ("b", "w")], "k string, v string"), spark.createDataFrame([("a", "y"), ("b", "z"), (None, "q")], "k string, v string")
+    got = {r.k: (r.v, r.found_in) for r in catalogue.sought(df, [("one", one), ("two", two)], "k", "v").collect()}
+    assert got == {"a": ("y", "two"), "b": ("w", "one"), "c": (None, "not found"), None: (None, "not found")}

@@ -137,6 +137,17 @@ def mood_to_hsl(valence: Column, arousal: Column) -> Column:
     return let(F.slice(F.array_sort(anchors), 1, 3), mean)
 
 
+def modulated(hsl: Column, tempo: Column, mode: Column, energy: Column, bright: Column) -> Column:
+    """A mood's colour, struct(hue, sat, light) in degrees and hundredths, moved by what is known of the audio: the faster and the more energetic, the
+    more saturated; major is lighter than minor; a bright timbre is warmer and lighter. Unknown features move nothing."""
+    cut = lambda x, high: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(high)))
+    step = lambda x: F.coalesce(x, F.lit(0.0))
+    sat = hsl["sat"] + step((cut((tempo - 60) / 140, 1) - 0.5) * 15) + step((energy - 0.5) * 10)
+    light = hsl["light"] + F.when(mode.isNull(), 0.0).when(mode == 1, 10.0).otherwise(-10.0) + step((bright - 0.5) * 8)
+    hue = F.pmod(hsl["hue"] + step((bright - 0.5) * -30), F.lit(360.0))
+    return F.struct(hue.alias("hue"), cut(sat, 100).alias("sat"), cut(light, 100).alias("light"))
+
+
 def cielab(hex_: Column) -> Column:
     """L, a and b under D65 as an array, from sRGB with its piecewise gamma."""
     matrix = ((0.4124564 / 0.95047, 0.3575761 / 0.95047, 0.1804375 / 0.95047), (0.2126729, 0.7151522, 0.0721750), (0.0193339 / 1.08883, 0.1191920 / 1.08883, 0.9503041 / 1.08883))

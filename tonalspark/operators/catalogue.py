@@ -120,3 +120,67 @@ def winsorised(df: DataFrame, column: str, low: float, high: float, out: str) ->
     scaled = df.withColumn(out, F.least(F.greatest((F.col(column) - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
     middle = percentiles(scaled, out, {"_middle": 0.5})
     return scaled.join(F.broadcast(middle)).withColumn(out, F.coalesce(out, "_middle")).drop("_middle")
+
+
+#: Ways to sort: column and whether it falls.
+SORTS = {"name": ("track_name", False), "artist": ("artists", False), "energy": ("energy", True), "valence": ("valence", True), "danceability": ("danceability", True)}
+
+
+def browse(df: DataFrame, key: str, sort: str = "name", page: int = 1, limit: int = 20, mood: str | None = None, artist: str | None = None, search: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, Column]:
+    """(a page of rows with their place, the condition that rows meet): rows whose mood_quadrant holds ``mood`` as it stands, whose artists match
+    the pattern ``artist``, both in any case, and that a search has found (key). Sorted by one of SORTS, nulls last, or at random by a
+    digest of key and seed; ties by key. Each task keeps page times limit rows.
+    """
+    fits = F.lit(True)
+    if mood:
+        fits &= F.coalesce(F.contains(F.lower("mood_quadrant"), F.lit(mood.lower())), F.lit(False))
+    if artist:
+        fits &= F.coalesce(F.col("artists").rlike(f"(?i){artist}"), F.lit(False))
+    rows = df.where(fits)
+    if search is not None:
+        rows = rows.join(search.select(key).distinct(), key, "left_semi")
+    if sort == "random":
+        first = F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))).asc()
+    else:
+        column, falls = SORTS[sort]
+        first = F.col(column).desc_nulls_last() if falls else F.col(column).asc_nulls_last()
+    top = rows.orderBy(first, key).limit(page * limit)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(first, key)))  # page times limit rows
+    return placed.where(F.col("place") > (page - 1) * limit), fits
+
+
+def sampled(df: DataFrame, key: str, order: list[Column], pool: int, n: int, seed: int) -> DataFrame:
+    """n of the first ``pool`` rows in an order, chosen by a digest of key and seed."""
+    return df.orderBy(*order).limit(pool).orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key).limit(n)
+
+
+def profile(df: DataFrame, shares: list[str], numbers: list[str], tops: dict[str, int]) -> DataFrame:
+    """(part, name, value): how many rows there are; how many have each value of the columns in ``shares``; mean, deviation (of a sample), least and
+    most of numbers; how many different values columns in ``tops`` have, and the commonest of them (ties: the smaller)."""
+    stats = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(F.count(F.lit(1)).cast("double").alias("rows"), *[f(F.col(c).cast("double")).alias(f"{c}/{n}") for c in numbers for n, f in stats.items()], *[F.count_distinct(c).cast("double").alias(f"{c}/different") for c in tops])
+    out = row.unpivot([], row.columns, "name", "value").select(F.when(F.col("name").contains("/"), F.split("name", "/")[0]).otherwise("all").alias("part"), F.element_at(F.split("name", "/"), -1).alias("name"), "value")
+    for c in shares:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        out = out.unionByName(counts.select(F.lit(c).alias("part"), "name", "value"))
+    for c, n in tops.items():
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        out = out.unionByName(counts.orderBy(F.col("value").desc(), "name").limit(n).select(F.lit(f"top {c}").alias("part"), "name", "value"))
+    return out
+
+
+def loaded(songs: DataFrame, vectors: DataFrame, artists: DataFrame, albums: DataFrame, needed: list[str]) -> DataFrame:
+    """(check, value, issue) after a load: rows of each table; songs without vectors, album or artist ids that aren't there; quadrants with
+    songs, four expected; nulls of columns that mustn't have any."""
+    counts = [(f"{n}_rows", df.agg(F.count(F.lit(1)).alias("value"))) for n, df in (("songs", songs), ("vectors", vectors), ("artists", artists), ("albums", albums))]
+    missing = songs.join(vectors.select("track_id").distinct(), "track_id", "left_anti")
+    wrong = [("songs_without_vector", missing), ("unknown_albums", orphans(songs, albums, "album_id", "album_id")), ("unknown_artists", orphans(songs, artists, "primary_artist_id", "artist_id"))]
+    wrong += [(f"null_{c}", songs.where(F.col(c).isNull())) for c in needed]
+    quadrants = songs.agg(F.count_distinct("mood_quadrant").alias("value"))
+    parts = [df.select(F.lit(n).alias("check"), "value", F.lit(False).alias("issue")) for n, df in counts]
+    parts += [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("check"), "value", (F.col("value") > 0).alias("issue")) for n, df in wrong]
+    parts.append(quadrants.select(F.lit("quadrants").alias("check"), "value", (F.col("value") < 4).alias("issue")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -146,3 +146,11 @@ def canonical_credits(df: DataFrame, key: str, names: str) -> DataFrame:
     chosen = best.where("plain != '' AND NOT all_marked").select("plain", F.col("b.name").alias("to"))
     new = flat.join(chosen, "plain", "left").withColumn("name", F.coalesce("to", "name"))
     return new.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ", ").alias("credits"))
+
+
+def centred(df: DataFrame, vector: str, out: str) -> DataFrame:
+    """Adds the vector of unit length less the mean of all, of unit length again; null stays null, zeros count as they are. The mean, as
+    many numbers as a vector has, is a row that is sent with the tasks."""
+    rows = df.withColumn("_u", V.unit(F.col(vector)))
+    mean = rows.select(F.posexplode("_u").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("_mean"))
+    return rows.join(F.broadcast(mean)).withColumn(out, V.unit(F.zip_with("_u", "_mean", lambda x, m: x - m))).drop("_u", "_mean")

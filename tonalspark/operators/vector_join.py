@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -169,3 +169,12 @@ def near_pairs(rows: DataFrame, least: float, item: str = "song_idx", vector: st
     norms that remain may reach the bound. So vectors without any groups are multiplied in a quarter of their components, few to the end.
     """
     return met(rows, least, item, vector, seed).where("a IS NOT NULL").select("a", "b", "cosine")
+
+
+def neighbour_pairs(rows: DataFrame, neighbours: int = 6, least: float = 0.995, item: str = "song_idx", vector: str = "audio_vec") -> DataFrame:
+    """(a, b, cosine), a < b, of pairs with a cosine of ``least`` of which one is among the other's ``neighbours`` nearest (ties: the
+    smaller id); each pair once."""
+    near = stored(near_pairs(rows, least - 2e-6, item, vector).where(F.col("cosine") >= least), "near")
+    both = near.select("a", "b", "cosine", F.col("a").alias("of"), F.col("b").alias("to")).unionByName(near.select("a", "b", "cosine", F.col("b").alias("of"), F.col("a").alias("to")))
+    order = Window.partitionBy("of").orderBy(F.col("cosine").desc(), "to")
+    return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= neighbours).select("a", "b", "cosine").distinct()

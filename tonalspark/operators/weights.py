@@ -43,10 +43,15 @@ def split_lists(lists: DataFrame, list_id: str = "list_id", share: float = 0.8,
     return lists.join(told, list_id)
 
 
-def relevant(lists: DataFrame, seeds: DataFrame, list_id: str = "list_id") -> DataFrame:
-    """(query_id, song_idx, held_out): for each stated seed the songs that share a list with it, by whether that list is held out."""
+def relevant(lists: DataFrame, seeds: DataFrame, list_id: str = "list_id", other: DataFrame | None = None) -> DataFrame:
+    """(query_id, song_idx, held_out): for each stated seed the songs that share a list with it, by whether that list is held out. With
+    ``other`` (song_idx, artist) only songs of other artists count."""
     asked = lists.join(seeds.select(F.col("query_id").alias("song_idx")), "song_idx", "left_semi").select(F.col("song_idx").alias("query_id"), list_id)
-    return asked.distinct().join(lists, list_id).where("song_idx != query_id").select("query_id", "song_idx", "held_out").distinct()
+    met = asked.distinct().join(lists, list_id).where("song_idx != query_id").select("query_id", "song_idx", "held_out").distinct()
+    if other is None:
+        return met
+    of = lambda c: other.select(F.col("song_idx").alias(c), F.coalesce("artist", F.lit("")).alias(f"_{c}"))
+    return met.join(of("query_id"), "query_id").join(of("song_idx"), "song_idx").where("_query_id != _song_idx").select("query_id", "song_idx", "held_out")
 
 
 def ranked(songs: DataFrame, seeds: DataFrame, signals: Signals, candidates: list[tuple[float, ...]], k: int) -> DataFrame:

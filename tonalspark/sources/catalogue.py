@@ -103,6 +103,47 @@ def flat_tracks(nested: DataFrame) -> DataFrame:
     )
 
 
+def nested_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Flat rows of a JSON file of nested track records: one object with a list ``tracks``, a list of records, or one record a line."""
+    record = "struct<videoId:string,title:string,artists:array<struct<name:string,id:string>>,album:struct<name:string>,thumbnails:array<struct<url:string>>,duration_seconds:long,duration:string,year:string>"
+    whole = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("value"))
+    one = F.from_json("value", f"tracks array<{record}>")["tracks"]
+    many = F.from_json("value", f"array<{record}>")
+    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, record))
+    found = F.when(F.col("value").startswith("["), many).when(one.isNotNull(), one).otherwise(lines)
+    return flat_tracks(whole.select(F.explode(found).alias("t")).select("t.*").where("videoId IS NOT NULL"))
+
+
+def artist_profiles(spark: SparkSession, profiles: str, artists: str) -> DataFrame:
+    """(key, image_url, genres, followers) of a JSON file of profiles by name, or, where it is missing or has none, (artist_id,
+    thumbnail_url) of a CSV file of artists with a byte-order mark or without, those that have both."""
+    fields = "image_url:string,genres:array<string>,followers:long"
+    columns = ["key", "image_url", "genres", "followers"]
+    if exists(spark, profiles):
+        whole = spark.read.option("wholetext", True).text(profiles).select(F.from_json("value", f"map<string,struct<{fields}>>").alias("m"))
+        found = whole.select(F.explode("m").alias("key", "p")).select("key", "p.*")
+        if not found.isEmpty():
+            return found.select(*columns)
+    if not exists(spark, artists):
+        return spark.createDataFrame([], "key string, image_url string, genres array<string>, followers long")
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(artists)
+    rows = rows.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in rows.columns})
+    key, url = F.trim("artist_id"), F.trim("thumbnail_url")
+    return rows.where((key != "") & (url != "")).select(key.alias("key"), url.alias("image_url"), F.lit(None).cast("array<string>").alias("genres"), F.lit(None).cast("long").alias("followers"))
+
+
+def sought(df: DataFrame, tiers: list[tuple[str, DataFrame]], key: str, value: str) -> DataFrame:
+    """Adds ``value``, the first non-blank one of several named sources (key, value) in their order, and found_in: the source's name, or
+    'not found'. Rows without a key look nowhere. A source that has several values of a key gives its smallest."""
+    for i, (_, tier) in enumerate(tiers):
+        given = F.nullif(F.trim(value), F.lit(""))
+        df = df.join(tier.groupBy(key).agg(F.min(given).alias(f"_{i}")), key, "left")
+    name = F.lit("not found")
+    for i, (n, _) in reversed([*enumerate(tiers)]):
+        name = F.when(F.col(f"_{i}").isNotNull(), n).otherwise(name)
+    return df.withColumns({value: F.coalesce(*[F.col(f"_{i}") for i in range(len(tiers))]), "found_in": name}).drop(*[f"_{i}" for i in range(len(tiers))])
+
+
 def first_tier(df: DataFrame, tiers: list[DataFrame], key: str, value: str) -> DataFrame:
     """Adds ``value`` from the first of several sources (key, value) that has a non-blank one."""
     for i, tier in enumerate(tiers):
