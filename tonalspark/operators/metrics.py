@@ -116,6 +116,10 @@ def mahalanobis(df: DataFrame, x: str, y: str, at_x: Column, at_y: Column, ridge
     return met.agg(F.avg(F.sqrt((dx * dx * F.col("yy") - 2 * dx * dy * F.col("xy") + dy * dy * F.col("xx")) / det)).alias("error"))
 
 
+#: Groups whose draws a task holds at once.
+GROUPS = 64
+
+
 def bootstrap(df: DataFrame, group: str, unit: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """(group, mean, low, high): percentile intervals at 95 % of the mean value, drawing units with replacement.
 
@@ -129,14 +133,21 @@ def bootstrap(df: DataFrame, group: str, unit: str, value: str, draws: int = 10_
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
+
+        def done() -> Iterator[pd.DataFrame]:
+            for g, a in sums.items():
+                yield pd.DataFrame({group: g, "draw": np.arange(draws), "s": a[0], "n": a[1]})
+            sums.clear()
+
         for rows in batches:
             for g, h, s, n in rows.itertuples(index=False, name=None):
+                if g not in sums and len(sums) == GROUPS:  # Spark adds up what is passed on in parts
+                    yield from done()
                 w = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, draws)
                 a = sums.setdefault(g, np.zeros((2, draws)))
                 a[0] += w * s
                 a[1] += w * n
-        for g, a in sums.items():
-            yield pd.DataFrame({group: g, "draw": np.arange(draws), "s": a[0], "n": a[1]})
+        yield from done()
 
     drawn = units.mapInPandas(draw, f"`{group}` {kind}, draw int, s double, n double").groupBy(group, "draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     bounds = drawn.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))  # of as many values as draws

@@ -18,13 +18,19 @@ def blocks(items: DataFrame, query: str, limit: int, order: tuple[str, ...] | No
     q = F.trim(F.regexp_replace(T.no_marks(F.lit(query)), "[^a-z0-9]+", " "))
     artist, title, body = (T.match_text(F.col(c)) for c in ("artist", "title", "body"))
     named = (artist == q) | (artist.contains(q) & (F.length(q) >= 0.6 * F.length(artist))) | (q.contains(artist) & (F.length(artist) >= 4))
-    if order is None:
-        intent = items.where(named).limit(1).count() > 0
-        order = ("artist", "title", "body") if intent else ("title", "artist", "body")
     found = {"artist": artist.contains(q), "title": title.contains(q), "body": body.contains(q)}
-    block = F.lit(None).cast("int")
-    for i, name in reversed([*enumerate(order)]):
-        block = F.when(found[name], i).otherwise(block)
+
+    def block_in(names: tuple[str, ...]) -> Column:
+        out = F.lit(None).cast("int")
+        for i, name in reversed([*enumerate(names)]):
+            out = F.when(found[name], i).otherwise(out)
+        return out
+
+    if order is None:  # a row that says whether any artist is named; found when the search runs
+        items = items.join(F.broadcast(items.agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("_named"))))
+        block = F.when(F.col("_named"), block_in(("artist", "title", "body"))).otherwise(block_in(("title", "artist", "body")))
+    else:
+        block = block_in(order)
     equal = ((artist == q) | (title == q)).cast("int")
     hits = items.withColumns({"block": block, "_equal": equal}).where("block is not null")
     keys = [F.col("block").asc(), F.col("_equal").desc(), F.col("popularity").desc_nulls_last(), F.col("item").asc()]
@@ -126,8 +132,13 @@ def token_sort_ratio(column: Column, query: str) -> Column:
 
 def typo_matches(items: DataFrame, query: str, least: float = 82.0, limit: int = 10) -> DataFrame:
     """(item, ratio) of the items (item, title, popularity) whose title is nearest to a misspelt query. Titles that differ
-    too much in length can't reach ``least`` and are left out before Python sees them."""
-    n = F.length(T.match_text(F.col("title")))
-    near = items.where((2 * F.least(n, F.lit(len(query))) * 100 >= least * (n + len(query))))
+    too much in length, or have too few characters in common with it, can't reach ``least`` and are left out before Python sees them."""
+    wanted = " ".join(sorted(query.lower().split()))
+    title = F.array_join(F.array_sort(F.split(T.match_text(F.col("title")), " ")), " ")
+    n = F.length(title)
+    common = F.lit(0)  # what is in common in order is no more than what is in common at all
+    for c in sorted(set(wanted)):
+        common += F.least(n - F.length(F.translate(title, c, "")), F.lit(wanted.count(c)))
+    near = items.where(200 * common >= least * (n + len(wanted)))
     scored = near.withColumn("ratio", token_sort_ratio(F.col("title"), query)).where(F.col("ratio") >= least)
     return scored.orderBy(F.col("ratio").desc(), F.col("popularity").desc_nulls_last(), "item").limit(limit).select("item", "ratio")
