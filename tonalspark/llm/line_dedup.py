@@ -255,32 +255,36 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     gone = dropped_lines(docs, min_chars, min_docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped") and (carry is None or c in carry)]
     rows = docs.select("doc_id", "text", *rest)
-    ids = gone.select(F.xxhash64("doc").alias("h"))
-    loses = BitMap(ids, "h", gone.count()).might(F.xxhash64(F.coalesce(rows["doc_id"].cast("long"), F.lit(_NO_ID))))
-    name = f"doc_{uuid.uuid4().hex}"  # unlike any column of the documents
-    hurt = rows.where(loses)
-    lost = gone.select(F.col("doc").alias(name), F.col("gone").alias(f"lost_{name}"))
-    met = hurt.join(lost, F.coalesce(hurt["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col(name), "left").select(*rows.columns, f"lost_{name}")
+    names, width, hurt = rows.columns, len(rows.columns), BitMap(gone, "doc", gone.count())
     schema = StructType(list(rows.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
 
-    names, width = rows.columns, len(rows.columns)
+    def loses(batch: pa.RecordBatch) -> np.ndarray:
+        return hurt.has(batch.column(0).cast(pa.int64()).fill_null(_NO_ID).to_numpy())
+
+    def made(batch: pa.RecordBatch, texts: list[bytes], lines: list[int], dropped: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2:width], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(~loses(batch)))
+        texts = [text or b"" for text in utf8(batch.column(1))]
+        return made(batch, texts, [text.count(b"\n") + 1 for text in texts], [0] * len(texts))
 
     def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, dropped = [], [], []
         for text, hashes in zip(utf8(batch.column(1)), batch.column(width).to_pylist()):
-            text, n = text or b"", 0
+            text, out = text or b"", set()
             parts = text.split(b"\n")
             if hashes:
                 known = set(map(bytes, np.frombuffer(hashes, np.uint8).reshape(-1, 16)))
                 at, own = line_hashes(text, min_chars)
                 out = {j for j, h in zip(at, own) if (h & _LOW).to_bytes(8, "little") + (h >> 64).to_bytes(8, "little") in known}
-                text, n = b"\n".join(x for j, x in enumerate(parts) if j not in out), len(out)
-            texts.append(text)
+            texts.append(b"\n".join(x for j, x in enumerate(parts) if j not in out) if out else text)
             lines.append(len(parts))
-            dropped.append(n)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[2 : width], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            dropped.append(len(out))
+        return made(batch, texts, lines, dropped)
 
-    whole = rows.where(~loses)
-    counted = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(1)).cast("long")
-    same = whole.withColumns({"text": F.coalesce("text", F.lit("")), "n_lines": counted, "n_dropped": F.lit(0).cast("long")})
-    return same.select(*[f.name for f in schema.fields]).unionByName(arrow_map(met, kept, schema, rows=512))
+    name = f"doc_{uuid.uuid4().hex}"  # unlike any column of the documents
+    lost = gone.select(F.col("doc").alias(name), F.col("gone").alias(f"lost_{name}"))
+    some = arrow_map(rows, lambda batch: batch.filter(pa.array(loses(batch))), rows.schema, rows=512)
+    met = some.join(lost.hint("merge"), F.coalesce(some["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col(name), "left").select(*names, f"lost_{name}")
+    return arrow_map(rows, whole, schema, rows=512).unionByName(arrow_map(met, kept, schema, rows=512))
