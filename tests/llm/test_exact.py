@@ -612,8 +612,9 @@ def test_contaminated_against_plain_loops(spark, monkeypatch):
     assert collections.Counter(r["doc_id"] for r in clean) == collections.Counter(d for d, n, *_ in want if not n)
 
 
-def test_shared_phrases_bring_no_texts_together(spark):
+def test_shared_phrases_bring_no_texts_together(spark, monkeypatch):
     """A phrase that all texts and items share isn't what they meet on; what a text holds of an item besides is found."""
+    monkeypatch.setattr(decontamination, "COMMON", 20)
     rng = random.Random(12)
     stock = "one two three four five six seven"
     items = [(i, f"{prose(rng, 12)} {stock} {prose(rng, 12)}") for i in range(12)]
@@ -888,6 +889,20 @@ def test_warc(spark, tmp_path):
     assert len(read) == len(rows) and {r["payload"] for r in read if r["page_id"] == 7} == {"é\r\n\r\nWARC/1.1\r\n".encode()}
 
 
+def test_responses_among_the_bits_of_revisits(spark, tmp_path):
+    """Pages whose mark has the bit of a revisit's by chance are still responses, each once."""
+    rows = [(i, f"u{i}", f"own {i}") for i in range(4000)] + [(10_000 + i, "v", f"copy {i % 40}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found, bits = warc.resolve(pages)
+    assert 0 < found.where("sure AND first IS NULL").count() < 100
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in collected(warc.round_trip(pages))}
+    assert got == {i: ("response", None) for i in range(4000)} | {10_000 + i: ("response", None) if i < 40 else ("revisit", 10_000 + i % 40) for i in range(400)}
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w")
+    (tmp_path / "w/archives/stray.warc.gz").write_bytes(b"half")
+    warc._sweep(f"file://{tmp_path}/w", {r["file"] for r in manifest.collect()})
+    assert {f"archives/{f}" for f in os.listdir(tmp_path / "w/archives")} == {r["file"] for r in manifest.collect()} and manifest.agg(F.sum("records")).first()[0] == 4400
+
+
 # 10
 
 

@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,29 +72,32 @@ def records(source: io.RawIOBase, step: int = 1 << 20) -> Iterator[tuple[dict[st
             unpacker, plain = zlib.decompressobj(31), bytearray()
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, length, first) of every row: digest is the hex SHA-1 of the payload, length its bytes; first (page_id, url)
-    stands where a record revisits another page, and html is null there.
+def resolve(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, BitMap]:
+    """Rows (page_id, url, html, digest, length, first, mark, sure) and the bits of the marks of revisits. digest is the hex SHA-1 of the
+    payload, length its bytes. A sure row is a record: a revisit of another page, first (page_id, url), without html, or a
+    response. Of the others those whose mark is among the bits aren't records (sure ones stand for them); the rest are responses.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the smallest page_id is the response (all its rows,
     if it repeats: records of one page_id and payload can't be told apart; a null page_id is the largest). Only headers are
     shuffled: the first of a payload is summed before, and joined to the others, where Spark splits a digest that a third
-    of the pages share. Rows whose page_id and digest aren't among the bits of the revisits pass as responses; the few others that
-    aren't revisits are found by a join of their own.
+    of the pages share. Payloads aren't, but for the few responses whose mark is among the bits by chance.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    headers = stored(rows.select("page_id", "url", "digest", F.octet_length("html").cast("long").alias("length")), "headers")
+    rows = rows.withColumns({"length": F.octet_length("html").cast("long"), "mark": F.xxhash64("page_id", "digest")})
+    headers = stored(rows.drop("html"), "headers")
     key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     firsts = headers.where(F.col("length") >= min_bytes).groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     again = headers.join(firsts, "digest").where(~F.col("first.page_id").eqNullSafe(F.col("page_id")))
-    revisits = stored(again.select("page_id", "url", "digest", "length", F.struct("first.page_id", "first.url").alias("first")), "revisits")
-    mark = lambda df: F.xxhash64(df["page_id"], df["digest"])
-    might = BitMap(revisits.select(mark(revisits).alias("h")), "h", revisits.count()).might(mark(rows))
-    known = revisits.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).distinct()
-    doubtful = rows.where(might)
-    mistaken = doubtful.join(known, doubtful["page_id"].eqNullSafe(known["of_page"]) & (doubtful["digest"] == known["of_digest"]), "left_anti")
-    responses = rows.where(~might).unionByName(mistaken).withColumns({"length": F.octet_length("html").cast("long"), "first": F.lit(None).cast(revisits.schema["first"].dataType)})
-    return responses.select("page_id", "url", "html", "digest", "length", "first").unionByName(revisits.withColumn("html", F.lit(None).cast("string")).select("page_id", "url", "html", "digest", "length", "first"))
+    revisits = stored(again.select("page_id", "url", "digest", "length", "mark", F.struct("first.page_id", "first.url").alias("first")), "revisits")
+    bits = BitMap(revisits, "mark", revisits.count())
+    mistaken = headers.where(bits.might(F.col("mark"))).join(revisits.select(F.struct("page_id", "digest").alias("of")).distinct(), F.struct("page_id", "digest").eqNullSafe(F.col("of")), "left_anti")
+    mistaken = stored(mistaken.select("mark").distinct(), "mistaken")
+    none, columns = F.lit(None).cast(revisits.schema["first"].dataType), ["page_id", "url", "html", "digest", "length", "first", "mark", "sure"]
+    sure = revisits.withColumns({"html": F.lit(None).cast("string"), "sure": F.lit(True)}).select(*columns)
+    if not mistaken.isEmpty():
+        wrong = rows.join(mistaken, "mark", "left_semi").join(revisits.select(F.struct("page_id", "digest").alias("of")).distinct(), F.struct("page_id", "digest").eqNullSafe(F.col("of")), "left_anti")
+        sure = sure.unionByName(wrong.withColumns({"first": none, "sure": F.lit(True)}).select(*columns))
+    return rows.withColumns({"first": none, "sure": F.lit(False)}).select(*columns).unionByName(sure), bits
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int = ROLL) -> DataFrame:
@@ -101,6 +105,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
 
     A null html is an empty payload, a null url leaves out the target. Pages of an empty table give an empty manifest.
     """
+    found, bits = resolve(pages, min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
@@ -111,6 +116,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
             return pa.RecordBatch.from_arrays([pa.array([f"archives/{name}"]), pa.array([n], pa.int64()), pa.array([packed], pa.int64())], names=["file", "records", "bytes"])
 
         for batch in batches:
+            batch = batch.filter(pc.or_(batch.column(7), pa.array(~bits.has(batch.column(6).to_numpy()))))
             ids, urls, digests, lengths, firsts = (batch.column(i) for i in (0, 1, 3, 4, 5))
             for i, html in enumerate(utf8(batch.column(2))):
                 if out is None:
@@ -129,7 +135,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
             yield row()
 
     schema = "file string, records long, bytes long"
-    resolve(pages, min_bytes).mapInArrow(write, schema).write.parquet(f"{path}/manifest")
+    found.mapInArrow(write, schema).write.parquet(f"{path}/manifest")
     manifest = pages.sparkSession.read.schema(schema).parquet(f"{path}/manifest")
     _sweep(path, {r["file"] for r in manifest.select("file").toLocalIterator()})  # a name for each ``roll`` bytes
     return manifest
