@@ -149,6 +149,7 @@ class Counter(dict):
         marks = [t["content"] for t in spec["added_tokens"]]
         self.lower = "Lowercase" in steps
         self.special = re.compile("|".join(map(re.escape, marks))) if marks else re.compile(r"(?!)")
+        self.marked = re.compile(b"|".join(re.escape(m.encode()) for m in marks), re.IGNORECASE) if marks else re.compile(rb"(?!)")
 
     def __missing__(self, piece: bytes) -> int:
         if piece.isalpha():  # ASCII letters are one word as they stand
@@ -200,8 +201,8 @@ class Counter(dict):
     def tokens(self, text: bytes | None) -> int:
         if not text:
             return 0
-        if self.lower and b"<" not in text:
-            text = text.lower()  # as the vocabulary's normaliser will; special strings are matched before it
+        if self.lower and not self.marked.search(text):
+            text = text.lower()  # as the vocabulary's normaliser will; special strings are matched before it, so none may come of it
         maps = [self.state_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:  # a level of the scan's tree: adjacent maps compose independently
             maps = [self.composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
