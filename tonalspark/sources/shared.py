@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where that is unset (tests in local mode) a temporary folder is made and
-    kept in the session. Checkpoints go there too."""
+    """``spark.checkpoint.dir`` of the session. Only where that is unset in local mode (tests) a temporary folder is made and
+    kept in the session; on a cluster that is an error, as executors wouldn't share it. Checkpoints go there too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
