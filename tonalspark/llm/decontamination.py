@@ -21,6 +21,8 @@ from .common import BitMap, arrow_map, mixed, shingles, signed, stored, utf8, wo
 
 #: Items that a document's words are held for in one run of a task.
 RUN = 256
+#: Texts that hold a seed from which on it counts as common.
+COMMON = 1000
 #: Words of a long item that count as holding it, whatever share of it they are.
 PASSAGE = 30
 _U = np.uint64
@@ -143,19 +145,18 @@ def _candidates(hits: DataFrame, seeds: DataFrame, coverage: float, passage: int
     """(key, item, width, words) of the pairs of which enough places of the item are under seeds of the text.
 
     The places times the seeds' width bound what tiles can cover, so a text has to hold at least m = ceil(need / width) places of the
-    item, and so one of any but m - 1 of them. Texts and items meet on the item's places without its m - 1 commonest (by the texts that
-    hold their seed): a phrase that very many texts and items share brings none of them together. Then all places are counted, of the
-    pairs that are left.
+    item, and so one of any but m - 1 of them. Texts and items don't meet on an item's commonest places, m - 1 of them at most, whose
+    seeds more than COMMON texts hold: a phrase that very many texts and items share brings none of them together. Such places count as
+    held, so no pair is lost.
     """
     need = F.least(F.col("words") * coverage, F.lit(float(passage)))
-    known = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
+    common = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > COMMON)
     text = ["item", "width", "words"]  # texts of one item_id that differ in length are told apart; others are one
-    ranked = Window.partitionBy(*text).orderBy(F.coalesce("texts", F.lit(0)), "seed")
-    places = seeds.join(known, "seed", "left").withColumns({"at": F.row_number().over(ranked), "all": F.count(F.lit(1)).over(Window.partitionBy(*text))})
-    rare = places.where(F.col("at") <= F.col("all") - F.ceil(need / F.col("width")) + 1).where("texts IS NOT NULL")
-    some = hits.join(rare.select("seed", *text).distinct(), "seed").select("key", *text).distinct()
-    counted = some.join(hits, "key").join(seeds, ["seed", *text]).groupBy("key", *text).agg(F.count(F.lit(1)).alias("places"))
-    return counted.where(F.col("places") * F.col("width") >= need).select("key", *text)
+    ranked = Window.partitionBy(*text).orderBy(F.coalesce("texts", F.lit(0)).desc(), "seed")
+    places = seeds.join(common, "seed", "left").withColumn("left_out", F.col("texts").isNotNull() & (F.row_number().over(ranked) < F.ceil(need / F.col("width"))))
+    places = places.withColumn("more", F.count_if("left_out").over(Window.partitionBy(*text)))
+    met = hits.join(places.where("NOT left_out"), "seed").groupBy("key", *text, "more").agg(F.count(F.lit(1)).alias("places"))
+    return met.where((F.col("places") + F.col("more")) * F.col("width") >= need).select("key", *text)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.6, passage: int = PASSAGE) -> DataFrame:

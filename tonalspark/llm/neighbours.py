@@ -2,8 +2,8 @@
 
 Vectors get one more component that brings all to one length, so the largest inner product is the smallest distance. A few Gaussian
 projections of them are indexed; for a vector at distance d the squared projected distance over d squared follows a chi-square law. A
-query meets leaves of the tree by their projected distance, verifies what lies there by exact inner products, and stops when a vector
-as near as its k-th best would by this law have shown up with the stated probability.
+query meets leaves of the tree by their projected distance, verifies the rows there that are near enough in projection by exact inner
+products, and stops when a vector as near as its k-th best would by this law have shown up with the stated probability.
 """
 
 from __future__ import annotations
@@ -142,32 +142,36 @@ class Shard:
             a, half = int(np.argmax(np.ptp(points[g], axis=0))), len(g) // 2
             g = g[np.argpartition(points[g, a], half)]
             groups += [g[:half], g[half:]]
-        self.ids, self.vectors = [ids[g] for g in leaves], [vectors[g] for g in leaves]
+        self.ids, self.vectors, self.points = ([x[g] for g in leaves] for x in (ids, vectors, points))
         self.low, self.high = np.array([points[g].min(0) for g in leaves]), np.array([points[g].max(0) for g in leaves])
         self.longest = projection.longest
 
     def search(self, own: int, query: np.ndarray, point: np.ndarray, least: float, k: int, reach) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and exact scores of the k best rows but ``own``, as far as they reach ``least``, and how many rows were verified.
 
-        Leaves come by their projected distance; the test is made before each, with the k-th best score so far.
+        Leaves come by their projected distance; the test is made before each, with the k-th best score so far, and for each of its rows
+        by its own projected distance: only rows that it lets pass are verified.
         """
         far = gaps(point, self.low, self.high)
         margin = ERROR * self.longest * math.sqrt(query @ query)
         ids, scores, vectors, tried = np.empty(0, np.int64), np.empty(0), np.empty((0, len(query))), 0
         for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > reach(least):
+            within = reach(least)
+            if far[leaf] > within:
                 break
-            got = self.vectors[leaf] @ query
-            tried += len(got)
-            fits = np.flatnonzero((got >= least - margin) & (self.ids[leaf] != own))
+            near = np.flatnonzero(((self.points[leaf] - point) ** 2).sum(1) * (1 - ERROR) <= within)
+            got = self.vectors[leaf][near] @ query
+            tried += len(near)
+            fits = near[(got >= least - margin) & (self.ids[leaf][near] != own)]
             if not len(fits):
                 continue
-            ids, scores = np.concatenate((ids, self.ids[leaf][fits])), np.concatenate((scores, got[fits]))
+            got = got[np.searchsorted(near, fits)]
+            ids, scores = np.concatenate((ids, self.ids[leaf][fits])), np.concatenate((scores, got))
             vectors = np.concatenate((vectors, self.vectors[leaf][fits]))
             if len(scores) >= k:
                 least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-                near = scores >= least - margin
-                ids, scores, vectors = ids[near], scores[near], vectors[near]
+                best = scores >= least - margin
+                ids, scores, vectors = ids[best], scores[best], vectors[best]
         scores = exact_scores(vectors, query)
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best], tried
