@@ -306,7 +306,8 @@ def _searched(index: Index, visits: DataFrame, k: int, quantile: float) -> DataF
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score", "tried"])
 
-    together = visits.repartition("cell", "shard", F.pmod(F.xxhash64("query_id"), F.lit(DEALT))).sortWithinPartitions("cell", "shard")
+    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a visit is a few bytes and much work: Spark mustn't put them together
+    together = visits.repartition(tasks, "cell", "shard", F.pmod(F.xxhash64("query_id"), F.lit(DEALT))).sortWithinPartitions("cell", "shard")
     return together.mapInArrow(over, "query_id long, vec_id long, score double, tried long")
 
 
