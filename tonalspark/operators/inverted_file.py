@@ -129,7 +129,8 @@ def _searched(index: InvertedFile, visits: DataFrame, k: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "song_idx", "score"])
 
-    together = visits.repartition("list", "shard", F.pmod(F.xxhash64("query_id"), F.lit(DEALT))).sortWithinPartitions("list", "shard")
+    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a visit is a few bytes and much work: Spark mustn't put them together
+    together = visits.repartition(tasks, "list", "shard", F.pmod(F.xxhash64("query_id"), F.lit(DEALT))).sortWithinPartitions("list", "shard")
     return together.mapInArrow(over, "query_id long, song_idx long, score double")
 
 
