@@ -148,6 +148,33 @@ def modulated(hsl: Column, tempo: Column, mode: Column, energy: Column, bright:
     return F.struct(hue.alias("hue"), cut(sat, 100).alias("sat"), cut(light, 100).alias("light"))
 
 
+def hex_of(hue: Column, sat: Column, light: Column) -> Column:
+    """``#rrggbb`` of a hue in degrees, saturation and lightness in hundredths; channels are cut to whole numbers."""
+    s, l = sat / 100, light / 100
+    chroma = (1 - F.abs(2 * l - 1)) * s
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + hue / 30, F.lit(12.0))
+        value = l - chroma / 2 * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+        return F.lpad(F.lower(F.hex(F.floor(F.round(value * 255, 9)))), 2, "0")
+
+    return F.concat(F.lit("#"), channel(0), channel(8), channel(4))
+
+
+def bridge(hexes: Column, words: dict[str, str], most: int = 3) -> Column:
+    """An array of struct(hex, emotion, word, valence, arousal) of the first ``most`` colours that can be read: the emotion of the largest share
+    (ties: the first by name), what it is called, and the place in mood space to two digits."""
+    names = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+
+    def of(h: Column) -> Column:
+        shares = F.map_entries(emotion_shares(h))
+        top = F.array_min(F.transform(shares, lambda e: F.struct((-F.round(e["value"], 6)).alias("s"), e["key"].alias("emotion"))))["emotion"]
+        place = valence_arousal(h)
+        return F.struct(h.alias("hex"), top.alias("emotion"), F.coalesce(F.try_element_at(names, top), top).alias("word"), F.round(place["valence"], 2).alias("valence"), F.round(place["arousal"], 2).alias("arousal"))
+
+    return F.transform(F.filter(F.slice(hexes, 1, most), lambda h: rgb(h).isNotNull()), of)
+
+
 def cielab(hex_: Column) -> Column:
     """L, a and b under D65 as an array, from sRGB with its piecewise gamma."""
     matrix = ((0.4124564 / 0.95047, 0.3575761 / 0.95047, 0.1804375 / 0.95047), (0.2126729, 0.7151522, 0.0721750), (0.0193339 / 1.08883, 0.1191920 / 1.08883, 0.9503041 / 1.08883))

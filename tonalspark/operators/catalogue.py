@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 from .ranks import percentiles
 
 
@@ -184,3 +185,31 @@ def loaded(songs: DataFrame, vectors: DataFrame, artists: DataFrame, albums: Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def scaled_audio(df: DataFrame, scales: dict[str, tuple[float, float]], plain: list[str]) -> DataFrame:
+    """Columns between two bounds as 0..1, cut there, others as they are, all with their median where they are null (of the scaled values;
+    found by places of values, sent as one row)."""
+    cut = {c: F.least(F.greatest((F.col(c) - low) / (high - low), F.lit(0.0)), F.lit(1.0)) for c, (low, high) in scales.items()}
+    names = [*scales, *plain]
+    scaled = stored(df.withColumns(cut), "scaled")
+    out = scaled
+    for c in names:
+        out = out.join(F.broadcast(percentiles(scaled.select(c), c, {f"_m_{c}": 0.5})))
+    return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in names}).drop(*[f"_m_{c}" for c in names])
+
+
+def cover_report(songs: DataFrame, pairs: DataFrame, title: Column, artist: Column, item: str = "song_idx") -> DataFrame:
+    """(name, value) of covers: songs, pairs by sound (a, b), pairs more by title (the same first 20 letters of a title of more than three
+    and first eight of the artist), and songs that have covers. Pairs by title are counted from the sizes of their groups, not made."""
+    keyed = songs.select(F.col(item).alias("id"), F.when((F.length(title) > 3) & (artist != ""), F.concat_ws("|", F.left(artist, F.lit(8)), F.left(title, F.lit(20)))).alias("key"))
+    groups = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    of = lambda c: keyed.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"))
+    known = pairs.select("a", "b").distinct()
+    both = known.join(of("a"), "a").join(of("b"), "b").agg(F.count_if(F.col("a_key") == F.col("b_key")).alias("both"), F.count(F.lit(1)).alias("sound"))
+    titled = groups.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("titled"))
+    grouped = keyed.join(groups, "key", "left_semi").select("id")
+    covered = grouped.unionByName(known.select(F.col("a").alias("id"))).unionByName(known.select(F.col("b").alias("id"))).distinct().agg(F.count(F.lit(1)).alias("covered"))
+    row = songs.agg(F.count(F.lit(1)).alias("songs")).join(both).join(titled).join(covered)
+    out = row.select("songs", F.col("sound").alias("by_sound"), (F.col("titled") - F.col("both")).alias("more_by_title"), "covered")
+    return out.unpivot([], out.columns, "name", "value")

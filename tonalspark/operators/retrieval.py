@@ -270,6 +270,63 @@ def journeys(songs: DataFrame, ends: DataFrame, k: int = 10, penalty: float = 0.
     return state.select("query_id", F.posexplode(F.arrays_zip("used", "scores")).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("place"), F.col("x.used").alias("song_idx"), F.col("x.scores").alias("score"))
 
 
+def ranks_of(songs: DataFrame, queries: DataFrame, candidates: DataFrame, score: Callable[[dict, dict], np.ndarray]) -> DataFrame:
+    """(query_id, song_idx, rank): the place, from 1, that each candidate (query_id, song_idx, score) has among all songs for its query.
+
+    Nothing is sorted: a task counts, for each block of songs and each query, how many are before each of its candidates (by score to
+    six places, then by song_idx), and the counts are added. Candidates are a stated list a query.
+    """
+    lists = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "song_idx"))).alias("c"))
+    asked = queries.join(lists.select("query_id", F.col("c.s").alias("c_score"), F.col("c.song_idx").alias("c_song")), "query_id")
+    path = written(asked, "candidates")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = open_fs(path)
+        for part in _gathered(batches, ROWS):
+            rows = _arrays(part)
+            own = rows["song_idx"].astype(np.int64)
+            for batch in pads.dataset(where, filesystem=fs, format="parquet").to_batches(batch_size=QUERIES):
+                if not batch.num_rows:
+                    continue
+                made, out = _arrays(pa.Table.from_batches([batch.drop_columns(["c_score", "c_song"])])), []
+                sure = np.rint(score(rows, made) * 1e6)
+                for j, (q, s, c) in enumerate(zip(made["query_id"], batch.column("c_score").to_pylist(), batch.column("c_song").to_pylist())):
+                    order = np.lexsort((own, -sure[:, j]))
+                    falling, ids, wanted = -sure[order, j], own[order], np.rint(np.array(s, float) * 1e6)
+                    low, high = np.searchsorted(falling, wanted, "left"), np.searchsorted(falling, wanted, "right")
+                    ahead = [x + np.searchsorted(ids[x:y], i) for x, y, i in zip(low, high, c)]  # of equal scores the smaller ids
+                    out.append((np.full(len(c), int(q)), np.array(c, np.int64), np.array(ahead, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "song_idx", "ahead"])
+
+    found = songs.mapInArrow(counted, "query_id long, song_idx long, ahead long")
+    return found.groupBy("query_id", "song_idx").agg((F.sum("ahead") + 1).alias("rank"))
+
+
+def fused_colors(songs: DataFrame, targets: DataFrame, n: int, k: int = 60) -> DataFrame:
+    """(request, place, song_idx, score, color): the n songs of highest sum of 1 / (k + rank) over a request's colours (request, query_id, t_valence,
+    t_arousal; each query_id in one request), as a share of the best, and the colour for which the song scores most (ties: the
+    smaller query_id).
+
+    Exact without ranking all songs for each colour: of m colours a song that is behind the first m (k + n) - k - 1 of each can't be among the
+    n, so those are the candidates; their places for the other colours are counted.
+    """
+    targets = stored(targets, "targets")
+    asked = targets.select("query_id", F.col("t_valence").cast("double").alias("t_valence"), F.col("t_arousal").cast("double").alias("t_arousal"), F.lit(1.0).alias("wide"))
+    most = targets.groupBy("request").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 1  # colours of a request: one or two
+    lists = stored(by_targets(songs, targets, most * (k + n) - k), "lists")
+    colors = targets.select("request", "query_id")
+    wanted = lists.join(colors, "query_id").select("request", "song_idx").distinct().join(colors, "request").select("query_id", "song_idx")
+    s = songs.select("song_idx", "valence", "arousal")
+    met = wanted.join(s, "song_idx").join(targets.drop("request"), "query_id")
+    scored = stored(met.select("query_id", "song_idx", F.round(rbf(F.col("valence") - F.col("t_valence"), F.col("arousal") - F.col("t_arousal")), 6).alias("score")), "scored")
+    placed = ranks_of(s, asked, scored, _mood_scores).join(scored, ["query_id", "song_idx"]).join(colors, "query_id")
+    sums = placed.groupBy("request", "song_idx").agg(F.sum(1 / (k + F.col("rank"))).alias("sum"), F.min(F.struct((-F.col("score")).alias("s"), "query_id"))["query_id"].alias("color"))
+    order = Window.partitionBy("request").orderBy(F.round("sum", 12).desc(), "song_idx")
+    top = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    best = top.where("place = 1").select("request", F.col("sum").alias("best"))
+    return top.join(best, "request").select("request", "place", "song_idx", (F.col("sum") / F.col("best")).alias("score"), "color")
+
+
 def fuse(lists: DataFrame, n: int, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list, rank from 1, song_idx, weight): (query_id, rank, song_idx, score)."""
     sums = lists.groupBy("query_id", "song_idx").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"))

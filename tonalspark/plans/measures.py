@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..functions import text as T
 from ..operators import catalogue as K
 from ..operators import enrichment as N
 from ..operators import lists as L
@@ -16,8 +17,8 @@ from ..sources.tracks import tracks
 from . import quality as Q
 from .evaluation import _TOP, _recs
 from .experiments import _COLOR_TOP
-from .registry import query, songs, table
-from .similarity import _ANGLE, _COPIED, _NEAR, _targets, _versions
+from .registry import ORACLES, query, songs, table
+from .similarity import _ANGLE, _CHANNELS, _COPIED, _MOOD, _NEAR, _PAINTED, _TARGETS, _targets, _versions, painted
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -286,3 +287,90 @@ def audited_tracks(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d)
     rows = t.drop(*_HEARD).join(t.where("ord % 4 > 0").select("track_id", *_HEARD), "track_id", "left")
     return rows.select("track_id", Q.audit(rows).alias("reason"))
+
+
+@query(
+    "fused_colors",
+    f"""WITH {{songs}}, {_TARGETS}, s AS (SELECT query_id, song_idx, round_even(exp(-0.5 * (power((valence - t_valence) / 0.20, 2) + power((arousal - t_arousal) / 0.14, 2))) * 1e6, 0) AS score FROM songs, targets),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_idx) AS rank FROM s), f AS (SELECT query_id // 2 AS request, song_idx, sum(1 / (60 + rank)::DOUBLE) AS total, min(struct_pack(s := -score, q := query_id)).q AS color FROM r GROUP BY query_id // 2, song_idx),
+    p AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(total, 12) DESC, song_idx) AS place FROM f) SELECT CAST(request AS BIGINT) AS request, CAST(place AS INTEGER) AS place, song_idx, round(total / max(total) OVER (PARTITION BY request), 6) AS score, CAST(color AS BIGINT) AS color FROM p WHERE place <= 10""",
+)
+def fused_colors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten songs that two colours rank highest together, by their places among all songs, and the colour that each is nearer to."""
+    t = _targets(spark, d).withColumn("request", F.expr("query_id div 2"))
+    return _rounded(retrieval.fused_colors(songs(spark, d), t, 10))
+
+
+_WORDS = {"happy": "joyful", "sad": "blue", "tense": "uneasy"}
+
+
+@query(
+    "color_bridges",
+    f"""WITH {_PAINTED}, {_CHANNELS}, {_MOOD}, e AS (SELECT name, min(struct_pack(s := -share, emotion := emotion)).emotion AS emotion FROM ({ORACLES["color_emotion_probs"]}) GROUP BY name),
+    c AS (SELECT name, hex, emotion, CASE emotion WHEN 'happy' THEN 'joyful' WHEN 'sad' THEN 'blue' WHEN 'tense' THEN 'uneasy' ELSE emotion END AS word, round(valence, 2) AS valence, round(arousal, 2) AS arousal FROM moods JOIN e USING (name)),
+    a AS (SELECT p_partkey, 1 AS place, CAST(p_partkey AS VARCHAR) AS name FROM part UNION ALL SELECT p_partkey, 2, CASE p_partkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'grey' END FROM part) SELECT p_partkey, place, hex, emotion, word, valence, arousal FROM a JOIN c USING (name)""",
+)
+def color_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """What the first three of four colours stand for; the second can't be read."""
+    k = F.col("p_partkey")
+    named = F.when(k % 3 == 0, C.COLORS["red"]).when(k % 3 == 1, C.COLORS["blue"]).otherwise(C.COLORS["grey"])
+    own = F.concat(F.lit("#"), F.left(F.md5(k.cast("string")), F.lit(6)))
+    b = table(spark, d, "part").select(k, F.posexplode(C.bridge(F.array(own, F.lit("#12"), named, own), _WORDS)).alias("at", "b"))
+    return b.select(k, (F.col("at") + 1).alias("place"), "b.*")
+
+
+@query(
+    "color_forms",
+    f"""WITH {_PAINTED}, {_CHANNELS.split(", range_")[0]}, k AS (SELECT name, hex, h, s * 100 AS s, l * 100 AS l, (h + 30) % 360 AS h2, least(s * 100 + 5, 100) AS s2, l * 90 AS l2 FROM hsl),
+    f AS (SELECT *, l2 / 100 AS x, (1 - abs(2 * l2 / 100 - 1)) * s2 / 100 AS c FROM k), g AS (SELECT *, x - c / 2 * greatest(-1, least((h2 / 30) % 12 - 3, 9 - (h2 / 30) % 12, 1)) AS r, x - c / 2 * greatest(-1, least((8 + h2 / 30) % 12 - 3, 9 - (8 + h2 / 30) % 12, 1)) AS gr, x - c / 2 * greatest(-1, least((4 + h2 / 30) % 12 - 3, 9 - (4 + h2 / 30) % 12, 1)) AS b FROM f)
+    SELECT name, round(h, 4) AS hue, round(s, 4) AS sat, round(l, 4) AS light, printf('#%02x%02x%02x', CAST(floor(round(r * 255, 9)) AS BIGINT), CAST(floor(round(gr * 255, 9)) AS BIGINT), CAST(floor(round(b * 255, 9)) AS BIGINT)) AS turned FROM g""",
+)
+def color_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Colours as hue, saturation and lightness, and turned, deepened and darkened as hexadecimal digits again."""
+    p = painted(spark, d).select("name", C.hsl(F.col("hex")).alias("c"))
+    sat, light = F.col("c.s") * 100, F.col("c.l") * 100
+    return p.select("name", F.round("c.h", 4).alias("hue"), F.round(sat, 4).alias("sat"), F.round(light, 4).alias("light"), C.hex_of((F.col("c.h") + 30) % 360, F.least(sat + 5, F.lit(100.0)), light * 0.9).alias("turned"))
+
+
+_SCALES = {"tempo": (60.0, 200.0), "loudness": (-20.0, 0.0), "key": (0.0, 11.0)}
+_GROUPS = {"timbral": ["energy", "loudness", "instrumental_probability"], "rhythmic": ["tempo", "danceability"], "tonal": ["valence", "key", "mode"]}
+
+
+def _scaled_sql() -> str:
+    cut = {c: f"least(greatest(({c} - ({low})) / ({high} - ({low}))::DOUBLE, 0), 1)" for c, (low, high) in _SCALES.items()} | {c: f"{c}::DOUBLE" for c in ("energy", "danceability", "valence", "instrumental_probability")}
+    return "s AS (SELECT track_id, mode, " + ", ".join(f"{x} AS {c}" for c, x in cut.items()) + " FROM tracks), m AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in cut) + " FROM s), f AS (SELECT track_id, s.mode::DOUBLE AS mode, " + ", ".join(f"round(coalesce(s.{c}, m.{c}), 6) AS {c}" for c in cut) + " FROM s, m)"
+
+
+@query("scaled_audio", f"WITH {{tracks}}, {_scaled_sql()} SELECT track_id, " + ", ".join(f"round({' + '.join(f'{i + 1} * {c}' for i, c in enumerate(cs))}, 5) AS {g}" for g, cs in _GROUPS.items()) + " FROM f")
+def scaled_audio(spark: SparkSession, d: str) -> DataFrame:
+    """Audio features within 0 and 1, medians for missing ones, in three groups, of each of which a weighted sum is shown."""
+    t = tracks(spark, d).select("track_id", F.col("mode").cast("double").alias("mode"), *[F.col(c).cast("double").alias(c) for c in [*_SCALES, "energy", "danceability", "valence", "instrumental_probability"]])
+    s = K.scaled_audio(t, _SCALES, ["energy", "danceability", "valence", "instrumental_probability"])
+    groups = s.select("track_id", *[F.array(*[F.round(c, 6) for c in cs]).alias(g) for g, cs in _GROUPS.items()])
+    total = lambda g: F.round(F.aggregate(F.transform(g, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5)
+    return groups.select("track_id", *[total(g).alias(g) for g in _GROUPS])
+
+
+@query(
+    "cover_report",
+    f"""WITH {{songs}}, {_COPIED}, n AS ({_NEAR}), k AS (SELECT song_idx, CASE WHEN length(title) > 3 AND artist <> '' THEN left(artist, 8) || '|' || left(title, 20) END AS key FROM versions), t AS (SELECT x.song_idx AS a, y.song_idx AS b FROM k x JOIN k y ON x.key = y.key AND x.song_idx < y.song_idx),
+    c AS (SELECT a AS i FROM n UNION SELECT b FROM n UNION SELECT a FROM t UNION SELECT b FROM t) SELECT 'songs' AS name, count(*) AS value FROM versions UNION ALL SELECT 'by_sound', count(*) FROM n UNION ALL SELECT 'more_by_title', count(*) FROM t WHERE (a, b) NOT IN (SELECT (a, b) FROM n) UNION ALL SELECT 'covered', count(*) FROM c""",
+)
+def cover_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of versions sound alike or share a title and an artist, and how many songs have covers."""
+    v = _versions(spark, d)
+    return K.cover_report(v, vector_join.near_pairs(v, 0.85), F.col("title"), F.col("artist"))
+
+
+@query(
+    "release_years",
+    r"""WITH {tracks}, r AS (SELECT *, CASE ord % 4 WHEN 0 THEN 'uploaded ' || (2001 + ord % 20) || '-05' WHEN 1 THEN '20190304' WHEN 2 THEN '1850' ELSE '' END AS upload_date FROM tracks), y AS (SELECT track_id, TRY_CAST(left(trim(CAST(year AS VARCHAR)), 4) AS INTEGER) AS prefix, TRY_CAST(nullif(regexp_extract(concat_ws(' ', release_date, upload_date), '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:$|[^0-9])', 1), '') AS INTEGER) AS found FROM r)
+    SELECT track_id, prefix, found, coalesce(CASE WHEN prefix > 1900 THEN prefix END, CASE WHEN found > 1900 THEN found END) AS year FROM y""",
+)
+def release_years(spark: SparkSession, d: str) -> DataFrame:
+    """The year of each track: the first four digits of one column, else the first year in the text of two others."""
+    i = F.col("ord")
+    uploaded = F.when(i % 4 == 0, F.concat(F.lit("uploaded "), (2001 + i % 20).cast("string"), F.lit("-05"))).when(i % 4 == 1, "20190304").when(i % 4 == 2, "1850").otherwise("")
+    t = tracks(spark, d).withColumn("upload_date", uploaded)
+    prefix, found = F.left(F.trim(F.col("year").cast("string")), F.lit(4)).try_cast("int"), T.year(F.concat_ws(" ", "release_date", "upload_date"))
+    return t.select("track_id", prefix.alias("prefix"), found.alias("found"), F.coalesce(F.when(prefix > 1900, prefix), found).alias("year"))
