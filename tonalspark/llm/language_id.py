@@ -8,17 +8,23 @@ codeword of least loss. Where the runner-up is as near, the text is flagged as a
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_map
+from .common import arrow_map, stored
 
 BUCKETS = 1 << 12
+#: Vectors that are fitted on the driver (16 KB each), and parts and bands in which products of more are summed.
+ON_DRIVER, TASKS, BAND = 1 << 12, 8, 512
+#: Labels that a model tells apart at most.
+MOST = 10_000
 UNKNOWN = "und"
 _table: np.ndarray | None = None
 
@@ -94,41 +100,92 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_lang: int = 600, ridge: float = 0.3) -> Model | None:
-    """Learns from a bounded sample: about ``per_lang`` rows of each label, chosen by a hash of their ids (of their texts where the
-    id is null). Features are
-    those of whole texts, made in the tasks; the driver gets vectors alone. Rows without label, text or letters teach
-    nothing; None if no row is left."""
+    """Learns from a bounded sample: ``per_lang`` rows of each label at most, chosen by a hash of their ids (of their texts where the id is
+    null). Features are those of whole texts, made in the tasks. Rows without label, text or letters teach nothing; None if no row
+    is left.
+
+    Up to ON_DRIVER vectors come to the driver; of more, in many languages, only sums of their products do, made in the tasks: as many
+    numbers as the features' square, however many languages there are.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 1.3 * per_lang / n)) for k, n in sorted(sizes.items())])
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "labels")
+    if sizes.count() > MOST:
+        raise ValueError(f"more than {MOST} different labels: codewords are made for languages")
     place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(11)), F.lit(1 << 20))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [features(text.as_py()) for text in batch.column(2)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b"" if x is None else x.astype(np.float32).tobytes() for x in made], pa.binary())], names=["lang", "place", "x"])
 
-    chosen = rows.select("lang", place.alias("place"), "text").where(F.col("place") < share * (1 << 20))
-    seen = arrow_map(chosen, of, "lang string, place long, x binary").toArrow()  # vectors as they are, not an object for each row
-    names, places, vectors = seen.column("lang").to_pylist(), seen.column("place").to_pylist(), seen.column("x").combine_chunks()
-    first: dict[str, list[int]] = {}
-    for i in sorted(range(len(names)), key=lambda i: (places[i], vectors[i].as_py())):
-        if len(mine := first.setdefault(names[i], [])) < per_lang:
-            mine.append(i)
-    langs = sorted(k for k, at in first.items() if any(len(vectors[i].as_py()) for i in at))
+    shared = rows.select("lang", place.alias("place"), "text").join(F.broadcast(sizes), "lang")  # MOST rows at most
+    chosen = shared.where(F.col("place") < F.least(F.lit(1.0), F.lit(1.3 * per_lang) / F.col("__n")) * (1 << 20)).select("lang", "place", "text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "x"))  # of little more than per_lang rows
+    sample = arrow_map(chosen, of, "lang string, place long, x binary").withColumn("__first", first).where((F.col("__first") <= per_lang) & (F.length("x") > 0))
+    sample = stored(sample.select("lang", "x"), "sample")
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(counts)
     if not langs:
         return None
-    at = [(j, i) for j, k in enumerate(langs) for i in first[k] if len(vectors[i].as_py())]
-    y, x = np.array([j for j, _ in at]), np.empty((len(at), BUCKETS), np.float32)
-    for row, (_, i) in zip(x, at):
-        row[:] = np.frombuffer(vectors[i].as_py(), np.float32)
-    del seen, vectors
-    codes = codewords(len(langs))
-    weigh = np.sqrt(len(y) / len(langs) / np.bincount(y, minlength=len(langs)))[y]  # classes count alike
-    weights = ridge_weights(x, codes[y], weigh, ridge)
-    trust = np.maximum(((_times(x, weights) * codes[y]) > 0).mean(0) - 0.5, 0.01)
-    return Model(langs, codes, weights.astype(np.float32), trust)
+    n, codes = sum(counts.values()), codewords(len(langs))
+    weigh = np.array([np.sqrt(n / len(langs) / counts[k]) for k in langs])  # classes count alike
+    if n <= ON_DRIVER:
+        seen = sample.orderBy("lang", "x").toArrow()
+        y = np.searchsorted(langs, seen.column("lang").to_pylist())
+        x = np.empty((n, BUCKETS), np.float32)
+        for row, v in zip(x, seen.column("x")):
+            row[:] = np.frombuffer(v.as_py(), np.float32)
+        del seen
+        weights = ridge_weights(x, codes[y], weigh[y], ridge)
+        right = ((_times(x, weights) * codes[y]) > 0).mean(0)
+    else:
+        weights, right = _fit_in_tasks(sample, langs, codes, weigh, ridge)
+        right = right / n
+    return Model(langs, codes, weights.astype(np.float32), np.maximum(right - 0.5, 0.01))
+
+
+def _fit_in_tasks(sample: DataFrame, langs: list[str], codes: np.ndarray, weigh: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, how many rows are on the right side of each bit): Gram matrices of TASKS parts of the sample, passed on and added up in
+    bands of BAND rows."""
+    bits = codes.shape[1]
+
+    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, BUCKETS).astype(np.float64)
+        return x, np.searchsorted(langs, batch.column(0).to_pylist())
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, found = np.zeros((BUCKETS, BUCKETS + bits)), False
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                x, y = parts(whole.slice(start, 512))
+                x *= weigh[y][:, None]
+                gram[:, :BUCKETS] += x.T @ x
+                gram[:, BUCKETS:] += x.T @ (codes[y] * weigh[y][:, None])
+                found = True
+        for k in range(0, BUCKETS if found else 0, BAND):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([gram[k : k + BAND].tobytes()], pa.binary())], names=["band", "sums"])
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"band": group["band"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in group["sums"]).tobytes()]})
+
+    bands = sample.repartition(TASKS).mapInArrow(products, "band int, sums binary").groupBy("band").applyInPandas(added, "band int, sums binary")
+    gram = np.zeros((BUCKETS, BUCKETS + bits))
+    for r in bands.toLocalIterator():
+        gram[r["band"] : r["band"] + BAND] = np.frombuffer(r["sums"]).reshape(-1, BUCKETS + bits)
+    gram[np.arange(BUCKETS), np.arange(BUCKETS)] += ridge
+    weights = np.linalg.solve(gram[:, :BUCKETS], gram[:, BUCKETS:])
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros(bits, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                x, y = parts(whole.slice(start, 512))
+                right += (x @ weights * codes[y] > 0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits)), pa.array(right)], names=["bit", "n"])
+
+    right = np.zeros(bits)
+    for r in sample.mapInArrow(sides, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n")).collect():  # a row a bit
+        right[r["bit"]] = r["n"]
+    return weights, right
 
 
 def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
