@@ -223,8 +223,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     share = F.when(F.col("whole"), F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))).otherwise(0)  # a set that very many documents have is dealt
     dealt = _marks(docs, k, percent).repartition("mark", share).sortWithinPartitions("mark", "doc_id")
     runs = dealt.mapInArrow(_runs, "mark long, doc_id long, n int, whole boolean, rep long, rep_n int, rep_whole boolean")
-    found = runs.groupBy("rep", "rep_n", "doc_id", "n").agg(F.max(F.col("whole") & F.col("rep_whole")).alias("equal"), F.sum(F.col("whole").cast("int")).alias("copies"), F.max(F.when(F.col("whole"), F.col("mark"))).alias("set"))
-    found = stored(found, "found")
+    # few columns, as a pair comes once from each task of the marks: both sizes in one, and a document's own set where it is equal to rep's
+    both = F.shiftleft(F.col("rep_n").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("both")
+    met = runs.groupBy("rep", "doc_id", both).agg(F.sum(F.col("whole").cast("int")).alias("copies"), F.max(F.when(F.col("whole"), F.col("mark"))).alias("set"))
+    low = F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    found = stored(met.select("rep", "doc_id", F.shiftright("both", 32).cast("int").alias("rep_n"), low.alias("n"), "copies", "set", (F.col("copies") > 0).alias("equal")), "found")
     sizes = found.where("copies > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
     pairs = found.where("doc_id IS NOT NULL AND n > 0 AND rep != doc_id")
