@@ -230,7 +230,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = stored(met.select("rep", "doc_id", F.shiftright("both", 32).cast("int").alias("rep_n"), low.alias("n"), "copies", "set", (F.col("copies") > 0).alias("equal")), "found")
     sizes = found.where("copies > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
-    pairs = found.where("doc_id IS NOT NULL AND n > 0 AND rep != doc_id")
+    # copies of a set are known by the set's number, whichever of them stands first for a mark: their texts needn't be compared
+    sets = found.where("copies > 0 AND doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max("set").alias("own"))
+    pairs = found.where("doc_id IS NOT NULL AND n > 0 AND rep != doc_id").select("rep", "rep_n", "doc_id", "n", "equal")
+    pairs = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("rep"), F.col("own").alias("rep_own")), "rep")
+    pairs = stored(pairs.select("rep", "rep_n", "doc_id", "n", (F.col("equal") | (F.col("own") == F.col("rep_own"))).alias("equal")), "met")
     fits = pairs.where(_fits("n", "rep_n", percent)).groupBy(F.col("rep").alias("a"), F.col("doc_id").alias("b")).agg(F.max("equal").alias("equal"))
     fits = stored(fits, "pairs")
     # a document whose set equals its first one's is compared by that one; texts are read again for the others only
