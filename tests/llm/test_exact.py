@@ -412,14 +412,6 @@ def test_decoding_against_plain_loops():
             assert abs(score[i] - 1 / sum(math.exp(-6 * (x - losses[order[0]])) for x in losses)) < 1e-5
 
 
-def test_products_summed_in_tasks_fit_the_same_model(spark, documents, monkeypatch):
-    docs = spark.createDataFrame([(int(r.doc_id), r.text, r.lang) for r in documents.dropna().itertuples(index=False)], "doc_id long, text string, lang string").repartition(3)
-    there = language_id.fit(docs, per_lang=20)
-    monkeypatch.setattr(language_id, "ON_DRIVER", 0)
-    here = language_id.fit(docs, per_lang=20)
-    assert here.langs == there.langs and np.allclose(here.weights, there.weights, atol=1e-5) and np.allclose(here.trust, there.trust)
-
-
 def test_mixed_texts_are_ambiguous_and_other_scripts_far(spark, documents):
     rows = documents.dropna().itertuples(index=False)
     docs = spark.createDataFrame([(int(r.doc_id), r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
