@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.entities import components
-from .common import arrow_map, mixed, shingles, signed, stored, utf8, words_of
+from .common import BitMap, arrow_map, mixed, shingles, signed, stored, utf8, words_of
 
 _U = np.uint64
 #: Rows multiplied with one row in one run of a task, and rows of a block where blocks are multiplied.
@@ -241,7 +241,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     open_pairs = fits.where("NOT equal")
     unequal = pairs.where("NOT equal").select("rep", "doc_id").distinct()
     wanted = unequal.select("doc_id").unionByName(unequal.select(F.col("rep").alias("doc_id"))).distinct()
-    docs = stored(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
+    wanted = stored(wanted, "wanted")
+    bits = BitMap(wanted, "doc_id", wanted.count())  # texts of others aren't shuffled
+    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(bits.might(F.col("doc_id")))
+    docs = stored(some.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
     tried = overlaps(open_pairs, docs, k, percent)
     # the first documents of a set's shares, DEALT at most, are linked with the first of them
     shares = found.where("copies > 0 AND doc_id IS NOT NULL AND n > 0").groupBy("set", "n").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
