@@ -57,6 +57,32 @@ def test_lexicon(spark):
     assert abs(got[5]["happy"] - 0.6) < 1e-12 and got[6:] == [{}, {}]
 
 
+def test_lexicon_against_a_pattern_for_each_word(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    words = {"happy": ("sun", "sunny day", "joy"), "sad": ("rain", "day", "sun"), "hope": ("été", "a")}
+    lexicon = emotion.Lexicon(words, ("very",), ("not",), ("but",), frozenset({"happy"}), frozenset({"sad"}))
+    pieces = ["sun", "sunny", "day", "joy", "rain", "été", "a", "very", "not", "but", "sunday", "_sun", ",", ".", "x"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", " "]) for _ in range(rng.randrange(0, 25))) for _ in range(300)] + [None, "", "SUNNY DAY"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(emotion.lexicon_scores(F.col("t"), lexicon)).collect()]
+    for text, found in zip(texts, got):
+        low, sums = (text or "").lower(), {}
+        for feeling, terms in words.items():
+            for w in terms:
+                for m in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", low):
+                    near = re.split(r"[,.;:!?\n]", low[max(0, m.start() - 24) : m.start()])[-1]
+                    weight = (1.5 if "very" in near else 1.0) * (1.4 if "but" in low[max(0, m.start() - 40) : m.start()] else 1.0)
+                    if "not" not in near:
+                        sums[feeling] = sums.get(feeling, 0) + weight
+                    elif feeling in ("happy", "sad"):
+                        other = {"happy": "sad", "sad": "happy"}[feeling]
+                        sums[other] = sums.get(other, 0) + 0.7 * weight
+        total = sum(sums.values())
+        assert set(found) == set(sums) and all(abs(found[k] - v / total) < 1e-9 for k, v in sums.items())
+
+
 def test_grounded_valence(spark):
     rows = spark.createDataFrame([("sun and rain",), ("not sun rain",), ("old rain sun",), ("sun",), (None,)], "t string")
     got = [r[0] for r in rows.select(emotion.grounded_valence(F.col("t"), {"sun": 0.9, "rain": 0.3, "old rain": 0.5}, ("not",))).collect()]

@@ -184,28 +184,35 @@ def cielab(hex_: Column) -> Column:
 
 
 def ciede2000(p: Column, q: Column) -> Column:
-    """The CIEDE2000 difference of two CIELAB colours (Sharma, Wu and Dalal 2005)."""
-    (l1, a1, b1), (l2, a2, b2) = [[v[i] for i in range(3)] for v in (p, q)]
-    mean_c = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    c7 = F.pow(mean_c, F.lit(7))
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + 25.0**7)))
-    a1, a2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
-    angle = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
-    h1, h2 = angle(a1, b1), angle(a2, b2)
-    apart, none = h2 - h1, c1 * c2 == 0
-    dh = F.when(none, 0.0).when(F.abs(apart) <= 180, apart).when(apart > 180, apart - 360).otherwise(apart + 360)
-    mean_h = F.when(none, h1 + h2).when(F.abs(apart) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
-    big_h = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
-    ml, mc = (l1 + l2) / 2, (c1 + c2) / 2
-    cos = lambda d: F.cos(F.radians(d))
-    t = 1 - 0.17 * cos(mean_h - 30) + 0.24 * cos(2 * mean_h) + 0.32 * cos(3 * mean_h + 6) - 0.20 * cos(4 * mean_h - 63)
-    sl = 1 + 0.015 * F.pow(ml - 50, F.lit(2)) / F.sqrt(20 + F.pow(ml - 50, F.lit(2)))
-    sc, sh = 1 + 0.045 * mc, 1 + 0.015 * mc * t
-    mc7 = F.pow(mc, F.lit(7))
-    rt = -2 * F.sqrt(mc7 / (mc7 + 25.0**7)) * F.sin(F.radians(60 * F.exp(-F.pow((mean_h - 275) / 25, F.lit(2)))))
-    dl, dc, dhh = (l2 - l1) / sl, (c2 - c1) / sc, big_h / sh
-    return F.sqrt(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh)
+    """The CIEDE2000 difference of two CIELAB colours (Sharma, Wu and Dalal 2005). Each step is computed once for a pair and named."""
+    far = 25.0**7
+
+    def adjusted(x: Column) -> Column:
+        mean = (F.sqrt(x["a1"] * x["a1"] + x["b1"] * x["b1"]) + F.sqrt(x["a2"] * x["a2"] + x["b2"] * x["b2"])) / 2
+        grey = let(F.pow(mean, F.lit(7)), lambda c: 1.5 - 0.5 * F.sqrt(c / (c + far)))
+        return let(grey, lambda g: F.struct(x["l1"].alias("l1"), x["l2"].alias("l2"), (x["a1"] * g).alias("a1"), (x["a2"] * g).alias("a2"), x["b1"].alias("b1"), x["b2"].alias("b2")))
+
+    def polar(x: Column) -> Column:
+        angle = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+        chroma = [F.sqrt(x[f"a{i}"] * x[f"a{i}"] + x[f"b{i}"] * x[f"b{i}"]).alias(f"c{i}") for i in (1, 2)]
+        return F.struct(x["l1"].alias("l1"), x["l2"].alias("l2"), *chroma, *[angle(x[f"a{i}"], x[f"b{i}"]).alias(f"h{i}") for i in (1, 2)])
+
+    def means(x: Column) -> Column:
+        apart, total, none = x["h2"] - x["h1"], x["h1"] + x["h2"], x["c1"] * x["c2"] == 0
+        turn = F.when(none, 0.0).when(F.abs(apart) <= 180, apart).when(apart > 180, apart - 360).otherwise(apart + 360)
+        middle = F.when(none, total).when(F.abs(apart) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+        return F.struct((x["l2"] - x["l1"]).alias("dl"), (x["c2"] - x["c1"]).alias("dc"), (2 * F.sqrt(x["c1"] * x["c2"]) * F.sin(F.radians(turn / 2))).alias("dh"), ((x["l1"] + x["l2"]) / 2).alias("l"), ((x["c1"] + x["c2"]) / 2).alias("c"), middle.alias("h"))
+
+    def scaled(x: Column) -> Column:
+        cos = lambda d: F.cos(F.radians(d))
+        t = 1 - 0.17 * cos(x["h"] - 30) + 0.24 * cos(2 * x["h"]) + 0.32 * cos(3 * x["h"] + 6) - 0.20 * cos(4 * x["h"] - 63)
+        light = let(F.pow(x["l"] - 50, F.lit(2)), lambda s: 1 + 0.015 * s / F.sqrt(20 + s))
+        turn = let(F.pow(x["c"], F.lit(7)), lambda c: -2 * F.sqrt(c / (c + far))) * F.sin(F.radians(60 * F.exp(-F.pow((x["h"] - 275) / 25, F.lit(2)))))
+        return F.struct((x["dl"] / light).alias("l"), (x["dc"] / (1 + 0.045 * x["c"])).alias("c"), (x["dh"] / (1 + 0.015 * x["c"] * t)).alias("h"), turn.alias("r"))
+
+    both = F.struct(*[v[i].alias(f"{n}{k}") for k, v in ((1, p), (2, q)) for i, n in enumerate("lab")])
+    steps = let(both, lambda x: let(adjusted(x), lambda y: let(polar(y), lambda z: let(means(z), scaled))))
+    return let(steps, lambda d: F.sqrt(d["l"] * d["l"] + d["c"] * d["c"] + d["h"] * d["h"] + d["r"] * d["c"] * d["h"]))
 
 
 def client_mood(hex_: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +32,16 @@ class Lexicon:
     negative: frozenset[str] = field(default_factory=frozenset)
 
 
+@lru_cache(maxsize=16)
+def _terms(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds the words of a lexicon by their numbers; made once in each worker."""
+    found = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        found.add_word(w, k)
+    found.make_automaton()
+    return found
+
+
 def lexicon_scores(text: Column, lexicon: Lexicon) -> Column:
     """A map of emotions to shares of the weighted occurrences of their words; empty for null texts and without any.
 
@@ -40,16 +52,17 @@ def lexicon_scores(text: Column, lexicon: Lexicon) -> Column:
     for emotion, words in lexicon.words.items():
         for w in words:
             owners.setdefault(w, []).append(emotion)
-    finders = {w: re.compile(rf"(?<!\w){re.escape(w)}(?!\w)") for w in owners}
+    words = tuple(owners)
     clause = re.compile(r"[,.;:!?\n]")
 
     def score(text: str | None) -> dict[str, float]:
         low, sums = (text or "").lower(), {}
-        for word, finder in finders.items():
-            if word not in low:
-                continue
-            for m in finder.finditer(low):
-                at = m.start()
+        inner = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        # all terms in one pass over the text, then in the order of the lexicon
+        met = sorted((k, end - len(words[k]) + 1) for end, k in _terms(words).iter(low)) if words and low else []
+        for k, at in met:
+            word = words[k]
+            if not inner(at - 1) and not inner(at + len(word)):
                 near = clause.split(low[max(0, at - 24) : at])[-1]
                 weight = (1.5 if any(w in near for w in lexicon.stronger) else 1.0) * (1.4 if any(w in low[max(0, at - 40) : at] for w in lexicon.turns) else 1.0)
                 negated = any(w in near for w in lexicon.negations)
