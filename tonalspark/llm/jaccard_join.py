@@ -26,8 +26,9 @@ from ..operators.entities import components
 from .common import BitMap, arrow_map, mixed, shingles, signed, stored, utf8, words_of
 
 _U = np.uint64
-#: Rows multiplied with one row in one run of a task, and rows of a block where blocks are multiplied.
-RUN = 256
+#: Rows multiplied with one row in one run of a task, and rows of a block where blocks are multiplied: the larger, the fewer copies of a
+#: row go to cells, and the more sets a task holds (two blocks of them).
+RUN, CELL = 256, 1024
 #: Sets that a task remembers, to send the signatures of equal ones once.
 SEEN = 200_000
 #: Tasks that the documents of one set are dealt to.
@@ -265,7 +266,7 @@ def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, k: in
     """(a, b): links that join what the first documents of the marks left apart.
 
     Two documents that agree in a block share its mark and so the mark's first document (rep). Under each rep, the rows that
-    aren't linked with it (loose) are multiplied with each other and with those that are, in cells of at most RUN by RUN
+    aren't linked with it (loose) are multiplied with each other and with those that are, in cells of at most CELL by CELL
     rows; only the links that a cell needs to connect its rows come out. Reps without loose rows need nothing.
     """
     rows = members
@@ -276,7 +277,7 @@ def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, k: in
     loose = F.coalesce("label", "doc_id") != F.coalesce("rep_label", "rep")
     rows = stored(rows.select("rep", "doc_id", loose.alias("loose"), F.coalesce("label", "doc_id").alias("label")), "members")
     sizes = rows.groupBy("rep").agg(F.count_if("loose").alias("l"), F.count_if(~F.col("loose")).alias("t"), F.count_distinct("label").alias("labels"))
-    blocks = lambda c: F.ceil(F.col(c) / RUN).cast("int")
+    blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
     sizes = sizes.where("l > 0 AND l + t > 1 AND labels > 1").select("rep", blocks("l").alias("lb"), blocks("t").alias("tb"))
     rows = rows.join(sizes, "rep").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("loose"), F.col("lb")).otherwise(F.col("tb"))).cast("int"))
     # a cell is (x, y): loose block x with loose block y >= x, or with linked block y - lb
