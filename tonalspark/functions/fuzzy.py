@@ -113,6 +113,43 @@ def matched_shares(pairs: list[tuple[str, str]], least: float = 0.0) -> np.ndarr
     return np.where(gone, 0.0, np.where(total > 0, 2 * matched / np.maximum(total, 1), 1.0))
 
 
+def _runs(text: str, size: int) -> np.ndarray:
+    """Numbers of a text's runs of ``size`` characters; a run's second and further places have numbers of their own."""
+    codes = _codes(text).astype(np.uint64)
+    h = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x100000001B3) + codes[k : k + len(h)] + np.uint64(1)
+    h.sort()
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, int)
+    h += (np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)
+
+
+def may_match(left: list[str], right: list[str], least: float, size: int = 6, step: int = 4096) -> np.ndarray:
+    """Which texts of two lists may have a matched share of ``least``; False only where it is sure that they haven't.
+
+    With M matched characters of n and m, at most n - M + (size - 1) (n + m - 2 M) of a text's runs lie in no block and may be missing
+    from the other text. Runs are marked in a bit map, ``step`` bits of it at a time; as runs may share a bit, a miss is never too many.
+    """
+    texts = [*left, *right]
+    n = np.array([len(t) for t in texts], int)
+    bits = 1 << max(int(8 * n.max(initial=1)).bit_length(), 12)
+    at = [np.unique(_runs(t, size) & np.uint64(bits - 1)).astype(int) for t in texts]
+    row, at, held = np.repeat(np.arange(len(texts)), [len(x) for x in at]), np.concatenate([np.empty(0, int), *at]), np.array([len(x) for x in at])
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, bits, step):
+        lo, hi = np.searchsorted(at, (start, start + step))
+        marks = np.zeros((len(texts), step), np.float32)
+        marks[row[lo:hi], at[lo:hi] - start] = 1
+        both += marks[: len(left)] @ marks[len(left) :].T
+    a, b = n[: len(left), None], n[None, len(left) :]
+    matched = np.ceil(least * (a + b) / 2 - 1e-9)
+    lost = (size - 1) * (a + b - 2 * matched)
+    return (matched <= np.minimum(a, b)) & (held[: len(left), None] - both <= a - matched + lost) & (held[None, len(left) :] - both <= b - matched + lost)
+
+
 def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
     """The share as a column, 0 where it can't reach ``least``; null counts as empty, two empty texts are equal. Python is asked only
     where the lengths leave it open."""
