@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shaping as S
+from ..sources.shared import dealt
 from ..sources.tracks import tracks
 from .registry import query, songs, table
 
@@ -123,7 +124,7 @@ def song_reasons(spark: SparkSession, d: str) -> DataFrame:
 def beat_features(spark: SparkSession, d: str) -> DataFrame:
     """Time signatures and downbeats from beat times that come as JSON."""
     beats = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: i * 0.5 + (i * F.col("ord") % 5) / 50)
-    rows = tracks(spark, d).withColumn("beats", S.beats_of(F.to_json(beats)))
+    rows = dealt(tracks(spark, d).select("track_id", "ord", "tempo", "danceability"), "track_id").withColumn("beats", S.beats_of(F.to_json(beats)))
     gaps = F.zip_with(F.slice("beats", 2, 23), F.slice("beats", 1, 23), lambda b, a: b - a)
     return rows.select("track_id", S.time_signature(gaps, F.coalesce("tempo", F.lit(100.0))).alias("signature"), F.get(S.downbeats(F.col("beats"), F.col("danceability")), F.lit(1)).alias("second_downbeat"), F.size("beats").cast("long").alias("beats"))
 
@@ -140,7 +141,7 @@ def signal_features(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes of made-up signals, and where a song comes in and goes out."""
     o = F.col("ord")
     wave = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: (i * (o % 17 + 3) % 29) / 29 * F.when((i < o % 60) | (i > 400 - o % 90), 0.001).otherwise(1.0))
-    rows = tracks(spark, d).select("track_id", "ord", wave.alias("signal")).withColumn("levels", S.rms_envelope(F.col("signal"), 40, 5))
+    rows = dealt(tracks(spark, d).select("track_id", "ord"), "track_id").select("track_id", "ord", wave.alias("signal")).withColumn("levels", S.rms_envelope(F.col("signal"), 40, 5))
     cues = S.cue_points(F.col("levels"), 0.5, F.lit(200.0), (o % 40) * 0.5)
     return rows.select("track_id", F.round(F.aggregate("levels", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), cues.alias("c")).select("track_id", "total", "c.fade_in", "c.fade_out")
 
