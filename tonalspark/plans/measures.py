@@ -12,7 +12,7 @@ from ..operators import enrichment as N
 from ..operators import lists as L
 from ..operators import retrieval, vector_join, weights
 from ..sources import catalogue as S
-from ..sources.shared import scratch
+from ..sources.shared import dealt, scratch
 from ..sources.tracks import tracks
 from . import quality as Q
 from .evaluation import _TOP, _recs
@@ -315,7 +315,7 @@ def color_bridges(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     named = F.when(k % 3 == 0, C.COLORS["red"]).when(k % 3 == 1, C.COLORS["blue"]).otherwise(C.COLORS["grey"])
     own = F.concat(F.lit("#"), F.left(F.md5(k.cast("string")), F.lit(6)))
-    b = table(spark, d, "part").select(k, F.posexplode(C.bridge(F.array(own, F.lit("#12"), named, own), _WORDS)).alias("at", "b"))
+    b = dealt(table(spark, d, "part").select(k), "p_partkey").select(k, F.posexplode(C.bridge(F.array(own, F.lit("#12"), named, own), _WORDS)).alias("at", "b"))
     return b.select(k, (F.col("at") + 1).alias("place"), "b.*")
 
 
