@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from .shared import scratch, stored
+from .shared import dealt, scratch, stored
+
+#: Rows of a batch that one task writes, about.
+ROWS = 50_000
 
 
 def _path(spark: SparkSession, path: str):
@@ -277,7 +280,9 @@ class WorkLog:
         batches = max(1, -(-n // every))
         path, before = scratch(self.spark, "batches"), sum(e["rows"] for e in self.entries())
         if n:
-            todo.withColumn("__batch", F.pmod(F.xxhash64(self.key), F.lit(batches))).repartition("__batch").write.partitionBy("__batch").parquet(path)
+            h = F.xxhash64(self.key)
+            part = F.pmod(F.shiftright(h, 32), F.lit(-(-n // batches // ROWS) or 1))  # a batch is as many tasks as its rows need
+            dealt(todo.withColumn("__batch", F.pmod(h, F.lit(batches))).withColumn("__part", part), "__batch", "__part").drop("__part").write.partitionBy("__batch").parquet(path)
         there = sorted((x for x in _names(self.spark, path) if x.startswith("__batch")), key=lambda x: int(x.partition("=")[2]))
         for x in there[:limit]:
             part = self.spark.read.schema(todo.schema).parquet(f"{path}/{x}")
