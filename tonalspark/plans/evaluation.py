@@ -48,9 +48,8 @@ def ndcg_map_mrr(spark: SparkSession, d: str) -> DataFrame:
 )
 def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    same = [s.select("song_idx", c).join(seeds_of(s).select(F.col("song_idx").alias("query_id"), c), c).where("song_idx != query_id").select("query_id", "song_idx") for c in ("label", "mood", "artist")]
-    grades = same[0].unionByName(same[1]).unionByName(same[2]).groupBy("query_id", "song_idx").agg(F.count(F.lit(1)).alias("grade"))
-    return M.graded_ndcg(recs, grades, 10).withColumn("ndcg", F.round("ndcg", 6))
+    grades, best = M.shared_grades(s, seeds_of(s), recs, ("label", "mood", "artist"), 10)
+    return M.graded_ndcg(recs, grades, 10, best).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query(
