@@ -17,8 +17,10 @@ from ..sources.shared import open_fs, stored, written
 from .ranks import places_of
 from .retrieval import _arrays, _gathered
 
-#: Songs and seeds whose matrices a task holds at once, one for each signal.
-ROWS, SEEDS = 4096, 128
+#: Songs and seeds whose matrices a task holds at once, one for each signal; rows of pools that it weighs at once.
+ROWS, SEEDS, POOLED = 4096, 128, 65_536
+#: Scores this far apart differ in their ninth place.
+APART = 2e-9
 
 Signals = Callable[[dict, dict], list[np.ndarray]]
 
@@ -54,17 +56,36 @@ def relevant(lists: DataFrame, seeds: DataFrame, list_id: str = "list_id", other
     return met.join(of("query_id"), "query_id").join(of("song_idx"), "song_idx").where("_query_id != _song_idx").select("query_id", "song_idx", "held_out")
 
 
-def ranked(songs: DataFrame, seeds: DataFrame, signals: Signals, candidates: list[tuple[float, ...]], k: int) -> DataFrame:
-    """(candidate, query_id, rank, song_idx): the k songs of highest weighted sum of the signals for each candidate's weights and each
-    seed, itself left out; ties, to nine places, go to the smaller song_idx.
+def corners(candidates: list[tuple[float, ...]], most: float) -> list[tuple[float, ...]]:
+    """Weights that span all those up to ``most`` whose sum is that of one of the candidates."""
+    n, out = len(candidates[0]), set()
+    for total in {round(sum(c), 9) for c in candidates}:
+        full = min(int(total / most + 1e-9), n)
+        out |= set(permutations(([most] * full + [max(total - full * most, 0.0)] + [0.0] * n)[:n]))
+    return sorted(out)
+
+
+def pools(songs: DataFrame, seeds: DataFrame, signals: Signals, spans: list[tuple[float, ...]], k: int) -> DataFrame:
+    """(query_id, song_idx, signals): the signals of those songs that can be among a seed's k best under any weights that ``spans`` span.
 
-    A block of songs meets a block of seeds once: the signals' matrices are made once and weighed by every candidate; a task passes on
-    k songs for each candidate, seed and block at most.
+    A song that k others beat under each of the spans is beaten by them under all weights between these, as scores are linear in the
+    weights. So every block of songs meets every block of seeds once, however many weights are tried afterwards. A task keeps k good
+    songs a seed and what they reach at least under each span; of all others only those that reach more under one of them pass, and a
+    seed's songs of all tasks are held against the k best of them once more.
     """
-    path, weights = written(seeds, "seeds"), np.array(candidates, float)
+    path, weights = written(seeds, "seeds"), np.array(spans, float)
+
+    def may(at: np.ndarray, own: np.ndarray, low: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Not beaten by all that reach ``low`` and have numbers up to ``last``: equal scores go to the smaller number."""
+        beaten, even = np.ones(at.shape[1:], bool), np.ones(at.shape[1:], bool)
+        for x, y in zip(at, low):
+            beaten &= x < y - APART
+            even &= x <= y + 1e-13
+        return ~(beaten | even & (own > last))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = open_fs(path)
+        held: dict[bytes, tuple] = {}
         for part in _gathered(batches, ROWS):
             rows = _arrays(part)
             own = rows["song_idx"].astype(np.int64)
@@ -73,21 +94,72 @@ def ranked(songs: DataFrame, seeds: DataFrame, signals: Signals, candidates: lis
                     continue
                 asked, out = _arrays(pa.Table.from_batches([batch])), []
                 ids, parts = asked["query_id"].astype(np.int64), signals(rows, asked)
-                for c, w in enumerate(weights):
-                    sure = np.rint(sum(x * m for x, m in zip(w, parts)) * 1e9)
-                    for j, q in enumerate(ids):
-                        at = np.flatnonzero(own != q)
-                        if len(at) > k:
-                            at = at[sure[at, j] >= np.partition(sure[at, j], len(at) - k)[len(at) - k]]
-                        at = at[np.lexsort((own[at], -sure[at, j]))[:k]]
-                        out.append((np.full(len(at), c, np.int32), np.full(len(at), q), own[at], sure[at, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["candidate", "query_id", "song_idx", "score"])
-
-    found = songs.mapInArrow(best, "candidate int, query_id long, song_idx long, score double")
+                at = np.tensordot(weights, np.stack(parts), 1)
+                if ids.tobytes() not in held:  # scores and numbers of k songs for each seed
+                    held[ids.tobytes()] = np.full((len(weights), len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+                top, named = held[ids.tobytes()]
+                if np.isinf(top[0]).any() and len(own) > k + 1:
+                    # a block's own k best by the sum bound the rest of it
+                    first = np.argpartition(-np.where(own[:, None] == ids, -np.inf, at.sum(0)), k - 1, axis=0)[:k]
+                    low, last = np.take_along_axis(at, first[None], 1).min(1), own[first].max(0)
+                else:
+                    low, last = top.min(2), named.max(1)
+                passed = may(at, own[:, None], low, last) & (own[:, None] != ids)
+                which, j = np.nonzero(passed)
+                order = np.argsort(j, kind="stable")
+                which, j = which[order], j[order]
+                for i in np.unique(j):
+                    w = which[np.searchsorted(j, i) : np.searchsorted(j, i, "right")]
+                    reach, number = np.concatenate([top[:, i], at[:, w, i]], 1), np.concatenate([named[i], own[w]])
+                    good = np.lexsort((number, -reach.sum(0)))[:k]
+                    top[:, i], named[i] = reach[:, good], number[good]
+                    w = w[may(at[:, w, i], own[w], top[:, i].min(1), named[i].max())]
+                    out.append((np.full(len(w), ids[i]), own[w], np.stack([m[w, i] for m in parts], 1)))
+                if out:
+                    ids_, songs_, of = (np.concatenate(x) for x in zip(*out))
+                    lists = pa.ListArray.from_arrays(np.arange(0, of.size + 1, of.shape[1], dtype=np.int32), pa.array(of.ravel().astype(float)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(songs_), lists], names=["query_id", "song_idx", "signals"])
+
+    def left(group: pa.Table) -> pa.Table:
+        """What the k best by the sum and those by each span let through of what all tasks have found for a seed."""
+        of, own = np.stack(group.column("signals").to_numpy()), group.column("song_idx").to_numpy()
+        at, passed = weights @ of.T, np.ones(len(own), bool)
+        if len(own) > k:
+            for by in (at.sum(0), *at):
+                good = np.lexsort((own, -by))[:k]
+                passed &= may(at, own, at[:, good].min(1), own[good].max())
+        return group.filter(pa.array(passed))
+
+    schema = "query_id long, song_idx long, signals array<double>"
+    return songs.mapInArrow(best, schema).groupBy("query_id").applyInArrow(left, schema)
+
+
+def placed(pool: DataFrame, candidates: list[tuple[float, ...]], k: int) -> DataFrame:
+    """``ranked`` of pools: a task passes on k songs for each candidate, seed and block of rows at most."""
+    weights = np.array(candidates, float)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches, POOLED):
+            rows = _arrays(part)
+            asked, own = rows["query_id"].astype(np.int64), rows["song_idx"].astype(np.int64)
+            for c, w in enumerate(weights):
+                sure = np.rint(sum(x * m for x, m in zip(w, rows["signals"].T)) * 1e9)
+                at = np.lexsort((own, -sure, asked))
+                starts = np.flatnonzero(np.r_[True, asked[at][1:] != asked[at][:-1]])
+                at = at[np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), c, np.int32), asked[at], own[at], sure[at])], names=["candidate", "query_id", "song_idx", "score"])
+
+    found = pool.mapInArrow(best, "candidate int, query_id long, song_idx long, score double")
     order = Window.partitionBy("candidate", "query_id").orderBy(F.col("score").desc(), "song_idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("candidate", "query_id", "rank", "song_idx")
 
 
+def ranked(songs: DataFrame, seeds: DataFrame, signals: Signals, candidates: list[tuple[float, ...]], k: int) -> DataFrame:
+    """(candidate, query_id, rank, song_idx): the k songs of highest weighted sum of the signals for each candidate's weights and each
+    seed, itself left out; ties, to nine places, go to the smaller song_idx."""
+    return placed(pools(songs, seeds, signals, corners(candidates, max(map(max, candidates))), k), candidates, k)
+
+
 def gains(lists: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(candidate, query_id, ndcg) at k of ranked lists (candidate, query_id, rank, song_idx) for every query of truth."""
     good = truth.select("query_id", "song_idx").distinct()
@@ -115,7 +187,11 @@ def diversity(lists: DataFrame, songs: DataFrame, vector: str) -> DataFrame:
 def evaluated(songs: DataFrame, seeds: DataFrame, truth: DataFrame, signals: Signals, candidates: list[tuple[float, ...]], k: int, vector: str) -> DataFrame:
     """(candidate, ndcg, held_out_ndcg, ild) of candidate weights: mean gains by the lists that may be learned from and by those held
     out (truth: query_id, song_idx, held_out), and the diversity of the lists that the first ones' queries get."""
-    lists = stored(ranked(songs, seeds, signals, candidates, k), "lists")
+    return outcomes(stored(ranked(songs, seeds, signals, candidates, k), "lists"), songs, truth, k, vector)
+
+
+def outcomes(lists: DataFrame, songs: DataFrame, truth: DataFrame, k: int, vector: str) -> DataFrame:
+    """``evaluated`` of ranked lists."""
     known, held = (gains(lists, truth.where(F.col("held_out") == x), k).groupBy("candidate").agg(F.avg("ndcg").alias(n)) for x, n in ((False, "ndcg"), (True, "held_out_ndcg")))
     asked = lists.join(truth.where(~F.col("held_out")).select("query_id").distinct(), "query_id", "left_semi")
     all_ = lists.select("candidate").distinct()
@@ -140,7 +216,7 @@ def search(
     """The weights of highest mean gain with a sum of one, each from 0 to ``most``, whose lists keep a share ``keep`` of the diversity
     that the first start has.
 
-    A pattern search on the simplex: from the best weights so far, ``step`` is moved from each signal to each other one; all these and
+    The songs that can be in a list under any such weights are found once. A pattern search on the simplex: from the best weights so far, ``step`` is moved from each signal to each other one; all these and
     the starts' own moves are the candidates of one job. Where none gains, the step is halved, until it is under ``least``. Of
     equal gains the more diverse wins, then the smaller weights. ``frozen`` signals stay at 0. The driver sees a row a candidate.
     """
@@ -162,10 +238,12 @@ def search(
     def ask(candidates: list[tuple[float, ...]]) -> None:
         new = [c for c in dict.fromkeys(candidates) if c not in known]
         if new:
-            for r in evaluated(songs, seeds, truth, signals, new, k, vector).collect():  # a row a candidate
+            lists = stored(placed(pool, new, k), "lists")
+            for r in outcomes(lists, songs, truth, k, vector).collect():  # a row a candidate
                 known[new[r["candidate"]]] = (r["ndcg"] or 0.0, r["held_out_ndcg"], r["ild"] or 0.0)
 
     starts, jobs, steps = [fits(s) for s in starts], 1, []
+    pool = stored(pools(songs, seeds, signals, corners(starts, most), k), "pools")  # moves keep the sum and the bound
     ask(starts)
     enough = known[starts[0]][2] * keep
     value = lambda w: (known[w][2] >= enough - 1e-12, round(known[w][0], 9), round(known[w][2], 9), [-x for x in w])

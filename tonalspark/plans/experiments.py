@@ -344,7 +344,7 @@ def fused_signals(rows: dict, seeds: dict) -> list:
 def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Songs, every twenty-fifth of them as seeds, and orders as lists of songs, of which each fifth is held out."""
     s = songs(spark, d).select("song_idx", "audio_vec", "lyrics_vec", "label")
-    lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("song_idx")).distinct().join(s.select("song_idx"), "song_idx")
+    lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("song_idx")).join(s.select("song_idx"), "song_idx", "left_semi").distinct()
     seeds = s.where("song_idx % 25 = 0").withColumnRenamed("song_idx", "query_id")
     return s, seeds, weights.relevant(lists.withColumn("held_out", F.col("list_id") % 5 == 0), seeds)
 
