@@ -18,8 +18,9 @@ from .ranks import top_per_query
 #: Weights of the eight parts of the song score in their order: timbre, rhythm, tonality, lyrics, mood, instruments, same label, audio.
 PRODUCTION = (0.0, 0.0, 0.0, 0.08, 0.16, 0.0, 0.0, 0.76)
 FLOOR, SIGMA_V, SIGMA_A = 0.3, 0.22, 0.14
-#: Rows of the catalogue that a task scores at once, and queries that they meet at once: bounds of the memory, not of the result.
-ROWS, QUERIES = 16_384, 512
+#: Rows of the catalogue that a task scores at once, and queries that they meet at once: bounds of the memory (8 MB a matrix, some ten of
+#: which live at once), not of the result.
+ROWS, QUERIES = 16_384, 64
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
