@@ -19,10 +19,9 @@ def _recs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return s, retrieval.similar_songs(s, seeds_of(s), 10)
 
 
-def _truth(s: DataFrame) -> DataFrame:
+def _accuracy(recs: DataFrame, s: DataFrame) -> DataFrame:
     """Songs of the seed's label are relevant."""
-    q = seeds_of(s).select(F.col("song_idx").alias("query_id"), "label")
-    return s.select("song_idx", "label").join(q, "label").where("song_idx != query_id").select("query_id", "song_idx")
+    return M.labelled_accuracy(recs, s, seeds_of(s), "label", 10)
 
 
 @query(
@@ -35,7 +34,7 @@ def _truth(s: DataFrame) -> DataFrame:
 )
 def ndcg_map_mrr(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    out = M.accuracy(recs, _truth(s), 10)
+    out = _accuracy(recs, s)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
 
 
@@ -128,15 +127,15 @@ def ewe_weights(spark: SparkSession, d: str) -> DataFrame:
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    per_query = M.accuracy(recs, _truth(s), 10).select(F.lit("fused").alias("system"), "query_id", "ndcg")
+    per_query = _accuracy(recs, s).select(F.lit("fused").alias("system"), "query_id", "ndcg")
     return M.bootstrap(per_query, "system", "query_id", "ndcg")
 
 
 @query("wilcoxon")
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    audio = M.accuracy(retrieval.nearest(s, seeds_of(s), 10), _truth(s), 10).select("query_id", F.col("ndcg").alias("b"))
-    return M.wilcoxon(M.accuracy(recs, _truth(s), 10).select("query_id", F.col("ndcg").alias("a")).join(audio, "query_id"), "a", "b")
+    audio = _accuracy(retrieval.nearest(s, seeds_of(s), 10), s).select("query_id", F.col("ndcg").alias("b"))
+    return M.wilcoxon(_accuracy(recs, s).select("query_id", F.col("ndcg").alias("a")).join(audio, "query_id"), "a", "b")
 
 
 @query("journey_deltas", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events")

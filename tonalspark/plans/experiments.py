@@ -12,7 +12,8 @@ from ..functions.emotion import LABEL_PLACES, nearest_label
 from ..operators import metrics as M
 from ..operators import probes, ranks, retrieval, weights
 from ..sources import sinks
-from .evaluation import _TOP, _recs, _truth
+from ..sources.shared import stored
+from .evaluation import _TOP, _accuracy, _recs
 from .registry import query, songs, table
 from .similarity import _FUSED, _TARGETS, _targets, seeds_of
 
@@ -254,8 +255,9 @@ def report_changes(spark: SparkSession, d: str) -> DataFrame:
 def paired_gates(spark: SparkSession, d: str) -> DataFrame:
     """The fused system against the audio one, query by query, with intervals of the difference, single and by label, and a gate."""
     s, recs = _recs(spark, d)
-    audio = M.accuracy(retrieval.nearest(s, seeds_of(s), 10), _truth(s), 10).select("query_id", F.col("ndcg").alias("b"))
-    both = M.accuracy(recs, _truth(s), 10).select("query_id", F.col("ndcg").alias("a")).join(audio, "query_id").join(s.select(F.col("song_idx").alias("query_id"), "label"), "query_id").withColumn("d", F.col("a") - F.col("b"))
+    audio = _accuracy(retrieval.nearest(s, seeds_of(s), 10), s).select("query_id", F.col("ndcg").alias("b"))
+    both = _accuracy(recs, s).select("query_id", F.col("ndcg").alias("a")).join(audio, "query_id").join(s.select(F.col("song_idx").alias("query_id"), "label"), "query_id").withColumn("d", F.col("a") - F.col("b"))
+    both = stored(both, "paired")
     paired = M.bootstrap(both.withColumn("g", F.lit("paired")), "g", "query_id", "d")
     clustered = M.bootstrap(both.withColumn("g", F.lit("clustered")), "g", "label", "d")
     return paired.unionByName(clustered).select(F.col("g").alias("kind"), *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], (F.col("low") > 0).alias("passes"))
@@ -406,7 +408,7 @@ def collection_dashboard(spark: SparkSession, d: str) -> DataFrame:
 @query("metric_bundle", f"WITH {_TOP}, g AS (SELECT query_id, count(*) FILTER (s.label = q.label) / 10.0::DOUBLE AS precision, greatest(0, 1 - stddev_pop(s.bpm) / avg(s.bpm)) AS tempo FROM recs JOIN songs s USING (song_idx) JOIN songs q ON q.song_idx = query_id GROUP BY query_id) SELECT query_id, round(precision, 6) AS precision, round(tempo, 6) AS tempo_coherence FROM g")
 def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
     s, recs = _recs(spark, d)
-    return M.bundle(recs, _truth(s), s, 10).select("query_id", F.round("precision", 6).alias("precision"), F.round("tempo_coherence", 6).alias("tempo_coherence"))
+    return M.bundle(_accuracy(recs, s), recs, s).select("query_id", F.round("precision", 6).alias("precision"), F.round("tempo_coherence", 6).alias("tempo_coherence"))
 
 
 @query("blend_weights")
