@@ -109,25 +109,27 @@ def sentiment_category(compound: Column) -> Column:
 def grounded_valence(text: Column, valence: dict[str, float], negators: tuple[str, ...], least: int = 2) -> Column:
     """The mean valence of the words of a lexicon of one- and two-word terms, read left to right, two-word terms first.
 
-    A negator among the three words before a term turns its valence v into 1 - v. Null with fewer than ``least`` terms.
+    A negator among the three words before a term turns its valence v into 1 - v. Null with fewer than ``least`` terms. Only words
+    that a term begins with are looked at with their neighbours.
     """
     terms = F.create_map(*[x for k, v in sorted(valence.items()) for x in (F.lit(k), F.lit(float(v)))])
     all_words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("skip"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("taken"))
+    firsts = sorted({k.split(" ")[0] for k in valence})
     not_ = F.array(*map(F.lit, negators))
 
     def scan(words: Column) -> Column:
-        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
 
         def step(s: Column, i: Column) -> Column:
             two, one = F.try_element_at(terms, F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))), F.try_element_at(terms, F.get(words, i))
             v = F.coalesce(two, one)
             turned = F.arrays_overlap(F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), not_)
-            hit = (s["skip"] == 0) & v.isNotNull()
+            hit = (i > s["taken"]) & v.isNotNull()
             return F.struct(
                 F.when(hit, s["sum"] + F.when(turned, 1 - v).otherwise(v)).otherwise(s["sum"]).alias("sum"),
                 F.when(hit, s["n"] + 1).otherwise(s["n"]).alias("n"),
-                F.when(hit & two.isNotNull(), 1).otherwise(F.greatest(s["skip"] - 1, F.lit(0))).alias("skip"),
+                F.when(hit & two.isNotNull(), i + 1).otherwise(s["taken"]).alias("taken"),
             )
 
         return F.aggregate(places, start, step)
