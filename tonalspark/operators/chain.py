@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import text as T
-from ..sources.shared import stored
+from ..sources.shared import dealt, stored
 from . import entities
 
 Rules = Callable[[DataFrame], list[tuple[str, Column]]]
@@ -41,9 +41,9 @@ def spelt_once(df: DataFrame) -> DataFrame:
     ids = renamed.join(change.select(F.col("to").alias("primary_artist")).distinct(), "primary_artist", "left_semi").where("primary_artist_id IS NOT NULL").groupBy("primary_artist", "primary_artist_id").agg(F.count(F.lit(1)).alias("n"))
     best = ids.groupBy("primary_artist").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("primary_artist_id").alias("i")))["i"].alias("best_id"))
     renamed = renamed.join(best, "primary_artist", "left").withColumn("primary_artist_id", F.coalesce("best_id", "primary_artist_id")).drop("best_id")
-    credits = renamed.select("ord", F.posexplode(T.artists(F.col("artists"))).alias("at", "name")).join(change, "name", "left")
-    lists = credits.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("to", "name").alias("name")))), lambda x: x["name"]), ", ").alias("spelt"))
-    return renamed.join(lists, "ord", "left").withColumn("artists", F.coalesce("spelt", "artists")).drop("spelt").select(*df.columns)
+    flat = renamed.select("artists").distinct().select("artists", F.posexplode(T.artists(F.col("artists"))).alias("at", "name")).join(change, "name", "left")
+    lists = flat.groupBy("artists").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("to", "name").alias("name")))), lambda x: x["name"]), ", ").alias("spelt"))
+    return renamed.join(lists.where("spelt != artists"), "artists", "left").withColumn("artists", F.coalesce("spelt", "artists")).drop("spelt").select(*df.columns)
 
 
 def without_later(df: DataFrame, keys: list[Column], order: list[Column], reason: str) -> DataFrame:
@@ -54,17 +54,15 @@ def without_later(df: DataFrame, keys: list[Column], order: list[Column], reason
     return named.withColumn("_n", place).withColumn("reason", F.when(living & (F.col("_n") > 1), F.lit(reason)).otherwise(F.col("reason"))).drop("_n", *[f"_k{i}" for i in range(len(keys))])
 
 
-def best_of_recordings(df: DataFrame, pairs: Callable[[DataFrame], DataFrame], order: list[Column], reason: str) -> DataFrame:
-    """Of the living rows that ``pairs`` (a, b) connect to one recording the first in ``order`` lives on, with the credits of all."""
-    living = stored(df.where("reason IS NULL"), "living")
+def best_of_recordings(living: DataFrame, pairs: Callable[[DataFrame], DataFrame], order: list[Column], reason: str) -> DataFrame:
+    """Of the rows that ``pairs`` (a, b) connect to one recording the first in ``order`` lives on, with the credits of all; adds reason."""
     labels = entities.components(pairs(living)).select(F.col("node").alias("ord"), "label")
     grouped = living.join(labels, "ord")
     first = F.row_number().over(Window.partitionBy("label").orderBy(*order, "ord")) == 1
     credits = entities.merged_credits(grouped, "label", "artists", "ord")
     told = grouped.withColumn("first", first).select("ord", "label", "first").join(credits, "label").select("ord", "first", "credits")
     met = living.join(told, "ord", "left")
-    judged = met.withColumns({"reason": F.when(~F.coalesce("first", F.lit(True)), F.lit(reason)), "artists": F.when(F.col("first"), F.col("credits")).otherwise(F.col("artists"))}).select(*df.columns)
-    return df.where("reason IS NOT NULL").unionByName(judged)
+    return met.withColumns({"reason": F.when(~F.coalesce("first", F.lit(True)), F.lit(reason)), "artists": F.when(F.col("first"), F.col("credits")).otherwise(F.col("artists"))}).drop("first", "credits")
 
 
 def judged(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -73,7 +71,7 @@ def judged(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def clean(
-    raw: DataFrame, required: list[str], variant: Column, pairs: Callable[[DataFrame], DataFrame], better: list[Column], fits: Column, flagged: Callable[[DataFrame], DataFrame], by_row: Rules, summed: Callable[[DataFrame], DataFrame], by_artist: Rules, by_count: Rules
+    raw: DataFrame, required: list[str], variant: Column, details: Callable[[DataFrame], DataFrame], pairs: Callable[[DataFrame], DataFrame], better: list[Column], fits: Column, flagged: Callable[[DataFrame], DataFrame], by_row: Rules, summed: Callable[[DataFrame], DataFrame], by_artist: Rules, by_count: Rules
 ) -> DataFrame:
     """``raw`` (with ord, a number of its own for each row) with reason: what drops each row, or null; what lives on has its spellings, merged
     credits and cleaned title.
@@ -81,36 +79,46 @@ def clean(
     The stages: required fields; the most popular row of an id; one spelling; the original of a title and artist; the best of a
     recording; lengths; rules by row, with flags that are found among the rows that live then; rules by artist, with sums of
     those that live then; titles without the artist in front, and their first; rules by counts. What a stage needs of a table
-    is written once.
+    is written once, and rows that are dropped are written with that stage and not moved again.
+
+    ``raw`` has what the stages up to the original need; ``details`` adds to the rows that live then what the others need, and of long
+    texts only what they tell, so no stage moves these.
     """
     popularity, views = F.coalesce("track_popularity", F.lit(-1)), F.coalesce("view_count", F.lit(-1))
     blank = F.lit(False)
     for c in required:
         blank |= F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    parts = []
+
+    def split(df: DataFrame) -> DataFrame:
+        """The living of rows that are written; the others are done."""
+        parts.append(df.where("reason IS NOT NULL").select(*raw.columns, "reason"))
+        return df.where("reason IS NULL")
+
     df = raw.withColumn("reason", F.when(blank, "required"))
     df = without_later(df, [F.col("track_id")], [F.col("track_popularity").desc_nulls_last(), F.col("ord").asc()], "same_id")
-    df = stored(df, "chain")
-    gone, living = df.where("reason IS NOT NULL"), spelt_once(df.where("reason IS NULL"))
+    living = spelt_once(split(stored(df, "chain")))
     normal = lambda c: F.trim(F.regexp_replace(T.no_marks(F.col(c)), r"\s+", " "))
     original = [variant.asc(), popularity.desc(), views.desc(), F.col("track_popularity").desc_nulls_last(), F.col("ord").asc()]
-    df = without_later(gone.unionByName(living), [normal("track_name"), normal("primary_artist")], original, "same_name")
-    df = best_of_recordings(stored(df, "chain"), pairs, better, "same_recording")
+    df = without_later(living, [normal("track_name"), normal("primary_artist")], original, "same_name")
+    living = stored(details(split(stored(df, "chain")).drop("reason")), "living")
+    df = best_of_recordings(living, pairs, better, "same_recording")
     df = stored(df.withColumn("reason", F.when(F.col("reason").isNull() & ~fits, "duration").otherwise(F.col("reason"))), "chain")
-    parts = [df.where("reason IS NOT NULL")]
-    alive = stored(flagged(df.where("reason IS NULL")), "flagged")
-    alive = stored(judged(alive, by_row(alive)), "chain")
-    parts.append(alive.where("reason IS NOT NULL").select(*df.columns))
-    alive = summed(alive.where("reason IS NULL"))
+    alive = dealt(flagged(split(df)), "ord")
+    alive = split(stored(judged(alive, by_row(alive)), "chain"))
+    alive = summed(alive)
     alive = judged(alive, by_artist(alive))
     alive = alive.withColumn("track_name", F.when(F.col("reason").isNull(), C.without_artist_prefix(F.col("track_name"), F.col("primary_artist"))).otherwise(F.col("track_name")))
     alive = without_later(alive, [F.lower(F.trim("track_name")), F.lower(F.trim("primary_artist"))], original, "same_after_cleanup")
-    parts.append(judged(alive, by_count(alive)).select(*df.columns))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = judged(alive, by_count(alive)).select(*raw.columns, "reason")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def report(cleaned: DataFrame, stages: list[str]) -> DataFrame:
     """(place, stage, removed, remaining) of each stage in its order; a row a stage, from one count by reason."""
-    counts = cleaned.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(cleaned.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "counts")  # read twice
     names = cleaned.sparkSession.createDataFrame(list(enumerate(stages, 1)), "place int, stage string")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     removed = F.coalesce("n", F.lit(0)).cast("long")

@@ -16,40 +16,59 @@ REQUIRED = ["track_id", "track_name", "primary_artist"]
 STAGES = ["required", "same_id", "same_name", "same_recording", "duration", *[n for n, _ in Q._ROW_RULES], "blocked_artist", "obscure_artist", "same_after_cleanup", "low_popularity", "low_views", "few_features"]
 
 
+#: What the first stages need of a track; what the copies change is among it.
+EARLY = ["ord", "track_id", "track_name", "primary_artist", "primary_artist_id", "artists", "album_name", "track_duration_ms", "track_popularity", "view_count"]
+LYRICS = ("plain_lyrics", "synced_lyrics")
+
+
 def raw_tracks(spark: SparkSession, d: str) -> DataFrame:
     """The tracks, and copies of some of them: the same id, the same name in capitals, another uploader's, one without a title,
-    another spelling of the artist, another name for the artist's id."""
-    t = tracks(spark, d)
-    t = t.withColumn("primary_artist_id", F.when(F.col("ord") % 29 != 0, F.concat(F.lit("a"), "primary_artist")))
-    copy = lambda every, n, mark: t.where(F.col("ord") % every == 0).withColumns({"ord": F.col("ord") + n * 1_000_000_000, "track_id": F.concat("track_id", F.lit(mark))})
-    plain = lambda c: F.regexp_replace(c, "Sơn", "Son")
-    parts = [
-        copy(37, 1, "").withColumn("track_popularity", F.col("track_popularity") - 1),
-        copy(43, 2, "n").withColumns({"track_name": F.upper("track_name"), "view_count": F.coalesce("view_count", F.lit(0)) + 1}),
-        copy(31, 3, "e").withColumns({"primary_artist": F.lit("Uploader"), "artists": F.concat(F.lit("Uploader, "), "artists"), "primary_artist_id": F.lit("aUp")}),
-        copy(47, 4, "b").withColumn("track_name", F.lit(" ")),
-        copy(23, 5, "s").withColumns({"track_name": F.concat("track_name", F.lit(" two")), "primary_artist": plain("primary_artist"), "artists": plain("artists"), "primary_artist_id": F.concat(F.lit("a"), plain("primary_artist"))}),
-        copy(61, 6, "m").withColumns({"track_name": F.concat("track_name", F.lit(" three")), "primary_artist": F.concat(F.lit("MC "), "primary_artist"), "artists": F.concat(F.lit("MC "), "artists")}),
-    ]
-    out = t
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    another spelling of the artist, another name for the artist's id. Only what the first stages need, and ``of``, the ord of the track."""
+    c, copied = F.col, {1: (37, ""), 2: (43, "n"), 3: (31, "e"), 4: (47, "b"), 5: (23, "s"), 6: (61, "m")}
+    t = tracks(spark, d).select(*EARLY).withColumns({"primary_artist_id": F.when(c("ord") % 29 != 0, F.concat(F.lit("a"), "primary_artist")), "of": c("ord")})
+    t = t.withColumn("_copy", F.explode(F.array_compact(F.array(F.lit(0), *[F.when(c("ord") % every == 0, n) for n, (every, _) in copied.items()]))))
+    plain = lambda x: F.regexp_replace(x, "Sơn", "Son")
+
+    def made(column: str, **of: Column) -> Column:
+        out = c(column)
+        for n, value in of.items():
+            out = F.when(c("_copy") == int(n[1:]), value).otherwise(out)
+        return out
+
+    return t.withColumns({
+        "ord": c("ord") + c("_copy").cast("long") * 1_000_000_000,
+        "track_id": made("track_id", **{f"_{n}": F.concat("track_id", F.lit(mark)) for n, (_, mark) in copied.items() if mark}),
+        "track_popularity": made("track_popularity", _1=c("track_popularity") - 1),
+        "view_count": made("view_count", _2=F.coalesce("view_count", F.lit(0)) + 1),
+        "track_name": made("track_name", _2=F.upper("track_name"), _4=F.lit(" "), _5=F.concat("track_name", F.lit(" two")), _6=F.concat("track_name", F.lit(" three"))),
+        "primary_artist": made("primary_artist", _3=F.lit("Uploader"), _5=plain("primary_artist"), _6=F.concat(F.lit("MC "), "primary_artist")),
+        "artists": made("artists", _3=F.concat(F.lit("Uploader, "), "artists"), _5=plain("artists"), _6=F.concat(F.lit("MC "), "artists")),
+        "primary_artist_id": made("primary_artist_id", _3=F.lit("aUp"), _5=F.concat(F.lit("a"), plain("primary_artist"))),
+    }).drop("_copy")
+
+
+def with_details(rows: DataFrame, spark: SparkSession, d: str, fits: Column) -> DataFrame:
+    """Adds the other columns of the tracks, and instead of the lyrics what they tell: ``sung``, their digest or ``nan``; whether there are
+    plain and synced ones; and, where the length ``fits``, what rules by lyrics say. Lyrics are met once, by the track, and go no further."""
+    others = tracks(spark, d).withColumnRenamed("ord", "of").drop(*EARLY).dropDuplicates(["of"])
+    lyrics = entities.lyrics_of(*map(F.col, LYRICS))
+    told = {"sung": F.when(lyrics != "", F.md5(lyrics)).otherwise("nan")} | {f"has_{c}": F.when(F.trim(c) != "", True) for c in LYRICS}
+    return rows.join(others, "of").withColumns(told | {k: F.when(fits, v) for k, v in Q.rules_of_lyrics().items()}).drop(*LYRICS)
 
 
 def same_title_and_lyrics(rows: DataFrame) -> DataFrame:
     """Pairs of rows that are one recording by title and lyrics: the decision on tracks whose lyrics' digest is their lyrics' id."""
-    lyrics = entities.lyrics_of(F.col("plain_lyrics"), F.col("synced_lyrics"))
     none = F.lit(None).cast("string")
-    return entities.duplicate_pairs(rows.select(F.col("ord").alias("id"), "track_name", "artists", none.alias("artist_ids"), "primary_artist", "primary_artist_id", F.lit(None).cast("long").alias("track_duration_ms"), none.alias("plain_lyrics"), none.alias("synced_lyrics"), F.when(lyrics != "", F.md5(lyrics)).otherwise("nan").alias("lyrics_id")))
+    return entities.duplicate_pairs(rows.select(F.col("ord").alias("id"), "track_name", "artists", none.alias("artist_ids"), "primary_artist", "primary_artist_id", F.lit(None).cast("long").alias("track_duration_ms"), none.alias("plain_lyrics"), none.alias("synced_lyrics"), F.col("sung").alias("lyrics_id")))
 
 
 def cleaned_raw(spark: SparkSession, d: str) -> DataFrame:
     names, years = Q.names_table(spark), Q.album_years(spark)
     variant = C.variant_release(F.col("track_name"), F.col("album_name"), Q.VARIANT, Q.CONTEXT, Q.TOUR, Q.KEPT)
     raw = raw_tracks(spark, d)
-    better = entities.quality_keys(raw, variant, ["synced_lyrics", "plain_lyrics", "album_id", "track_duration_ms"], Q.SAMPLER, Q.GUESTS)
+    better = entities.quality_keys(raw, variant, ["has_synced_lyrics", "has_plain_lyrics", "album_id", "track_duration_ms"], Q.SAMPLER, Q.GUESTS)
     short = C.allowed_short(F.col("track_id"), F.col("track_name"), ["5", "6"], ["small ring 2"])
+    fits = C.duration_fits(F.col("track_duration_ms"), short)
     hot = F.col("hot_source").isNotNull() | F.coalesce(F.col("view_count") >= 100_000, F.lit(False)) | F.coalesce(F.col("track_popularity") >= 20, F.lit(False))
     popularity = F.when(F.col("rated"), F.coalesce("track_popularity", F.lit(0))).otherwise(F.col("track_popularity"))
     released = F.coalesce(T.year(F.col("year")), T.year(F.col("release_date")))
@@ -62,7 +81,8 @@ def cleaned_raw(spark: SparkSession, d: str) -> DataFrame:
         return [("low_popularity", C.low_popularity(popularity, views, charts)), ("low_views", C.low_views(views, popularity, charts, released)), ("few_features", C.present([F.col(k) for k in ("valence", "energy", "danceability")]) < 2)]
 
     return chain.clean(
-        raw, REQUIRED, variant, same_title_and_lyrics, better, C.duration_fits(F.col("track_duration_ms"), short), lambda df: Q.with_flags(df, names).join(years, "album_id", "left"), Q.rules_of_rows,
+        raw, REQUIRED, variant, lambda df: with_details(df, spark, d, fits), same_title_and_lyrics, better, fits, lambda df: Q.with_flags(df, names).join(years, "album_id", "left"),
+        lambda df: Q.rules_of_rows(df, {k: F.col(k) for k in Q.rules_of_lyrics()}),
         lambda df: filters.with_artist_sums(df, F.col("primary_artist"), F.col("track_popularity"), hot), by_artist, by_count,
     )
 
