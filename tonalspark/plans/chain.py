@@ -49,11 +49,13 @@ def raw_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 def with_details(rows: DataFrame, spark: SparkSession, d: str, fits: Column) -> DataFrame:
     """Adds the other columns of the tracks, and instead of the lyrics what they tell: ``sung``, their digest or ``nan``; whether there are
-    plain and synced ones; and, where the length ``fits``, what rules by lyrics say. Lyrics are met once, by the track, and go no further."""
-    others = tracks(spark, d).withColumnRenamed("ord", "of").drop(*EARLY).dropDuplicates(["of"])
-    lyrics = entities.lyrics_of(*map(F.col, LYRICS))
-    told = {"sung": F.when(lyrics != "", F.md5(lyrics)).otherwise("nan")} | {f"has_{c}": F.when(F.trim(c) != "", True) for c in LYRICS}
-    return rows.join(others, "of").withColumns(told | {k: F.when(fits, v) for k, v in Q.rules_of_lyrics().items()}).drop(*LYRICS)
+    plain and synced ones; and, where the length ``fits``, what rules by lyrics say. Lyrics are met once, by the track, normalised once,
+    and go no further."""
+    others = tracks(spark, d).withColumnRenamed("ord", "of").drop(*EARLY).join(rows.select("of"), "of", "left_semi").dropDuplicates(["of"])
+    there = {f"has_{c}": F.when(F.trim(c) != "", True) for c in LYRICS}
+    met = rows.join(others, "of").withColumns({"_words": entities.words_of(*map(F.col, LYRICS))} | there | {c: F.when(fits, F.col(c)) for c in LYRICS})
+    lyrics = entities.long_enough(F.col("_words"))
+    return met.withColumns({"sung": F.when(lyrics != "", F.md5(lyrics)).otherwise("nan")} | Q.rules_of_lyrics()).drop(*LYRICS, "_words")
 
 
 def same_title_and_lyrics(rows: DataFrame) -> DataFrame:
