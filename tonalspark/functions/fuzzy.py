@@ -150,6 +150,30 @@ def may_match(left: list[str], right: list[str], least: float, size: int = 6, st
     return (matched <= np.minimum(a, b)) & (held[: len(left), None] - both <= a - matched + lost) & (held[None, len(left) :] - both <= b - matched + lost)
 
 
+def may_share(left: list[str], right: list[str], least: float, open_: np.ndarray, size: int = 3) -> np.ndarray:
+    """Which open pairs of texts of two lists may have a matched share of ``least``, by how often they have each of ``size`` characters; as
+    ``may_match`` in what is sure, and cheaper. The runs are counted in bins: two that share one can only hide that one is missing."""
+    texts = [*left, *right]
+    n = np.array([len(t) for t in texts], int)
+    bins = 1 << min(max(int(n.max(initial=1) // 2).bit_length(), 8), 15)
+    counts = np.zeros((len(texts), bins), np.int32)
+    for row, text in zip(counts, texts):
+        codes, h = _codes(text), np.zeros(max(len(text) - size + 1, 0), np.uint32)
+        for k in range(size):
+            h = h * np.uint32(0x01000193) + codes[k : k + len(h)]
+        row += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(33 - bins.bit_length()), minlength=bins)
+    out = np.zeros((len(left), len(right)), bool)
+    for i in np.flatnonzero(open_.any(1)):
+        at = np.flatnonzero(open_[i])
+        a, b = n[i], n[len(left) + at]
+        matched = np.ceil(least * (a + b) / 2 - 1e-9)
+        lost = (size - 1) * (a + b - 2 * matched)
+        apart = counts[len(left) + at] - counts[i]
+        more = np.maximum(apart, 0).sum(1)
+        out[i, at] = (matched <= np.minimum(a, b)) & (more - apart.sum(1) <= a - matched + lost) & (more <= b - matched + lost)
+    return out
+
+
 def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
     """The share as a column, 0 where it can't reach ``least``; null counts as empty, two empty texts are equal. Python is asked only
     where the lengths leave it open."""

@@ -61,7 +61,7 @@ def with_details(rows: DataFrame, spark: SparkSession, d: str, fits: Column) ->
 def same_title_and_lyrics(rows: DataFrame) -> DataFrame:
     """Pairs of rows that are one recording by title and lyrics: the decision on tracks whose lyrics' digest is their lyrics' id."""
     none = F.lit(None).cast("string")
-    return entities.duplicate_pairs(rows.select(F.col("ord").alias("id"), "track_name", "artists", none.alias("artist_ids"), "primary_artist", "primary_artist_id", F.lit(None).cast("long").alias("track_duration_ms"), none.alias("plain_lyrics"), none.alias("synced_lyrics"), F.col("sung").alias("lyrics_id")))
+    return entities.titled_pairs(rows.select(F.col("ord").alias("id"), "track_name", "artists", none.alias("artist_ids"), "primary_artist", "primary_artist_id", F.lit(None).cast("long").alias("track_duration_ms"), none.alias("plain_lyrics"), none.alias("synced_lyrics"), F.col("sung").alias("lyrics_id")))
 
 
 def cleaned_raw(spark: SparkSession, d: str) -> DataFrame:
