@@ -15,12 +15,21 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the values, from 0, equal ones for equal values."""
+    order = np.argsort(x)
+    y = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], y[1:] != y[:-1])))[: len(x)]
+    return out
+
+
 def _numbered(*columns: np.ndarray) -> np.ndarray:
     """Equal rows of the columns get equal numbers from 0; no two different ones do."""
-    out = np.unique(columns[0], return_inverse=True)[1]
+    out = _dense(columns[0])
     for c in columns[1:]:
-        c = np.unique(c, return_inverse=True)[1]
-        out = np.unique(out.astype(np.int64) * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+        c = _dense(c)
+        out = _dense(out * (int(c.max(initial=0)) + 1) + c)
     return out
 
 
@@ -38,9 +47,10 @@ class _Ranks:
         while 2 << len(self.rows) - 1 <= longest:
             r, half = self.rows[-1], 1 << len(self.rows) - 1
             both = np.zeros(len(codes), np.int64)  # substrings that go beyond the end are never asked for
-            both[: len(r) - half] = _numbered(r[: len(r) - half], r[half:])
+            both[: len(r) - half] = _dense(r[: len(r) - half] * (int(r.max(initial=0)) + 1) + r[half:])
             self.rows.append(both)
         self.table = np.stack(self.rows)
+        self.bits = int(self.table.max(initial=0)).bit_length()
 
     def of(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power = np.frexp(length.astype(float))[1] - 1
@@ -51,10 +61,22 @@ def _keys(ranks: _Ranks, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tu
     """The substrings of each segment's length that begin in its two windows: number, place and segment, of a and of b."""
     (at, of), (bt, bof) = (_spread(w[:, 0], np.maximum(w[:, 1] - w[:, 0] - length + 1, 0)) for w in (a, b))
     place, segment = np.concatenate((at, bt)), np.concatenate((of, bof))
-    key = _numbered(segment, *ranks.of(place, length[segment]))
+    first, second = ranks.of(place, length[segment])
+    bits = ranks.bits
+    if len(a).bit_length() + 2 * bits < 64:  # all three fit into one number
+        key = (segment << 2 * bits) | (first.astype(np.int64) << bits) | second
+    else:
+        key = _numbered(segment, first, second)
     return key[: len(at)], at, of, key[len(at) :], bt, bof
 
 
+def _among(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    if not len(others):
+        return np.zeros(len(x), bool)
+    others = np.sort(others)
+    return others[np.minimum(np.searchsorted(others, x), len(others) - 1)] == x
+
+
 def _longest(ranks: _Ranks, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For windows (start, end) of pairs: the length of the longest common substring, its first place in a, and there in b."""
     low, high = np.zeros(len(a), int), np.minimum(a[:, 1] - a[:, 0], b[:, 1] - b[:, 0])
@@ -62,13 +84,13 @@ def _longest(ranks: _Ranks, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
         middle = (low[open_] + high[open_] + 1) // 2
         key, _, of, other, _, _ = _keys(ranks, a[open_], b[open_], middle)
         common = np.zeros(len(open_), bool)
-        common[of[np.isin(key, other)]] = True
+        common[of[_among(key, other)]] = True
         low[open_], high[open_] = np.where(common, middle, low[open_]), np.where(common, high[open_], middle - 1)
     i, j = np.full(len(a), np.iinfo(int).max), np.full(len(a), np.iinfo(int).max)
     some = np.flatnonzero(low)
     if some.size:
         key, at, of, other, bt, bof = _keys(ranks, a[some], b[some], low[some])
-        shared = np.isin(key, other)
+        shared = _among(key, other)
         first = np.full(len(some), np.iinfo(int).max)
         np.minimum.at(first, of[shared], at[shared])
         chosen = np.zeros(len(some), int)
@@ -150,27 +172,31 @@ def may_match(left: list[str], right: list[str], least: float, size: int = 6, st
     return (matched <= np.minimum(a, b)) & (held[: len(left), None] - both <= a - matched + lost) & (held[None, len(left) :] - both <= b - matched + lost)
 
 
-def may_share(left: list[str], right: list[str], least: float, open_: np.ndarray, size: int = 3) -> np.ndarray:
-    """Which open pairs of texts of two lists may have a matched share of ``least``, by how often they have each of ``size`` characters; as
-    ``may_match`` in what is sure, and cheaper. The runs are counted in bins: two that share one can only hide that one is missing."""
-    texts = [*left, *right]
+def may_share(texts: list[str], left: np.ndarray, right: np.ndarray, least: float, open_: np.ndarray, size: int = 3) -> np.ndarray:
+    """Which open pairs of two lists of texts' places may have a matched share of ``least``, by their lengths and by how often they have each of
+    ``size`` characters; as ``may_match`` in what is sure, and cheaper. The runs are counted in bins: two that share one can only hide that
+    one is missing. A text is counted once, and only if it has an open pair."""
     n = np.array([len(t) for t in texts], int)
-    bins = 1 << min(max(int(n.max(initial=1) // 2).bit_length(), 8), 15)
-    counts = np.zeros((len(texts), bins), np.int32)
-    for row, text in zip(counts, texts):
-        codes, h = _codes(text), np.zeros(max(len(text) - size + 1, 0), np.uint32)
-        for k in range(size):
-            h = h * np.uint32(0x01000193) + codes[k : k + len(h)]
+    a, b = n[left][:, None], n[right]
+    matched = np.ceil(least * (a + b) / 2 - 1e-9)
+    open_ = open_ & (matched <= np.minimum(a, b))
+    lost = (size - 1) * (a + b - 2 * matched) - matched
+    used = np.unique(np.concatenate((left[open_.any(1)], right[open_.any(0)])))
+    place = np.zeros(len(texts), int)
+    place[used] = np.arange(len(used))
+    bins = 1 << min(max(int(n[used].max(initial=1) // 2).bit_length(), 8), 15)
+    counts = np.zeros((len(used), bins), np.int32)
+    for row, k in zip(counts, used):
+        codes, h = _codes(texts[k]), np.zeros(max(n[k] - size + 1, 0), np.uint32)
+        for c in range(size):
+            h = h * np.uint32(0x01000193) + codes[c : c + len(h)]
         row += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(33 - bins.bit_length()), minlength=bins)
-    out = np.zeros((len(left), len(right)), bool)
+    out = np.zeros(open_.shape, bool)
     for i in np.flatnonzero(open_.any(1)):
         at = np.flatnonzero(open_[i])
-        a, b = n[i], n[len(left) + at]
-        matched = np.ceil(least * (a + b) / 2 - 1e-9)
-        lost = (size - 1) * (a + b - 2 * matched)
-        apart = counts[len(left) + at] - counts[i]
+        apart = counts[place[right[at]]] - counts[place[left[i]]]
         more = np.maximum(apart, 0).sum(1)
-        out[i, at] = (matched <= np.minimum(a, b)) & (more - apart.sum(1) <= a - matched + lost) & (more <= b - matched + lost)
+        out[i, at] = (more - apart.sum(1) <= n[left[i]] + lost[i, at]) & (more <= n[right[at]] + lost[i, at])
     return out
 
 
