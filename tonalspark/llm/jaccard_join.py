@@ -8,7 +8,8 @@ with the row that they share a block with, and overlap counts below the bound of
 
 Within those that agree in a block, every row is first multiplied with the first one alone, blocks of them at a time. Only rows that aren't linked
 with it are then multiplied with each other and with the rest, in cells of bounded size from which a forest of links comes
-out. So groups of thousands of linked copies cost a product for each member, groups of thousands of almost linked ones no
+out. Before texts are compared, sketches (counts of n-grams by bins) leave out pairs and rows of cells that differ in too many bins to be linked.
+So groups of thousands of linked copies cost a product for each member, groups of thousands of almost linked ones no
 more than a bounded number of rows for each block of members, and no link between different texts is lost.
 """
 
@@ -209,6 +210,92 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int = 0) -> Dat
     return dealt.select("a", "run", "b", "later", "text").mapInArrow(multiply, "a long, b long, common long, either long")
 
 
+def sketch(grams: np.ndarray) -> bytes | None:
+    """How many of a set's n-grams fall into each of a power of two of bins, about two to four a bin; nothing if a byte doesn't hold that.
+
+    Where two sets' counts differ so do the sets: the differences' sum is at most the size of the symmetric difference."""
+    bins = 1 << min(max((len(grams) // 4).bit_length(), 4), 16)
+    counts = np.bincount((grams & _U(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Counts in fewer bins."""
+    return counts.reshape(-1, bins).sum(0, dtype=np.int32)
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, sketch) of documents (doc_id, text)."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        drawn = [sketch(np.unique(shingles(words_of(text), k))) for text in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["doc_id", "sketch"])
+
+    return stored(arrow_map(docs.select("doc_id", "text"), of, "doc_id long, sketch binary"), "sketches")
+
+
+def _near(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the right rows of counts may belong to a set that is linked with the left one's; False only where it is sure that they don't."""
+    return (100 + percent) * np.abs(right - left).sum(1) <= (100 - percent) * (right.sum(1) + left.sum())
+
+
+def may_link(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that may be linked by their sketches."""
+    side = lambda c: drawn.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    met = pairs.select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if x is None or y is None:
+                keep.append(True)
+                continue
+            bins = min(len(x), len(y))
+            x, y = (folded(np.frombuffer(v, np.uint8), bins) for v in (x, y))
+            keep.append(bool(_near(x, y[None], percent)[0]))
+        return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return arrow_map(met.select("a", "b", "a_sketch", "b_sketch"), near, "a long, b long").distinct()
+
+
+def _open_rows(cells: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The rows (rep, x, y, side, doc_id, label) of cells that may be linked with a row of another label there, by their sketches."""
+    columns = ["rep", "x", "y", "side", "doc_id", "label"]
+    met = cells.join(drawn.hint("merge"), "doc_id").select(*columns, "sketch")
+    dealt = met.repartition("rep", "x", "y").sortWithinPartitions("rep", "x", "y", "side", "doc_id")
+
+    def kept(held: list) -> Iterator[pa.RecordBatch]:
+        counts = [np.frombuffer(h[6], np.uint8) for h in held if h[6] is not None]
+        if len(held) < 2 or len({h[5] for h in held}) < 2:
+            return
+        bins = min(map(len, counts), default=1)
+        rows = np.array([np.zeros(bins, np.int32) if h[6] is None else folded(np.frombuffer(h[6], np.uint8), bins) for h in held])
+        unknown = np.array([h[6] is None for h in held])
+        label, side, same = np.array([h[5] for h in held]), np.array([h[3] for h in held]), held[0][1] == held[0][2]
+        keep = np.zeros(len(held), bool)
+        for i in range(len(held)):
+            others = np.flatnonzero((label != label[i]) & ((np.arange(len(held)) > i) if same else (side > side[i])))
+            near = others[unknown[others] | unknown[i] | _near(rows[i], rows[others], percent)] if len(others) else others
+            if len(near):
+                keep[i] = keep[near] = True
+        if keep.any():
+            out = [h[:6] for h, k in zip(held, keep) if k]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=columns)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if row[:3] != cell:
+                    yield from kept(held)
+                    cell, held = row[:3], []
+                held.append(row)
+        yield from kept(held)
+
+    return dealt.mapInArrow(over, "rep long, x int, y int, side int, doc_id long, label long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles long, component_id) of every row of ``docs`` (doc_id long, text).
 
@@ -243,7 +330,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     unequal = pairs.where("NOT equal").select("rep", "doc_id").distinct()
     wanted = unequal.select("doc_id").unionByName(unequal.select(F.col("rep").alias("doc_id"))).distinct()
     docs = stored(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
-    tried = overlaps(open_pairs, docs, k, percent)
+    drawn = sketches(docs, k)
+    tried = overlaps(stored(may_link(open_pairs, drawn, percent), "open"), docs, k, percent)
     # the first documents of a set's shares, DEALT at most, are linked with the first of them
     shares = found.where("copies > 0 AND doc_id IS NOT NULL AND n > 0").groupBy("set", "n").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     one_set = shares.select("a", F.explode("reps").alias("b")).where("a != b")
@@ -253,18 +341,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = unequal
     if not members.isEmpty():
         labels = components(links) if not links.isEmpty() else None
-        links = stored(links.unionByName(_across(members, labels, docs, k, percent)), "links")
+        links = stored(links.unionByName(_across(members, labels, docs, drawn, k, percent)), "links")
     if links.isEmpty():
         return sizes.withColumn("component_id", F.col("doc_id"))
     return sizes.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, drawn: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links that join what the first documents of the marks left apart.
 
     Two documents that agree in a block share its mark and so the mark's first document (rep). Under each rep, the rows that
     aren't linked with it (loose) are multiplied with each other and with those that are, in cells of at most CELL by CELL
-    rows; only the links that a cell needs to connect its rows come out. Reps without loose rows need nothing.
+    rows; only the links that a cell needs to connect its rows come out. Reps without loose rows need nothing. A cell's rows are first held
+    against each other by their sketches: only those that may be linked with another one bring their texts.
     """
     rows = members
     if labels is not None:
@@ -282,7 +371,7 @@ def _across(members: DataFrame, labels: DataFrame | None, docs: DataFrame, k: in
     behind = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda x: F.struct(x.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side")))).otherwise(F.expr("array()"))
     linked = F.transform(F.sequence(F.lit(0), F.col("lb") - 1), lambda x: F.struct(x.alias("x"), (F.col("lb") + F.col("own")).alias("y"), F.lit(1).alias("side")))
     cells = rows.select("rep", "doc_id", "label", F.explode(F.when(F.col("loose"), F.concat(ahead, behind)).otherwise(linked)).alias("c")).select("rep", "c.x", "c.y", "c.side", "doc_id", "label")
-    met = cells.join(docs.select("doc_id", "text").hint("merge"), "doc_id").select("rep", "x", "y", "side", "doc_id", "label", "text")
+    met = _open_rows(cells, drawn, percent).join(docs.select("doc_id", "text").hint("merge"), "doc_id").select("rep", "x", "y", "side", "doc_id", "label", "text")
     dealt = met.repartition("rep", "x", "y").sortWithinPartitions("rep", "x", "y", "side", "doc_id")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
