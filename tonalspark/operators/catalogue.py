@@ -201,14 +201,15 @@ def scaled_audio(df: DataFrame, scales: dict[str, tuple[float, float]], plain: l
 
 def cover_report(songs: DataFrame, pairs: DataFrame, title: Column, artist: Column, item: str = "song_idx") -> DataFrame:
     """(name, value) of covers: songs, pairs by sound (a, b), pairs more by title (the same first 20 letters of a title of more than three
-    and first eight of the artist), and songs that have covers. Pairs by title are counted from the sizes of their groups, not made."""
+    and first eight of the artist), and songs that have covers. Pairs by title are counted from the sizes of their groups, not made; pairs by
+    sound are found once and written. Neither they nor the songs' keys are broadcast, however few bytes they are in a shuffle."""
     keyed = songs.select(F.col(item).alias("id"), F.when((F.length(title) > 3) & (artist != ""), F.concat_ws("|", F.left(artist, F.lit(8)), F.left(title, F.lit(20)))).alias("key"))
     groups = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     of = lambda c: keyed.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"))
-    known = pairs.select("a", "b").distinct()
-    both = known.join(of("a"), "a").join(of("b"), "b").agg(F.count_if(F.col("a_key") == F.col("b_key")).alias("both"), F.count(F.lit(1)).alias("sound"))
+    known = stored(pairs.select("a", "b").distinct(), "pairs")
+    both = known.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").agg(F.count_if(F.col("a_key") == F.col("b_key")).alias("both"), F.count(F.lit(1)).alias("sound"))
     titled = groups.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("titled"))
-    grouped = keyed.join(groups, "key", "left_semi").select("id")
+    grouped = keyed.join(groups.hint("merge"), "key", "left_semi").select("id")
     covered = grouped.unionByName(known.select(F.col("a").alias("id"))).unionByName(known.select(F.col("b").alias("id"))).distinct().agg(F.count(F.lit(1)).alias("covered"))
     row = songs.agg(F.count(F.lit(1)).alias("songs")).join(both).join(titled).join(covered)
     out = row.select("songs", F.col("sound").alias("by_sound"), (F.col("titled") - F.col("both")).alias("more_by_title"), "covered")
